@@ -4,14 +4,98 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm.shared import table
+from tickloom.llm.mixing import mix_sources, tempered_weights
+from tickloom.llm.simhash import near_duplicates
+from tickloom.llm.shared import new_path, table
 from tickloom.llm.token_counts import count_tokens
+from tickloom.llm.token_files import token_digests, write_tokens
+from tickloom.llm.url_filter import judge_urls
+
+
+#: Share of a source in the mix: its rows to this power. Rows of a block.
+MIX_EXPONENT, MIX_BLOCK = 0.5, 64
+#: Host and path rules, and the page ids (divisible by this) whose URLs are the list.
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+LISTED_EVERY = 50
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs, tempered_weights(docs, exponent=MIX_EXPONENT), block_rows=MIX_BLOCK)
+
+
+OP1_SQL = f"""
+WITH RECURSIVE src AS (
+  SELECT source, pow(count(*)::DOUBLE, {MIX_EXPONENT}) AS w FROM documents GROUP BY source),
+listed AS (
+  SELECT list(source ORDER BY source) AS names,
+    list(greatest(1, round(w / total * 1000))::BIGINT ORDER BY source) AS units
+  FROM src, (SELECT sum(w) AS total FROM src)),
+base AS (SELECT names, units, list_sum(units)::BIGINT AS period FROM listed),
+sched(t, had, j) AS (
+  SELECT -1::BIGINT, list_transform(units, lambda u: 0::BIGINT), 0::BIGINT FROM base
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(had) + 1), lambda i: had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END)::BIGINT[], pick
+  FROM (
+    SELECT t, had, list_min(list_filter(list_transform(range(1, len(had) + 1), lambda i:
+        CASE WHEN had[i] < units[i] AND (had[i] * period) // units[i] <= t + 1
+        THEN (((had[i] + 1) * period + units[i] - 1) // units[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS pick
+    FROM sched, base WHERE t + 1 < period) x),
+slots AS (
+  SELECT names[j] AS source, units[j] AS units, period, t AS slot,
+    row_number() OVER (PARTITION BY j ORDER BY t) - 1 AS k
+  FROM sched, base WHERE t >= 0),
+numbered AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM documents)
+SELECT doc_id, source, n // {MIX_BLOCK} AS mix_block,
+  (n // {MIX_BLOCK}) * period // units AS mix_release,
+  ((n // {MIX_BLOCK} + 1) * period + units - 1) // units AS mix_deadline,
+  (n // {MIX_BLOCK}) // units * period + slot AS mix_slot,
+  (n % {MIX_BLOCK})::INT AS mix_offset
+FROM numbered JOIN slots USING (source) WHERE k = (n // {MIX_BLOCK}) % units
+"""
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=64, bits_apart=2)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, pages.where(F.col("page_id") % LISTED_EVERY == 0).select("url"), RULES)
+
+
+OP6_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(rule, h, p, verdict) AS (VALUES {", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in RULES.items())}),
+ruled AS (
+  SELECT page_id, host, path, rtrim(path, '/') AS trimmed,
+    (SELECT arg_max(rule, length(rule)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule
+  FROM parts),
+listed AS (SELECT DISTINCT host || trimmed AS url FROM ruled WHERE page_id % {LISTED_EVERY} = 0 AND host <> '')
+SELECT page_id, host, path, ruled.rule,
+  CASE WHEN ruled.rule IS NOT NULL THEN rules.verdict WHEN host <> '' AND url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN ruled.rule IS NULL AND host <> '' THEN url IS NOT NULL END AS listed
+FROM ruled LEFT JOIN rules USING (rule) LEFT JOIN listed ON url = host || trimmed
+"""
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts,)}
-ORACLES: dict[str, str] = {}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "op7")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_digests(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_simhash_dedup, op6_url_filter, op7_token_files)}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op6_url_filter": OP6_SQL}
