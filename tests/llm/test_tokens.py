@@ -21,12 +21,13 @@ PARTS = ["a", "É", "é", "́", " ", "  ", "\n", "\t", "\xa0", "\x85", " ", "
 
 @pytest.mark.parametrize(("path", "cut"), [(BYTE, WITH_SPACE), (WORD, WORDS)])
 def test_pieces_equal_the_library_on_whole_texts(path, cut):
-    whole, pieces = Tokenizer.from_file(path), Pieces(open(path, encoding="utf-8").read(), cut, lambda e: e.ids)
+    whole, pieces = Tokenizer.from_file(path), Pieces(open(path, encoding="utf-8").read(), cut, counts=False)
 
     @settings(max_examples=400, deadline=None)
     @given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
     def same(text):
-        assert sum(next(pieces.of([text])), []) == whole.encode(text, add_special_tokens=False).ids
+        found = np.frombuffer(b"".join(next(pieces.of([text]))), "<u4").tolist()
+        assert found == whole.encode(text, add_special_tokens=False).ids
 
     same()
 

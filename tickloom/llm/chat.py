@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.pieces import WITH_SPACE, Pieces
+from tickloom.llm.pieces import WITH_SPACE, worker_pieces
 from tickloom.llm.shared import partitions
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -129,7 +129,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, *, budget: int = 1024
     content = Path(tokenizer).read_text(encoding="utf-8")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, now = Pieces(content, WITH_SPACE, len), None
+        pieces, now = worker_pieces(content, WITH_SPACE, counts=True), None
         for batch in batches:
             out: list[dict] = []
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()

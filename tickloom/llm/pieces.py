@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -21,33 +22,65 @@ WORDS = re.compile(r"\S+")
 #: White space for Python only (or for old Unicode tables only).
 UNSAFE = re.compile("[\x1c-\x1f\u180e]")
 
-#: Entries of the piece cache; it is emptied when full.
-CACHE = 300_000
+#: Entries of each half of a worker's cache. A full half takes the place of the older one, whose entries come back as they are met.
+CACHE = 400_000
+#: Pieces in one call's text, with a special token between each two.
+JOINED = 64
 
 
 class Pieces:
-    """Caches ``value(encoding)`` for each distinct piece."""
+    """The ids of each distinct piece, as bytes (little-endian, unsigned 32-bit), or how many they are."""
 
-    def __init__(self, tokenizer_json: str, cut: re.Pattern, value: Callable):
+    def __init__(self, tokenizer_json: str, cut: re.Pattern, counts: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.value, self.cache = cut, value, {}
+        self.cut, self.counts, self.cache, self.older = cut, counts, {}, {}
+        plain = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark = plain[0] if plain else None
 
     def of(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its pieces; texts of one call are encoded as one batch."""
-        cut = [[t] if UNSAFE.search(t) else self.cut.findall(t) for t in texts]
+        """For each text the values of its pieces."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        missing = list(set().union(*cut) - self.cache.keys()) if cut else []
-        if missing:
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            self.cache.update(zip(missing, map(self.value, found), strict=True))
-        for pieces in cut:
-            yield list(map(self.cache.__getitem__, pieces))
+            self.cache, self.older = {}, self.cache
+        cut = [[t] if UNSAFE.search(t) else self.cut.findall(t) for t in texts]
+        known = [list(map(self.cache.get, pieces)) for pieces in cut]
+        missing = {p for pieces, values in zip(cut, known, strict=True) if None in values for p, v in zip(pieces, values, strict=True) if v is None}
+        back = {p: self.older[p] for p in missing if p in self.older}
+        self.cache.update(back)
+        self.cache.update(self._encoded([p for p in missing if p not in back]))
+        for pieces, values in zip(cut, known, strict=True):
+            yield list(map(self.cache.__getitem__, pieces)) if None in values else values
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, int | bytes]]:
+        """The library takes a text apart at special tokens before all else, so pieces joined by one are encoded as if alone."""
+        alone = [p for p in pieces if self.mark is None or self.mark[1][0] in p]
+        others = [p for p in pieces if self.mark is not None and self.mark[1][0] not in p]
+        groups = [[p] for p in alone] + [others[k : k + JOINED] for k in range(0, len(others), JOINED)]
+        texts = [g[0] if len(g) == 1 else self.mark[1].join(g) for g in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            marks = np.flatnonzero(ids == self.mark[0]) if len(group) > 1 else ids[:0]
+            if len(marks) + 1 != len(group):
+                raise ValueError("a piece holds the special token that stands between pieces")
+            starts, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+            raw = ids.tobytes()
+            for piece, s, e in zip(group, starts, ends, strict=True):
+                yield piece, e - s if self.counts else raw[4 * s : 4 * e]
+
+
+_of_worker: dict[tuple, Pieces] = {}
+
+
+def worker_pieces(tokenizer_json: str, cut: re.Pattern, *, counts: bool) -> Pieces:
+    """The pieces of this Python worker, which tasks that run in it one after another share."""
+    key = (hash(tokenizer_json), cut.pattern, counts)
+    if key not in _of_worker:
+        _of_worker[key] = Pieces(tokenizer_json, cut, counts)
+    return _of_worker[key]
 
 
 def balanced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

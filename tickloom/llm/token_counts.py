@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.pieces import WITH_SPACE, Pieces, balanced
+from tickloom.llm.pieces import WITH_SPACE, balanced, worker_pieces
 
 #: Bytes of text in one tokenizer call.
 BATCH_BYTES = 1 << 20
@@ -29,7 +29,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_column
     content = Path(tokenizer).read_text(encoding="utf-8")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(content, WITH_SPACE, len)
+        pieces = worker_pieces(content, WITH_SPACE, counts=True)
         for batch in balanced(batches, "text", batch_bytes):
             n = [sum(x) for x in pieces.of(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_bytes"), pa.array(n, pa.int64())], [id_column, "n_bytes", "n_tokens"])

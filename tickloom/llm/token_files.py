@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.pieces import WORDS, Pieces, balanced
+from tickloom.llm.pieces import WORDS, balanced, worker_pieces
 from tickloom.llm.shared import partitions
 
 PLANES = 4
@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order_by: tuple[
     end = np.array([end_id], "<u4").tobytes()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(content, WORDS, lambda e: np.array(e.ids, "<u4").tobytes())
+        pieces = worker_pieces(content, WORDS, counts=False)
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         held, ids, lengths, n = [], [], [], 0
 
