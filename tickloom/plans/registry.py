@@ -1,5 +1,917 @@
 """The registered queries and their SQL oracles."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.config import Sampling
+from tickloom.functions import columns as C
+from tickloom.operators import books, fills, ledger, markouts, quality, rebuild, report, scoring, screening, temporal, trades
+from tickloom.plans.analysis import Inputs, market_rows, ranked_markets
+from tickloom.plans.oracle_sql import WEIGHTS, T, oracle
+from tickloom.sources import tables
+from tickloom.sources.fixtures import START_MS, Market
+from tickloom.streaming import jobs
+
 FLAGSHIP = "score_markets"
-QUERIES = {}
-ORACLES = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to 6 places, as sums of doubles depend on their order."""
+    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None, doubles: str = "", name: str | None = None):
+    """Register a function of the market tables under its name, with its oracle."""
+
+    def add(f: Callable[[Market], DataFrame]):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: rounded(f(Market(spark, sf_dir)))
+        if sql:
+            ORACLES[key] = oracle(sql, doubles)
+        return f
+
+    return add
+
+
+def inputs(m: Market) -> Inputs:
+    return Inputs.of(m.books, m.trades, m.markouts, m.start_ms, m.end_ms, m.lifecycle)
+
+
+def deduped(m: Market) -> DataFrame:
+    return books.dedup_books(m.books)
+
+
+def windows(m: Market) -> DataFrame:
+    return books.market_windows(deduped(m), m.start_ms, m.end_ms, m.lifecycle)
+
+
+def mids(m: Market) -> DataFrame:
+    return books.thin_mids(deduped(m))
+
+
+def regular(m: Market) -> DataFrame:
+    return trades.dedup_trades(m.trades)
+
+
+# Sources and sinks
+
+HALF = f"{START_MS + 120_000} AND {START_MS + 900_000}"
+
+
+@query(f"SELECT market_id, timestamp_ms, mid, best_bid FROM fx_books WHERE timestamp_ms BETWEEN {HALF} AND market_id IN (1, 3, 5)", "mid best_bid")
+def scan_market_table(m):
+    return tables.scan_market_table(m.books, START_MS + 120_000, START_MS + 900_000, columns=["market_id", "timestamp_ms", "mid", "best_bid"], market_ids=(1, 3, 5))
+
+
+@query()
+def discover_layout(m):
+    root = jobs.scratch(m.spark, "layout")
+    split = START_MS + 600_000
+    tables.write_partitioned(m.trades.where(F.col("timestamp_ms") < split), root)
+    m.trades.where(F.col("timestamp_ms") >= split).withColumn("date", F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd")).write.mode("append").partitionBy("date").parquet(f"{root}-daily")
+    found = tables.discover_layout(m.spark, root).unionByName(tables.discover_layout(m.spark, f"{root}-daily"), allowMissingColumns=True)
+    return found.groupBy("layout_depth").agg(F.count(F.lit(1)).alias("rows"), F.max("timestamp_ms").alias("latest_ms"))
+
+
+@query("SELECT market_id, timestamp_ms, price, NULL::DOUBLE AS size, NULL::DOUBLE AS reference_mid, ['size', 'reference_mid'] AS absent_columns FROM fx_trades", "price")
+def conform_schema(m):
+    return tables.conform_schema(m.trades, {"market_id": "int", "timestamp_ms": "long", "price": "double", "size": "double", "reference_mid": "double"})
+
+
+@query()
+def file_health_scan(m):
+    root = jobs.scratch(m.spark, "health")
+    tables.write_partitioned(m.trades, root)
+    return tables.file_health_summary(tables.file_health(m.spark, root))
+
+
+@query("SELECT 'books' AS dataset, max(timestamp_ms) AS latest_ms FROM fx_books UNION ALL SELECT 'trades', max(timestamp_ms) FROM fx_trades UNION ALL SELECT 'markouts', max(timestamp_ms) FROM fx_markouts UNION ALL SELECT 'all', greatest((SELECT max(timestamp_ms) FROM fx_books), (SELECT max(timestamp_ms) FROM fx_trades), (SELECT max(timestamp_ms) FROM fx_markouts))")
+def dataset_event_watermark(m):
+    return quality.event_watermark({"books": m.books, "trades": m.trades, "markouts": m.markouts})
+
+
+ORACLES["durable_watermark"] = ORACLES["dataset_event_watermark"]
+QUERIES["durable_watermark"] = QUERIES["dataset_event_watermark"]
+
+
+@query("SELECT strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') AS day, strftime(make_timestamp(timestamp_ms * 1000), '%H') AS hour, count(*) AS rows, count(DISTINCT market_id) AS markets FROM fx_books GROUP BY 1, 2")
+def partitioned_sink(m):
+    path = jobs.scratch(m.spark, "sink")
+    tables.write_partitioned(m.books, path)
+    return m.spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("day"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("market_id").alias("markets"))
+
+
+@query("SELECT market_id, trade_id, timestamp_ms, price, NULL::DOUBLE AS size, usd_amount, is_maker_ask, type, false AS corrupt FROM fx_trades UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'trade', true FROM region", "price usd_amount")
+def feed_ingest(m):
+    one = F.struct(F.col("trade_id"), F.col("timestamp_ms").alias("timestamp"), F.col("price").cast("string").alias("price"), F.lit("").alias("size"), F.col("usd_amount").cast("string").alias("usd_amount"), "is_maker_ask", "type")
+    listed = F.when(F.col("type") == "trade", F.to_json(F.array(one)))
+    alone = F.when(F.col("type") != "trade", F.to_json(one))
+    message = F.concat(F.lit('{"type":"update/trade","channel":"trade:'), F.col("market_id"), F.lit('"'), F.coalesce(F.concat(F.lit(',"trades":'), listed), F.lit("")), F.coalesce(F.concat(F.lit(',"liquidation_trades":'), alone), F.lit("")), F.lit("}"))
+    bad = m.table("region").select(F.lit("{not json").alias("value"))
+    return tables.feed_trades(m.trades.select(message.alias("value")).union(bad))
+
+
+@query("SELECT n_nationkey AS market_id, n_name AS symbol, 'perp' AS market_type, 'active' AS status FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0")
+def market_dimension(m):
+    raw = m.table("nation").select(F.col("n_nationkey").alias("market_id"), F.col("n_name").alias("symbol"), F.when(F.col("n_nationkey") % 3 == 0, "spot").otherwise("perp").alias("market_type"), F.when(F.col("n_nationkey") % 4 == 0, "frozen").otherwise("active").alias("status"))
+    return tables.market_dimension(raw)
+
+
+_EXPORT = ", ".join(f"rank_{c} AS pct_{c}" for c in WEIGHTS)
+
+
+@query(f"SELECT rank, market_id, symbol, score, confidence, effective_score, letter_rank, candidate, array_to_string(penalties, ' | ') AS penalties, {', '.join(f'coalesce(median_two_sided_depth_10bps_usd, 0) >= {n * 4} AS fit_{n}' for n in (25, 50, 100, 250, 500, 1000))}, {_EXPORT} FROM rnk", "score confidence effective_score " + " ".join(f"pct_{c}" for c in WEIGHTS))
+def export_ranking_csv(m):
+    return report.ranking_export(ranked_markets(inputs(m))).drop("cons", "warnings")
+
+
+@query()
+def publish_generation(m):
+    x = ranked_markets(inputs(m))
+    return tables.publish_generation({"overview": report.overview_rollup(x), "markets": report.market_row_projection(x)}, jobs.scratch(m.spark, "published"), "g1")
+
+
+# Projections and filters
+
+
+@query("SELECT market_id, timestamp_ms FROM fx_books WHERE is_usable OR (is_usable IS NULL AND mid IS NOT NULL)")
+def filter_observed_books(m):
+    return m.books.where(C.observed()).select("market_id", "timestamp_ms")
+
+
+@query("SELECT market_id, timestamp_ms FROM fx_books WHERE is_usable OR (is_usable IS NULL AND is_stale = false AND mid IS NOT NULL)")
+def filter_metrics_good(m):
+    return m.books.where(C.metrics_good()).select("market_id", "timestamp_ms")
+
+
+_EFF = "CASE WHEN spread_bps IS NOT NULL THEN spread_bps WHEN best_bid > 0 AND best_ask > 0 AND mid > 0 AND best_ask >= best_bid THEN (best_ask - best_bid) / mid * 10000e0 END"
+
+
+@query(f"SELECT market_id, timestamp_ms, {_EFF} AS effective_spread_bps FROM fx_books", "effective_spread_bps")
+def effective_spread(m):
+    return m.books.select("market_id", "timestamp_ms", C.effective_spread().alias("effective_spread_bps"))
+
+
+@query("SELECT market_id, count(*) FILTER (best_bid > 0 AND best_ask > 0 AND mid > 0 AND best_ask >= best_bid) AS valid, count(*) AS rows FROM fx_books GROUP BY market_id")
+def valid_bid_ask(m):
+    return m.books.groupBy("market_id").agg(F.count_if(C.valid_bid_ask()).alias("valid"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT market_id, trade_id, timestamp_ms FROM fx_trades WHERE market_id IN (2, 4)")
+def market_set_filter(m):
+    rows = m.trades.select("market_id", "trade_id", "timestamp_ms")
+    return screening.market_set_filter(rows, (2, 4)).union(screening.market_set_filter(rows, ()))
+
+
+@query("SELECT market_id, trade_id, timestamp_ms, usd_amount FROM fx_trades WHERE type = 'trade'", "usd_amount")
+def regular_trades(m):
+    return m.trades.where(C.regular_trade()).select("market_id", "trade_id", "timestamp_ms", "usd_amount")
+
+
+@query(f"SELECT greatest({START_MS}, max(timestamp_ms) - 3600000) AS start_ms, max(timestamp_ms) AS end_ms FROM fx_books")
+def rolling_window_bounds(m):
+    latest = m.books.agg(F.max("timestamp_ms").alias("latest_ms"))
+    return quality.rolling_window_bounds(latest, START_MS, hours=1.0)
+
+
+@query("SELECT market_id, timestamp_ms, mid FROM mids", "mid")
+def thin_mids(m):
+    return mids(m)
+
+
+def stage1(m: Market) -> DataFrame:
+    return screening.stage1(m.books, m.trades, m.markouts, m.start_ms, m.end_ms, m.lifecycle)
+
+
+_ST1 = "market_id, symbol, first_observed_ms, last_observed_ms, book_observation_count, trade_count, median_spread_bps, median_two_sided_depth_10bps_usd, pct_time_spread_ge_5bps, trades_per_minute_mean, trades_per_minute_median, maker_markout_5s_median_bps, observation_coverage, observation_hours"
+_ST1_D = "median_spread_bps median_two_sided_depth_10bps_usd pct_time_spread_ge_5bps trades_per_minute_mean trades_per_minute_median maker_markout_5s_median_bps observation_coverage observation_hours"
+
+
+@query("""SELECT market_id, symbol, CASE WHEN market_id % 2 = 0 THEN 'selected_incomplete' ELSE 'screened' END AS analysis_stage, median_spread_bps, trade_count AS total_trade_count, CASE WHEN market_id % 2 = 0 THEN maker_markout_5s_median_bps END AS maker_markout_5s_median_bps, NULL::DOUBLE AS score, NULL::BIGINT AS markout_5s_count,
+  CASE WHEN market_id % 2 = 0 THEN ['Selected for Stage 2 but full analysis produced no scored row'] ELSE [] END AS warnings FROM st1""", "median_spread_bps maker_markout_5s_median_bps")
+def screened_rows(m):
+    rows = screening.screened_rows(stage1(m), F.col("market_id") % 2 == 0)
+    return rows.select("market_id", "symbol", "analysis_stage", "median_spread_bps", "total_trade_count", "maker_markout_5s_median_bps", "score", "markout_5s_count", "warnings")
+
+
+@query("SELECT market_id, symbol, rank, round(score, 2) AS score, round(effective_score, 2) AS effective_score, round(confidence, 4) AS confidence, confidence_label, letter_rank, candidate FROM rnk", "score effective_score confidence")
+def market_row_projection(m):
+    return report.market_row_projection(ranked_markets(inputs(m))).drop("pros", "cons", "warnings")
+
+
+@query("SELECT market_id, symbol, median_spread_bps FROM rnk WHERE contains(lower(symbol), 'm') AND market_id <> 99", "median_spread_bps")
+def market_table_query(m):
+    return report.market_table_query(ranked_markets(inputs(m)), symbol=" M ", sort="spread").select("market_id", "symbol", "median_spread_bps")
+
+
+# Deduplication
+
+
+@query("SELECT market_id, timestamp_ms, mid, spread_bps FROM bk", "mid spread_bps")
+def dedup_books(m):
+    return deduped(m).select("market_id", "timestamp_ms", "mid", "spread_bps")
+
+
+@query("SELECT market_id, trade_id, timestamp_ms, price, usd_amount FROM td", "price usd_amount")
+def dedup_trades(m):
+    return regular(m).select("market_id", "trade_id", "timestamp_ms", "price", "usd_amount")
+
+
+@query("SELECT market_id, trade_id, horizon_s, timestamp_ms, maker_markout_bps FROM md", "maker_markout_bps")
+def dedup_markouts(m):
+    return markouts.dedup_markouts(m.markouts).select("market_id", "trade_id", "horizon_s", "timestamp_ms", "maker_markout_bps")
+
+
+@query("SELECT market_id, trade_id FROM td")
+def stream_dedup_trades(m):
+    return jobs.run_to_end(jobs.dedup_trades_stream(jobs.as_stream(m.trades, "dedup")), "dedup").select("market_id", "trade_id")
+
+
+# Joins
+
+_PAIRED = ", ".join(f"max(CASE WHEN h = {h} THEN later END) AS mid_{h}s" for h in (5, 30, 60))
+
+
+@query(f"SELECT market_id, timestamp_ms, mid, {_PAIRED} FROM pairs GROUP BY market_id, timestamp_ms, mid", "mid mid_5s mid_30s mid_60s")
+def forward_horizon_pairs(m):
+    return books.forward_horizon_pairs(mids(m))
+
+
+def snapshots(m: Market) -> DataFrame:
+    return fills.downsample_snapshots(deduped(m))
+
+
+@query("SELECT market_id, timestamp_ms, t_ms AS trade_ms, side, usd_amount FROM flow", "usd_amount")
+def touch_flow_join(m):
+    return fills.touch_flow(snapshots(m), regular(m)).select("market_id", "timestamp_ms", F.col("p_timestamp_ms").alias("trade_ms"), "side", F.col("p_usd_amount").alias("usd_amount"))
+
+
+@query("SELECT market_id, trade_id, timestamp_ms, reference_mid FROM refm", "reference_mid")
+def reference_mid_asof(m):
+    return markouts.reference_mids(regular(m), mids(m)).select("market_id", "trade_id", "timestamp_ms", "reference_mid")
+
+
+@query("SELECT market_id, trade_id, horizon_s, future_mid FROM futm WHERE future_mid IS NOT NULL", "future_mid")
+def future_mid_asof(m):
+    return markouts.future_mids(regular(m), mids(m)).select("market_id", "trade_id", "horizon_s", "future_mid")
+
+
+@query("SELECT market_id, minute_idx, trade_count FROM slots")
+def minute_slot_spine(m):
+    return trades.minute_slots(regular(m), windows(m))
+
+
+_BOOK_D = "mean_spread_bps median_spread_bps p95_spread_bps median_bbo_depth_usd median_two_sided_depth_10bps_usd funding_rate open_interest latest_book_update_age_seconds p95_book_update_age_seconds observation_coverage_pct usable_quote_coverage_pct spread_coverage_pct"
+
+
+@query(f"SELECT market_id, symbol, observed_samples, usable_samples, spread_samples, round_even(expected, 0)::BIGINT AS expected_samples, {', '.join(_BOOK_D.split())} FROM covp LEFT JOIN sprd USING (market_id) LEFT JOIN dep USING (market_id) LEFT JOIN lat USING (market_id) LEFT JOIN age USING (market_id)", _BOOK_D)
+def assemble_book_row(m):
+    return books.book_metrics(deduped(m), windows(m)).select("market_id", "symbol", "observed_samples", "usable_samples", "spread_samples", "expected_samples", *_BOOK_D.split())
+
+
+_ROW = "observation_coverage_pct data_coverage_pct observation_hours median_spread_bps pct_time_spread_ge_5bps median_two_sided_depth_10bps_usd total_quote_volume trades_per_minute_mean trades_per_minute_median maker_markout_5s_median_bps maker_markout_30s_median_bps estimated_maker_fill_rate_30s_conservative estimated_maker_edge_5s_bps estimated_maker_edge_30s_bps"
+_ROW_ALL = ["market_id", "symbol", "total_trade_count", "markout_5s_count", "markout_30s_count", "estimated_maker_fill_samples", *_ROW.split()]
+
+
+@query(f"SELECT {', '.join(_ROW_ALL)} FROM mr", _ROW)
+def assemble_market_row(m):
+    return market_rows(inputs(m)).select(*_ROW_ALL)
+
+
+@query("SELECT market_id, timestamp_ms, bid_eligible_usd_30s, ask_eligible_usd_30s FROM elig", "bid_eligible_usd_30s ask_eligible_usd_30s")
+def bid_ask_fill_join(m):
+    return fills.touch_flow_eligible(snapshots(m), regular(m)).select("market_id", "timestamp_ms", "bid_eligible_usd_30s", "ask_eligible_usd_30s")
+
+
+_MW = "market_id, symbol, first_observed_ms, last_observed_ms, effective_start_ms, effective_end_ms, market_observation_seconds"
+
+
+@query(f"SELECT {_MW} FROM mw", "market_observation_seconds")
+def lifecycle_windows(m):
+    return windows(m)
+
+
+@query("SELECT st1.market_id, trade_count, estimated_maker_fill_rate_30s_conservative FROM st1 LEFT JOIN (SELECT market_id, estimated_maker_fill_rate_30s_conservative FROM mr WHERE market_id < 5) USING (market_id)", "estimated_maker_fill_rate_30s_conservative")
+def peer_enrichment(m):
+    full = market_rows(inputs(m)).where("market_id < 5")
+    peers = stage1(m).withColumn("estimated_maker_fill_rate_30s_conservative", F.lit(None).cast("double"))
+    return screening.peer_enrichment(peers, full).select("market_id", "trade_count", "estimated_maker_fill_rate_30s_conservative")
+
+
+@query("SELECT market_id, CASE WHEN market_id < 4 THEN 'full' WHEN market_id < 6 THEN 'selected_incomplete' ELSE 'screened' END AS analysis_stage, st1.median_spread_bps FROM st1", "median_spread_bps")
+def merge_stages(m):
+    first = stage1(m)
+    full = ranked_markets(inputs(m)).where("market_id < 4")
+    return screening.merge_stages(first, first.where("market_id < 6"), full).select("market_id", "analysis_stage", "median_spread_bps")
+
+
+@query("SELECT b.market_id, b.timestamp_ms, CASE WHEN b.timestamp_ms - t.timestamp_ms <= 60000 THEN t.usd_amount END AS last_trade_usd FROM bk b ASOF LEFT JOIN td t ON t.market_id = b.market_id AND t.timestamp_ms <= b.timestamp_ms", "last_trade_usd")
+def attach_latest_stats(m):
+    stats = regular(m).select("market_id", "timestamp_ms", F.col("usd_amount").alias("last_trade_usd"))
+    rows = deduped(m).select("market_id", "timestamp_ms")
+    return temporal.asof_backward(rows, stats, ["market_id"], ["last_trade_usd"], longest_ms=60_000)
+
+
+@query("SELECT market_id, 'added' AS change FROM (SELECT DISTINCT market_id::BIGINT AS market_id FROM fx_books) WHERE market_id NOT IN (SELECT market_id FROM fx_lifecycle WHERE market_id <> 4) UNION ALL SELECT market_id, 'removed' FROM fx_lifecycle WHERE market_id NOT IN (SELECT market_id FROM fx_books WHERE market_id <> 2) AND market_id <> 4")
+def market_set_diff(m):
+    before = m.lifecycle.where("market_id <> 4")
+    after = m.books.where("market_id <> 2").select(F.col("market_id").cast("long").alias("market_id"))
+    return screening.market_set_diff(before, after.union(m.spark.range(0).select("id")))
+
+
+ORACLES["market_set_diff"] = oracle("SELECT * FROM (SELECT DISTINCT market_id::BIGINT AS market_id, 'added' AS change FROM fx_books WHERE market_id <> 2 AND market_id NOT IN (SELECT market_id FROM fx_lifecycle WHERE market_id <> 4)) UNION ALL SELECT market_id, 'removed' FROM fx_lifecycle WHERE market_id <> 4 AND market_id NOT IN (SELECT market_id FROM fx_books WHERE market_id <> 2)")
+
+
+def _two_results(m: Market) -> tuple[DataFrame, DataFrame]:
+    rows = market_rows(inputs(m)).select("market_id", "median_spread_bps", "total_trade_count", "trades_per_minute_mean")
+    after = rows.where("market_id <> 8").withColumn("median_spread_bps", F.col("median_spread_bps") + F.when(F.col("market_id") == 3, 0.5).otherwise(0.0))
+    return rows, after
+
+
+_COMPARED = ("median_spread_bps", "total_trade_count", "trades_per_minute_mean")
+_COMPARE_SQL = """SELECT market_id, metric, v AS before, CASE WHEN market_id = 8 THEN NULL WHEN market_id = 3 AND metric = 'median_spread_bps' THEN v + 0.5e0 ELSE v END AS after,
+  CASE WHEN market_id = 8 THEN NULL WHEN market_id = 3 AND metric = 'median_spread_bps' THEN 0.5e0 ELSE abs(v - v) END AS difference,
+  CASE WHEN market_id = 8 THEN false WHEN market_id = 3 AND metric = 'median_spread_bps' THEN v IS NULL ELSE true END AS matches
+  FROM (SELECT market_id, 'median_spread_bps' AS metric, median_spread_bps AS v FROM mr UNION ALL SELECT market_id, 'total_trade_count', total_trade_count::DOUBLE FROM mr UNION ALL SELECT market_id, 'trades_per_minute_mean', trades_per_minute_mean FROM mr)"""
+
+
+@query(_COMPARE_SQL, "before after difference")
+def snapshot_compare_join(m):
+    before, after = _two_results(m)
+    return quality.snapshot_compare(before, after, _COMPARED, exact=("total_trade_count",))
+
+
+# Aggregations
+
+
+@query("SELECT market_id, observed_samples, usable_samples, spread_samples FROM cov")
+def book_coverage_counts(m):
+    return books.coverage_counts(deduped(m))
+
+
+@query("SELECT * FROM sprd", "mean_spread_bps p10_spread_bps p25_spread_bps median_spread_bps p75_spread_bps p90_spread_bps p95_spread_bps")
+def spread_distribution(m):
+    return books.spread_distribution(deduped(m))
+
+
+@query("SELECT * FROM dep", "median_bbo_depth_usd median_two_sided_depth_5bps_usd median_two_sided_depth_10bps_usd median_two_sided_depth_25bps_usd")
+def depth_medians(m):
+    return books.depth_medians(deduped(m))
+
+
+@query("SELECT * FROM lat", "current_funding_rate funding_rate open_interest daily_quote_volume_usd")
+def latest_values(m):
+    return books.latest_values(deduped(m))
+
+
+@query("SELECT * FROM age", "latest_book_update_age_seconds p95_book_update_age_seconds")
+def book_update_age(m):
+    return books.book_update_age(deduped(m))
+
+
+@query(f"SELECT {_MW} FROM mw", "market_observation_seconds")
+def market_windows(m):
+    return windows(m)
+
+
+@query("SELECT market_id, round_even(expected, 0)::BIGINT AS expected_samples, observation_coverage_pct, usable_quote_coverage_pct, spread_coverage_pct, observation_coverage_pct AS data_coverage_pct FROM covp", "observation_coverage_pct usable_quote_coverage_pct spread_coverage_pct data_coverage_pct")
+def coverage_pct(m):
+    counted = windows(m).join(books.coverage_counts(deduped(m)), "market_id")
+    return books.coverage_pct(counted).select("market_id", "expected_samples", "observation_coverage_pct", "usable_quote_coverage_pct", "spread_coverage_pct", "data_coverage_pct")
+
+
+@query("SELECT * FROM pers", " ".join(f"pct_time_spread_ge_{t}bps" for t in T))
+def spread_persistence(m):
+    return books.spread_persistence(deduped(m))
+
+
+@query("""SELECT market_id, threshold_bps, count(*) AS event_count, quantile_cont(seconds, 0.5) AS median_duration_seconds, quantile_cont(seconds, 0.9) AS p90_duration_seconds, max(seconds) AS max_duration_seconds FROM (
+  SELECT market_id, threshold_bps, run, sum(dt) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY market_id, threshold_bps ORDER BY timestamp_ms) - row_number() OVER (PARTITION BY market_id, threshold_bps, spread >= threshold_bps ORDER BY timestamp_ms) AS run
+    FROM steps CROSS JOIN (SELECT unnest([1, 2, 3, 5, 10, 20, 50]) AS threshold_bps)) WHERE spread >= threshold_bps GROUP BY 1, 2, 3) GROUP BY 1, 2""", "median_duration_seconds p90_duration_seconds max_duration_seconds")
+def spread_episodes(m):
+    return books.spread_episodes(deduped(m))
+
+
+@query("SELECT * FROM volc", "p50_abs_mid_move_1s_bps p90_abs_mid_move_1s_bps p95_abs_mid_move_1s_bps")
+def volatility_consecutive(m):
+    return books.volatility_consecutive(mids(m))
+
+
+@query("SELECT * FROM volh", " ".join(f"p{p}_abs_mid_move_{h}s_bps" for p in (50, 90, 95) for h in (5, 30, 60)))
+def volatility_horizons(m):
+    return books.volatility_horizons(mids(m))
+
+
+@query("SELECT * FROM tot", "total_quote_volume median_trade_size_usd")
+def trade_totals(m):
+    return trades.trade_totals(regular(m))
+
+
+@query("SELECT * FROM gap", "median_intertrade_ms")
+def intertrade_gap(m):
+    return trades.intertrade_gap(regular(m))
+
+
+@query("SELECT market_id, trades_per_minute_mean, trades_per_minute_median, trades_per_minute_p90 FROM tpm", "trades_per_minute_mean trades_per_minute_median trades_per_minute_p90")
+def trades_per_minute(m):
+    return trades.trades_per_minute(regular(m), windows(m))
+
+
+_MK_D = " ".join(f"maker_markout_{h}s_mean_bps maker_markout_{h}s_median_bps" for h in (1, 5, 30, 60)) + " maker_markout_5s_positive_ratio maker_markout_30s_positive_ratio"
+
+
+@query("SELECT * FROM mk", _MK_D)
+def markout_stats(m):
+    return markouts.markout_stats(markouts.dedup_markouts(m.markouts))
+
+
+@query("SELECT * FROM snap", "best_bid best_ask best_bid_size_usd best_ask_size_usd")
+def downsample_snapshots(m):
+    return snapshots(m)
+
+
+@query("SELECT * FROM elig", "best_bid best_ask best_bid_size_usd best_ask_size_usd bid_eligible_usd_5s bid_eligible_usd_30s ask_eligible_usd_5s ask_eligible_usd_30s")
+def touch_flow_eligible(m):
+    return fills.touch_flow_eligible(snapshots(m), regular(m))
+
+
+_RATE_D = " ".join(f"{s}_{o}_{h}s_{z}" for z in (25, 50, 100) for h in (5, 30) for o in ("optimistic", "conservative") for s in ("bid", "ask", "mkt"))
+
+
+def rates(m: Market) -> DataFrame:
+    return fills.fill_rates(fills.touch_flow_eligible(snapshots(m), regular(m)))
+
+
+@query("SELECT * FROM rates", _RATE_D)
+def fill_rates(m):
+    return rates(m)
+
+
+_FST_D = " ".join(f"estimated_maker_fill_rate_{h}s_{o}" for h in (5, 30) for o in ("optimistic", "conservative"))
+
+
+@query("SELECT f.*, CASE WHEN estimated_maker_fill_samples >= 100 THEN ask_conservative_5s_25 END AS ask_conservative_5s_25 FROM fst f JOIN (SELECT market_id, ask_conservative_5s_25 FROM rates) USING (market_id)", _FST_D + " ask_conservative_5s_25")
+def fill_stats_row(m):
+    rows = fills.fill_stats(rates(m))
+    return rows.withColumn("ask_conservative_5s_25", F.col("estimated_maker_fill_by_size")["25"]["5s"]["ask_conservative"]).drop("estimated_maker_fill_by_size")
+
+
+@query("SELECT market_id, estimated_maker_fill_rate_5s_conservative * (maker_markout_5s_median_bps - 1.5e0) AS estimated_maker_edge_5s_bps, estimated_maker_fill_rate_30s_conservative * (maker_markout_30s_median_bps - 1.5e0) AS estimated_maker_edge_30s_bps, true AS estimated_maker_edge_fee_included FROM mr", "estimated_maker_edge_5s_bps estimated_maker_edge_30s_bps")
+def maker_edge(m):
+    rows = fills.maker_edge(market_rows(inputs(m)), F.lit(0.00015))
+    return rows.select("market_id", "estimated_maker_edge_5s_bps", "estimated_maker_edge_30s_bps", "estimated_maker_edge_fee_included")
+
+
+@query("SELECT count(*) AS rows, count(price) AS with_price, count(is_maker_ask) AS with_side, count(*) = 0 OR (count(price) > 0 AND count(is_maker_ask) > 0) AS available FROM fx_trades")
+def field_availability_gate(m):
+    return fills.field_availability(m.trades)
+
+
+@query(f"SELECT {_ST1} FROM st1", _ST1_D)
+def stage1_screening(m):
+    return stage1(m)
+
+
+_BARS_SQL = """SELECT market_id, timestamp_ms // 60000 * 60000 AS minute_ms, count(*) FILTER (type = 'trade') AS trade_count, coalesce(sum(usd_amount) FILTER (type = 'trade'), 0e0) AS trade_quote_volume_usd,
+  coalesce(sum(usd_amount / price) FILTER (type = 'trade'), 0e0) AS trade_base_volume, count(*) FILTER (type = 'trade' AND is_maker_ask) AS buy_taker_count, count(*) FILTER (type = 'trade' AND NOT is_maker_ask) AS sell_taker_count,
+  coalesce(sum(usd_amount) FILTER (type = 'trade' AND is_maker_ask), 0e0) AS buy_taker_volume_usd, coalesce(sum(usd_amount) FILTER (type = 'trade' AND NOT is_maker_ask), 0e0) AS sell_taker_volume_usd,
+  quantile_cont(usd_amount, 0.5) FILTER (type = 'trade') AS median_trade_size_usd, avg(usd_amount) FILTER (type = 'trade') AS mean_trade_size_usd, quantile_cont(gap, 0.5) AS median_intertrade_ms,
+  count(*) FILTER (type <> 'trade') AS liquidation_count, coalesce(sum(usd_amount) FILTER (type <> 'trade'), 0e0) AS liquidation_volume_usd
+  FROM tall LEFT JOIN (SELECT market_id, trade_id, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY market_id ORDER BY timestamp_ms, trade_id) AS gap FROM tall WHERE type = 'trade') g USING (market_id, trade_id) GROUP BY 1, 2"""
+
+
+@query(_BARS_SQL, "trade_quote_volume_usd trade_base_volume buy_taker_volume_usd sell_taker_volume_usd median_trade_size_usd mean_trade_size_usd median_intertrade_ms liquidation_volume_usd")
+def minute_bars(m):
+    return trades.minute_bars(m.trades)
+
+
+@query("""SELECT coalesce(b.market_id, u.market_id) AS market_id, coalesce(actual_samples, 0) AS actual_samples, coalesce(stale_count, 0) AS stale_count, coalesce(resync_count, 0) AS resync_count, coalesce(nonce_gap_count, 0) AS nonce_gap_count FROM
+  (SELECT market_id, count(*) AS actual_samples, count(*) FILTER (is_stale) AS stale_count FROM bk GROUP BY market_id) b FULL JOIN
+  (SELECT market_id, count(*) FILTER (kind = 'snapshot') AS resync_count, count(*) FILTER (kind = 'delta' AND begin_nonce <> before) AS nonce_gap_count FROM upd GROUP BY market_id) u ON u.market_id = b.market_id""")
+def dq_counters(m):
+    return quality.dq_counters(deduped(m), m.updates)
+
+
+@query("SELECT count(median_spread_bps) AS n, " + ", ".join(f"quantile_cont(median_spread_bps, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90, 95)) + " FROM mr", "p10 p25 p50 p75 p90 p95")
+def cross_section_stats(m):
+    return scoring.cross_section_stats(market_rows(inputs(m)), "median_spread_bps")
+
+
+@query("SELECT count(*) AS markets, count(*) FILTER (candidate) AS candidates, avg(coalesce(observation_coverage_pct, data_coverage_pct)) AS mean_coverage_pct, arg_min(symbol, rank) FILTER (candidate) AS top_candidate, count(*) FILTER (maker_markout_5s_median_bps IS NOT NULL AND total_trade_count = 0) AS inconsistent_markets, CASE WHEN count(*) = 0 THEN 'DEGRADED' ELSE 'OK' END AS status FROM rnk", "mean_coverage_pct")
+def overview_rollup(m):
+    return report.overview_rollup(ranked_markets(inputs(m))).drop("warnings")
+
+
+@query("SELECT (SELECT count(*) FROM fx_books) AS raw_books, (SELECT count(*) FROM bk) AS dedup_books, (SELECT count(*) FROM fx_trades) AS raw_trades, (SELECT count(*) FROM td) AS dedup_trades, (SELECT max(timestamp_ms) FROM fx_books) AS latest_ms")
+def window_row_stats(m):
+    a = m.books.agg(F.count(F.lit(1)).alias("raw_books"), F.countDistinct("market_id", "timestamp_ms").alias("dedup_books"), F.max("timestamp_ms").alias("latest_ms"))
+    kept = F.when(C.regular_trade(), F.struct("market_id", "trade_id"))
+    b = m.trades.agg(F.count(F.lit(1)).alias("raw_trades"), F.countDistinct(kept).alias("dedup_trades"))
+    return a.join(F.broadcast(b), F.lit(True))  # one row each
+
+
+@query("SELECT strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d %H') AS hour, count(*) AS rows, any_value(rate) * 24 AS rows_24h, any_value(rate) * 72 AS rows_72h, any_value(rate) * 720 AS rows_30d FROM fx_books CROSS JOIN (SELECT count(*) / greatest((max(timestamp_ms) - min(timestamp_ms)) / 3600000e0, 1e0 / 60e0) AS rate FROM fx_books) GROUP BY 1", "rows_24h rows_72h rows_30d")
+def partition_growth(m):
+    return quality.partition_growth(m.books)
+
+
+# Ranks and scores
+
+
+@query("SELECT market_id, median_spread_bps, ((SELECT count(*) FILTER (y.median_spread_bps < x.median_spread_bps) + 0.5e0 * count(*) FILTER (y.median_spread_bps = x.median_spread_bps) FROM sprd y) / (SELECT count(*) FROM sprd)) * 100e0 AS spread_rank FROM sprd x", "median_spread_bps spread_rank")
+def mid_rank_percentile(m):
+    return scoring.mid_ranks(books.spread_distribution(deduped(m)).select("market_id", "median_spread_bps"), {"median_spread_bps": "spread_rank"})
+
+
+_RK = [f"rank_{c}" for c in WEIGHTS]
+
+
+@query(f"SELECT market_id, {', '.join(_RK)} FROM rk", " ".join(_RK))
+def rank_components(m):
+    return scoring.rank_components(market_rows(inputs(m))).select("market_id", *_RK)
+
+
+@query("SELECT market_id, weighted_score FROM ws", "weighted_score")
+def weighted_score(m):
+    return scoring.weighted_score(scoring.rank_components(market_rows(inputs(m)))).select("market_id", "weighted_score")
+
+
+@query("SELECT market_id, score, hard_penalty, penalties FROM scr", "score")
+def score_penalties(m):
+    return scoring.score_penalties(scoring.weighted_score(scoring.rank_components(market_rows(inputs(m))))).select("market_id", "score", "hard_penalty", "penalties")
+
+
+@query("SELECT market_id, candidate FROM can")
+def candidate_gate(m):
+    return ranked_markets(inputs(m)).select("market_id", "candidate")
+
+
+@query("SELECT market_id, letter_rank FROM ltr")
+def letter_rank(m):
+    return ranked_markets(inputs(m)).select("market_id", "letter_rank")
+
+
+@query("SELECT market_id, confidence, confidence_label, confidence_reasons, c5 AS markout_5s, cf AS estimated_fill, cc AS coverage, cd AS duration FROM fin", "confidence markout_5s estimated_fill coverage duration")
+def market_confidence(m):
+    b = F.col("confidence_breakdown")
+    return ranked_markets(inputs(m)).select("market_id", "confidence", "confidence_label", "confidence_reasons", b["markout_5s"].alias("markout_5s"), b["estimated_fill"].alias("estimated_fill"), b["coverage"].alias("coverage"), b["duration"].alias("duration"))
+
+
+@query("SELECT market_id, rank, effective_score, score FROM rnk", "effective_score score")
+def rank_markets(m):
+    return ranked_markets(inputs(m)).select("market_id", "rank", "effective_score", "score")
+
+
+@query("SELECT market_id, eligible, screening_score FROM sc1", "screening_score")
+def screening_score(m):
+    return screening.screening_score(stage1(m)).select("market_id", "eligible", "screening_score")
+
+
+@query("SELECT market_id FROM (SELECT market_id FROM sc1 WHERE eligible ORDER BY screening_score DESC, market_id LIMIT 4) UNION SELECT market_id FROM st1 WHERE market_id IN (0, 9)")
+def select_top_n(m):
+    return screening.select_top_n(screening.screening_score(stage1(m)), 4, (0, 9))
+
+
+@query("SELECT market_id, median_spread_bps, letter_rank FROM rnk WHERE coalesce(median_spread_bps, 0) >= 5 AND (letter_rank IN ('C', 'D') OR coalesce(maker_markout_5s_median_bps, 0) < 0 OR coalesce(trades_per_minute_median, 0) < 0.5 OR coalesce(median_two_sided_depth_10bps_usd, 0) < 300) ORDER BY median_spread_bps DESC, rank LIMIT 10", "median_spread_bps")
+def avoid_list(m):
+    return report.avoid_list(ranked_markets(inputs(m))).select("market_id", "median_spread_bps", "letter_rank")
+
+
+_LADDER = "[25e0, 50e0, 100e0, 250e0, 500e0, 1000e0]"
+
+
+@query(f"SELECT market_id, list_max(list_filter({_LADDER}, lambda x: x <= 0.25e0 * coalesce(median_two_sided_depth_10bps_usd, median_two_sided_depth_5bps_usd))) AS recommended_max_order_usd FROM dep", "recommended_max_order_usd")
+def recommended_max_order(m):
+    return books.depth_medians(deduped(m)).select("market_id", C.recommended_order(F.col("median_two_sided_depth_5bps_usd"), F.col("median_two_sided_depth_10bps_usd")).alias("recommended_max_order_usd"))
+
+
+@query(f"SELECT market_id, {', '.join(f'median_two_sided_depth_10bps_usd >= {n * 4} AS fit_{n}' for n in (25, 50, 100, 250, 500, 1000))} FROM dep")
+def size_fit(m):
+    fit = C.size_fit(F.col("median_two_sided_depth_10bps_usd"))
+    return books.depth_medians(deduped(m)).select("market_id", *(fit[f"fit_{n}"].alias(f"fit_{n}") for n in (25, 50, 100, 250, 500, 1000)))
+
+
+@query("""SELECT market_id, list_filter([CASE WHEN median_spread_bps < 1.5 THEN 'tight spread — limited edge after fees/latency' END, CASE WHEN trades_per_minute_median < 1 THEN 'low trade activity' END,
+  CASE WHEN p6 THEN 'Estimated Maker Fill ~0 @30s conservative (touch rarely clears)' END, CASE WHEN coalesce(median_two_sided_depth_10bps_usd, 0) < 500 THEN 'thin two-sided depth' END, CASE WHEN p4 THEN 'negative 5s maker markout (adverse selection)' END,
+  CASE WHEN p95_abs_mid_move_5s_bps > median_spread_bps * 2 THEN 'elevated 5s volatility vs spread' END], lambda x: x IS NOT NULL) AS cons,
+  list_concat(list_filter([CASE WHEN NOT p6 AND estimated_maker_fill_samples < 100 THEN 'Estimated Maker Fill sample insufficient (<100)' END, CASE WHEN abs(current_funding_rate) > 0.01 THEN 'funding relatively high' END, CASE WHEN cover >= 90 AND cover < 95 THEN 'data coverage below 95%' END], lambda x: x IS NOT NULL), penalties) AS warnings,
+  printf('SPREAD: median %.2fbp', median_spread_bps) AS spread_line FROM rnk""")
+def narratives(m):
+    return ranked_markets(inputs(m)).select("market_id", "cons", "warnings", F.col("pros")[0].alias("spread_line"))
+
+
+def live(m: Market) -> DataFrame:
+    latest = deduped(m).groupBy("market_id").agg(F.max_by(F.struct("spread_bps", F.col("two_sided_depth_10bps_usd").alias("depth_10bps"), "is_usable"), F.when(F.col("mid").isNotNull(), F.col("timestamp_ms"))).alias("r")).select("market_id", "r.*")
+    tpm = trades.trade_totals(regular(m)).select("market_id", (F.col("total_trade_count") / 60.0).alias("tpm"))
+    marks = markouts.recent_markout_mean(markouts.dedup_markouts(m.markouts)).select("market_id", F.col("recent_markout_mean_bps").alias("markout_5s"))
+    return latest.join(tpm, "market_id", "left").join(marks, "market_id", "left")
+
+
+_LIVE_SQL = """SELECT market_id, least(coalesce(spread_bps, 0e0), 50e0) * 0.4e0 + least(coalesce(depth, 0e0) / 1000e0, 30e0) + least(coalesce(total_trade_count / 60e0, 0e0), 40e0) * 0.5e0 + coalesce(CASE WHEN recent < -10 THEN -10e0 ELSE recent END, -5e0) AS live_score FROM (
+  SELECT market_id, arg_max(r, timestamp_ms).s AS spread_bps, arg_max(r, timestamp_ms).d AS depth, arg_max(r, timestamp_ms).u AS u FROM (SELECT market_id, timestamp_ms, {'s': spread_bps, 'd': two_sided_depth_10bps_usd, 'u': is_usable} AS r FROM bk WHERE mid IS NOT NULL) GROUP BY market_id)
+  LEFT JOIN tot USING (market_id) LEFT JOIN (SELECT market_id, avg(maker_markout_bps) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_ms DESC, trade_id DESC) AS n FROM md WHERE horizon_s = 5) WHERE n <= 200 GROUP BY market_id) USING (market_id) WHERE u ORDER BY live_score DESC, market_id LIMIT 5"""
+
+
+@query(_LIVE_SQL, "live_score")
+def live_top_n(m):
+    return screening.live_top_n(live(m), 5).select("market_id", "live_score")
+
+
+_TALL = " UNION ALL ".join(f"SELECT market_id, symbol, '{n}' AS metric, {c}::DOUBLE AS value FROM rnk" for c, n in report.METRICS.items())
+
+
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, market_id) AS place FROM ({_TALL})) WHERE place <= 15", "value")
+def metric_leaders(m):
+    return report.metric_leaders(ranked_markets(inputs(m)))
+
+
+@query("SELECT count(*) FILTER (candidate) AS candidates, (count(*) FILTER (candidate AND letter_rank IN ('A', 'B')) > 0) OR (count(*) FILTER (candidate) >= 3 AND coalesce(max(CASE WHEN rank = 1 THEN score END) >= 55, false)) AS \"exists\", list_slice(list(symbol ORDER BY rank), 1, 3) AS top3 FROM rnk")
+def executive_answers(m):
+    x = ranked_markets(inputs(m))
+    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda r: r["symbol"]), 1, 3)
+    return report.executive_answers(x).select("candidates", "exists").join(F.broadcast(x.agg(first.alias("top3"))), F.lit(True))  # one row each
+
+
+_SC_D = "score confidence effective_score median_spread_bps " + " ".join(_RK)
+
+
+@query(f"SELECT rank, market_id, symbol, candidate, letter_rank, confidence_label, penalties, {', '.join(_SC_D.split())} FROM rnk", _SC_D)
+def score_markets(m):
+    return ranked_markets(inputs(m)).select("rank", "market_id", "symbol", "candidate", "letter_rank", "confidence_label", "penalties", *_SC_D.split())
+
+
+@query("SELECT market_id, rank, effective_score FROM rnk ORDER BY rank LIMIT 500", "effective_score")
+def top_records(m):
+    return ranked_markets(inputs(m)).orderBy("rank").limit(500).select("market_id", "rank", "effective_score")
+
+
+@query("SELECT market_id, timestamp_ms, 0 AS priority, trade_id, price, usd_amount, NULL::DOUBLE AS best_bid, NULL::DOUBLE AS best_ask, NULL::DOUBLE AS mid FROM td UNION ALL SELECT market_id, timestamp_ms, 1, NULL, NULL, NULL, best_bid, best_ask, mid FROM bo", "price usd_amount best_bid best_ask mid")
+def event_timeline(m):
+    return report.event_timeline(regular(m), books.observed_books(deduped(m)))
+
+
+@query("SELECT DISTINCT market_id FROM (SELECT market_id FROM fx_books UNION SELECT market_id FROM fx_trades UNION SELECT market_id FROM fx_markouts)")
+def market_id_union(m):
+    return m.books.select("market_id").union(m.trades.select("market_id")).union(m.markouts.select("market_id")).distinct()
+
+
+# Column functions
+
+
+@query("SELECT market_id, timestamp_ms, CASE WHEN best_bid > 0 AND best_ask > 0 AND best_bid <= best_ask THEN (best_bid + best_ask) / 2e0 END AS safe_mid, CASE WHEN mid > 0 THEN (best_ask - best_bid) / mid * 10000e0 END AS move_bps FROM fx_books", "safe_mid move_bps")
+def safe_mid(m):
+    return m.books.select("market_id", "timestamp_ms", C.safe_mid(F.col("best_bid"), F.col("best_ask")).alias("safe_mid"), C.bps_move(F.col("best_ask") - F.col("best_bid"), F.col("mid")).alias("move_bps"))
+
+
+QUERIES["bps_move"], ORACLES["bps_move"] = QUERIES["safe_mid"], ORACLES["safe_mid"]
+
+
+@query("SELECT market_id, trade_id, horizon_s, CASE WHEN reference_mid > 0 THEN CASE WHEN is_maker_ask THEN price - future_mid ELSE future_mid - price END / reference_mid * 10000e0 END AS maker_markout_bps, is_maker_ask AS taker_is_buy FROM futm WHERE future_mid IS NOT NULL AND reference_mid IS NOT NULL", "maker_markout_bps")
+def markout_bps(m):
+    return markouts.compute_markouts(regular(m), mids(m)).select("market_id", "trade_id", "horizon_s", "maker_markout_bps", F.col("is_maker_ask").alias("taker_is_buy"))
+
+
+QUERIES["taker_is_buy"], ORACLES["taker_is_buy"] = QUERIES["markout_bps"], ORACLES["markout_bps"]
+
+
+@query("SELECT market_id, estimated_maker_fill_samples AS n, estimated_maker_fill_sample_quality AS quality FROM fst")
+def sample_quality(m):
+    return rates(m).select("market_id", F.col("estimated_maker_fill_samples").alias("n"), C.sample_quality(F.col("estimated_maker_fill_samples")).alias("quality"))
+
+
+@query("SELECT market_id, timestamp_ms, coalesce(funding_rate, 0e0) * 10000e0 AS fee_bps, timestamp_ms // 30000 AS bucket FROM fx_books", "fee_bps")
+def snapshot_bucket(m):
+    return m.books.select("market_id", "timestamp_ms", C.fee_rate_to_bps(F.col("funding_rate")).alias("fee_bps"), C.snapshot_bucket(F.col("timestamp_ms")).alias("bucket"))
+
+
+QUERIES["fee_rate_to_bps"], ORACLES["fee_rate_to_bps"] = QUERIES["snapshot_bucket"], ORACLES["snapshot_bucket"]
+
+
+@query("SELECT market_id, ceil(market_observation_seconds / 3600e0 * 3600000e0 / 30000e0)::BIGINT AS most FROM mw")
+def max_snapshots(m):
+    return windows(m).select("market_id", C.max_snapshots(F.col("market_observation_seconds") / 3600.0).alias("most"))
+
+
+@query("SELECT market_id, total_trade_count / (total_trade_count + 300e0) AS hill, 1e0 - exp(-(market_observation_seconds / 3600e0) / 24e0) AS duration, CASE WHEN usable_quote_coverage_pct >= 99 THEN 1e0 WHEN usable_quote_coverage_pct <= 80 THEN usable_quote_coverage_pct / 80e0 * 0.5e0 WHEN usable_quote_coverage_pct <= 90 THEN 0.5e0 + (usable_quote_coverage_pct - 80e0) / 10e0 * 0.3e0 WHEN usable_quote_coverage_pct <= 95 THEN 0.8e0 + (usable_quote_coverage_pct - 90e0) / 5e0 * 0.15e0 ELSE 0.95e0 + (usable_quote_coverage_pct - 95e0) / 4e0 * 0.05e0 END AS coverage FROM covp JOIN tot USING (market_id)", "hill duration coverage")
+def confidence_leaves(m):
+    rows = books.book_metrics(deduped(m), windows(m)).join(trades.trade_totals(regular(m)), "market_id")
+    return rows.select("market_id", C.hill(F.col("total_trade_count"), 300.0).alias("hill"), C.duration_confidence(F.col("market_observation_seconds") / 3600.0, 24.0).alias("duration"), C.coverage_confidence(F.col("usable_quote_coverage_pct")).alias("coverage"))
+
+
+for _name in ("hill_confidence", "coverage_confidence", "duration_confidence"):
+    QUERIES[_name], ORACLES[_name] = QUERIES["confidence_leaves"], ORACLES["confidence_leaves"]
+
+
+@query("SELECT market_id, " + ", ".join(f"CASE WHEN {c} IS NULL OR {c} < 0 THEN 'missing' WHEN {c} = 0 THEN 'zero' ELSE 'value' END AS {c}_state" for c in ("markout_5s_count", "markout_30s_count", "estimated_maker_fill_samples", "total_trade_count", "observation_hours")) + " FROM mr")
+def sample_state(m):
+    return scoring.sample_states(market_rows(inputs(m)))
+
+
+@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.missing') AS DOUBLE), try_cast(value AS DOUBLE)) AS number, try_cast(nullif(trim(CASE WHEN event_id % 7 = 0 THEN ' ' ELSE value::VARCHAR END), '') AS DOUBLE) AS blank_number FROM events", "number blank_number")
+def first_present_number(m):
+    text = F.when(F.col("event_id") % 7 == 0, " ").otherwise(F.col("value").cast("string"))
+    return m.table("events").select("event_id", C.first_number(F.get_json_object("props", "$.missing"), F.col("value").cast("string")).alias("number"), C.blank_to_null_number(text).alias("blank_number"))
+
+
+QUERIES["null_if_blank_decimal"], ORACLES["null_if_blank_decimal"] = QUERIES["first_present_number"], ORACLES["first_present_number"]
+
+
+@query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_quantity, 0.25) AS p25 FROM lineitem GROUP BY l_returnflag", "p90 p25")
+def percentile_linear(m):
+    return m.table("lineitem").groupBy("l_returnflag").agg(F.percentile(F.col("l_extendedprice").cast("double"), 0.9).alias("p90"), F.percentile(F.col("l_quantity").cast("double"), 0.25).alias("p25"))
+
+
+@query("SELECT market_id, trade_id, timestamp_ms, timestamp_ms AS back_ms, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((timestamp_ms % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM fx_trades")
+def iso_ms(m):
+    rows = m.trades.select("market_id", "trade_id", "timestamp_ms", C.ms_to_iso(F.col("timestamp_ms")).alias("iso"))
+    return rows.withColumn("back_ms", C.iso_to_ms(F.col("iso")))
+
+
+@query("SELECT market_id, timestamp_ms, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') AS date, strftime(make_timestamp(timestamp_ms * 1000), '%H') AS hour, ((timestamp_ms // 60000 % 60) // 15 * 15)::INT AS bucket FROM fx_books")
+def partition_key(m):
+    return m.books.select("market_id", "timestamp_ms", *C.partition_key(F.col("timestamp_ms")))
+
+
+def _redact_sql() -> str:
+    out = "text"
+    for p in C.SENSITIVE:
+        flags = "g"
+        if p.startswith("(?i)"):
+            p, flags = p[4:], "gi"
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '[redacted]', '{flags}')"
+    return f"regexp_replace(regexp_replace({out}, '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN r = '' OR regexp_matches(r, '(?i)^[\\[\\]redacted\\s.,;:-]+$') THEN '{C.FALLBACK}' ELSE r END) AS redacted_md5 FROM (SELECT doc_id, {_redact_sql()} AS r FROM documents)")
+def redact_text(m):
+    return m.table("documents").select("doc_id", F.md5(C.redact_text(F.col("text")).cast("binary")).alias("redacted_md5"))
+
+
+# Streaming forms and their batch twins
+
+
+@query("SELECT market_id, timestamp_ms // 60000 * 60000 AS minute_ms, count(*) AS trade_count, sum(usd_amount) AS trade_quote_volume_usd FROM fx_trades WHERE type = 'trade' AND timestamp_ms // 60000 < (SELECT max(timestamp_ms) - 10000 FROM fx_trades WHERE type = 'trade') // 60000 GROUP BY 1, 2", "trade_quote_volume_usd")
+def stream_minute_bars(m):
+    return jobs.run_to_end(jobs.minute_bars_stream(jobs.as_stream(m.trades, "bars")), "bars")
+
+
+@query("SELECT market_id, trade_id, timestamp_ms, count(*) OVER (PARTITION BY market_id ORDER BY timestamp_ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)::DOUBLE AS tpm FROM td", "tpm")
+def rolling_tpm(m):
+    return trades.rolling_tpm(regular(m))
+
+
+@query("SELECT market_id, trade_id, horizon_s, timestamp_ms, future_mid FROM futm WHERE future_mid IS NOT NULL", "future_mid")
+def stream_markouts(m):
+    near = jobs.run_to_end(jobs.markouts_stream(jobs.as_stream(regular(m), "marks-trades"), jobs.as_stream(mids(m), "marks-mids")), "marks")
+    return jobs.nearest_markouts(near).drop("move_bps")
+
+
+@query("SELECT market_id, episode, side, price, size, from_ms, to_ms FROM lvl", "price size")
+def book_rebuild(m):
+    return rebuild.level_intervals(m.updates)
+
+
+@query()
+def stream_book_rebuild(m):
+    return jobs.run_to_end(jobs.book_stream(jobs.as_stream(m.updates, "book", order="nonce")), "book")
+
+
+_GRID = """SELECT market_id, grid_ms, max(b) AS best_bid, max(a) AS best_ask, max(mid) AS mid, max(a) - max(b) AS spread, grid_ms - max(from_ms) AS book_update_age_ms,
+  coalesce(sum(price * size) FILTER (side = 'bid' AND abs(price - mid) <= mid * 25e0 / 10000e0 + 1e-12), 0e0) AS bid_depth_25bps_usd, coalesce(sum(price * size) FILTER (side = 'ask' AND abs(price - mid) <= mid * 25e0 / 10000e0 + 1e-12), 0e0) AS ask_depth_25bps_usd
+  FROM (SELECT *, CASE WHEN b <= a THEN (b + a) / 2e0 END AS mid FROM (SELECT *, max(CASE WHEN side = 'bid' THEN price END) OVER (PARTITION BY market_id, grid_ms) AS b, min(CASE WHEN side = 'ask' THEN price END) OVER (PARTITION BY market_id, grid_ms) AS a
+    FROM (SELECT *, unnest(range((from_ms + 4999) // 5000 * 5000, coalesce(to_ms, (SELECT e + 1 FROM win)), 5000)) AS grid_ms FROM lvl))) GROUP BY market_id, grid_ms"""
+
+
+@query(_GRID, "best_bid best_ask mid spread bid_depth_25bps_usd ask_depth_25bps_usd")
+def book_sample_grid(m):
+    rows = rebuild.book_sample_grid(m.updates, m.end_ms, Sampling(depth_bps=(25,)))
+    return rows.select("market_id", "grid_ms", "best_bid", "best_ask", "mid", (F.col("best_ask") - F.col("best_bid")).alias("spread"), "book_update_age_ms", "bid_depth_25bps_usd", "ask_depth_25bps_usd")
+
+
+@query("""SELECT market_id, max(at) FILTER (begins) AS first_active_at_ms, arg_max(nxt, at) AS removed_at_ms, count(*) FILTER (begins) AS episodes FROM (
+  SELECT market_id, at, nxt, coalesce(k - lag(k) OVER (PARTITION BY market_id ORDER BY k) <> 1, true) AS begins FROM (SELECT DISTINCT market_id, timestamp_ms // 60000 * 60000 AS at FROM fx_trades)
+  JOIN (SELECT at, row_number() OVER (ORDER BY at) AS k, lead(at) OVER (ORDER BY at) AS nxt FROM (SELECT DISTINCT timestamp_ms // 60000 * 60000 AS at FROM fx_trades)) USING (at)) GROUP BY market_id""")
+def market_lifecycle(m):
+    at = (F.floor(F.col("timestamp_ms") / F.lit(60_000)).cast("long") * 60_000).alias("at_ms")
+    return screening.market_lifecycle(m.trades.select(at, "market_id"))
+
+
+ORACLES["market_lifecycle"] = ORACLES["market_lifecycle"].replace("arg_max(nxt, at)", "arg_max_null(nxt, at)")
+
+
+@query("SELECT market_id, avg(maker_markout_bps) AS recent_markout_mean_bps, count(*) AS recent_markouts FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_ms DESC, trade_id DESC) AS n FROM md WHERE horizon_s = 5) WHERE n <= 200 GROUP BY market_id", "recent_markout_mean_bps")
+def recent_markout_mean(m):
+    return markouts.recent_markout_mean(markouts.dedup_markouts(m.markouts))
+
+
+@query("SELECT market_id, max(timestamp_ms) AS timestamp_ms, arg_max_null(spread_bps, timestamp_ms) AS spread_bps, arg_max(two_sided_depth_10bps_usd, timestamp_ms) AS two_sided_depth_10bps_usd FROM bk GROUP BY market_id", "spread_bps two_sided_depth_10bps_usd")
+def live_metrics_stream(m):
+    return jobs.latest_by_market(jobs.as_stream(m.books, "live"), ["spread_bps", "two_sided_depth_10bps_usd"], "live")
+
+
+# Ledgers
+
+
+@query("SELECT market_id, qty, buy_id, sell_id, buy_price, sell_price, pnl, closed_ms FROM fifo", "qty buy_price sell_price pnl")
+def fifo_realized_pnl(m):
+    return ledger.fifo_matches(m.fills)
+
+
+@query("SELECT market_id, open_qty, unrealized_pnl_usd, last_mid FROM opn", "open_qty unrealized_pnl_usd last_mid")
+def unrealized_pnl(m):
+    return ledger.unrealized_pnl(m.fills, mids(m))
+
+
+@query("""SELECT market_id, count(*) AS round_trips, quantile_cont(seconds, 0.5) AS median_holding_seconds, quantile_disc(seconds, 0.9) AS p90_holding_seconds, max(seconds) AS max_holding_seconds FROM (
+  SELECT market_id, trip, (max(CASE WHEN position = 0 THEN timestamp_ms END) - min(timestamp_ms)) / 1000e0 AS seconds FROM (SELECT *, coalesce(sum(CASE WHEN position = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY market_id ORDER BY timestamp_ms, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS trip FROM pos) GROUP BY market_id, trip) WHERE seconds IS NOT NULL GROUP BY market_id""", "median_holding_seconds p90_holding_seconds max_holding_seconds")
+def round_trips(m):
+    return ledger.round_trips(m.fills)
+
+
+@query("""SELECT market_id, sum(CASE WHEN position <> 0 THEN secs ELSE 0 END) / greatest((any_value(e) - any_value(s)) / 1000e0, 1e0) * 100e0 AS time_with_inventory_pct, max(abs(position) * coalesce(mid, price)) AS max_abs_inventory_usd, arg_max(position, fill_id) AS final_position FROM (
+  SELECT p.*, m.mid, e, s, greatest((coalesce(lead(p.timestamp_ms) OVER (PARTITION BY p.market_id ORDER BY p.timestamp_ms, fill_id), e) - p.timestamp_ms) / 1000e0, 0e0) AS secs FROM pos p ASOF LEFT JOIN mids m ON m.market_id = p.market_id AND m.timestamp_ms <= p.timestamp_ms CROSS JOIN win) GROUP BY market_id""", "time_with_inventory_pct max_abs_inventory_usd final_position")
+def inventory_exposure(m):
+    return ledger.inventory_exposure(m.fills, mids(m), m.start_ms, m.end_ms)
+
+
+_FILL_MARKS = ", ".join(f"quantile_cont(x, 0.5) FILTER (h = {h}) AS markout_{h}s_median_bps, count(x) FILTER (h = {h}) AS markout_{h}s_count" for h in (5, 30))
+
+
+@query(f"""SELECT market_id, {_FILL_MARKS} FROM (SELECT market_id, h, CASE WHEN reference > 0 THEN CASE WHEN side = 'ask' THEN price - future ELSE future - price END / reference * 10000e0 END AS x FROM (
+  SELECT f.*, h, m.mid AS reference, coalesce((SELECT arg_min(q.mid, q.timestamp_ms) FROM mids q WHERE q.market_id = f.market_id AND q.timestamp_ms BETWEEN f.timestamp_ms + h * 1000 AND f.timestamp_ms + h * 1000 + 2500), (SELECT arg_max(q.mid, q.timestamp_ms) FROM mids q WHERE q.market_id = f.market_id AND q.timestamp_ms BETWEEN f.timestamp_ms + h * 1000 - 2500 AND f.timestamp_ms + h * 1000)) AS future
+  FROM fx_fills f ASOF LEFT JOIN mids m ON m.market_id = f.market_id AND m.timestamp_ms <= f.timestamp_ms CROSS JOIN (SELECT unnest([5, 30]) AS h) CROSS JOIN win WHERE f.timestamp_ms + h * 1000 <= e)) GROUP BY market_id""", "markout_5s_median_bps markout_30s_median_bps")
+def fill_markouts(m):
+    return ledger.fill_markouts(m.fills, mids(m), m.end_ms)
+
+
+_PNL_D = "filled_notional_usd realized_pnl_usd unrealized_pnl_usd fees_usd gross_pnl_usd total_pnl_usd pnl_per_hour_usd pnl_bps_on_notional"
+
+
+def summary(m: Market) -> DataFrame:
+    return ledger.pnl_summary(m.fills, mids(m), m.start_ms, m.end_ms, fee_bps=1.0)
+
+
+@query("SELECT ledg.*, total_pnl_usd / ((e - s) / 3600000e0) AS pnl_per_hour_usd, total_pnl_usd / filled_notional_usd * 10000e0 AS pnl_bps_on_notional FROM ledg CROSS JOIN win".replace("ledg.*", "market_id, bid_fills, ask_fills, filled_notional_usd, realized_pnl_usd, unrealized_pnl_usd, fees_usd, gross_pnl_usd, total_pnl_usd"), _PNL_D)
+def pnl_summary(m):
+    return summary(m)
+
+
+@query("SELECT r.market_id, symbol, rank, CASE WHEN rank > 7 THEN 'not_simulated' WHEN total_pnl_usd IS NULL THEN 'unavailable' ELSE 'ok' END AS ledger_status, CASE WHEN rank <= 7 THEN total_pnl_usd END AS total_pnl_usd FROM rnk r LEFT JOIN ledg USING (market_id)", "total_pnl_usd")
+def ledger_attach(m):
+    return ledger.ledger_attach(ranked_markets(inputs(m)), summary(m), 7).select("market_id", "symbol", "rank", "ledger_status", "total_pnl_usd")
+
+
+# Quality
+
+
+@query("""SELECT * FROM (SELECT unnest(['coverage.schema.market_id', 'coverage.schema.symbol', 'coverage.schema.score', 'coverage.data_coverage_pct', 'coverage.observation_coverage_pct', 'coverage.usable_quote_coverage_pct', 'coverage.spread_coverage_pct', 'coverage.obs_vs_data']) AS check_name, 'PASS' AS level, 0 AS found, (SELECT count(*) FROM mr) AS checked)""")
+def output_quality_checks(m):
+    return quality.output_quality_checks(ranked_markets(inputs(m)))
+
+
+@query(f"SELECT count(*) AS compared, count(*) FILTER (NOT matches) AS mismatches, quantile_cont(difference, 0.5) AS p50_difference, quantile_cont(difference, 0.95) AS p95_difference, max(difference) AS max_difference, CASE WHEN count(*) FILTER (NOT matches) = 0 THEN 'PASS' WHEN count(*) FILTER (NOT matches) < 0.01 * count(*) THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL' END AS verdict FROM ({_COMPARE_SQL})", "p50_difference p95_difference max_difference")
+def snapshot_compare(m):
+    before, after = _two_results(m)
+    return quality.comparison_verdict(quality.snapshot_compare(before, after, _COMPARED, exact=("total_trade_count",)))
+
+
+def _sources(m: Market) -> DataFrame:
+    age = (F.lit(m.end_ms) - F.col("last_ms")) / 60_000.0
+    last = m.trades.groupBy("market_id").agg(F.max("timestamp_ms").alias("last_ms"), F.min("timestamp_ms").alias("first_ms"))
+    return last.select("market_id", F.when(F.col("market_id") == 1, "completed").otherwise("running").alias("status"), ((F.lit(m.end_ms) - F.col("first_ms")) / 60_000.0).alias("started_age"), F.when(F.col("market_id") == 2, None).otherwise(age + F.col("market_id") * 6).alias("event_age"), F.when(F.col("market_id") == 0, 1).otherwise(0).alias("sync_failures"), F.lit(False).alias("degraded"))
+
+
+@query("""SELECT market_id, CASE WHEN market_id = 1 THEN 'COMPLETED' WHEN market_id = 2 THEN CASE WHEN (e - first_ms) / 60000e0 <= 5 THEN 'COLLECTING' ELSE 'STALE' END WHEN (e - last_ms) / 60000e0 + market_id * 6 > 40 THEN 'OFFLINE' WHEN (e - last_ms) / 60000e0 + market_id * 6 > 20 THEN 'STALE' WHEN market_id = 0 THEN 'DEGRADED' ELSE 'COLLECTING' END AS label
+  FROM (SELECT market_id, max(timestamp_ms) AS last_ms, min(timestamp_ms) AS first_ms FROM fx_trades GROUP BY market_id) CROSS JOIN win""")
+def freshness_label(m):
+    return quality.freshness_label(_sources(m)).select("market_id", "label")
+
+
+@query("SELECT market_id, greatest(coalesce(b, t), coalesce(t, b)) AS latest_ms FROM (SELECT market_id, max(timestamp_ms) AS b FROM fx_books GROUP BY market_id) FULL JOIN (SELECT market_id, max(timestamp_ms) AS t FROM fx_trades GROUP BY market_id) USING (market_id)")
+def latest_event_time(m):
+    b = m.books.groupBy("market_id").agg(F.max("timestamp_ms").alias("b"))
+    t = m.trades.groupBy("market_id").agg(F.max("timestamp_ms").alias("t"))
+    return b.join(t, "market_id", "full_outer").select("market_id", F.greatest("b", "t").alias("latest_ms"))
+
+
+@query("SELECT market_id, abs(d - t) / 1000e0 AS gap_s, CASE WHEN abs(d - t) / 1000e0 <= 300 THEN 'PASS' WHEN abs(d - t) / 1000e0 <= 900 THEN 'WARN' ELSE 'FAIL' END AS level FROM (SELECT market_id, max(timestamp_ms) AS t, max(timestamp_ms) - market_id * 150000 AS d FROM fx_books GROUP BY market_id)", "gap_s")
+def watermark_gap_check(m):
+    rows = m.books.groupBy("market_id").agg(F.max("timestamp_ms").alias("table_ms")).withColumn("durable_ms", F.col("table_ms") - F.col("market_id") * 150_000)
+    return quality.watermark_gap_check(rows).select("market_id", "gap_s", "level")
+
+
+@query("SELECT count(*) AS markets, count(*) FILTER (candidate) AS candidates, CASE WHEN count(*) = 0 THEN 'DEGRADED' ELSE 'OK' END AS status FROM rnk")
+def analysis_status_rollup(m):
+    return quality.status_rollup(ranked_markets(inputs(m)))
+
+
+@query("""SELECT market_id, last_sample_ms, last_usable_ms, list_filter([CASE WHEN last_usable_ms IS NULL THEN 'no usable book sample' END, CASE WHEN e + 20000 - last_usable_ms > 30000 THEN 'usable book samples are stale' END, CASE WHEN e + 20000 - last_sample_ms > 30000 THEN 'book samples are stale' END], lambda x: x IS NOT NULL) AS warnings
+  FROM (SELECT market_id, max(timestamp_ms) AS last_sample_ms, max(timestamp_ms) FILTER (is_usable) AS last_usable_ms FROM bk GROUP BY market_id) CROSS JOIN win""")
+def feed_health_warnings(m):
+    return quality.feed_health_warnings(deduped(m), m.end_ms + 20_000)
