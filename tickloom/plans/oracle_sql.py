@@ -160,8 +160,8 @@ PARTS: dict[str, str] = VIEWS | {
 }
 
 
-def oracle(sql: str, doubles: str = "") -> str:
-    """``sql`` with the named parts that it needs, and the ``doubles`` rounded to 6 places."""
+def oracle(sql: str, doubles: str = "", places: int = 6) -> str:
+    """``sql`` with the named parts that it needs, and the ``doubles`` rounded."""
     used: list[str] = []
 
     def need(text: str) -> None:
@@ -172,6 +172,6 @@ def oracle(sql: str, doubles: str = "") -> str:
                     used.append(name)
 
     need(sql)
-    rounded = ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in doubles.split())
+    rounded = ", ".join(f"round({c}, {places}) + 0e0 AS {c}" for c in doubles.split())
     body = f"SELECT * REPLACE ({rounded}) FROM (\n{sql}\n)" if rounded else sql
     return (f"WITH {', '.join(f'{n} AS ({PARTS[n].strip()})' for n in used)}\n" if used else "") + body

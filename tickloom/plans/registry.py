@@ -21,19 +21,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 places, as sums of doubles depend on their order."""
-    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to a few places, as sums of doubles depend on their order."""
+    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def query(sql: str | None = None, doubles: str = "", name: str | None = None):
-    """Register a function of the market tables under its name, with its oracle."""
+def query(sql: str | None = None, doubles: str = "", places: int = 6):
+    """Register a function of the market tables under its name, with its oracle. ``places``: 9 for stored values, which may end in a 5 at the seventh."""
 
     def add(f: Callable[[Market], DataFrame]):
-        key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: rounded(f(Market(spark, sf_dir)))
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Market(spark, sf_dir)), places)
         if sql:
-            ORACLES[key] = oracle(sql, doubles)
+            ORACLES[f.__name__] = oracle(sql, doubles, places)
         return f
 
     return add
@@ -431,12 +430,12 @@ def markout_stats(m):
     return markouts.markout_stats(markouts.dedup_markouts(m.markouts))
 
 
-@query("SELECT * FROM snap", "best_bid best_ask best_bid_size_usd best_ask_size_usd")
+@query("SELECT * FROM snap", "best_bid best_ask best_bid_size_usd best_ask_size_usd", 9)
 def downsample_snapshots(m):
     return snapshots(m)
 
 
-@query("SELECT * FROM elig", "best_bid best_ask best_bid_size_usd best_ask_size_usd bid_eligible_usd_5s bid_eligible_usd_30s ask_eligible_usd_5s ask_eligible_usd_30s")
+@query("SELECT * FROM elig", "best_bid best_ask best_bid_size_usd best_ask_size_usd bid_eligible_usd_5s bid_eligible_usd_30s ask_eligible_usd_5s ask_eligible_usd_30s", 9)
 def touch_flow_eligible(m):
     return fills.touch_flow_eligible(snapshots(m), regular(m))
 
@@ -651,7 +650,7 @@ def top_records(m):
     return ranked_markets(inputs(m)).orderBy("rank").limit(500).select("market_id", "rank", "effective_score")
 
 
-@query("SELECT market_id, timestamp_ms, 0 AS priority, trade_id, price, usd_amount, NULL::DOUBLE AS best_bid, NULL::DOUBLE AS best_ask, NULL::DOUBLE AS mid FROM td UNION ALL SELECT market_id, timestamp_ms, 1, NULL, NULL, NULL, best_bid, best_ask, mid FROM bo", "price usd_amount best_bid best_ask mid")
+@query("SELECT market_id, timestamp_ms, 0 AS priority, trade_id, price, usd_amount, NULL::DOUBLE AS best_bid, NULL::DOUBLE AS best_ask, NULL::DOUBLE AS mid FROM td UNION ALL SELECT market_id, timestamp_ms, 1, NULL, NULL, NULL, best_bid, best_ask, mid FROM bo", "price usd_amount best_bid best_ask mid", 9)
 def event_timeline(m):
     return report.event_timeline(regular(m), books.observed_books(deduped(m)))
 
@@ -794,17 +793,14 @@ def book_sample_grid(m):
     return rows.select("market_id", "grid_ms", "best_bid", "best_ask", "mid", (F.col("best_ask") - F.col("best_bid")).alias("spread"), "book_update_age_ms", "bid_depth_25bps_usd", "ask_depth_25bps_usd")
 
 
-@query("""SELECT market_id, max(at) FILTER (begins) AS first_active_at_ms, arg_max(nxt, at) AS removed_at_ms, count(*) FILTER (begins) AS episodes FROM (
-  SELECT market_id, at, nxt, coalesce(k - lag(k) OVER (PARTITION BY market_id ORDER BY k) <> 1, true) AS begins FROM (SELECT DISTINCT market_id, timestamp_ms // 60000 * 60000 AS at FROM fx_trades)
-  JOIN (SELECT at, row_number() OVER (ORDER BY at) AS k, lead(at) OVER (ORDER BY at) AS nxt FROM (SELECT DISTINCT timestamp_ms // 60000 * 60000 AS at FROM fx_trades)) USING (at)) GROUP BY market_id""")
+@query("""SELECT market_id, max(seen) FILTER (begins) AS first_active_at_ms, arg_max_null(nxt, seen) AS removed_at_ms, count(*) FILTER (begins) AS episodes FROM (
+  SELECT market_id, seen, nxt, coalesce(k - lag(k) OVER (PARTITION BY market_id ORDER BY k) <> 1, true) AS begins FROM (SELECT DISTINCT market_id, timestamp_ms // 60000 * 60000 AS seen FROM fx_trades)
+  JOIN (SELECT seen, row_number() OVER (ORDER BY seen) AS k, lead(seen) OVER (ORDER BY seen) AS nxt FROM (SELECT DISTINCT timestamp_ms // 60000 * 60000 AS seen FROM fx_trades)) USING (seen)) GROUP BY market_id""")
 def market_lifecycle(m):
     at = (F.floor(F.col("timestamp_ms") / F.lit(60_000)).cast("long") * 60_000).alias("at_ms")
     return screening.market_lifecycle(m.trades.select(at, "market_id"))
 
 
-ORACLES["market_lifecycle"] = ORACLES["market_lifecycle"].replace("arg_max(nxt, at)", "arg_max_null(nxt, at)")
-
-
 @query("SELECT market_id, avg(maker_markout_bps) AS recent_markout_mean_bps, count(*) AS recent_markouts FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_ms DESC, trade_id DESC) AS n FROM md WHERE horizon_s = 5) WHERE n <= 200 GROUP BY market_id", "recent_markout_mean_bps")
 def recent_markout_mean(m):
     return markouts.recent_markout_mean(markouts.dedup_markouts(m.markouts))

@@ -26,9 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def as_stream(rows: DataFrame, name: str, *, files: int = 4, order: str = "timestamp_ms") -> DataFrame:
-    """``rows`` written as a few files in order of time and read as a stream of one file a batch."""
+    """``rows`` written as a few sets of files, one after another in order of time, and read as a stream of one set a batch."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
-    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    step = (last - first) // files + 1 if first is not None else 1
+    part = F.floor((F.col(order) - F.lit(first or 0)) / F.lit(step))
+    for k in range(files):  # the file source takes files in the order in which they were written
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -56,7 +60,7 @@ def minute_bars_stream(trades: DataFrame, delay: str = "10 seconds") -> DataFram
     return bars.select("market_id", F.unix_millis("w.start").alias("minute_ms"), "trade_count", "trade_quote_volume_usd")
 
 
-def markouts_stream(trades: DataFrame, mids: DataFrame, config: Markouts = Markouts(), delay: str = "5 seconds") -> DataFrame:
+def markouts_stream(trades: DataFrame, mids: DataFrame, config: Markouts = Markouts(), delay: str = "2 minutes") -> DataFrame:
     """Every mid within the tolerance of a trade's horizon, as a stream-stream join whose state both watermarks bound; the batch form of ``nearest_markouts`` picks from them."""
     aimed = trades.where(regular_trade()).withColumn("horizon_s", F.explode(F.array(*map(F.lit, config.horizons_s)))).withColumn("target_ms", F.col("timestamp_ms") + F.col("horizon_s") * 1000)
     left = with_event_time(aimed, delay, "target_ms", "target_time")
