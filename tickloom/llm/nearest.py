@@ -122,7 +122,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size, n = sizes[0]
     rows = rows.where(F.size("vec") == size)
-    turns, shifts = _projections(size, curves, dimensions, seed)
+    turns, shifts = _projections(size, curves, min(dimensions, size), seed)
     # Scale of the grid: the spread of all vectors' components.
     spread = rows.select(F.explode("vec").alias("x")).agg(F.max(F.abs("x"))).first()[0] * np.sqrt(size) / 2
 
