@@ -63,11 +63,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, words: int = 5,
     sketch = sketch.where(F.col("_place") <= F.col("_q") - F.col("_need") + 1).select("_item", "_h")
     probe = F.broadcast(sketch) if sketch.count() <= broadcast_rows else sketch
 
-    rows = docs.select(F.col(id_column).alias("_doc"), words_of(F.col(text_column)).alias("_words")).where(F.col("_doc").isNotNull())
-    candidates = _hashed(rows, words, "_doc").join(probe, "_h").select("_doc", "_item").distinct()
+    known = docs.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("_text")).where(F.col("_doc").isNotNull())
+    split = lambda df: df.select("_doc", words_of(F.col("_text")).alias("_words"))
+    candidates = _hashed(split(known), words, "_doc").join(probe, "_h").select("_doc", "_item").distinct()
 
-    # What is left is read once more, as text: candidates alone.
-    held = _spelled(rows.join(candidates.select("_doc").distinct(), "_doc", "left_semi"), words, "_doc")
+    # What is left is read once more: candidates alone. Whole texts are joined, which are smaller than their lists of words.
+    held = _spelled(split(known.join(candidates.select("_doc").distinct(), "_doc", "left_semi")), words, "_doc")
     wanted = candidates.join(texts, "_item").select("_doc", "_item", "_shingle")
     shared = wanted.join(held, ["_doc", "_shingle"]).groupBy("_doc", "_item").agg(F.count(F.lit(1)).alias("n_shared"))
     found = shared.join(sizes, "_item").where(F.col("n_shared") >= F.col("_need"))
