@@ -94,8 +94,9 @@ def _found(parts: list) -> list[pa.Array]:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """``vec_id`` and ``vec`` (doubles) of vectors that aren't null or zero and hold no null or non-finite component."""
-    vec = F.col(vector_column).cast("array<double>")
+    """``vec_id`` and ``vec`` of vectors that aren't null or zero and hold no null or non-finite component. Floats stay floats: they are half the size, and doubles when compared."""
+    kind = "array<float>" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"
+    vec = F.col(vector_column).cast(kind)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), vec.alias("vec"))
     return rows.where(F.col("vec_id").isNotNull() & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0))
@@ -121,10 +122,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column:
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size, n = sizes[0]
+    kind = rows.schema["vec"].dataType.simpleString()
     rows = rows.where(F.size("vec") == size)
     turns, shifts = _projections(size, curves, min(dimensions, size), seed)
     # Scale of the grid: the spread of all vectors' components.
-    spread = rows.select(F.explode("vec").alias("x")).agg(F.max(F.abs("x"))).first()[0] * np.sqrt(size) / 2
+    spread = float(rows.select(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))).alias("x")).agg(F.max("x")).first()[0]) * np.sqrt(size) / 2
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +144,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column:
             yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array(np.full(batch.num_rows, block, np.int32)), batch.column("vec_id"), batch.column("vec")], ["curve", "block", "vec_id", "vec"])
 
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), curves * -(-n // block_rows), curves * 8)
-    keyed = rows.mapInArrow(keys, "curve int, key long, vec_id long, vec array<double>")
+    keyed = rows.mapInArrow(keys, f"curve int, key long, vec_id long, vec {kind}")
     # Equal keys are told apart by a hash, so that a common vector fills as many blocks as it needs.
-    curve_blocks = keyed.repartitionByRange(blocks, "curve", "key", F.xxhash64("vec_id")).mapInArrow(numbered, "curve int, block int, vec_id long, vec array<double>")
+    curve_blocks = keyed.repartitionByRange(blocks, "curve", "key", F.xxhash64("vec_id")).mapInArrow(numbered, f"curve int, block int, vec_id long, vec {kind}")
     index = stash(curve_blocks, "curves")
 
     queries = index.where(is_query)
