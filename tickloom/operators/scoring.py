@@ -11,25 +11,26 @@ from tickloom.functions.columns import coverage_confidence, duration_confidence,
 COMPONENTS = ("trade_activity", "estimated_maker_fill", "spread", "two_sided_depth", "maker_markout", "data_quality_persistence")
 
 
-def mid_ranks(rows: DataFrame, values: dict[str, str], peers: DataFrame | None = None, key: str = "market_id") -> DataFrame:
+def mid_ranks(rows: DataFrame, values: dict[str, str], peers: DataFrame | None = None) -> DataFrame:
     """``rows`` with, for each column named in ``values``, its mid-rank percentile under the given name: the share of known peers below it, ties by half, times 100; 0 where it is null.
 
     ``peers``: other rows to rank among, with the same columns. There is one row for each market, so
     the windows over all rows, which one task does, are as long as there are markets.
     """
     names = list(values)
-    mine = rows.select(key, *names).withColumn("_mine", F.lit(True))
-    among = (rows if peers is None else peers).select(key, *names)
-    # One row for each market and value; peers that aren't asked about count only.
-    both = mine.unionByName(among.withColumn("_mine", F.lit(False)))
-    tall = both.select(key, "_mine", F.stack(F.lit(len(names)), *(x for n in names for x in (F.lit(n), F.col(n).cast("double")))).alias("_name", "_value"))
-    line = Window.partitionBy("_name").orderBy("_value")
-    peer = F.when(~F.col("_mine") & F.col("_value").isNotNull(), 1)
-    below = F.count(peer).over(line.rangeBetween(Window.unboundedPreceding, 0)) - F.count(peer).over(Window.partitionBy("_name", "_value"))
-    ranked = tall.withColumns({"_n": F.count(peer).over(Window.partitionBy("_name")), "_ties": F.count(peer).over(Window.partitionBy("_name", "_value")), "_below": below})
-    rank = F.when(F.col("_value").isNull() | (F.col("_n") == 0), 0.0).otherwise((F.col("_below") + 0.5 * F.col("_ties")) / F.col("_n") * 100.0)
-    wide = ranked.where("_mine").groupBy(key).agg(*(F.max(F.when(F.col("_name") == n, rank)).alias(out) for n, out in values.items()))
-    return rows.join(wide, key, "left")
+    counted = rows.select(F.struct(*rows.columns).alias("_row"), F.lit(peers is None).alias("_peer"), *names)
+    if peers is not None:
+        counted = counted.unionByName(peers.select(*names).withColumns({"_row": F.lit(None).cast(counted.schema["_row"].dataType), "_peer": F.lit(True)}))
+
+    def rank(name: str) -> Column:
+        value = F.col(name).cast("double")
+        known, line = F.when(F.col("_peer"), value), Window.partitionBy().orderBy(value)
+        upto, ties = F.count(known).over(line.rangeBetween(Window.unboundedPreceding, 0)), F.count(known).over(line.rangeBetween(0, 0))
+        n = F.count(known).over(Window.partitionBy())
+        return F.when(value.isNull() | (n == 0), 0.0).otherwise((upto - 0.5 * ties) / n * 100.0)
+
+    ranked = counted.withColumns({out: rank(n) for n, out in values.items()})
+    return ranked.where(F.col("_row").isNotNull()).select("_row.*", *values.values())
 
 
 def activity_blend() -> Column:
