@@ -7,6 +7,7 @@ control character on whose class Python and the tokenizers disagree stays one pi
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -22,8 +23,15 @@ WORDS = re.compile(r"\S+")
 #: White space for Python only (or for old Unicode tables only).
 UNSAFE = re.compile("[\x1c-\x1f\u180e]")
 
+#: Texts with other characters than these (up to U+024F, without controls and the dotted capital I) or a special token's first two aren't lower-cased ahead of the tokenizer.
+ODD = re.compile(r"[^\t\n\r -~\xa1-\u012f\u0131-\u024f]|<\|")
+#: A full stop or comma that ends a word is a piece of its own for word-level tokenizers.
+STOP = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s|$)")
+
 #: Entries of each half of a worker's cache. A full half takes the place of the older one, whose entries come back as they are met.
-CACHE = 400_000
+CACHE = 250_000
+#: The end of the pattern of a tokenizer that takes letters by runs, digits one by one and other signs by runs.
+LETTERS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces in one call's text, with a special token between each two.
 JOINED = 64
 
@@ -39,14 +47,35 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cut, self.counts, self.cache, self.older = cut, counts, {}, {}
+        self.letters = self._for_letters(tokenizer_json)
         plain = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark = plain[0] if plain else None
 
+    def _for_letters(self, tokenizer_json: str):
+        """If texts are lower-cased and cut at everything but letters: the same tokenizer for pieces that are lower-case letters already."""
+        from tokenizers import Tokenizer
+
+        spec = json.loads(tokenizer_json)
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        whole = len(cuts) == 2 and cuts[0].get("pattern", {}).get("Regex", "").endswith(LETTERS) and cuts[0]["invert"] and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"]
+        if self.cut is not WORDS or steps != ["NFC", "Replace", "Lowercase"] or not whole:
+            return None
+        found = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": cuts[1]}))
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.letters is not None and not ODD.search(text):
+            return STOP.sub(r" \1", text.lower()).split()
+        return [text] if UNSAFE.search(text) else self.cut.findall(text)
+
     def of(self, texts: list[str]) -> Iterator[list]:
         """For each text the values of its pieces."""
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
-        cut = [[t] if UNSAFE.search(t) else self.cut.findall(t) for t in texts]
+        cut = [self._pieces(t) for t in texts]
         known = [list(map(self.cache.get, pieces)) for pieces in cut]
         missing = {p for pieces, values in zip(cut, known, strict=True) if None in values for p, v in zip(pieces, values, strict=True) if v is None}
         back = {p: self.older[p] for p in missing if p in self.older}
@@ -56,12 +85,19 @@ class Pieces:
             yield list(map(self.cache.__getitem__, pieces)) if None in values else values
 
     def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, int | bytes]]:
+        simple = [p for p in pieces if p.isalpha() and p == p.lower() and not ODD.search(p)] if self.letters is not None else []
+        if simple:
+            yield from self._joined(self.letters, simple)
+            pieces = list(set(pieces).difference(simple))
+        yield from self._joined(self.tokenizer, pieces)
+
+    def _joined(self, tokenizer, pieces: list[str]) -> Iterator[tuple[str, int | bytes]]:
         """The library takes a text apart at special tokens before all else, so pieces joined by one are encoded as if alone."""
         alone = [p for p in pieces if self.mark is None or self.mark[1][0] in p]
         others = [p for p in pieces if self.mark is not None and self.mark[1][0] not in p]
         groups = [[p] for p in alone] + [others[k : k + JOINED] for k in range(0, len(others), JOINED)]
         texts = [g[0] if len(g) == 1 else self.mark[1].join(g) for g in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for group, found in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             marks = np.flatnonzero(ids == self.mark[0]) if len(group) > 1 else ids[:0]
             if len(marks) + 1 != len(group):
