@@ -26,7 +26,9 @@ UNSAFE = re.compile("[\x1c-\x1f\u180e]")
 #: Texts with other characters than these (up to U+024F, without controls and the dotted capital I) or a special token's first two aren't lower-cased ahead of the tokenizer.
 ODD = re.compile(r"[^\t\n\r -~\xa1-\u012f\u0131-\u024f]|<\|")
 #: A full stop or comma that ends a word is a piece of its own for word-level tokenizers.
-STOP = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s|$)")
+STOP = re.compile(r"[.,](?<=[a-z\xdf-\xf6\xf8-\xff][.,])(?=\s|$)")
+#: Pieces that are lower-case letters as they are.
+LOWER = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
 #: Entries of each half of a worker's cache. A full half takes the place of the older one, whose entries come back as they are met.
 CACHE = 250_000
@@ -68,7 +70,7 @@ class Pieces:
 
     def _pieces(self, text: str) -> list[str]:
         if self.letters is not None and not ODD.search(text):
-            return STOP.sub(r" \1", text.lower()).split()
+            return STOP.sub(r" \g<0>", text.lower()).split()
         return [text] if UNSAFE.search(text) else self.cut.findall(text)
 
     def of(self, texts: list[str]) -> Iterator[list]:
@@ -76,16 +78,15 @@ class Pieces:
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
         cut = [self._pieces(t) for t in texts]
-        known = [list(map(self.cache.get, pieces)) for pieces in cut]
-        missing = {p for pieces, values in zip(cut, known, strict=True) if None in values for p, v in zip(pieces, values, strict=True) if v is None}
-        back = {p: self.older[p] for p in missing if p in self.older}
+        missing = set().union(*cut).difference(self.cache) if cut else set()
+        back = {p: self.older[p] for p in missing.intersection(self.older)}
         self.cache.update(back)
-        self.cache.update(self._encoded([p for p in missing if p not in back]))
-        for pieces, values in zip(cut, known, strict=True):
-            yield list(map(self.cache.__getitem__, pieces)) if None in values else values
+        self.cache.update(self._encoded(list(missing.difference(back))))
+        for pieces in cut:
+            yield list(map(self.cache.__getitem__, pieces))
 
     def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, int | bytes]]:
-        simple = [p for p in pieces if p.isalpha() and p == p.lower() and not ODD.search(p)] if self.letters is not None else []
+        simple = [p for p in pieces if LOWER.fullmatch(p)] if self.letters is not None else []
         if simple:
             yield from self._joined(self.letters, simple)
             pieces = list(set(pieces).difference(simple))
@@ -104,8 +105,8 @@ class Pieces:
                 raise ValueError("a piece holds the special token that stands between pieces")
             starts, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
             raw = ids.tobytes()
-            for piece, s, e in zip(group, starts, ends, strict=True):
-                yield piece, e - s if self.counts else raw[4 * s : 4 * e]
+            values = [e - s for s, e in zip(starts, ends, strict=True)] if self.counts else [raw[4 * s : 4 * e] for s, e in zip(starts, ends, strict=True)]
+            yield from zip(group, values, strict=True)
 
 
 _of_worker: dict[tuple, Pieces] = {}
