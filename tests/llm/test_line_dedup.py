@@ -4,7 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tests.llm.cases import DOCS, empty_docs, odd_docs
-from tickloom.llm.line_dedup import chunk_lines, dedup_lines, several
+from tickloom.llm.line_dedup import chunk_lines, dedup_lines, passage_windows, several
 
 
 def slow(rows, apart=4):
@@ -56,3 +56,39 @@ def test_odd_rows(spark):
     some = dedup_lines(spark.createDataFrame(none, "doc_id long, text string")).collect()
     assert sum(r.removed_lines for r in some if r.doc_id is None) == 0
     assert dedup_lines(empty_docs(spark)).collect() == []
+
+
+def test_every_repeated_passage_goes(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shapes = [[60], [30, 30], [51], [3, 45, 4], [20] * 3, [10] * 6, [7] * 8, [26, 0, 26], [60, 0, 60]]
+    rows, passages = [], []
+    for k, shape in enumerate(shapes * 4):
+        passages.append("\n".join(words(n) for n in shape))
+        for copy in range(3):
+            rows.append((3 * k + copy, "\n".join([words(rng.randint(1, 80)), passages[-1], words(rng.randint(1, 80))])))
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=50).collect()}
+    for doc, text in rows:
+        lines = text.split("\n")
+        assert got[doc].text == (text if doc % 3 == 0 else f"{lines[0]}\n{lines[-1]}")
+        assert (got[doc].n_lines, got[doc].removed_lines) == (len(lines), 0 if doc % 3 == 0 else len(lines) - 2)
+
+
+def test_windows_cover_whole_passages_only():
+    rng = random.Random(4)
+    for _ in range(200):
+        lines = [" ".join("w" * rng.choice([0, 1, 5, 20, 60])) for _ in range(rng.randint(1, 12))]
+        counts = [len(x.split()) for x in lines]
+        windows = passage_windows(lines, 50)
+        assert all(sum(counts[a:b]) > 50 and counts[a] and counts[b - 1] for a, b in windows)
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(counts[a:b]) > 50 and counts[a] and counts[b - 1]:
+                    assert {i for s, e in windows if a <= s and e <= b for i in range(s, e) if counts[i]} == {i for i in range(a, b) if counts[i]}
+
+
+def test_no_line_is_lost_altogether(spark):
+    long = [" ".join(f"{c}{i}" for i in range(30)) for c in "xyz"]
+    rows = [(i, "\n".join(long[(i + j) % 3] for j in range(7))) for i in range(6)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=50).collect()
+    assert Counter(x for r in got for x in r.text.split("\n") if x) == Counter(long)

@@ -147,8 +147,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(stash(windows, "op9"))
 
 
+#: Repeated passages of more words than these are removed, however they lie to the chunks.
+PASSAGE_WORDS = 50
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = dedup_lines(table(spark, sf_dir, "documents"))
+    clean = dedup_lines(table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
     return clean.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
