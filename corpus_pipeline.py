@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from tickloom.llm.decontamination import decontaminate
 from tickloom.llm.mixing import in_mixed_order, mix_sources, tempered_weights
 from tickloom.llm.queries import CONTAINMENT, MIX_BLOCK, MIX_EXPONENT, held_out
+from tickloom.llm.near_texts import near_texts
 from tickloom.llm.shared import new_path, partitions, stash, table
-from tickloom.llm.simhash import near_duplicates
 from tickloom.llm.token_files import token_digests, write_tokens
 from tickloom.llm.toxicity import fit, reject_toxic
 
-#: Fingerprints of five-word shingles. Two texts that share 0.8 of their shingles differ in 39 of 256 bits on average; up to NEAR_BITS link.
-NEAR_WORDS, NEAR_WIDTH, SURE_BITS, NEAR_BITS = 5, 256, 20, 50
+#: Texts of so many shared shingles, as a share of all shingles of both, are near duplicates.
+NEAR_WORDS, SIMILARITY = 5, 0.8
+#: Fingerprints of two such texts differ in 39 of 256 bits on average; candidates up to NEAR_BITS apart (five standard deviations more) are compared by their shingles.
+NEAR_WIDTH, SURE_BITS, NEAR_BITS = 256, 20, 72
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; one without an id stays. Rows that share an id stay or go together."""
-    classes = near_duplicates(docs, words=NEAR_WORDS, bits=NEAR_WIDTH, bits_apart=SURE_BITS, link_bits=NEAR_BITS)
+    classes = near_texts(docs, words=NEAR_WORDS, bits=NEAR_WIDTH, bits_apart=SURE_BITS, link_bits=NEAR_BITS, similarity=SIMILARITY)
     gone = stash(classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

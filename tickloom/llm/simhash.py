@@ -10,7 +10,7 @@ choice of ``threshold`` bits masked; whatever meets under one key is verified on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -67,8 +67,13 @@ def _spread(h: np.ndarray, lanes: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
     """Most significant bit first: 1 where over half the shingles' hashes have a 1. No words: zeros."""
+    return fingerprint_of(shingle_hashes(text, words), bits)
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray], bits: int) -> bytes:
+    """The fingerprint of slices of shingle hashes."""
     ones, n = np.zeros(bits, np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         wide = np.ascontiguousarray(_spread(h, bits // 64).astype(">u8")).view(np.uint8).reshape(len(h), -1)
         ones += np.unpackbits(wide, axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
