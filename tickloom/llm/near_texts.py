@@ -1,6 +1,9 @@
 """Near duplicates by the exact similarity of shingle sets: SimHash candidates, then the sets themselves.
 
-Candidates meet under SimHash bit groups (``simhash.py``). Candidates whose fingerprints are too far apart are dropped, the others joined to coarse
+Candidates meet under SimHash bit groups (``simhash.py``) and under MinHash bands: ``BANDS`` keys of
+``BAND_ROWS`` least values each. The chance that two texts share a band depends on their similarity
+alone, not on the number of rows, and unrelated texts share none, so buckets don't grow with the
+corpus. Candidates whose fingerprints are too far apart are dropped, the others joined to coarse
 components, and within each of these all texts are compared by their shingle sets.
 """
 
@@ -18,9 +21,30 @@ from tickloom.llm.pieces import balanced
 from tickloom.llm.shared import stash
 from tickloom.llm.simhash import BLOCK, fingerprint_of, hamming_links, shingle_hashes
 
+#: A pair of similarity s shares a band with a chance of 1 - (1 - s**6)**24: 0.9993 at 0.8.
+BANDS, BAND_ROWS = 24, 6
+#: Shingles hashed for all bands at a time.
+STEP = 2048
 #: Bytes of text of a block of a coarse component, about.
 BLOCK_BYTES = 1 << 23
 
+_rng = np.random.default_rng(11)
+_TIMES = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` keys of a set of shingle hashes, as int64."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), STEP):
+        least = np.minimum(least, ((hashes[k : k + STEP] ^ _XOR[:, None]) * _TIMES[:, None]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ row) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct 64-bit hashes of the text's shingles."""
     found = list(shingle_hashes(text, words))
@@ -62,15 +86,18 @@ def near_texts(docs: DataFrame, *, words: int, bits: int, bits_apart: int, link_
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in balanced(batches, "text", batch_bytes):
-            fps = []
+            fps, bands = [], []
             for text in batch.column("text").to_pylist():
-                found = shingle_set(text, words)  # of distinct shingles, as the similarity is
+                found = shingle_set(text, words)  # of distinct shingles both, as the similarity is
                 fps.append(fingerprint_of([found], bits))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_t"), pa.array(fps, pa.binary())], ["id", "_t", "fp"])
-
-    found = stash(rows.mapInArrow(hashed, "id long, _t string, fp binary"), "fingerprints")
-    nodes = stash(found.groupBy("_t").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "nodes")
-    coarse = connected_components(hamming_links(nodes.select("fp", "id"), bits, bits_apart=bits_apart, link_bits=link_bits))
+                bands.append(band_keys(found))
+            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_t"), pa.array(fps, pa.binary()), keys], ["id", "_t", "fp", "keys"])
+
+    found = stash(rows.mapInArrow(hashed, "id long, _t string, fp binary, keys array<long>"), "fingerprints")
+    nodes = stash(found.groupBy("_t").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    coarse = connected_components(hamming_links(nodes.select("fp", "id"), bits, bits_apart=bits_apart, link_bits=link_bits, more_keys=nodes.select(F.explode("keys").alias("key"), "id", "fp")))
 
     wanted = nodes.select("_t", "id").join(coarse.select(F.col("node").alias("id"), "component"), "id")
     members = stash(rows.join(wanted, ["id", "_t"]).dropDuplicates(["id", "_t"]), "members")

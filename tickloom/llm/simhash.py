@@ -223,13 +223,14 @@ def _linked(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int)
     return a, b
 
 
-def hamming_links(fps: DataFrame, bits: int, *, bits_apart: int, link_bits: int | None = None, block: int = BLOCK) -> DataFrame:
+def hamming_links(fps: DataFrame, bits: int, *, bits_apart: int, link_bits: int | None = None, block: int = BLOCK, more_keys: DataFrame | None = None) -> DataFrame:
     """``a`` and ``b``: ids of linked fingerprints, enough links to connect whatever is connected.
 
     ``fps``: distinct ``fp`` (binary) and an ``id`` (long). Every pair at most ``bits_apart`` bits
     apart is probed; probed pairs at most ``link_bits`` apart (``bits_apart`` if not given) link. A
     bucket of more than ``block`` fingerprints is dealt in blocks, and each two of its blocks are
-    compared by a task of their own, so that no task holds more than about two blocks.
+    compared by a task of their own, so that no task holds more than about two blocks. ``more_keys``
+    (``key``, ``id``, ``fp``): further keys under which fingerprints meet.
     """
     spark, most = fps.sparkSession, bits_apart if link_bits is None else link_bits
     rows = fps.count()
@@ -274,6 +275,7 @@ def hamming_links(fps: DataFrame, bits: int, *, bits_apart: int, link_bits: int
             yield links(len(held["key"]))
 
     keyed = fps.select("id", "fp").mapInArrow(probes, "key long, id long, fp binary")
+    keyed = keyed if more_keys is None else keyed.unionByName(more_keys)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n = F.expr(f"cast((n + {block - 1}) div {block} as int)")
     dealt = keyed.join(shared, "key").select("key", "id", "fp", n.alias("n")).withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("n")).cast("int"))
