@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.llm.nearest import hilbert_keys, nearest_neighbours
+from tickloom.llm.nearest import _nearest, hilbert_keys, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -43,3 +43,32 @@ def test_odd_vectors(spark):
     got = nearest_neighbours(spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash")), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 8, 0.0), (2, 7, 1.0)]
     assert nearest_neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).collect() == []
+
+
+def test_ties_go_to_smaller_ids():
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(3000, 8)), rng.permutation(3000)
+    x[(ids >= 500) & (ids < 1500)] = x[0]
+    q = np.flatnonzero((ids >= 500) & (ids < 1500))[:300]
+    got = list(_nearest(x[q], ids[q], x, ids, 10))
+    query, found, score = (np.concatenate(c) for c in zip(*got, strict=True))
+    for i in ids[q]:
+        assert found[query == i].tolist() == [j for j in range(500, 512) if j != i][:10]
+    assert (score == 0).all()
+
+
+def test_near_copies_below_the_rounding_of_the_formula():
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=64)
+    x, ids = centre / np.linalg.norm(centre) * 1e4 + rng.normal(size=(2000, 64)) * 1e-5, np.arange(2000)
+    query, found, _ = next(_nearest(x[:20], ids[:20], x, ids, 10))
+    for i in range(20):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert found[query == i].tolist() == [j for j in np.lexsort((ids, d)) if j != i][:10]
+
+
+def test_a_query_inside_a_group_of_copies(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.normal(size=4) if i % 3 else np.ones(4)).tolist(), 0) for i in range(180)]
+    got = nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 90, recall=1.0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == list(range(0, 30, 3))
