@@ -89,7 +89,7 @@ def near_texts(docs: DataFrame, *, words: int, bits: int, bits_apart: int, link_
             fps, bands = [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, words)  # of distinct shingles both, as the similarity is
-                fps.append(fingerprint_of([found], bits))
+                fps.append(fingerprint_of([found] if len(found) else [], bits))
                 bands.append(band_keys(found))
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)
