@@ -101,3 +101,94 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], MIDS)
     assert books.volatility_consecutive(none).collect() == []
     assert books.forward_horizon_pairs(none).collect() == []
+
+
+UPDATES = "market_id int, timestamp_ms long, nonce long, begin_nonce long, kind string, side string, price double, size double"
+
+
+def _random_updates(seed):
+    """Messages of several levels, with deletes, gaps, missing nonces and empty messages."""
+    import random
+
+    rng, rows, at, before = random.Random(seed), [], 0, None
+    for nonce in range(3, 400, 3):
+        at += rng.choice([0, 900, 2_700])
+        kind = "snapshot" if rng.random() < 0.06 else "delta"
+        begin = rng.choice([before, before, before, before, before, before, before, before, 1, None])
+        levels = rng.sample(range(-8, 9), rng.choice([0, 1, 2, 5] if kind == "delta" else [0, 3, 6]))
+        rows += [(1, at, nonce, begin, kind, "bid" if k < 0 else "ask", 100.0 + k, float(rng.choice([0, 1, 2]))) for k in levels] or [(1, at, nonce, begin, kind, None, None, None)]
+        before = nonce
+    return rows
+
+
+def _books(rows):
+    """Time, nonce, levels (None: out of step) and time of the last applied message after each message, by a loop."""
+    out, book, in_step, last, heard = [], {}, False, None, None
+    for nonce in sorted({r[2] for r in rows}):
+        own = [r for r in rows if r[2] == nonce]
+        if own[0][4] == "snapshot":
+            book, in_step = {}, True
+        elif not in_step or own[0][3] != last:
+            book, in_step = {}, False
+        if in_step:
+            last, heard = nonce, own[0][1]
+            for r in own:
+                if r[6] is not None:
+                    book = {k: v for k, v in book.items() if k != r[6]} | ({r[6]: r[7]} if r[7] else {})
+        out.append((own[0][1], nonce, dict(book) if in_step else None, heard))
+    return out
+
+
+def test_books_of_many_levels_equal_a_loop(spark):
+    from tickloom.config import Sampling
+    from tickloom.operators.rebuild import book_sample_grid
+    from tickloom.streaming import jobs
+
+    for seed in range(3):
+        rows = _random_updates(seed)
+        df, truth, end = spark.createDataFrame(rows, UPDATES), _books(rows), max(r[1] for r in rows) + 30_000
+        got = {r.grid_ms: r for r in book_sample_grid(df, end, Sampling(depth_bps=(150,), inactive_ms=4_000)).collect()}
+        grid = range(-(-rows[0][1] // 5_000) * 5_000, end + 1, 5_000)
+        assert sorted(got) == list(grid)
+        for at in grid:
+            _, _, book, heard = [t for t in truth if t[0] <= at][-1]
+            bids, asks, r = [p for p in book or () if p < 100], [p for p in book or () if p >= 100], got[at]
+            assert (r.best_bid, r.best_ask) == (max(bids, default=None), min(asks, default=None))
+            mid = (max(bids) + min(asks)) / 2 if bids and asks else None
+            assert (r.mid, r.is_usable) == (mid, mid is not None)
+            assert r.book_update_age_ms == (None if heard is None else at - heard) and r.is_inactive == (heard is None or at - heard > 4_000)
+            near = sum(p * book[p] for p in bids if p >= mid - mid * 0.015) if mid else 0.0
+            assert abs(r.bid_depth_150bps_usd - near) < 1e-9
+        streamed = {r.nonce: r for r in jobs.run_to_end(jobs.book_stream(jobs.as_stream(df, "t", order="nonce", file_rows=40)), "t").collect()}
+        for at, nonce, book, _ in truth:
+            bids, asks, r = [p for p in book or () if p < 100], [p for p in book or () if p >= 100], streamed[nonce]
+            assert (r.timestamp_ms, r.best_bid, r.best_ask, r.in_step) == (at, max(bids, default=None), min(asks, default=None), book is not None)
+
+
+def test_time_bins_change_no_result(spark):
+    import random
+
+    rng = random.Random(5)
+    times = sorted(rng.sample(range(0, 4_000), 150))
+    states = spark.createDataFrame([(1, t, float(t)) for t in times[::2]], MIDS)
+    rows = spark.createDataFrame([(1, t, k) for k, t in enumerate(times[1::2])], "market_id int, timestamp_ms long, n int")
+    for longest in (None, 90):
+        for bin_ms in (10, 130, 10**6):
+            got = {r.n: r.mid for r in temporal.asof_backward(rows, states, ["market_id"], ["mid"], longest_ms=longest, bin_ms=bin_ms).collect()}
+            assert got == {k: max((float(s) for s in times[::2] if s <= t and (longest is None or t - s <= longest)), default=None) for k, t in enumerate(times[1::2])}
+    for bin_ms in (10, 130):
+        got = {r.timestamp_ms: r.b for r in temporal.previous(states, ["market_id"], ("timestamp_ms",), "mid", "b", bin_ms=bin_ms).collect()}
+        assert got == dict(zip(times[::2], [None, *map(float, times[::2][:-1])], strict=True))
+        near = temporal.nearest_forward_then_backward(rows, states, ["market_id"], "mid", target="timestamp_ms", tolerance_ms=40, out="x", bin_ms=bin_ms)
+        for r in near.collect():
+            ahead, back = [s for s in times[::2] if 0 <= s - r.timestamp_ms <= 40], [s for s in times[::2] if 0 <= r.timestamp_ms - s <= 40]
+            assert r.x == (min(ahead) if ahead else max(back, default=None))
+
+
+def test_a_hot_market_is_many_tasks(spark):
+    """One market with nine tenths of the rows: windows are partitioned by its bins too."""
+    rows = spark.range(20_000).select((F.when(F.col("id") % 10 > 0, 1).otherwise(2)).cast("int").alias("market_id"), (F.col("id") * 1_000).alias("timestamp_ms"), (100 + F.rand(1)).alias("mid"))
+    for df in (books.forward_horizon_pairs(rows), temporal.previous(rows, ["market_id"], ("timestamp_ms",), "mid", "b")):
+        assert "hashpartitioning(market_id" in plan(df) and "_bin" in plan(df).split("Window")[1]
+    sizes = books.forward_horizon_pairs(rows).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 15_000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import Sampling
 from tickloom.functions.columns import effective_spread, metrics_good, observed
-from tickloom.operators.temporal import first_within, islands
+from tickloom.operators.temporal import BIN_MS, first_within, in_bins, islands, last_before_bin, previous
 
 PERCENTILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95}
 
@@ -100,10 +100,10 @@ def coverage_pct(counted: DataFrame, sampling: Sampling = Sampling()) -> DataFra
     return counted.withColumns({"expected_samples": F.rint(expected).cast("long"), "observation_coverage_pct": seen, "usable_quote_coverage_pct": share("usable_samples"), "spread_coverage_pct": share("spread_samples"), "data_coverage_pct": seen})
 
 
-def book_metrics(books: DataFrame, windows: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
-    """All book metrics of each market in one aggregation: conditions inside the aggregates take the place of joins of filtered copies."""
-    good, spread = metrics_good(), F.when(observed(), effective_spread())
-    counted = books.groupBy("market_id").agg(
+def _book_aggregates(spread) -> list:
+    """Conditions inside the aggregates take the place of joins of filtered copies."""
+    good = metrics_good()
+    return [
         F.count(F.lit(1)).alias("observed_samples"),
         F.count_if(observed()).alias("usable_samples"),
         F.count(spread).alias("spread_samples"),
@@ -112,23 +112,41 @@ def book_metrics(books: DataFrame, windows: DataFrame, sampling: Sampling = Samp
         *_depth(good),
         *_latest(good),
         *_update_age(),
-    )
+    ]
+
+
+def _with_windows(counted: DataFrame, windows: DataFrame, sampling: Sampling) -> DataFrame:
     named = counted.select("*", *(F.col("_p")[k].alias(f"{name}_spread_bps") for k, name in enumerate(PERCENTILES))).drop("_p")
     return coverage_pct(windows.join(named, "market_id", "left"), sampling)
 
 
+def book_metrics(books: DataFrame, windows: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
+    """Coverage, spread distribution, depth, latest values and update age of each market in one aggregation."""
+    return _with_windows(books.groupBy("market_id").agg(*_book_aggregates(F.when(observed(), effective_spread()))), windows, sampling)
+
+
+def _held(next_ms, sampling: Sampling):
+    """Seconds for which a row's value held: to the next one, or one interval where there is none within the longest gap."""
+    gap = (next_ms - F.col("timestamp_ms")) / 1000.0
+    return F.coalesce(gap, F.lit(sampling.interval_ms / 1000.0))
+
+
 def _spread_steps(books: DataFrame, sampling: Sampling) -> DataFrame:
-    """Observed spreads and for how long each held; a last, backward or too long gap counts as one interval."""
-    rows = observed_books(books).where(F.col("effective_spread_bps").isNotNull())
-    gap = (F.lead("timestamp_ms").over(Window.partitionBy("market_id").orderBy("timestamp_ms")) - F.col("timestamp_ms")) / 1000.0
-    held = rows.select("market_id", "timestamp_ms", F.col("effective_spread_bps").alias("spread"), gap.alias("_gap"))
-    return held.withColumn("dt", F.when((F.col("_gap") > 0) & (F.col("_gap") <= sampling.longest_gap_s), F.col("_gap")).otherwise(sampling.interval_ms / 1000.0))
+    """Observed spreads and for how long each held."""
+    longest = sampling.longest_gap_s * 1000
+    rows = observed_books(books).where(F.col("effective_spread_bps").isNotNull()).select("market_id", "timestamp_ms", F.col("effective_spread_bps").alias("spread"))
+    after = first_within(F.col("timestamp_ms"), ["market_id", "_bin"], "timestamp_ms", 1, longest)
+    return in_bins(rows, "timestamp_ms", back_ms=longest).withColumn("dt", _held(after, sampling)).where("_own").drop("_bin", "_own")
+
+
+def _shares(sampling: Sampling, spread, dt) -> list:
+    share = lambda t: F.sum(F.when(spread >= t, dt).otherwise(0.0)) / F.sum(dt)
+    return [share(t).alias(f"pct_time_spread_ge_{t}bps") for t in sampling.spread_thresholds]
 
 
 def spread_persistence(books: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
     """Share of time for which the spread was at least so wide."""
-    share = lambda t: F.sum(F.when(F.col("spread") >= t, F.col("dt")).otherwise(0.0)) / F.sum("dt")
-    return _spread_steps(books, sampling).groupBy("market_id").agg(*(share(t).alias(f"pct_time_spread_ge_{t}bps") for t in sampling.spread_thresholds))
+    return _spread_steps(books, sampling).groupBy("market_id").agg(*_shares(sampling, F.col("spread"), F.col("dt")))
 
 
 def spread_episodes(books: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
@@ -151,18 +169,47 @@ def _moves(label: str, move) -> list:
 
 def volatility_consecutive(mids: DataFrame) -> DataFrame:
     """Absolute log moves between neighbouring mids."""
-    before = F.lag("mid").over(Window.partitionBy("market_id").orderBy("timestamp_ms"))
-    moved = mids.withColumn("move", F.abs(F.log(F.col("mid") / before)) * 10000.0).where(F.col("move").isNotNull())
+    rows = previous(mids, ["market_id"], ("timestamp_ms",), "mid", "_before")
+    moved = rows.withColumn("move", _move(F.col("mid"), F.col("_before"))).where(F.col("move").isNotNull())
     return moved.groupBy("market_id").agg(F.count(F.lit(1)).alias("mid_move_1s_count"), *_moves("1s", "move"))
 
 
+def _move(mid, before):
+    return F.abs(F.log(mid / before)) * 10000.0
+
+
+def _horizon(h: int, value, sampling: Sampling):
+    return first_within(value, ["market_id", "_bin"], "timestamp_ms", h * 1000, h * 1000 + sampling.move_tolerance_ms)
+
+
 def forward_horizon_pairs(mids: DataFrame, horizons_s: tuple[int, ...] = (5, 30, 60), sampling: Sampling = Sampling()) -> DataFrame:
     """Mids with ``mid_<h>s``: the first mid at the horizon or within the tolerance after it. A range frame, no join."""
-    at = {f"mid_{h}s": first_within(F.col("mid"), ["market_id"], "timestamp_ms", h * 1000, h * 1000 + sampling.move_tolerance_ms) for h in horizons_s}
-    return mids.withColumns(at)
+    reach = max(horizons_s) * 1000 + sampling.move_tolerance_ms
+    at = {f"mid_{h}s": _horizon(h, F.col("mid"), sampling) for h in horizons_s}
+    return in_bins(mids, "timestamp_ms", back_ms=reach, bin_ms=max(BIN_MS, reach)).withColumns(at).where("_own").drop("_bin", "_own")
+
+
+def _horizon_moves(horizons_s: tuple[int, ...], mid) -> list:
+    move = lambda h: _move(F.col(f"mid_{h}s"), mid)
+    return [c for h in horizons_s for c in (F.count(move(h)).alias(f"mid_move_{h}s_count"), *_moves(f"{h}s", move(h)))]
 
 
 def volatility_horizons(mids: DataFrame, horizons_s: tuple[int, ...] = (5, 30, 60), sampling: Sampling = Sampling()) -> DataFrame:
-    paired = forward_horizon_pairs(mids, horizons_s, sampling)
-    move = lambda h: F.abs(F.log(F.col(f"mid_{h}s") / F.col("mid"))) * 10000.0
-    return paired.groupBy("market_id").agg(*(c for h in horizons_s for c in (F.count(move(h)).alias(f"mid_move_{h}s_count"), *_moves(f"{h}s", move(h)))))
+    return forward_horizon_pairs(mids, horizons_s, sampling).groupBy("market_id").agg(*_horizon_moves(horizons_s, F.col("mid")))
+
+
+def market_metrics(books: DataFrame, windows: DataFrame, horizons_s: tuple[int, ...] = (5, 30, 60), sampling: Sampling = Sampling()) -> DataFrame:
+    """``book_metrics``, ``spread_persistence`` and both volatilities of each market, in one pass over ``books`` (deduplicated) and one aggregation."""
+    longest = sampling.longest_gap_s * 1000
+    reach = max(longest, max(horizons_s) * 1000 + sampling.move_tolerance_ms)
+    keys, bin_ms = ["market_id"], max(BIN_MS, reach)
+    rows = books.withColumns({"_spread": F.when(observed(), effective_spread()), "_mid": F.when(observed() & (F.col("mid") > 0), F.col("mid"))})
+    binned = in_bins(rows, "timestamp_ms", back_ms=reach, bin_ms=bin_ms).join(last_before_bin(rows, keys, "timestamp_ms", F.col("_mid"), "_earlier", bin_ms), [*keys, "_bin"])
+    before = Window.partitionBy(*keys, "_bin").orderBy("timestamp_ms").rowsBetween(Window.unboundedPreceding, -1)
+    at = {f"mid_{h}s": _horizon(h, F.col("_mid"), sampling) for h in horizons_s}
+    after = first_within(F.when(F.col("_spread").isNotNull(), F.col("timestamp_ms")), [*keys, "_bin"], "timestamp_ms", 1, longest)
+    steps = binned.withColumns(at | {"_after": after, "_before": F.coalesce(F.last("_mid", ignorenulls=True).over(before), "_earlier")}).where("_own")
+    dt = F.when(F.col("_spread").isNotNull(), _held(F.col("_after"), sampling))
+    consecutive = _move(F.col("_mid"), F.col("_before"))
+    counted = steps.groupBy("market_id").agg(*_book_aggregates(F.col("_spread")), *_shares(sampling, F.col("_spread"), dt), F.count(consecutive).alias("mid_move_1s_count"), *_moves("1s", consecutive), *_horizon_moves(horizons_s, F.col("_mid")))
+    return _with_windows(counted, windows, sampling)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.rebuild import messages
+
 COVERAGES = ("data_coverage_pct", "observation_coverage_pct", "usable_quote_coverage_pct", "spread_coverage_pct")
 
 
@@ -90,13 +92,9 @@ def feed_health_warnings(books: DataFrame, now_ms: int, interval_ms: int = 5_000
 
 
 def dq_counters(books: DataFrame, updates: DataFrame) -> DataFrame:
-    """Samples, stale samples, resynchronisations and nonce gaps of each market."""
-    from pyspark.sql import Window
-
+    """Samples, stale samples, resynchronisations (snapshots after the first) and messages out of step of each market."""
     n = books.groupBy("market_id").agg(F.count(F.lit(1)).alias("actual_samples"), F.count_if("is_stale").alias("stale_count"))
-    before = F.lag("nonce").over(Window.partitionBy("market_id").orderBy("nonce"))
-    gap = (F.col("kind") == "delta") & (F.col("begin_nonce") != F.col("_before"))
-    u = updates.withColumn("_before", before).groupBy("market_id").agg(F.count_if(F.col("kind") == "snapshot").alias("resync_count"), F.count_if(F.coalesce(gap, F.lit(False))).alias("nonce_gap_count"))
+    u = messages(updates).groupBy("market_id").agg(F.greatest(F.count_if(F.col("kind") == "snapshot") - 1, F.lit(0)).alias("resync_count"), F.count_if("out_of_step").alias("nonce_gap_count"))
     joined = n.join(u, "market_id", "full_outer")
     return joined.select("market_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("actual_samples", "stale_count", "resync_count", "nonce_gap_count")))
 

@@ -1,4 +1,8 @@
-"""Order books rebuilt from level updates: ``market_id``, ``timestamp_ms``, ``nonce``, ``begin_nonce``, ``kind``, ``side``, ``price``, ``size``."""
+"""Order books rebuilt from level updates: ``market_id``, ``timestamp_ms``, ``nonce``, ``begin_nonce``, ``kind``, ``side``, ``price``, ``size``.
+
+The rows of one market and nonce are the levels of one message; one without a price says only that
+the message was empty.
+"""
 
 from __future__ import annotations
 
@@ -9,40 +13,75 @@ from tickloom.config import Sampling
 from tickloom.functions.columns import safe_mid
 
 
-def level_intervals(updates: DataFrame) -> DataFrame:
-    """From when to when each level had which size (``to_ms`` null: to the end).
+def messages(updates: DataFrame) -> DataFrame:
+    """One row for each message: its ``episode``, whether it is ``applied``, and whether it is the first one ``out_of_step`` of its episode.
 
-    A snapshot begins an episode with an empty book. A delta must begin at the nonce before it; from
-    the first that doesn't, the episode is out of step and counts no more. Size 0 ends a level.
+    A snapshot begins an episode with an empty book. A delta must begin at the nonce before it; the
+    first that doesn't ends the book, and no more is applied until the next snapshot. Deltas before
+    the first snapshot (episode 0) aren't applied either.
     """
+    each = updates.groupBy("market_id", "nonce").agg(F.min("timestamp_ms").alias("timestamp_ms"), F.max("begin_nonce").alias("begin_nonce"), F.max("kind").alias("kind"))
     line = Window.partitionBy("market_id").orderBy("nonce")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
     snapshot = F.col("kind") == "snapshot"
-    rows = updates.withColumns({"episode": F.sum(F.when(snapshot, 1).otherwise(0)).over(upto), "_before": F.lag("nonce").over(line)})
+    rows = each.withColumns({"episode": F.sum(F.when(snapshot, 1).otherwise(0)).over(upto), "_before": F.lag("nonce").over(line)})
     within = Window.partitionBy("market_id", "episode").orderBy("nonce").rowsBetween(Window.unboundedPreceding, 0)
-    gap = ~snapshot & F.coalesce(F.col("begin_nonce") != F.col("_before"), F.lit(True))
-    rows = rows.withColumn("_gap", F.when(gap, F.col("timestamp_ms"))).withColumn("_broken", F.min("_gap").over(within)).where("episode > 0")
-    ends = rows.groupBy("market_id", "episode").agg(F.min("_gap").alias("_gap_ms"), F.min("timestamp_ms").alias("_starts"))
+    gap = (F.col("episode") > 0) & ~snapshot & F.coalesce(F.col("begin_nonce") != F.col("_before"), F.lit(True))
+    rows = rows.withColumn("_gaps", F.sum(F.when(gap, 1).otherwise(0)).over(within))
+    return rows.select("market_id", "nonce", "timestamp_ms", "kind", "episode", ((F.col("episode") > 0) & (F.col("_gaps") == 0)).alias("applied"), (gap & (F.col("_gaps") == 1)).alias("out_of_step"))
+
+
+def level_intervals(updates: DataFrame) -> DataFrame:
+    """From when to when each level had which size (``to_ms`` null: to the end). Size 0 ends a level, as do a message out of step and the next snapshot."""
+    return _intervals(updates, messages(updates))
+
+
+def _intervals(updates: DataFrame, known: DataFrame) -> DataFrame:
+    ends = known.where("episode > 0").groupBy("market_id", "episode").agg(F.min(F.when(F.col("out_of_step"), F.col("timestamp_ms"))).alias("_gap_ms"), F.min("timestamp_ms").alias("_starts"))
     ends = ends.withColumn("_next", F.lead("_starts").over(Window.partitionBy("market_id").orderBy("episode"))).select("market_id", "episode", F.least("_gap_ms", "_next").alias("_closed"))
+    applied = known.where("applied").select("market_id", "nonce", "episode").join(ends, ["market_id", "episode"])
     level = Window.partitionBy("market_id", "episode", "side", "price").orderBy("nonce")
-    good = rows.where(F.col("_broken").isNull()).withColumn("_changed", F.lead("timestamp_ms").over(level)).join(ends, ["market_id", "episode"])
-    out = good.withColumn("to_ms", F.least("_changed", "_closed")).where((F.col("size") > 0) & (F.col("to_ms").isNull() | (F.col("to_ms") > F.col("timestamp_ms"))))
+    rows = updates.where(F.col("price").isNotNull()).join(applied, ["market_id", "nonce"]).withColumn("_changed", F.lead("timestamp_ms").over(level))
+    out = rows.withColumn("to_ms", F.least("_changed", "_closed")).where((F.col("size") > 0) & (F.col("to_ms").isNull() | (F.col("to_ms") > F.col("timestamp_ms"))))
     return out.select("market_id", "episode", "side", "price", "size", F.col("timestamp_ms").alias("from_ms"), "to_ms")
 
 
-def book_sample_grid(updates: DataFrame, end_ms: int, sampling: Sampling = Sampling()) -> DataFrame:
-    """The rebuilt book every ``interval_ms``: touch, mid, spread, depth by distance, flags and age of the last update. An unusable book has depth 0."""
-    step = sampling.interval_ms
+def _grid(rows: DataFrame, step: int, end_ms: int) -> DataFrame:
+    """A row for each multiple of ``step`` in ``from_ms`` (included) to ``to_ms`` (not included; null: to ``end_ms``, included), as ``grid_ms``."""
     first = F.ceil(F.col("from_ms") / F.lit(step)).cast("long") * step
-    last = F.ceil(F.coalesce("to_ms", F.lit(end_ms + 1)) / F.lit(step)).cast("long") * step - step
-    at = level_intervals(updates).where(last >= first).withColumn("grid_ms", F.explode(F.sequence(first, last, F.lit(step).cast("long"))))
+    last = F.ceil(F.least(F.coalesce("to_ms", F.lit(end_ms + 1)), F.lit(end_ms + 1)) / F.lit(step)).cast("long") * step - step
+    return rows.where(last >= first).withColumn("grid_ms", F.explode(F.sequence(first, last, F.lit(step).cast("long"))))
+
+
+def _heard(known: DataFrame) -> DataFrame:
+    """Times between a market's messages: ``heard_ms``, the last applied message (null before the first)."""
+    line = Window.partitionBy("market_id").orderBy("nonce")
+    applied = known.where("applied")
+    since = applied.select("market_id", F.col("timestamp_ms").alias("from_ms"), F.lead("timestamp_ms").over(line).alias("to_ms"), F.col("timestamp_ms").alias("heard_ms"))
+    first = known.groupBy("market_id").agg(F.min("timestamp_ms").alias("from_ms"), F.min(F.when(F.col("applied"), F.col("timestamp_ms"))).alias("to_ms"))
+    return since.unionByName(first.withColumn("heard_ms", F.lit(None).cast("long")))
+
+
+def book_sample_grid(updates: DataFrame, end_ms: int, sampling: Sampling = Sampling()) -> DataFrame:
+    """Each market's book at every multiple of ``interval_ms`` from its first message on: touch, mid, spread, depth by distance, flags and the age of the last applied message.
+
+    A book that is empty, one-sided, crossed or out of step has a row too: not usable, with depth 0.
+    """
+    step, known = sampling.interval_ms, messages(updates)
+    spine = _grid(_heard(known), step, end_ms).select("market_id", "grid_ms", "heard_ms")
+    at = _grid(_intervals(updates, known), step, end_ms)
     group = Window.partitionBy("market_id", "grid_ms")
     bid, ask = F.col("side") == "bid", F.col("side") == "ask"
     touch = at.withColumns({"best_bid": F.max(F.when(bid, F.col("price"))).over(group), "best_ask": F.min(F.when(ask, F.col("price"))).over(group)})
     touch = touch.withColumn("mid", safe_mid(F.col("best_bid"), F.col("best_ask")))
     usd = F.col("price") * F.col("size")
-    near = lambda side, b: F.coalesce(F.sum(F.when((F.col("side") == side) & (F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * b / 10000.0 + 1e-12), usd)), F.lit(0.0))
-    depth = [near(side, b).alias(f"{side}_depth_{b}bps_usd") for b in sampling.depth_bps for side in ("bid", "ask")]
-    out = touch.groupBy("market_id", "grid_ms").agg(F.max("best_bid").alias("best_bid"), F.max("best_ask").alias("best_ask"), F.max("mid").alias("mid"), (F.col("grid_ms") - F.max("from_ms")).alias("book_update_age_ms"), *depth)
+    near = lambda side, b: F.sum(F.when((F.col("side") == side) & (F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * b / 10000.0 + 1e-12), usd))
+    names = [(f"{side}_depth_{b}bps_usd", near(side, b)) for b in sampling.depth_bps for side in ("bid", "ask")]
+    size_at = lambda side, best: F.max(F.when((F.col("side") == side) & (F.col("price") == F.col(best)), F.col("size")))
+    books = touch.groupBy("market_id", "grid_ms").agg(F.max("best_bid").alias("best_bid"), F.max("best_ask").alias("best_ask"), F.max("mid").alias("mid"), size_at("bid", "best_bid").alias("best_bid_size_base"), size_at("ask", "best_ask").alias("best_ask_size_base"), *(c.alias(n) for n, c in names))
+    out = spine.join(books, ["market_id", "grid_ms"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n, _ in names})
+    age = F.col("grid_ms") - F.col("heard_ms")
     two = {f"two_sided_depth_{b}bps_usd": F.least(f"bid_depth_{b}bps_usd", f"ask_depth_{b}bps_usd") for b in sampling.depth_bps}
-    return out.withColumns({"spread_bps": (F.col("best_ask") - F.col("best_bid")) / F.col("mid") * 10000.0, "is_usable": F.col("mid").isNotNull(), "is_inactive": F.col("book_update_age_ms") > sampling.inactive_ms} | two)
+    usd_at = {f"best_{s}_size_usd": F.col(f"best_{s}") * F.col(f"best_{s}_size_base") for s in ("bid", "ask")}
+    flags = {"spread_bps": (F.col("best_ask") - F.col("best_bid")) / F.col("mid") * 10000.0, "is_usable": F.col("mid").isNotNull(), "book_update_age_ms": age, "is_inactive": F.coalesce(age > sampling.inactive_ms, F.lit(True))}
+    return out.withColumns(flags | two | usd_at).drop("heard_ms")

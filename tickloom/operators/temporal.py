@@ -1,4 +1,4 @@
-"""Joins in time, without joining: windows over one timeline, and bins for intervals."""
+"""Joins in time, without joining: windows over one timeline cut in bins."""
 
 from __future__ import annotations
 
@@ -6,6 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Length of a time bin. Windows are partitioned by the keys and the bin, so that one key with most of the rows is work for as many tasks as it has bins.
+BIN_MS = 600_000
+
+
+def bin_of(time: Column, bin_ms: int = BIN_MS) -> Column:
+    return F.floor(time / F.lit(bin_ms)).cast("long")
+
+
+def in_bins(rows: DataFrame, time: str, *, back_ms: int = 0, on_ms: int = 0, bin_ms: int = BIN_MS) -> DataFrame:
+    """``rows`` with ``_bin`` and ``_own``: each in its own bin, and a copy (not ``_own``) in every other bin that holds a time up to ``back_ms`` before or ``on_ms`` after its own."""
+    t = F.col(time)
+    bins = F.sequence(bin_of(t - back_ms, bin_ms), bin_of(t + on_ms, bin_ms))
+    return rows.withColumn("_bin", F.explode(bins)).withColumn("_own", F.col("_bin") == bin_of(t, bin_ms))
+
+
+def last_before_bin(rows: DataFrame, keys: list[str], time: str, value: Column, out: str, bin_ms: int = BIN_MS) -> DataFrame:
+    """``keys``, ``_bin`` and the last known ``value`` of all earlier bins, of each bin that has rows. Only one row for each bin goes through the window over a key."""
+    known = F.when(value.isNotNull(), F.col(time))
+    of_bin = rows.groupBy(*keys, bin_of(F.col(time), bin_ms).alias("_bin")).agg(F.max_by(value, known).alias("_last"))
+    line = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return of_bin.select(*keys, "_bin", F.last("_last", ignorenulls=True).over(line).alias(out))
+
+
 def first_within(value: Column, keys: list[str], order: str, from_ms: int, to_ms: int) -> Column:
     """The first value of the same keys whose time is ``from_ms`` to ``to_ms`` after the row's."""
     return F.first(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(from_ms, to_ms))
@@ -15,30 +38,50 @@ def last_within(value: Column, keys: list[str], order: str, from_ms: int, to_ms:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(from_ms, to_ms))
 
 
-def asof_backward(rows: DataFrame, states: DataFrame, keys: list[str], columns: list[str], *, time: str = "timestamp_ms", longest_ms: int | None = None, prefix: str = "") -> DataFrame:
+def asof_backward(rows: DataFrame, states: DataFrame, keys: list[str], columns: list[str], *, time: str = "timestamp_ms", longest_ms: int | None = None, prefix: str = "", bin_ms: int = BIN_MS) -> DataFrame:
     """``rows`` with the ``columns`` of the last of ``states`` at or before their time.
 
-    ``longest_ms``: older states don't count. Both tables go on one timeline, so a row takes part in
-    one sort by key and time and in no join. States of one time: any of them.
+    ``longest_ms``: older states don't count. Both tables go on one timeline, cut in bins: a row
+    takes part in one sort within its key and bin and in no join with states. A state is copied into
+    the bins that it reaches; without ``longest_ms``, each bin begins with the last state before it.
+    States of one time: any of them.
     """
-    state = F.struct(F.col(time).alias("_at"), *columns)
-    left = rows.select(F.struct(*rows.columns).alias("_row"), *keys, time, F.lit(1).alias("_kind"), F.lit(None).cast(states.select(state.alias("s")).schema["s"].dataType).alias("_state"))
-    right = states.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), *keys, time, F.lit(0).alias("_kind"), state.alias("_state"))
-    line = Window.partitionBy(*keys).orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("_seen", F.last("_state", ignorenulls=True).over(line)).where("_kind = 1")
-    fresh = F.lit(True) if longest_ms is None else F.col(time) - F.col("_seen._at") <= longest_ms
+    bin_ms = max(bin_ms, longest_ms or 0)
+    given = states.select(*keys, F.col(time).alias("_t"), F.struct(F.col(time).alias("_at"), *columns).alias("_state"))
+    left = rows.select(F.struct(*rows.columns).alias("_row"), *keys, F.col(time).alias("_t"), bin_of(F.col(time), bin_ms).alias("_bin"), F.lit(1).alias("_kind"), F.lit(None).cast(given.schema["_state"].dataType).alias("_state"))
+    right = in_bins(given, "_t", on_ms=longest_ms or 0, bin_ms=bin_ms).select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), *keys, "_t", "_bin", F.lit(0).alias("_kind"), "_state")
+    line = left.unionByName(right)
+    if longest_ms is None:
+        both = given.unionByName(rows.select(*keys, F.col(time).alias("_t"), F.lit(None).cast(given.schema["_state"].dataType).alias("_state")))
+        before = last_before_bin(both, keys, "_t", F.col("_state"), "_state", bin_ms).where(F.col("_state").isNotNull())
+        line = line.unionByName(before.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), *keys, F.col("_state._at").alias("_t"), "_bin", F.lit(0).alias("_kind"), "_state"))
+    upto = Window.partitionBy(*keys, "_bin").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumn("_seen", F.last("_state", ignorenulls=True).over(upto)).where("_kind = 1")
+    fresh = F.lit(True) if longest_ms is None else F.col("_t") - F.col("_seen._at") <= longest_ms
     return seen.select("_row.*", *(F.when(fresh, F.col(f"_seen.{c}")).alias(prefix + c) for c in columns))
 
 
-def nearest_forward_then_backward(rows: DataFrame, states: DataFrame, keys: list[str], value: str, *, target: str, tolerance_ms: int, out: str, time: str = "timestamp_ms") -> DataFrame:
+def nearest_forward_then_backward(rows: DataFrame, states: DataFrame, keys: list[str], value: str, *, target: str, tolerance_ms: int, out: str, time: str = "timestamp_ms", bin_ms: int = BIN_MS) -> DataFrame:
     """``rows`` with the first value at ``target`` or up to ``tolerance_ms`` later, else the last up to ``tolerance_ms`` earlier."""
-    left = rows.select(F.struct(*rows.columns).alias("_row"), *keys, F.col(target).alias("_t"), F.lit(None).cast("double").alias("_value"))
-    right = states.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), *keys, F.col(time).alias("_t"), F.col(value).cast("double").alias("_value"))
-    line = left.unionByName(right)
-    forward, backward = first_within(F.col("_value"), keys, "_t", 0, tolerance_ms), last_within(F.col("_value"), keys, "_t", -tolerance_ms, 0)
+    bin_ms = max(bin_ms, tolerance_ms)
+    left = rows.select(F.struct(*rows.columns).alias("_row"), *keys, F.col(target).alias("_t"), bin_of(F.col(target), bin_ms).alias("_bin"), F.lit(None).cast("double").alias("_value"))
+    near = in_bins(states.select(*keys, F.col(time).alias("_t"), F.col(value).cast("double").alias("_value")), "_t", back_ms=tolerance_ms, on_ms=tolerance_ms, bin_ms=bin_ms)
+    line = left.unionByName(near.drop("_own").withColumn("_row", F.lit(None).cast(left.schema["_row"].dataType)))
+    forward, backward = first_within(F.col("_value"), [*keys, "_bin"], "_t", 0, tolerance_ms), last_within(F.col("_value"), [*keys, "_bin"], "_t", -tolerance_ms, 0)
     return line.withColumn(out, F.coalesce(forward, backward)).where(F.col("_row").isNotNull()).select("_row.*", out)
 
 
+def previous(rows: DataFrame, keys: list[str], order: tuple[str, ...], value: str, out: str, bin_ms: int = BIN_MS) -> DataFrame:
+    """``rows`` with the ``value`` of the row before, by ``order`` (a time, then what tells equal times apart)."""
+    binned = rows.withColumn("_bin", bin_of(F.col(order[0]), bin_ms))
+    last = binned.groupBy(*keys, "_bin").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    before = last.select(*keys, "_bin", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_before"))
+    within = F.lag(value).over(Window.partitionBy(*keys, "_bin").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order)) == 1
+    placed = binned.withColumns({"_within": within, "_first": first}).join(before, [*keys, "_bin"])
+    return placed.select(*rows.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_within")).alias(out))
+
+
 def interval_join(starts: DataFrame, points: DataFrame, keys: list[str], horizon_ms: int, *, time: str = "timestamp_ms") -> DataFrame:
     """Pairs of a row of ``starts`` and a row of ``points`` with the same keys at most ``horizon_ms`` later (not at the same time).
 

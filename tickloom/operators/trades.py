@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import regular_trade
-from tickloom.operators.temporal import slot_spine
+from tickloom.operators.temporal import BIN_MS, bin_of, in_bins, last_before_bin, previous, slot_spine
 
 MINUTE_MS = 60_000
 
@@ -29,8 +29,9 @@ def trade_totals(trades: DataFrame) -> DataFrame:
 
 def intertrade_gap(trades: DataFrame) -> DataFrame:
     """Median time between trades that follow one another."""
-    gap = F.col("timestamp_ms") - F.lag("timestamp_ms").over(Window.partitionBy("market_id").orderBy("timestamp_ms", "trade_id"))
-    return trades.withColumn("gap", gap).where(F.col("gap") >= 0).groupBy("market_id").agg(F.percentile("gap", 0.5).alias("median_intertrade_ms"))
+    gap = F.col("timestamp_ms") - F.col("_before")
+    rows = previous(trades.select("market_id", "timestamp_ms", "trade_id"), ["market_id"], ("timestamp_ms", "trade_id"), "timestamp_ms", "_before")
+    return rows.withColumn("gap", gap).where(F.col("gap") >= 0).groupBy("market_id").agg(F.percentile("gap", 0.5).alias("median_intertrade_ms"))
 
 
 def minute_slots(trades: DataFrame, windows: DataFrame) -> DataFrame:
@@ -65,11 +66,13 @@ def minute_bars(trades: DataFrame) -> DataFrame:
     on = lambda condition, c: F.when(condition, F.col(c))
     usd, buy = F.when(regular, F.col("usd_amount")), regular & F.col("is_maker_ask")
     sell = regular & ~F.col("is_maker_ask")
-    order = Window.partitionBy("market_id").orderBy("timestamp_ms", "trade_id")
-    gap = F.col("timestamp_ms") - F.lag(F.when(regular, F.col("timestamp_ms")), 1).over(order)
     rows = earliest(trades, ["market_id", "trade_id"])
-    gaps = rows.where(regular).withColumn("gap", gap).select("market_id", "trade_id", F.when(F.col("gap") >= 0, F.col("gap")).alias("gap"))
-    return rows.join(gaps, ["market_id", "trade_id"], "left").groupBy("market_id", (F.floor(F.col("timestamp_ms") / F.lit(MINUTE_MS)).cast("long") * MINUTE_MS).alias("minute_ms")).agg(
+    # The regular trade before: in the bin, else the last of an earlier one.
+    before = last_before_bin(rows, ["market_id"], "timestamp_ms", F.when(regular, F.col("timestamp_ms")), "_earlier")
+    line = Window.partitionBy("market_id", "_bin").orderBy("timestamp_ms", "trade_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_bin", bin_of(F.col("timestamp_ms"))).join(before, ["market_id", "_bin"])
+    seen = seen.withColumn("gap", F.when(regular, F.col("timestamp_ms") - F.coalesce(F.last(F.when(regular, F.col("timestamp_ms")), ignorenulls=True).over(line), "_earlier")))
+    return seen.groupBy("market_id", (F.floor(F.col("timestamp_ms") / F.lit(MINUTE_MS)).cast("long") * MINUTE_MS).alias("minute_ms")).agg(
         F.count_if(regular).alias("trade_count"),
         F.coalesce(F.sum(usd), F.lit(0.0)).alias("trade_quote_volume_usd"),
         F.coalesce(F.sum(usd / F.col("price")), F.lit(0.0)).alias("trade_base_volume"),
@@ -87,5 +90,6 @@ def minute_bars(trades: DataFrame) -> DataFrame:
 
 def rolling_tpm(trades: DataFrame, window_ms: int = MINUTE_MS) -> DataFrame:
     """At each trade, trades of the minute before it (its own included), per minute."""
-    line = Window.partitionBy("market_id").orderBy("timestamp_ms").rangeBetween(-window_ms + 1, 0)
-    return trades.select("market_id", "trade_id", "timestamp_ms", (F.count(F.lit(1)).over(line) * (60_000.0 / window_ms)).alias("tpm"))
+    line = Window.partitionBy("market_id", "_bin").orderBy("timestamp_ms").rangeBetween(-window_ms + 1, 0)
+    binned = in_bins(trades.select("market_id", "trade_id", "timestamp_ms"), "timestamp_ms", on_ms=window_ms, bin_ms=max(BIN_MS, window_ms))
+    return binned.withColumn("tpm", F.count(F.lit(1)).over(line) * (60_000.0 / window_ms)).where("_own").drop("_bin", "_own")

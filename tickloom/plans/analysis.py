@@ -28,19 +28,10 @@ class Inputs:
 
 def market_rows(x: Inputs, sampling: Sampling = Sampling(), policy: FillPolicy = FillPolicy()) -> DataFrame:
     """One wide row for each market that any table knows; what a family doesn't know of a market has its default."""
-    mids = books.thin_mids(x.books)
-    book = books.book_metrics(x.books, x.windows, sampling).withColumn("observation_hours", F.col("market_observation_seconds") / 3600.0)
+    book = books.market_metrics(x.books, x.windows, sampling=sampling).withColumn("observation_hours", F.col("market_observation_seconds") / 3600.0)
     fill = fills.fill_stats(fills.fill_rates(fills.touch_flow_eligible(fills.downsample_snapshots(x.books, policy), x.trades, policy), policy), policy)
-    families = [
-        books.spread_persistence(x.books, sampling),
-        books.volatility_consecutive(mids),
-        books.volatility_horizons(mids, sampling=sampling),
-        trades.trade_metrics(x.trades, x.windows),
-        markouts.markout_stats(x.markouts),
-        fill,
-    ]
     rows = book
-    for family in families:
+    for family in (trades.trade_metrics(x.trades, x.windows), markouts.markout_stats(x.markouts), fill):
         rows = rows.join(family, "market_id", "full_outer")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("total_trade_count", "markout_1s_count", "markout_5s_count", "markout_30s_count", "markout_60s_count", "estimated_maker_fill_samples")}
     none = {c: F.coalesce(c, F.lit(0.0)) for c in ("data_coverage_pct", "observation_hours", "trades_per_minute_mean", "trades_per_minute_median", "total_quote_volume")}

@@ -152,11 +152,15 @@ PARTS: dict[str, str] = VIEWS | {
         realized_pnl_usd + coalesce(unrealized_pnl_usd, 0e0) - filled_notional_usd / 10000e0 AS total_pnl_usd FROM (
         SELECT market_id, count(*) FILTER (side = 'bid') AS bid_fills, count(*) FILTER (side = 'ask') AS ask_fills, sum(qty_base * price) AS filled_notional_usd FROM fx_fills GROUP BY market_id)
         LEFT JOIN (SELECT market_id, sum(pnl) AS realized_pnl_usd FROM fifo GROUP BY market_id) USING (market_id) LEFT JOIN opn USING (market_id)""",
-    "upd": """SELECT *, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY market_id ORDER BY nonce) AS episode, lag(nonce) OVER (PARTITION BY market_id ORDER BY nonce) AS before FROM fx_level_updates""",
-    "eps": "SELECT *, lead(starts) OVER (PARTITION BY market_id ORDER BY episode) AS next FROM (SELECT market_id, episode, min(timestamp_ms) AS starts, min(CASE WHEN kind = 'delta' AND begin_nonce <> before THEN timestamp_ms END) AS gap_ms, min(CASE WHEN kind = 'delta' AND begin_nonce <> before THEN nonce END) AS gap_nonce FROM upd WHERE episode > 0 GROUP BY market_id, episode)",
-    "lvl": """SELECT market_id, episode, side, price, size, timestamp_ms AS from_ms, CASE WHEN changed IS NULL AND closed IS NULL THEN NULL ELSE least(coalesce(changed, closed), coalesce(closed, changed)) END AS to_ms FROM (
-        SELECT u.*, lead(u.timestamp_ms) OVER (PARTITION BY u.market_id, u.episode, side, price ORDER BY nonce) AS changed, CASE WHEN gap_ms IS NULL THEN next WHEN next IS NULL THEN gap_ms ELSE least(gap_ms, next) END AS closed
-        FROM upd u JOIN eps USING (market_id, episode) WHERE gap_nonce IS NULL OR nonce < gap_nonce) WHERE size > 0 AND (changed IS NULL OR changed > timestamp_ms) AND (closed IS NULL OR closed > timestamp_ms)""",
+    "msg": "SELECT *, lag(nonce) OVER (PARTITION BY market_id ORDER BY nonce) AS before, count(*) FILTER (kind = 'snapshot') OVER (PARTITION BY market_id ORDER BY nonce) AS episode FROM (SELECT DISTINCT market_id, nonce, timestamp_ms, begin_nonce, kind FROM fx_level_updates)",
+    "eps": """SELECT *, lead(starts) OVER w AS next, lead(first_nonce) OVER w AS next_nonce FROM (SELECT market_id, episode, min(timestamp_ms) AS starts, min(nonce) AS first_nonce,
+          min(CASE WHEN kind = 'delta' AND begin_nonce IS DISTINCT FROM before THEN timestamp_ms END) AS gap_ms, min(CASE WHEN kind = 'delta' AND begin_nonce IS DISTINCT FROM before THEN nonce END) AS gap_nonce FROM msg WHERE episode > 0 GROUP BY market_id, episode) WINDOW w AS (PARTITION BY market_id ORDER BY episode)""",
+    "lvn": """SELECT market_id, episode, side, price, size, u.timestamp_ms AS from_ms, u.nonce AS from_nonce, lead(u.timestamp_ms) OVER w AS changed, lead(u.nonce) OVER w AS changed_nonce,
+        least(coalesce(gap_ms, next), coalesce(next, gap_ms)) AS closed, least(coalesce(gap_nonce, next_nonce), coalesce(next_nonce, gap_nonce)) AS closed_nonce
+        FROM fx_level_updates u JOIN (SELECT market_id, nonce, episode FROM msg) USING (market_id, nonce) JOIN eps USING (market_id, episode)
+        WHERE price IS NOT NULL AND (gap_nonce IS NULL OR u.nonce < gap_nonce) WINDOW w AS (PARTITION BY market_id, episode, side, price ORDER BY u.nonce)""",
+    "lvl": """SELECT market_id, episode, side, price, size, from_ms, to_ms FROM (SELECT *, least(coalesce(changed, closed), coalesce(closed, changed)) AS to_ms FROM lvn) WHERE size > 0 AND (to_ms IS NULL OR to_ms > from_ms)""",
+    "app": "SELECT m.market_id, m.nonce, m.timestamp_ms FROM msg m JOIN eps USING (market_id, episode) WHERE gap_nonce IS NULL OR m.nonce < gap_nonce",
 }
 
 

@@ -492,7 +492,7 @@ def minute_bars(m):
 
 @query("""SELECT coalesce(b.market_id, u.market_id) AS market_id, coalesce(actual_samples, 0) AS actual_samples, coalesce(stale_count, 0) AS stale_count, coalesce(resync_count, 0) AS resync_count, coalesce(nonce_gap_count, 0) AS nonce_gap_count FROM
   (SELECT market_id, count(*) AS actual_samples, count(*) FILTER (is_stale) AS stale_count FROM bk GROUP BY market_id) b FULL JOIN
-  (SELECT market_id, count(*) FILTER (kind = 'snapshot') AS resync_count, count(*) FILTER (kind = 'delta' AND begin_nonce <> before) AS nonce_gap_count FROM upd GROUP BY market_id) u ON u.market_id = b.market_id""")
+  (SELECT market_id, greatest(max(episode) - 1, 0) AS resync_count, count(DISTINCT CASE WHEN episode > 0 AND kind = 'delta' AND begin_nonce IS DISTINCT FROM before THEN episode END) AS nonce_gap_count FROM msg GROUP BY market_id) u ON u.market_id = b.market_id""")
 def dq_counters(m):
     return quality.dq_counters(deduped(m), m.updates)
 
@@ -776,21 +776,26 @@ def book_rebuild(m):
     return rebuild.level_intervals(m.updates)
 
 
-@query()
+@query("""SELECT m.market_id, m.timestamp_ms, m.nonce, max(CASE WHEN side = 'bid' THEN price END) AS best_bid, min(CASE WHEN side = 'ask' THEN price END) AS best_ask, any_value(a.nonce IS NOT NULL) AS in_step
+  FROM msg m LEFT JOIN app a ON a.market_id = m.market_id AND a.nonce = m.nonce
+  LEFT JOIN lvn l ON l.market_id = m.market_id AND size > 0 AND from_nonce <= m.nonce AND (changed_nonce IS NULL OR changed_nonce > m.nonce) AND (closed_nonce IS NULL OR closed_nonce > m.nonce) GROUP BY ALL""", "best_bid best_ask")
 def stream_book_rebuild(m):
     return jobs.run_to_end(jobs.book_stream(jobs.as_stream(m.updates, "book", order="nonce")), "book")
 
 
-_GRID = """SELECT market_id, grid_ms, max(b) AS best_bid, max(a) AS best_ask, max(mid) AS mid, max(a) - max(b) AS spread, grid_ms - max(from_ms) AS book_update_age_ms,
-  coalesce(sum(price * size) FILTER (side = 'bid' AND abs(price - mid) <= mid * 25e0 / 10000e0 + 1e-12), 0e0) AS bid_depth_25bps_usd, coalesce(sum(price * size) FILTER (side = 'ask' AND abs(price - mid) <= mid * 25e0 / 10000e0 + 1e-12), 0e0) AS ask_depth_25bps_usd
-  FROM (SELECT *, CASE WHEN b <= a THEN (b + a) / 2e0 END AS mid FROM (SELECT *, max(CASE WHEN side = 'bid' THEN price END) OVER (PARTITION BY market_id, grid_ms) AS b, min(CASE WHEN side = 'ask' THEN price END) OVER (PARTITION BY market_id, grid_ms) AS a
-    FROM (SELECT *, unnest(range((from_ms + 4999) // 5000 * 5000, coalesce(to_ms, (SELECT e + 1 FROM win)), 5000)) AS grid_ms FROM lvl))) GROUP BY market_id, grid_ms"""
+_GRID_SQL = """SELECT market_id, grid_ms, best_bid, best_ask, mid, (best_ask - best_bid) / mid * 10000e0 AS spread_bps, bid_size AS best_bid_size_base, coalesce(bid_depth, 0e0) AS bid_depth_25bps_usd, coalesce(ask_depth, 0e0) AS ask_depth_25bps_usd,
+  least(coalesce(bid_depth, 0e0), coalesce(ask_depth, 0e0)) AS two_sided_depth_25bps_usd, mid IS NOT NULL AS is_usable, grid_ms - heard_ms AS book_update_age_ms, coalesce(grid_ms - heard_ms > 10000, true) AS is_inactive
+  FROM (SELECT g.*, a.timestamp_ms AS heard_ms FROM (SELECT market_id, unnest(range((min(timestamp_ms) + 4999) // 5000 * 5000, (SELECT e + 1 FROM win), 5000)) AS grid_ms FROM msg GROUP BY market_id) g ASOF LEFT JOIN app a ON a.market_id = g.market_id AND a.timestamp_ms <= g.grid_ms)
+  LEFT JOIN (SELECT market_id, grid_ms, max(b) AS best_bid, max(a) AS best_ask, max(mid) AS mid, max(CASE WHEN side = 'bid' AND price = b THEN size END) AS bid_size,
+      sum(price * size) FILTER (side = 'bid' AND abs(price - mid) <= mid * 25e0 / 10000e0 + 1e-12) AS bid_depth, sum(price * size) FILTER (side = 'ask' AND abs(price - mid) <= mid * 25e0 / 10000e0 + 1e-12) AS ask_depth
+    FROM (SELECT *, CASE WHEN b <= a THEN (b + a) / 2e0 END AS mid FROM (SELECT *, max(CASE WHEN side = 'bid' THEN price END) OVER (PARTITION BY market_id, grid_ms) AS b, min(CASE WHEN side = 'ask' THEN price END) OVER (PARTITION BY market_id, grid_ms) AS a
+      FROM (SELECT *, unnest(range((from_ms + 4999) // 5000 * 5000, coalesce(to_ms, (SELECT e + 1 FROM win)), 5000)) AS grid_ms FROM lvl))) GROUP BY market_id, grid_ms) USING (market_id, grid_ms)"""
 
 
-@query(_GRID, "best_bid best_ask mid spread bid_depth_25bps_usd ask_depth_25bps_usd")
+@query(_GRID_SQL, "best_bid best_ask mid spread_bps best_bid_size_base bid_depth_25bps_usd ask_depth_25bps_usd two_sided_depth_25bps_usd")
 def book_sample_grid(m):
-    rows = rebuild.book_sample_grid(m.updates, m.end_ms, Sampling(depth_bps=(25,)))
-    return rows.select("market_id", "grid_ms", "best_bid", "best_ask", "mid", (F.col("best_ask") - F.col("best_bid")).alias("spread"), "book_update_age_ms", "bid_depth_25bps_usd", "ask_depth_25bps_usd")
+    rows = rebuild.book_sample_grid(m.updates, m.end_ms, Sampling(depth_bps=(25,), inactive_ms=10_000))
+    return rows.drop("best_ask_size_base", "best_bid_size_usd", "best_ask_size_usd")
 
 
 @query("""SELECT market_id, max(seen) FILTER (begins) AS first_active_at_ms, arg_max_null(nxt, seen) AS removed_at_ms, count(*) FILTER (begins) AS episodes FROM (

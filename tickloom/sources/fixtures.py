@@ -63,14 +63,17 @@ FROM nation WHERE n_nationkey < 9
 """,
     "fx_level_updates": """
 SELECT timestamp_ms, market_id, nonce,
-  CASE WHEN nonce % 97 = 0 THEN prev - 1 ELSE prev END AS begin_nonce,
-  CASE WHEN prev IS NULL OR nonce % 60 = 0 THEN 'snapshot' ELSE 'delta' END AS kind,
-  CASE WHEN tick < 0 THEN 'bid' ELSE 'ask' END AS side,
-  100e0 + tick*0.05e0 AS price, CAST(nonce % 7 AS DOUBLE) AS size
-FROM (SELECT 1704067200000 + event_id*1000 AS timestamp_ms, CAST(user_id % 5 AS INT) AS market_id, event_id AS nonce,
-        lag(event_id) OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS prev,
-        (event_id*13) % 21 - 10 AS tick
-      FROM events) x
+  CASE WHEN nonce % 211 = 0 THEN NULL WHEN nonce % 97 = 0 THEN prev - 1 ELSE prev END AS begin_nonce,
+  kind, CASE WHEN blank THEN NULL WHEN tick < 0 THEN 'bid' ELSE 'ask' END AS side,
+  CASE WHEN blank THEN NULL ELSE 100e0 + tick*0.05e0 END AS price,
+  CASE WHEN blank THEN NULL ELSE CAST((nonce + 3*k) % 7 AS DOUBLE) END AS size
+FROM (SELECT *, (nonce*13 + k*4) % 21 - 10 AS tick, nonce % 90 = 0 AS blank,
+        CASE WHEN nonce <> first_nonce AND nonce % 30 <> 0 THEN 'delta' WHEN nonce = first_nonce AND market_id = 4 THEN 'delta' ELSE 'snapshot' END AS kind
+      FROM (SELECT 1704067200000 + event_id*1000 AS timestamp_ms, CAST(user_id % 5 AS INT) AS market_id, event_id AS nonce,
+              lag(event_id) OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS prev, min(event_id) OVER (PARTITION BY user_id % 5) AS first_nonce
+            FROM events) x
+      CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) kk) y
+WHERE k = 0 OR (NOT blank AND (kind = 'snapshot' OR k <= nonce % 3))
 """,
     "fx_fills": """
 SELECT event_id AS fill_id, 1704067200000 + event_id*1000 + 500 AS timestamp_ms, CAST(user_id % 5 AS INT) AS market_id,

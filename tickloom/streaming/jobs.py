@@ -25,15 +25,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(rows: DataFrame, name: str, *, files: int = 4, order: str = "timestamp_ms") -> DataFrame:
-    """``rows`` written as a few sets of files, one after another in order of time, and read as a stream of one set a batch."""
+def as_stream(rows: DataFrame, name: str, *, batches: int = 4, order: str = "timestamp_ms", file_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` cut in ``batches`` ranges of time, each written as equally many files, range after range, and read as a stream of one range a batch."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
-    first, last = rows.agg(F.min(order), F.max(order)).first()
-    step = (last - first) // files + 1 if first is not None else 1
-    part = F.floor((F.col(order) - F.lit(first or 0)) / F.lit(step))
-    for k in range(files):  # the file source takes files in the order in which they were written
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    bounds = rows.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    step = (bounds.b - bounds.a) // batches + 1 if bounds.a is not None else 1
+    ranged = rows.withColumn("_range", F.floor((F.col(order) - F.lit(bounds.a or 0)) / F.lit(step)).cast("int"))
+    files = max(1, -(-bounds.n // (batches * file_rows)))
+    none = spark.createDataFrame([], rows.schema).coalesce(1)
+    for k in range(batches):  # the file source takes files in the order in which they were written
+        ranged.where(F.col("_range") == k).drop("_range").repartition(files).write.mode("append").parquet(path)
+        # Partitions without rows have no files; empty ones keep the ranges to their batches.
+        for _ in range((k + 1) * files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            none.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -82,28 +87,34 @@ _STATE = "nonce long, in_step boolean, prices array<double>, sizes array<double>
 
 
 def book_stream(updates: DataFrame) -> DataFrame:
-    """Best bid and ask after each level update, from a book kept as state: its levels (bids as negative prices), nonce and whether it is in step."""
+    """Best bid and ask after each message, from a book kept as state: its levels (bids as negative prices), the last applied nonce and whether it is in step.
+
+    Messages of a batch are taken in order of nonce; the levels of one are applied together. The
+    state is one book for each market, as large as the book is.
+    """
 
     def follow(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         nonce, in_step, prices, sizes = state.get if state.exists else (None, False, [], [])
-        book = dict(zip(prices, sizes, strict=True))
-        for frame in frames:
-            out = []
-            for r in frame.sort_values("nonce").itertuples():
-                if r.kind == "snapshot":
-                    book, in_step = {}, True
-                elif in_step and r.begin_nonce != nonce:
-                    in_step = False
-                nonce = r.nonce
-                if in_step:
-                    level = -r.price if r.side == "bid" else r.price
-                    book.pop(level, None)
-                    if r.size > 0:
-                        book[level] = r.size
+        book, out = dict(zip(prices, sizes, strict=True)), []
+        for number, levels in pd.concat(list(frames)).groupby("nonce", sort=True):
+            head = levels.iloc[0]
+            if head.kind == "snapshot":
+                book, in_step = {}, True
+            elif not in_step or pd.isna(head.begin_nonce) or int(head.begin_nonce) != nonce:
+                book, in_step = {}, False
+            best_bid = best_ask = None
+            if in_step:
+                nonce, told = int(number), levels[levels["price"].notna()]
+                for price, size in zip(told["price"].where(told["side"] == "ask", -told["price"]), told["size"], strict=True):
+                    if size > 0:
+                        book[price] = size
+                    else:
+                        book.pop(price, None)
                 bids, asks = [p for p in book if p < 0], [p for p in book if p > 0]
-                out.append((key[0], r.timestamp_ms, r.nonce, -min(bids) if in_step and bids else None, min(asks) if in_step and asks else None, in_step))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in BOOK.split(", ")])
-        state.update((int(nonce), bool(in_step), [float(p) for p in book], [float(s) for s in book.values()]))
+                best_bid, best_ask = -min(bids) if bids else None, min(asks, default=None)
+            out.append((key[0], int(head.timestamp_ms), int(number), best_bid, best_ask, in_step))
+        state.update((nonce, bool(in_step), [float(p) for p in book], [float(s) for s in book.values()]))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in BOOK.split(", ")]).astype({"best_bid": float, "best_ask": float})
 
     return updates.groupBy("market_id").applyInPandasWithState(follow, BOOK, _STATE, "append", GroupStateTimeout.NoTimeout)
 
