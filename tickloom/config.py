@@ -1,4 +1,4 @@
-"""Parameters of the analyses, with their defaults."""
+"""Parameters of the analyses, with their defaults. Results depend on them."""
 
 from __future__ import annotations
 

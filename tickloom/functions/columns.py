@@ -46,6 +46,11 @@ def markout_bps(trade_price: Column, future_mid: Column, reference_mid: Column,
     return F.when(reference_mid > 0, gain / reference_mid * 10000.0)
 
 
+def taker_is_buy(is_maker_ask: Column) -> Column:
+    """Whoever takes from an ask buys."""
+    return is_maker_ask
+
+
 def sample_quality(n: Column, policy: FillPolicy = FillPolicy()) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) < policy.meaningful, "insufficient").when(n < policy.reliable, "preliminary").otherwise("reliable")
 
@@ -149,7 +154,7 @@ SENSITIVE = (
     r"(?i)\bmarkets\.json\b",
     r"(?i)\bcollector_status\.json\b",
     r"(?i)\banalysis_status\.json\b",
-    r"(?i)\bTraceback\b[\s\S]{0,1000}[\s\S]{0,1000}",
+    r"(?i)\bTraceback\b[\s\S]{0,2000}",
     r"(?i)\bat\s+\S+\s+\(.*?:\d+:\d+\)",
     r"(?i)\bhttps?://(?:127\.0\.0\.1|localhost|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[0-1])\.\d+\.\d+)[^\s`'\")\]]*",
     r"(?i)\b(?:Bearer|token|secret|credential|password)\s*[:=]\s*\S+",
@@ -158,10 +163,13 @@ FALLBACK = "Internal detail omitted."
 
 
 def redact_text(text: Column, fallback: str = FALLBACK) -> Column:
-    """Sensitive parts replaced, runs of white space made one space; the fallback where nothing else is left."""
+    """Sensitive parts replaced, runs of white space made one space; the fallback where nothing else is left, or where what is left is sensitive again."""
     out = text
     for pattern in SENSITIVE:
         out = F.regexp_replace(out, pattern, "[redacted]")
     out = F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"^\s+|\s+$", "")
     empty = F.coalesce(out == "", F.lit(True)) | out.rlike(r"(?i)^[\[\]redacted\s.,;:-]+$")
-    return F.when(empty, F.lit(fallback)).otherwise(out)
+    again = F.lit(False)
+    for pattern in SENSITIVE:
+        again = again | out.rlike(pattern)
+    return F.when(empty | again, F.lit(fallback)).otherwise(out)

@@ -48,6 +48,12 @@ def event_watermark(tables: dict[str, DataFrame], time: str = "timestamp_ms") ->
     return union.select("dataset", "latest_ms").union(union.agg(F.max("latest_ms")).select(F.lit("all"), "max(latest_ms)"))
 
 
+def advance_watermark(stored: DataFrame, uploaded: DataFrame, keys: tuple[str, ...] = ("market_id",), column: str = "durable_ms") -> DataFrame:
+    """The stored marks with those of an upload merged in; a mark never goes back, and a key of either side has one."""
+    both = stored.select(*keys, column).unionByName(uploaded.select(*keys, column))
+    return both.groupBy(*keys).agg(F.max(column).alias(column))
+
+
 def rolling_window_bounds(latest: DataFrame, run_start_ms: int, *, hours: float | None = 24.0, ended_at_ms: int | None = None) -> DataFrame:
     """Start and end of the analysis from the durable watermark (``latest_ms``, one row); without one the job fails. No hours: the whole run."""
     mark = F.coalesce("latest_ms", F.raise_error(F.lit("no durable watermark")).cast("long"))

@@ -72,10 +72,23 @@ def executive_answers(scored: DataFrame) -> DataFrame:
     return scored.agg(n.alias("candidates"), exists.alias("exists"), (exists & (F.count_if(F.col("candidate") & (F.col("letter_rank") == "A")) > 0)).alias("proceed"), *sized)
 
 
+DETAIL = {"spread": ("mean_spread_bps", "median_spread_bps", "p95_spread_bps"), "depth": ("median_bbo_depth_usd", "median_two_sided_depth_5bps_usd", "median_two_sided_depth_10bps_usd", "median_two_sided_depth_25bps_usd"), "activity": ("total_trade_count", "total_quote_volume", "trades_per_minute_mean", "trades_per_minute_median"), "markouts": ("maker_markout_5s_median_bps", "maker_markout_30s_median_bps", "markout_5s_count", "markout_30s_count"), "fill": ("estimated_maker_fill_samples", "estimated_maker_fill_rate_30s_conservative", "estimated_maker_edge_30s_bps"), "coverage": ("observation_hours", "observation_coverage_pct", "usable_quote_coverage_pct", "spread_coverage_pct")}
+
+
+def market_detail(scored: DataFrame) -> DataFrame:
+    """One document for each market: its published row, all its texts and its metrics by subject."""
+    row = [c for c in market_row_projection(scored).columns if c not in ("market_id", "symbol", "pros", "cons", "warnings")]
+    ranks = F.struct(*(F.round(f"rank_{c}", 2).alias(c) for c in COMPONENTS)).alias("rank_components")
+    subjects = [F.struct(*cols).alias(name) for name, cols in DETAIL.items()]
+    return scored.select("market_id", "symbol", *(F.round(c, 4).alias(c) if c in ("score", "effective_score", "confidence") else F.col(c) for c in row), "pros", "cons", "warnings", "penalties", "confidence_reasons", "recommended_max_order_usd", "size_fit", ranks, *subjects)
+
+
 def ranking_export(scored: DataFrame) -> DataFrame:
-    """Flat rows: lists joined, sizes and components as columns."""
+    """Flat rows, each the whole record of a market: lists joined, sizes and components as columns."""
     join = lambda c: F.concat_ws(" | ", c).alias(c)
-    return scored.select("rank", "market_id", "symbol", "score", "confidence", "effective_score", "letter_rank", "candidate", join("cons"), join("warnings"), join("penalties"), *(F.col("size_fit")[f"fit_{int(n)}"].alias(f"fit_{int(n)}") for n in SIZE_LADDER), *(F.col(f"rank_{c}").alias(f"pct_{c}") for c in COMPONENTS))
+    lists, maps = ("pros", "cons", "warnings", "penalties", "confidence_reasons"), ("size_fit", "confidence_breakdown", "estimated_maker_fill_by_size")
+    plain = [c for c in scored.columns if c not in (*lists, *maps) and not (c.startswith("rank_"))]
+    return scored.select(*plain, *map(join, lists), *(F.col("size_fit")[f"fit_{int(n)}"].alias(f"fit_{int(n)}") for n in SIZE_LADDER), *(F.col(f"rank_{c}").alias(f"pct_{c}") for c in COMPONENTS))
 
 
 def overview_rollup(scored: DataFrame, least_coverage: float = 90.0) -> DataFrame:

@@ -193,19 +193,20 @@ def rank_markets(scored: DataFrame) -> DataFrame:
 
 
 def narratives(scored: DataFrame, limits: Candidates = Candidates()) -> DataFrame:
-    """``pros`` (six summary lines first), ``cons`` and ``warnings``."""
+    """``pros`` (six summary lines first), ``cons`` and ``warnings``. The texts."""
     spread, depth, tpm = F.col("median_spread_bps"), F.col("median_two_sided_depth_10bps_usd"), F.col("trades_per_minute_median")
     m5, m30, fill = F.col("maker_markout_5s_median_bps"), F.col("maker_markout_30s_median_bps"), F.col("estimated_maker_fill_rate_30s_conservative")
     held, samples, vol = _zero("pct_time_spread_ge_5bps"), _zero("estimated_maker_fill_samples"), F.col("p95_abs_mid_move_5s_bps")
     cover = F.coalesce(preferred_coverage(), F.lit(0.0))
-    signed = lambda x: F.format_string("%+.2f", x)
+    # Ties go to even digits, where a format alone would round them up.
+    signed = lambda x: F.format_string("%+.2f", F.bround(x, 2))
     summary = [
-        F.when(spread.isNotNull(), F.format_string("SPREAD: median %.2fbp", spread)).otherwise("SPREAD: n/a"),
-        F.when(depth.isNotNull(), F.format_string("DEPTH: $%,.0f within ±10bp", depth)).otherwise("DEPTH: n/a"),
-        F.when(tpm.isNotNull(), F.format_string("ACTIVITY: %.2f trades/min (market-level)", tpm)).otherwise("ACTIVITY: n/a"),
+        F.when(spread.isNotNull(), F.format_string("SPREAD: median %.2fbp", F.bround(spread, 2))).otherwise("SPREAD: n/a"),
+        F.when(depth.isNotNull(), F.format_string("DEPTH: $%,.0f within ±10bp", F.bround(depth, 0))).otherwise("DEPTH: n/a"),
+        F.when(tpm.isNotNull(), F.format_string("ACTIVITY: %.2f trades/min (market-level)", F.bround(tpm, 2))).otherwise("ACTIVITY: n/a"),
         F.when(m5.isNotNull() & m30.isNotNull(), F.concat(F.lit("MARKOUT: "), signed(m5), F.lit("bp @5s / "), signed(m30), F.lit("bp @30s"))).otherwise("MARKOUT: n/a"),
-        F.when(fill.isNotNull(), F.format_string("EST. FILL: %.0f%% @30s cons. ($50)", fill * 100)).otherwise("EST. FILL: n/a"),
-        F.format_string("PERSISTENCE: spread >=5bp for %.0f%% of observed time", held * 100),
+        F.when(fill.isNotNull(), F.format_string("EST. FILL: %.0f%% @30s cons. ($50)", F.bround(fill * 100, 0))).otherwise("EST. FILL: n/a"),
+        F.format_string("PERSISTENCE: spread >=5bp for %.0f%% of observed time", F.bround(held * 100, 0)),
     ]
     pros = [
         F.when((spread >= 3) & (held >= 0.25), "persistent/usable spread").when(spread >= 3, "meaningful median spread"),

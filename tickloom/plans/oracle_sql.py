@@ -129,6 +129,26 @@ PARTS: dict[str, str] = VIEWS | {
         list_slice(list_filter([CASE WHEN c5 < 0.25 OR c30 < 0.25 THEN 'low_markout_samples' END, CASE WHEN cf < 0.25 THEN 'low_fill_samples' END, CASE WHEN ct < 0.25 THEN 'low_trade_observations' END, CASE WHEN covered < 95 THEN 'low_coverage' END, CASE WHEN cd < 0.3 THEN 'short_observation_duration' END,
           CASE WHEN (c5 IS NULL OR c30 IS NULL) AND NOT coalesce(c5 < 0.25, false) AND NOT coalesce(c30 < 0.25, false) THEN 'missing_markout_samples' END, CASE WHEN cf IS NULL THEN 'missing_fill_samples' END, CASE WHEN ct IS NULL THEN 'missing_trade_observations' END, CASE WHEN covered IS NULL THEN 'missing_coverage' END, CASE WHEN cd IS NULL THEN 'missing_observation_duration' END], lambda x: x IS NOT NULL), 1, 3) AS confidence_reasons FROM cnf""",
     "rnk": "SELECT *, row_number() OVER (ORDER BY effective_score DESC, score DESC, coalesce(symbol, ''), market_id) AS rank FROM fin",
+    # The texts.
+    "nar": """SELECT *, list_filter([
+          CASE WHEN median_spread_bps IS NOT NULL THEN printf('SPREAD: median %.2fbp', median_spread_bps) ELSE 'SPREAD: n/a' END,
+          CASE WHEN median_two_sided_depth_10bps_usd IS NOT NULL THEN format('DEPTH: ${:,} within ±10bp', round_even(median_two_sided_depth_10bps_usd, 0)::BIGINT) ELSE 'DEPTH: n/a' END,
+          CASE WHEN trades_per_minute_median IS NOT NULL THEN printf('ACTIVITY: %.2f trades/min (market-level)', trades_per_minute_median) ELSE 'ACTIVITY: n/a' END,
+          CASE WHEN maker_markout_5s_median_bps IS NOT NULL AND maker_markout_30s_median_bps IS NOT NULL THEN printf('MARKOUT: %+.2fbp @5s / %+.2fbp @30s', maker_markout_5s_median_bps, maker_markout_30s_median_bps) ELSE 'MARKOUT: n/a' END,
+          CASE WHEN fill IS NOT NULL THEN printf('EST. FILL: %.0f%% @30s cons. ($50)', fill * 100) ELSE 'EST. FILL: n/a' END,
+          printf('PERSISTENCE: spread >=5bp for %.0f%% of observed time', coalesce(pct_time_spread_ge_5bps, 0) * 100),
+          CASE WHEN median_spread_bps >= 3 AND coalesce(pct_time_spread_ge_5bps, 0) >= 0.25 THEN 'persistent/usable spread' WHEN median_spread_bps >= 3 THEN 'meaningful median spread' END,
+          CASE WHEN coalesce(pct_time_spread_ge_5bps, 0) >= 0.35 THEN 'spread >=5bp for substantial fraction of time' END,
+          CASE WHEN trades_per_minute_median >= 5 THEN 'high trade frequency (market-level; not Estimated Maker Fill)' END,
+          CASE WHEN fill >= 0.3 THEN 'meaningful Estimated Maker Fill @30s conservative ($50)' END,
+          CASE WHEN median_two_sided_depth_10bps_usd >= 1000 THEN 'sufficient two-sided depth within ±10bp' END,
+          CASE WHEN maker_markout_5s_median_bps > 0 THEN 'positive 5s maker markout' END,
+          CASE WHEN maker_markout_30s_median_bps > 0 THEN 'positive 30s maker markout' END], lambda x: x IS NOT NULL) AS pros,
+        list_filter([CASE WHEN median_spread_bps < 1.5 THEN 'tight spread — limited edge after fees/latency' END, CASE WHEN coalesce(trades_per_minute_median, 0) < 1 THEN 'low trade activity' END,
+          CASE WHEN p6 THEN 'Estimated Maker Fill ~0 @30s conservative (touch rarely clears)' END, CASE WHEN coalesce(median_two_sided_depth_10bps_usd, 0) < 500 THEN 'thin two-sided depth' END, CASE WHEN maker_markout_5s_median_bps < 0 THEN 'negative 5s maker markout (adverse selection)' END,
+          CASE WHEN p95_abs_mid_move_5s_bps > median_spread_bps * 2 THEN 'elevated 5s volatility vs spread' END], lambda x: x IS NOT NULL) AS cons,
+        list_concat(list_filter([CASE WHEN NOT p6 AND estimated_maker_fill_samples < 100 THEN 'Estimated Maker Fill sample insufficient (<100)' END, CASE WHEN abs(current_funding_rate) > 0.01 THEN 'funding relatively high' END, CASE WHEN cover >= 90 AND cover < 95 THEN 'data coverage below 95%' END], lambda x: x IS NOT NULL), penalties) AS warnings
+        FROM (SELECT *, estimated_maker_fill_rate_30s_conservative AS fill FROM rnk)""",
     "st1": """SELECT mw.market_id, mw.symbol, first_observed_ms, last_observed_ms, observed_samples AS book_observation_count, coalesce(total_trade_count, 0) AS trade_count, median_spread_bps, median_two_sided_depth_10bps_usd, pct_time_spread_ge_5bps, trades_per_minute_mean, trades_per_minute_median, maker_markout_5s_median_bps,
         least(1e0, observed_samples / round_even(greatest(1e0, mw.market_observation_seconds * 1000e0 / 5000e0 + 1), 0)) AS observation_coverage, mw.market_observation_seconds / 3600e0 AS observation_hours
         FROM mw LEFT JOIN cov USING (market_id) LEFT JOIN sprd USING (market_id) LEFT JOIN dep USING (market_id) LEFT JOIN pers USING (market_id) LEFT JOIN tot USING (market_id) LEFT JOIN tpm USING (market_id) LEFT JOIN mk USING (market_id)""",

@@ -68,14 +68,13 @@ def scan_market_table(m):
     return tables.scan_market_table(m.books, START_MS + 120_000, START_MS + 900_000, columns=["market_id", "timestamp_ms", "mid", "best_bid"], market_ids=(1, 3, 5))
 
 
-@query()
+@query(f"SELECT 2 - (timestamp_ms >= {START_MS + 600_000})::INT AS layout_depth, count(*) AS rows, max(timestamp_ms) AS latest_ms FROM fx_trades GROUP BY 1")
 def discover_layout(m):
     root = jobs.scratch(m.spark, "layout")
     split = START_MS + 600_000
     tables.write_partitioned(m.trades.where(F.col("timestamp_ms") < split), root)
-    m.trades.where(F.col("timestamp_ms") >= split).withColumn("date", F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd")).write.mode("append").partitionBy("date").parquet(f"{root}-daily")
-    found = tables.discover_layout(m.spark, root).unionByName(tables.discover_layout(m.spark, f"{root}-daily"), allowMissingColumns=True)
-    return found.groupBy("layout_depth").agg(F.count(F.lit(1)).alias("rows"), F.max("timestamp_ms").alias("latest_ms"))
+    m.trades.where(F.col("timestamp_ms") >= split).withColumn("date", F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd")).write.mode("append").partitionBy("date").parquet(root)
+    return tables.discover_layout(m.spark, root).groupBy("layout_depth").agg(F.count(F.lit(1)).alias("rows"), F.max("timestamp_ms").alias("latest_ms"))
 
 
 @query("SELECT market_id, timestamp_ms, price, NULL::DOUBLE AS size, NULL::DOUBLE AS reference_mid, ['size', 'reference_mid'] AS absent_columns FROM fx_trades", "price")
@@ -83,11 +82,20 @@ def conform_schema(m):
     return tables.conform_schema(m.trades, {"market_id": "int", "timestamp_ms": "long", "price": "double", "size": "double", "reference_mid": "double"})
 
 
-@query()
-def file_health_scan(m):
+def _damaged(m: Market) -> str:
+    """A folder with a file of trades for each market, and one file of text under a Parquet name."""
     root = jobs.scratch(m.spark, "health")
-    tables.write_partitioned(m.trades, root)
-    return tables.file_health_summary(tables.file_health(m.spark, root))
+    m.trades.repartition("market_id").write.partitionBy("market_id").parquet(root)
+    m.trades.where("market_id = 0").select(F.lit("PAR1 no Parquet PAR1").alias("value")).coalesce(1).write.text(f"{root}/not")
+    tables.rename_files(m.spark, f"{root}/not", f"{root}/bad", ".txt", ".parquet")
+    return root
+
+
+@query("SELECT count(DISTINCT market_id) + 1 AS files, count(DISTINCT market_id) AS valid_files, 1 AS corrupt_files, 'degraded' AS status, ['unreadable footer'] AS reasons FROM fx_trades")
+def file_health_scan(m):
+    health = tables.file_health(m.spark, _damaged(m))
+    reasons = tables.quarantine_list(health).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return tables.file_health_summary(health).join(F.broadcast(reasons), F.lit(True))  # one row each
 
 
 @query("SELECT 'books' AS dataset, max(timestamp_ms) AS latest_ms FROM fx_books UNION ALL SELECT 'trades', max(timestamp_ms) FROM fx_trades UNION ALL SELECT 'markouts', max(timestamp_ms) FROM fx_markouts UNION ALL SELECT 'all', greatest((SELECT max(timestamp_ms) FROM fx_books), (SELECT max(timestamp_ms) FROM fx_trades), (SELECT max(timestamp_ms) FROM fx_markouts))")
@@ -95,8 +103,14 @@ def dataset_event_watermark(m):
     return quality.event_watermark({"books": m.books, "trades": m.trades, "markouts": m.markouts})
 
 
-ORACLES["durable_watermark"] = ORACLES["dataset_event_watermark"]
-QUERIES["durable_watermark"] = QUERIES["dataset_event_watermark"]
+@query("SELECT market_id, max(timestamp_ms) AS durable_ms FROM fx_books GROUP BY market_id")
+def durable_watermark(m):
+    """Marks of four uploads in an order that isn't that of time: a mark never goes back."""
+    uploads = [m.books.where((F.floor(F.col("timestamp_ms") / 60_000) % 4) == k).groupBy("market_id").agg(F.max("timestamp_ms").alias("durable_ms")) for k in (3, 0, 2, 1)]
+    mark = uploads[0]
+    for u in uploads[1:]:
+        mark = quality.advance_watermark(mark, u)
+    return mark
 
 
 @query("SELECT strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') AS day, strftime(make_timestamp(timestamp_ms * 1000), '%H') AS hour, count(*) AS rows, count(DISTINCT market_id) AS markets FROM fx_books GROUP BY 1, 2")
@@ -106,14 +120,28 @@ def partitioned_sink(m):
     return m.spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("day"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("market_id").alias("markets"))
 
 
-@query("SELECT market_id, trade_id, timestamp_ms, price, NULL::DOUBLE AS size, usd_amount, is_maker_ask, type, false AS corrupt FROM fx_trades UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'trade', true FROM region", "price usd_amount")
+_FED = "CASE WHEN event_id % 23 = 0 THEN user_id % 7 ELSE user_id % 5 END::INT AS market_id, event_id AS trade_id, 1704067200000 + event_id AS timestamp_ms, 100.5e0 + event_id % 9 AS price, 2e0 AS size, CASE WHEN event_id % 4 = 0 THEN 0e0 ELSE 7.25e0 END AS usd_amount, event_id % 2 = 0 AS is_maker_ask, CASE WHEN event_id % 5 = 0 THEN 'liquidation' ELSE 'trade' END AS type, event_id % 19 = 0 AS snapshot, false AS corrupt"
+_UNFED = "NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, event_id % 19 = 0, true"
+
+
+@query(f"""SELECT {_FED} FROM events, (SELECT unnest([1, 2, 3]) AS copy) WHERE event_id % 3 = 0 AND NOT (copy = 3 AND event_id % 6 = 0) UNION ALL SELECT {_FED} FROM events WHERE event_id % 3 = 1 AND event_id % 29 <> 0
+  UNION ALL SELECT {_UNFED} FROM events WHERE event_id % 6 = 0 OR (event_id % 3 = 1 AND event_id % 29 = 0) UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, true FROM region""", "price size usd_amount")
 def feed_ingest(m):
-    one = F.struct(F.col("trade_id"), F.col("timestamp_ms").alias("timestamp"), F.col("price").cast("string").alias("price"), F.lit("").alias("size"), F.col("usd_amount").cast("string").alias("usd_amount"), "is_maker_ask", "type")
-    listed = F.when(F.col("type") == "trade", F.to_json(F.array(one)))
-    alone = F.when(F.col("type") != "trade", F.to_json(one))
-    message = F.concat(F.lit('{"type":"update/trade","channel":"trade:'), F.col("market_id"), F.lit('"'), F.coalesce(F.concat(F.lit(',"trades":'), listed), F.lit("")), F.coalesce(F.concat(F.lit(',"liquidation_trades":'), alone), F.lit("")), F.lit("}"))
     bad = m.table("region").select(F.lit("{not json").alias("value"))
-    return tables.feed_trades(m.trades.select(message.alias("value")).union(bad))
+    others = m.messages.select(F.col("stats_message").alias("value"))
+    return tables.feed_trades(m.messages.select(F.col("trade_message").alias("value")).union(bad).union(others))
+
+
+@query("SELECT user_id % 5 AS market_id, 'M' || user_id % 5 AS symbol, 100.25e0 + event_id % 9 AS mark_price, NULL::DOUBLE AS index_price, -1.5e0 AS daily_price_change, 1704067200000 + event_id AS updated_at_ms FROM events", "mark_price daily_price_change")
+def feed_market_stats(m):
+    return tables.feed_stats(m.messages.select(F.col("stats_message").alias("value"))).select("market_id", "symbol", "mark_price", "index_price", "daily_price_change", "updated_at_ms")
+
+
+@query("""SELECT user_id % 5 AS market_id, 1704067200000 + event_id AS timestamp_ms, event_id AS nonce, CASE WHEN event_id % 7 <> 0 THEN event_id - 1 END AS begin_nonce, CASE WHEN event_id % 11 = 0 THEN 'snapshot' ELSE 'delta' END AS kind, l.side, l.price,
+  CASE WHEN l.price = 99.5e0 THEN event_id % 4 WHEN l.price = 100.5e0 THEN 2e0 WHEN l.price = 101e0 THEN 0e0 END::DOUBLE AS size
+  FROM (SELECT *, unnest(CASE WHEN event_id % 5 = 0 THEN [NULL] ELSE [{'side': 'bid', 'price': 99.5e0}, {'side': 'ask', 'price': 100.5e0}, {'side': 'ask', 'price': 101e0}] END) AS l FROM events)""", "price size")
+def feed_books(m):
+    return tables.feed_book_updates(m.messages.select(F.col("book_message").alias("value")))
 
 
 @query("SELECT n_nationkey AS market_id, n_name AS symbol, 'perp' AS market_type, 'active' AS status FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0")
@@ -122,18 +150,38 @@ def market_dimension(m):
     return tables.market_dimension(raw)
 
 
+# The whole record of a market; ``nar`` has the texts too.
 _EXPORT = ", ".join(f"rank_{c} AS pct_{c}" for c in WEIGHTS)
 
 
-@query(f"SELECT rank, market_id, symbol, score, confidence, effective_score, letter_rank, candidate, array_to_string(penalties, ' | ') AS penalties, {', '.join(f'coalesce(median_two_sided_depth_10bps_usd, 0) >= {n * 4} AS fit_{n}' for n in (25, 50, 100, 250, 500, 1000))}, {_EXPORT} FROM rnk", "score confidence effective_score " + " ".join(f"pct_{c}" for c in WEIGHTS))
+_EXPORT_D = "score confidence effective_score recommended_max_order_usd median_spread_bps " + " ".join(f"pct_{c}" for c in WEIGHTS)
+_LADDER = "[25e0, 50e0, 100e0, 250e0, 500e0, 1000e0]"
+
+
+@query(f"""SELECT rank, market_id, symbol, score, confidence, effective_score, letter_rank, candidate, total_trade_count, median_spread_bps, list_max(list_filter({_LADDER}, lambda x: x <= 0.25e0 * coalesce(median_two_sided_depth_10bps_usd, median_two_sided_depth_5bps_usd))) AS recommended_max_order_usd,
+  array_to_string(pros, ' | ') AS pros, array_to_string(cons, ' | ') AS cons, array_to_string(warnings, ' | ') AS warnings, array_to_string(penalties, ' | ') AS penalties, {', '.join(f'coalesce(median_two_sided_depth_10bps_usd, 0) >= {n * 4} AS fit_{n}' for n in (25, 50, 100, 250, 500, 1000))}, {_EXPORT} FROM nar""", _EXPORT_D)
 def export_ranking_csv(m):
-    return report.ranking_export(ranked_markets(inputs(m))).drop("cons", "warnings")
+    """Written as CSV and read back, with its types; an empty ranking is one row that says so."""
+    rows, root = report.ranking_export(ranked_markets(inputs(m))), jobs.scratch(m.spark, "export")
+    kept = rows.select("rank", "market_id", "symbol", "letter_rank", "candidate", "total_trade_count", "pros", "cons", "warnings", "penalties", *(f"fit_{n}" for n in (25, 50, 100, 250, 500, 1000)), *_EXPORT_D.split())
+    tables.export_csv(kept, f"{root}/some")
+    tables.export_csv(kept.where(F.lit(False)), f"{root}/none")
+    said = m.spark.read.option("header", True).csv(f"{root}/none").agg(F.count_if(F.col("message") == "no data").alias("_said"))
+    back = m.spark.read.schema(kept.schema).option("header", True).option("emptyValue", "").csv(f"{root}/some").fillna("", ["pros", "cons", "warnings", "penalties"])
+    return back.join(F.broadcast(said), F.lit(True)).where("_said = 1").drop("_said")  # one row
 
 
-@query()
+@query("SELECT 'g1' AS generation, (SELECT count(*) FROM nar) AS markets, (SELECT count(*) FROM nar WHERE candidate) AS candidates, (SELECT count(DISTINCT symbol) FROM nar) AS documents, (SELECT round(sum(round(score, 2)), 1) FROM nar) AS scores, (SELECT symbol FROM nar WHERE rank = 1) AS best", "scores")
 def publish_generation(m):
-    x = ranked_markets(inputs(m))
-    return tables.publish_generation({"overview": report.overview_rollup(x), "markets": report.market_row_projection(x)}, jobs.scratch(m.spark, "published"), "g1")
+    x, root = ranked_markets(inputs(m)), jobs.scratch(m.spark, "published")
+    rows = report.market_row_projection(x)
+    pointer = tables.publish_generation({"overview": report.overview_rollup(x), "markets": rows, "candidates": rows.where("candidate"), "market": report.market_detail(x)}, root, "g1", by={"market": "symbol"})
+    at = f"{root}/generations/g1"
+    markets, candidates, documents = (m.spark.read.schema(rows.schema).json(f"{at}/markets"), m.spark.read.schema(rows.schema).json(f"{at}/candidates"), m.spark.read.schema("symbol string, market_id int").json(f"{at}/market"))
+    found = markets.agg(F.count(F.lit(1)).alias("markets"), F.round(F.sum("score"), 1).alias("scores"), F.max(F.when(F.col("rank") == 1, F.col("symbol"))).alias("best"))
+    for df in (candidates.agg(F.count(F.lit(1)).alias("candidates")), documents.agg(F.countDistinct("symbol").alias("documents")), pointer.select("generation")):
+        found = found.join(F.broadcast(df), F.lit(True))  # one row each
+    return found
 
 
 # Projections and filters
@@ -199,9 +247,12 @@ def screened_rows(m):
     return rows.select("market_id", "symbol", "analysis_stage", "median_spread_bps", "total_trade_count", "maker_markout_5s_median_bps", "score", "markout_5s_count", "warnings")
 
 
-@query("SELECT market_id, symbol, rank, round(score, 2) AS score, round(effective_score, 2) AS effective_score, round(confidence, 4) AS confidence, confidence_label, letter_rank, candidate FROM rnk", "score effective_score confidence")
+_ODD = "CASE WHEN maker_markout_5s_median_bps IS NOT NULL AND total_trade_count = 0 THEN ['markout exists but trade count is zero; possible trade aggregation inconsistency'] ELSE [] END"
+
+
+@query(f"SELECT market_id, symbol, rank, round(score, 2) AS score, round(effective_score, 2) AS effective_score, round(confidence, 4) AS confidence, confidence_label, letter_rank, candidate, list_slice(pros, 1, 6) AS pros, list_slice(cons, 1, 6) AS cons, list_concat(warnings, {_ODD}) AS warnings FROM nar", "score effective_score confidence")
 def market_row_projection(m):
-    return report.market_row_projection(ranked_markets(inputs(m))).drop("pros", "cons", "warnings")
+    return report.market_row_projection(ranked_markets(inputs(m)))
 
 
 @query("SELECT market_id, symbol, median_spread_bps FROM rnk WHERE contains(lower(symbol), 'm') AND market_id <> 99", "median_spread_bps")
@@ -502,9 +553,9 @@ def cross_section_stats(m):
     return scoring.cross_section_stats(market_rows(inputs(m)), "median_spread_bps")
 
 
-@query("SELECT count(*) AS markets, count(*) FILTER (candidate) AS candidates, avg(coalesce(observation_coverage_pct, data_coverage_pct)) AS mean_coverage_pct, arg_min(symbol, rank) FILTER (candidate) AS top_candidate, count(*) FILTER (maker_markout_5s_median_bps IS NOT NULL AND total_trade_count = 0) AS inconsistent_markets, CASE WHEN count(*) = 0 THEN 'DEGRADED' ELSE 'OK' END AS status FROM rnk", "mean_coverage_pct")
+@query("SELECT count(*) AS markets, count(*) FILTER (candidate) AS candidates, avg(coalesce(observation_coverage_pct, data_coverage_pct)) AS mean_coverage_pct, arg_min(symbol, rank) FILTER (candidate) AS top_candidate, count(*) FILTER (maker_markout_5s_median_bps IS NOT NULL AND total_trade_count = 0) AS inconsistent_markets, CASE WHEN count(*) = 0 THEN 'DEGRADED' ELSE 'OK' END AS status, list_filter([CASE WHEN avg(coalesce(observation_coverage_pct, data_coverage_pct)) < 80 THEN 'low data coverage' END, CASE WHEN avg(coalesce(observation_coverage_pct, data_coverage_pct)) < 90 THEN 'candidate ranking is provisional' END, CASE WHEN count(*) FILTER (maker_markout_5s_median_bps IS NOT NULL AND total_trade_count = 0) > 0 THEN 'markout without trades' END], lambda x: x IS NOT NULL) AS warnings FROM rnk", "mean_coverage_pct")
 def overview_rollup(m):
-    return report.overview_rollup(ranked_markets(inputs(m))).drop("warnings")
+    return report.overview_rollup(ranked_markets(inputs(m)))
 
 
 @query("SELECT (SELECT count(*) FROM fx_books) AS raw_books, (SELECT count(*) FROM bk) AS dedup_books, (SELECT count(*) FROM fx_trades) AS raw_trades, (SELECT count(*) FROM td) AS dedup_trades, (SELECT max(timestamp_ms) FROM fx_books) AS latest_ms")
@@ -582,9 +633,6 @@ def avoid_list(m):
     return report.avoid_list(ranked_markets(inputs(m))).select("market_id", "median_spread_bps", "letter_rank")
 
 
-_LADDER = "[25e0, 50e0, 100e0, 250e0, 500e0, 1000e0]"
-
-
 @query(f"SELECT market_id, list_max(list_filter({_LADDER}, lambda x: x <= 0.25e0 * coalesce(median_two_sided_depth_10bps_usd, median_two_sided_depth_5bps_usd))) AS recommended_max_order_usd FROM dep", "recommended_max_order_usd")
 def recommended_max_order(m):
     return books.depth_medians(deduped(m)).select("market_id", C.recommended_order(F.col("median_two_sided_depth_5bps_usd"), F.col("median_two_sided_depth_10bps_usd")).alias("recommended_max_order_usd"))
@@ -596,13 +644,9 @@ def size_fit(m):
     return books.depth_medians(deduped(m)).select("market_id", *(fit[f"fit_{n}"].alias(f"fit_{n}") for n in (25, 50, 100, 250, 500, 1000)))
 
 
-@query("""SELECT market_id, list_filter([CASE WHEN median_spread_bps < 1.5 THEN 'tight spread — limited edge after fees/latency' END, CASE WHEN trades_per_minute_median < 1 THEN 'low trade activity' END,
-  CASE WHEN p6 THEN 'Estimated Maker Fill ~0 @30s conservative (touch rarely clears)' END, CASE WHEN coalesce(median_two_sided_depth_10bps_usd, 0) < 500 THEN 'thin two-sided depth' END, CASE WHEN p4 THEN 'negative 5s maker markout (adverse selection)' END,
-  CASE WHEN p95_abs_mid_move_5s_bps > median_spread_bps * 2 THEN 'elevated 5s volatility vs spread' END], lambda x: x IS NOT NULL) AS cons,
-  list_concat(list_filter([CASE WHEN NOT p6 AND estimated_maker_fill_samples < 100 THEN 'Estimated Maker Fill sample insufficient (<100)' END, CASE WHEN abs(current_funding_rate) > 0.01 THEN 'funding relatively high' END, CASE WHEN cover >= 90 AND cover < 95 THEN 'data coverage below 95%' END], lambda x: x IS NOT NULL), penalties) AS warnings,
-  printf('SPREAD: median %.2fbp', median_spread_bps) AS spread_line FROM rnk""")
+@query("SELECT market_id, pros, cons, warnings FROM nar")
 def narratives(m):
-    return ranked_markets(inputs(m)).select("market_id", "cons", "warnings", F.col("pros")[0].alias("spread_line"))
+    return ranked_markets(inputs(m)).select("market_id", "pros", "cons", "warnings")
 
 
 def live(m: Market) -> DataFrame:
@@ -630,11 +674,13 @@ def metric_leaders(m):
     return report.metric_leaders(ranked_markets(inputs(m)))
 
 
-@query("SELECT count(*) FILTER (candidate) AS candidates, (count(*) FILTER (candidate AND letter_rank IN ('A', 'B')) > 0) OR (count(*) FILTER (candidate) >= 3 AND coalesce(max(CASE WHEN rank = 1 THEN score END) >= 55, false)) AS \"exists\", list_slice(list(symbol ORDER BY rank), 1, 3) AS top3 FROM rnk")
+_EXISTS = "(count(*) FILTER (candidate AND letter_rank IN ('A', 'B')) > 0 OR (count(*) FILTER (candidate) >= 3 AND coalesce(max(CASE WHEN rank = 1 THEN score END) >= 55, false)))"
+_SIZED = ", ".join(f"CASE WHEN count(*) FILTER (candidate AND coalesce(median_two_sided_depth_10bps_usd, 0) >= {n * 4}) > 0 THEN list_slice(list(symbol ORDER BY rank) FILTER (candidate AND coalesce(median_two_sided_depth_10bps_usd, 0) >= {n * 4}), 1, 5) ELSE list_slice(list(symbol ORDER BY rank) FILTER (rank <= 3), 1, 3) END AS symbols_{n}" for n in (100, 500, 1000))
+
+
+@query(f"SELECT count(*) FILTER (candidate) AS candidates, {_EXISTS} AS \"exists\", {_EXISTS} AND count(*) FILTER (candidate AND letter_rank = 'A') > 0 AS proceed, {_SIZED} FROM rnk")
 def executive_answers(m):
-    x = ranked_markets(inputs(m))
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda r: r["symbol"]), 1, 3)
-    return report.executive_answers(x).select("candidates", "exists").join(F.broadcast(x.agg(first.alias("top3"))), F.lit(True))  # one row each
+    return report.executive_answers(ranked_markets(inputs(m)))
 
 
 _SC_D = "score confidence effective_score median_spread_bps " + " ".join(_RK)
@@ -663,12 +709,14 @@ def market_id_union(m):
 # Column functions
 
 
-@query("SELECT market_id, timestamp_ms, CASE WHEN best_bid > 0 AND best_ask > 0 AND best_bid <= best_ask THEN (best_bid + best_ask) / 2e0 END AS safe_mid, CASE WHEN mid > 0 THEN (best_ask - best_bid) / mid * 10000e0 END AS move_bps FROM fx_books", "safe_mid move_bps")
+@query("SELECT market_id, timestamp_ms, CASE WHEN best_bid > 0 AND best_ask > 0 AND best_bid <= best_ask THEN (best_bid + best_ask) / 2e0 END AS safe_mid FROM fx_books", "safe_mid")
 def safe_mid(m):
-    return m.books.select("market_id", "timestamp_ms", C.safe_mid(F.col("best_bid"), F.col("best_ask")).alias("safe_mid"), C.bps_move(F.col("best_ask") - F.col("best_bid"), F.col("mid")).alias("move_bps"))
+    return m.books.select("market_id", "timestamp_ms", C.safe_mid(F.col("best_bid"), F.col("best_ask")).alias("safe_mid"))
 
 
-QUERIES["bps_move"], ORACLES["bps_move"] = QUERIES["safe_mid"], ORACLES["safe_mid"]
+@query("SELECT market_id, timestamp_ms, CASE WHEN mid > 0 THEN (best_ask - best_bid) / mid * 10000e0 END AS move_bps FROM fx_books", "move_bps")
+def bps_move(m):
+    return m.books.select("market_id", "timestamp_ms", C.bps_move(F.col("best_ask") - F.col("best_bid"), F.col("mid")).alias("move_bps"))
 
 
 @query("SELECT market_id, trade_id, horizon_s, CASE WHEN reference_mid > 0 THEN CASE WHEN is_maker_ask THEN price - future_mid ELSE future_mid - price END / reference_mid * 10000e0 END AS maker_markout_bps, is_maker_ask AS taker_is_buy FROM futm WHERE future_mid IS NOT NULL AND reference_mid IS NOT NULL", "maker_markout_bps")
@@ -676,7 +724,10 @@ def markout_bps(m):
     return markouts.compute_markouts(regular(m), mids(m)).select("market_id", "trade_id", "horizon_s", "maker_markout_bps", F.col("is_maker_ask").alias("taker_is_buy"))
 
 
-QUERIES["taker_is_buy"], ORACLES["taker_is_buy"] = QUERIES["markout_bps"], ORACLES["markout_bps"]
+@query("SELECT market_id, count(*) FILTER (is_maker_ask) AS buys, count(*) FILTER (NOT is_maker_ask) AS sells, coalesce(sum(usd_amount) FILTER (is_maker_ask), 0e0) AS bought_usd FROM fx_trades GROUP BY market_id", "bought_usd")
+def taker_is_buy(m):
+    buys = C.taker_is_buy(F.col("is_maker_ask"))
+    return m.trades.groupBy("market_id").agg(F.count_if(buys).alias("buys"), F.count_if(~buys).alias("sells"), F.coalesce(F.sum(F.when(buys, F.col("usd_amount"))), F.lit(0.0)).alias("bought_usd"))
 
 
 @query("SELECT market_id, estimated_maker_fill_samples AS n, estimated_maker_fill_sample_quality AS quality FROM fst")
@@ -684,12 +735,14 @@ def sample_quality(m):
     return rates(m).select("market_id", F.col("estimated_maker_fill_samples").alias("n"), C.sample_quality(F.col("estimated_maker_fill_samples")).alias("quality"))
 
 
-@query("SELECT market_id, timestamp_ms, coalesce(funding_rate, 0e0) * 10000e0 AS fee_bps, timestamp_ms // 30000 AS bucket FROM fx_books", "fee_bps")
-def snapshot_bucket(m):
-    return m.books.select("market_id", "timestamp_ms", C.fee_rate_to_bps(F.col("funding_rate")).alias("fee_bps"), C.snapshot_bucket(F.col("timestamp_ms")).alias("bucket"))
+@query("SELECT market_id, timestamp_ms, coalesce(funding_rate, 0e0) * 10000e0 AS fee_bps FROM fx_books", "fee_bps")
+def fee_rate_to_bps(m):
+    return m.books.select("market_id", "timestamp_ms", C.fee_rate_to_bps(F.col("funding_rate")).alias("fee_bps"))
 
 
-QUERIES["fee_rate_to_bps"], ORACLES["fee_rate_to_bps"] = QUERIES["snapshot_bucket"], ORACLES["snapshot_bucket"]
+@query("SELECT market_id, timestamp_ms, timestamp_ms // 30000 AS bucket FROM fx_books")
+def snapshot_bucket(m):
+    return m.books.select("market_id", "timestamp_ms", C.snapshot_bucket(F.col("timestamp_ms")).alias("bucket"))
 
 
 @query("SELECT market_id, ceil(market_observation_seconds / 3600e0 * 3600000e0 / 30000e0)::BIGINT AS most FROM mw")
@@ -697,14 +750,21 @@ def max_snapshots(m):
     return windows(m).select("market_id", C.max_snapshots(F.col("market_observation_seconds") / 3600.0).alias("most"))
 
 
-@query("SELECT market_id, total_trade_count / (total_trade_count + 300e0) AS hill, 1e0 - exp(-(market_observation_seconds / 3600e0) / 24e0) AS duration, CASE WHEN usable_quote_coverage_pct >= 99 THEN 1e0 WHEN usable_quote_coverage_pct <= 80 THEN usable_quote_coverage_pct / 80e0 * 0.5e0 WHEN usable_quote_coverage_pct <= 90 THEN 0.5e0 + (usable_quote_coverage_pct - 80e0) / 10e0 * 0.3e0 WHEN usable_quote_coverage_pct <= 95 THEN 0.8e0 + (usable_quote_coverage_pct - 90e0) / 5e0 * 0.15e0 ELSE 0.95e0 + (usable_quote_coverage_pct - 95e0) / 4e0 * 0.05e0 END AS coverage FROM covp JOIN tot USING (market_id)", "hill duration coverage")
-def confidence_leaves(m):
-    rows = books.book_metrics(deduped(m), windows(m)).join(trades.trade_totals(regular(m)), "market_id")
-    return rows.select("market_id", C.hill(F.col("total_trade_count"), 300.0).alias("hill"), C.duration_confidence(F.col("market_observation_seconds") / 3600.0, 24.0).alias("duration"), C.coverage_confidence(F.col("usable_quote_coverage_pct")).alias("coverage"))
+@query("SELECT market_id, total_trade_count / (total_trade_count + 300e0) AS confidence FROM tot", "confidence")
+def hill_confidence(m):
+    return trades.trade_totals(regular(m)).select("market_id", C.hill(F.col("total_trade_count"), 300.0).alias("confidence"))
+
+
+@query("SELECT market_id, 1e0 - exp(-(market_observation_seconds / 3600e0) / 24e0) AS confidence FROM mw", "confidence")
+def duration_confidence(m):
+    return windows(m).select("market_id", C.duration_confidence(F.col("market_observation_seconds") / 3600.0, 24.0).alias("confidence"))
 
 
-for _name in ("hill_confidence", "coverage_confidence", "duration_confidence"):
-    QUERIES[_name], ORACLES[_name] = QUERIES["confidence_leaves"], ORACLES["confidence_leaves"]
+@query("SELECT market_id, x, CASE WHEN x >= 99 THEN 1e0 WHEN x <= 80 THEN x / 80e0 * 0.5e0 WHEN x <= 90 THEN 0.5e0 + (x - 80e0) / 10e0 * 0.3e0 WHEN x <= 95 THEN 0.8e0 + (x - 90e0) / 5e0 * 0.15e0 ELSE 0.95e0 + (x - 95e0) / 4e0 * 0.05e0 END AS confidence FROM (SELECT market_id, usable_quote_coverage_pct - 3e0 * market_id AS x FROM covp)", "x confidence")
+def coverage_confidence(m):
+    """The coverages less a few percent by market, so that all pieces of the line are met."""
+    rows = books.book_metrics(deduped(m), windows(m)).select("market_id", (F.col("usable_quote_coverage_pct") - 3.0 * F.col("market_id")).alias("x"))
+    return rows.withColumn("confidence", C.coverage_confidence(F.col("x")))
 
 
 @query("SELECT market_id, " + ", ".join(f"CASE WHEN {c} IS NULL OR {c} < 0 THEN 'missing' WHEN {c} = 0 THEN 'zero' ELSE 'value' END AS {c}_state" for c in ("markout_5s_count", "markout_30s_count", "estimated_maker_fill_samples", "total_trade_count", "observation_hours")) + " FROM mr")
@@ -712,13 +772,15 @@ def sample_state(m):
     return scoring.sample_states(market_rows(inputs(m)))
 
 
-@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.missing') AS DOUBLE), try_cast(value AS DOUBLE)) AS number, try_cast(nullif(trim(CASE WHEN event_id % 7 = 0 THEN ' ' ELSE value::VARCHAR END), '') AS DOUBLE) AS blank_number FROM events", "number blank_number")
+@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.missing') AS DOUBLE), try_cast(value AS DOUBLE)) AS number FROM events", "number")
 def first_present_number(m):
-    text = F.when(F.col("event_id") % 7 == 0, " ").otherwise(F.col("value").cast("string"))
-    return m.table("events").select("event_id", C.first_number(F.get_json_object("props", "$.missing"), F.col("value").cast("string")).alias("number"), C.blank_to_null_number(text).alias("blank_number"))
+    return m.table("events").select("event_id", C.first_number(F.get_json_object("props", "$.missing"), F.col("value").cast("string")).alias("number"))
 
 
-QUERIES["null_if_blank_decimal"], ORACLES["null_if_blank_decimal"] = QUERIES["first_present_number"], ORACLES["first_present_number"]
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN value::DOUBLE END AS number FROM events", "number")
+def null_if_blank_decimal(m):
+    text = F.when(F.col("event_id") % 7 == 0, " ").when(F.col("event_id") % 11 == 0, "x1").otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))
+    return m.table("events").select("event_id", C.blank_to_null_number(text).alias("number"))
 
 
 @query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_quantity, 0.25) AS p25 FROM lineitem GROUP BY l_returnflag", "p90 p25")
@@ -737,17 +799,20 @@ def partition_key(m):
     return m.books.select("market_id", "timestamp_ms", *C.partition_key(F.col("timestamp_ms")))
 
 
-def _redact_sql() -> str:
-    out = "text"
+def _redact_sql() -> tuple[str, str]:
+    """The text with sensitive parts replaced, and whether ``r`` still has any."""
+    out, again = "text", []
     for p in C.SENSITIVE:
         flags = "g"
         if p.startswith("(?i)"):
             p, flags = p[4:], "gi"
-        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '[redacted]', '{flags}')"
-    return f"regexp_replace(regexp_replace({out}, '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+        p = p.replace("{0,2000}", r"{0,1000}[\s\S]{0,1000}").replace("'", "''")  # DuckDB repeats at most 1,000 times
+        out = f"regexp_replace({out}, '{p}', '[redacted]', '{flags}')"
+        again.append(f"regexp_matches(r, '{p}'{', ' + repr('i') if 'i' in flags else ''})")
+    return f"regexp_replace(regexp_replace({out}, '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')", " OR ".join(again)
 
 
-@query(f"SELECT doc_id, md5(CASE WHEN r = '' OR regexp_matches(r, '(?i)^[\\[\\]redacted\\s.,;:-]+$') THEN '{C.FALLBACK}' ELSE r END) AS redacted_md5 FROM (SELECT doc_id, {_redact_sql()} AS r FROM documents)")
+@query("SELECT doc_id, md5(CASE WHEN r = '' OR regexp_matches(r, '(?i)^[\\[\\]redacted\\s.,;:-]+$') OR {1} THEN '{2}' ELSE r END) AS redacted_md5 FROM (SELECT doc_id, {0} AS r FROM documents)".format(*_redact_sql(), C.FALLBACK))
 def redact_text(m):
     return m.table("documents").select("doc_id", F.md5(C.redact_text(F.col("text")).cast("binary")).alias("redacted_md5"))
 

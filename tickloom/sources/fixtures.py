@@ -74,6 +74,21 @@ FROM (SELECT *, (nonce*13 + k*4) % 21 - 10 AS tick, nonce % 90 = 0 AS blank,
             FROM events) x
       CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) kk) y
 WHERE k = 0 OR (NOT blank AND (kind = 'snapshot' OR k <= nonce % 3))
+""",
+    "fx_messages": """
+SELECT event_id, concat('{"type":"', CASE WHEN event_id % 19 = 0 THEN 'subscribed' ELSE 'update' END, '/trade","channel":"', CASE WHEN event_id % 23 = 0 THEN 'trade' ELSE concat('trade:', CAST(user_id % 5 AS VARCHAR(10))) END, '"', CASE
+    WHEN event_id % 3 = 0 THEN concat(',"trades":[', one, ',7,', CASE WHEN event_id % 6 = 0 THEN bad ELSE one END, '],"liquidation_trades":', one)
+    WHEN event_id % 3 = 1 THEN concat(',"liquidation_trades":', CASE WHEN event_id % 29 = 0 THEN bad ELSE one END)
+    ELSE ',"trades":"none"' END, '}') AS trade_message,
+  concat('{"type":"update/market_stats","channel":"market_stats:all","timestamp":', CAST(1704067200000 + event_id AS VARCHAR(20)), ',"market_stats":', CASE
+    WHEN event_id % 3 = 0 THEN stats WHEN event_id % 3 = 1 THEN concat('{"', CAST(event_id AS VARCHAR(20)), '":', stats, ',"x":{"symbol":"no market"}}') ELSE concat('[', stats, ',3]') END, '}') AS stats_message,
+  concat('{"type":"', CASE WHEN event_id % 11 = 0 THEN 'subscribed' ELSE 'update' END, '/order_book","channel":"order_book:', CAST(user_id % 5 AS VARCHAR(10)), '","timestamp":', CAST(1704067200000 + event_id AS VARCHAR(20)),
+    ',"order_book":{"nonce":', CAST(event_id AS VARCHAR(20)), CASE WHEN event_id % 7 = 0 THEN '' ELSE concat(',"begin_nonce":', CAST(event_id - 1 AS VARCHAR(20))) END, CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(',"bids":[{"price":"99.5","size":"', CAST(event_id % 4 AS VARCHAR(10)), '"}],"asks":[{"price":"100.5","size":"2"},{"price":"101","size":"0"}]') END, '}}') AS book_message
+FROM (SELECT *, concat('{"trade_id":', CAST(event_id AS VARCHAR(20)), ',"market_id":', CAST(user_id % 7 AS VARCHAR(10)), ',"timestamp":', CAST(1704067200000 + event_id AS VARCHAR(20)), ',"price":"', CAST(100 + event_id % 9 AS VARCHAR(10)), '.5","size":"2"',
+      CASE WHEN event_id % 4 = 0 THEN '' ELSE ',"usd_amount":"7.25"' END, ',"is_maker_ask":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, CASE WHEN event_id % 5 = 0 THEN ',"type":"liquidation"' ELSE '' END, '}') AS one,
+    concat('{"trade_id":', CAST(event_id AS VARCHAR(20)), ',"price":"', CASE WHEN event_id % 2 = 0 THEN 'abc' ELSE '' END, '"}') AS bad,
+    concat('{"market_id":', CAST(user_id % 5 AS VARCHAR(10)), ',"symbol":"M', CAST(user_id % 5 AS VARCHAR(10)), '","mark_price":"', CAST(100 + event_id % 9 AS VARCHAR(10)), '.25","index_price":"","daily_price_change":-1.5}') AS stats
+  FROM events) x
 """,
     "fx_fills": """
 SELECT event_id AS fill_id, 1704067200000 + event_id*1000 + 500 AS timestamp_ms, CAST(user_id % 5 AS INT) AS market_id,
@@ -96,7 +111,7 @@ class Market:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _view(self, name: str, **frames: DataFrame) -> DataFrame:
-        text = VIEWS[name]
+        text = VIEWS[name].replace("{", "{{").replace("}", "}}")
         for frame in frames:
             text = text.replace(f"FROM {frame}", f"FROM {{{frame}}}")
         return self.spark.sql(text, **frames)
@@ -126,6 +141,10 @@ class Market:
     def updates(self) -> DataFrame:
         return self._view("fx_level_updates", events=self.table("events"))
 
+    @cached_property
+    def messages(self) -> DataFrame:
+        return self._view("fx_messages", events=self.table("events"))
+
     @cached_property
     def fills(self) -> DataFrame:
         return self._view("fx_fills", events=self.table("events"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +41,15 @@ def conform_schema(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
 
 def discover_layout(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """All rows below ``root``, whether in ``date=/hour=`` or ``date=`` folders; unfinished files are left out. ``layout_depth``: 2 or 1."""
+    """All rows below ``root``, whether in ``date=/hour=`` or ``date=`` folders or both; unfinished files are left out. ``layout_depth``: 2 or 1.
+
+    A root without files has no rows, of the given ``schema``; without one it is an error.
+    """
 
     def read(pattern: str, depth: int) -> DataFrame | None:
         reader = spark.read.option("basePath", root).option("pathGlobFilter", "*.parquet").option("mergeSchema", True)
         try:
-            found = (reader.schema(schema) if schema else reader).parquet(f"{root}/{pattern}")
+            found = (reader.schema(schema) if schema else reader).parquet(f"{root.rstrip('/')}/{pattern}")
         except Exception as e:  # no folder of this depth
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -51,27 +58,62 @@ def discover_layout(spark: SparkSession, root: str, schema: T.StructType | None
 
     hourly, daily = read("date=*/hour=*", 2), read("date=*/*.parquet", 1)
     found = [x for x in (hourly, daily) if x is not None]
+    if not found:
+        if schema is None:
+            raise ValueError(f"no Parquet files below {root}, and no schema given")
+        return spark.createDataFrame([], schema).withColumn("layout_depth", F.lit(None).cast("int"))
     return found[0].unionByName(found[1], allowMissingColumns=True) if len(found) == 2 else found[0]
 
 
 HEALTH = "path string, length long, valid boolean, reason string"
 
 
-def file_health(spark: SparkSession, root: str) -> DataFrame:
-    """Each Parquet file below ``root``: ``valid`` and, where it isn't, the ``reason``. Footers are checked in tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
-    # The footer: its length and the closing mark are the last 8 bytes; the content isn't decoded.
-    tail = files.select("path", "length", F.expr("substring(content, greatest(1, length(content) - 7), 8)").alias("tail"), F.expr("substring(content, 1, 4)").alias("head"))
+def file_health(spark: SparkSession, root: str, *, probe: bool = True) -> DataFrame:
+    """Each Parquet file below ``root``: ``valid`` and, where it isn't, the ``reason``.
+
+    The listing reads no content. Footers are opened in tasks, which read the ends of the files, and
+    with ``probe`` the first row group of each.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "length")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reasons = []
-            for n, head, end in zip(batch.column("length").to_pylist(), batch.column("head").to_pylist(), batch.column("tail").to_pylist(), strict=True):
-                footer = int.from_bytes(end[:4], "little") if len(end) == 8 else 0
-                reasons.append("empty" if not n else "no Parquet mark" if head != b"PAR1" or end[-4:] != b"PAR1" else "footer does not fit" if not 0 < footer <= n - 12 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([r is None for r in reasons]), pa.array(reasons, pa.string())], ["path", "length", "valid", "reason"])
+            reasons = [_fault(path, n, probe) for path, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], ["path", "length", "valid", "reason"])
+
+    return files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(checked, HEALTH)
+
 
-    return tail.mapInArrow(checked, HEALTH)
+def _fault(path: str, length: int, probe: bool) -> str | None:
+    """Why a file can't be read, or none."""
+    if not length:
+        return "empty"
+    try:
+        system, name = fs.FileSystem.from_uri(unquote(path) if path.startswith("file:///") else re.sub("^file:/+", "file:///", unquote(path)))
+        with system.open_input_file(name) as source:
+            file = pq.ParquetFile(source)
+            if probe and file.metadata.num_row_groups:
+                file.read_row_group(0)
+    except (pa.ArrowException, OSError, ValueError) as e:
+        return "unreadable footer" if "footer" in str(e).lower() or "magic" in str(e).lower() or "metadata" in str(e).lower() else "unreadable row group" if probe else "unreadable"
+    return None
+
+
+def rename_files(spark: SparkSession, path: str, to: str, ending: str, new_ending: str) -> None:
+    """Move the files of a folder whose names have the ending to another folder, with a new ending."""
+    jvm = spark.sparkContext._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    system = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(Path(to))
+    for x in system.listStatus(Path(path)):
+        name = x.getPath().getName()
+        if name.endswith(ending):
+            system.rename(x.getPath(), Path(f"{to}/{name[: -len(ending)]}{new_ending}"))
+
+
+def quarantine_list(health: DataFrame) -> DataFrame:
+    """The files to leave out, with reasons: what ``scan_market_table`` shouldn't be given."""
+    return health.where(~F.col("valid")).select("path", "length", "reason")
 
 
 def file_health_summary(health: DataFrame) -> DataFrame:
@@ -79,31 +121,92 @@ def file_health_summary(health: DataFrame) -> DataFrame:
     return health.agg(n.alias("files"), ok.alias("valid_files"), (n - ok).alias("corrupt_files"), F.when(n == ok, "healthy").when(ok > 0, "degraded").otherwise("failed").alias("status"))
 
 
-def write_partitioned(rows: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Files by ``date`` and ``hour`` (UTC) of the event, compressed with zstd; Spark's commit publishes whole files only."""
-    date, hour, _ = partition_key(F.col("timestamp_ms"))
-    rows.withColumns({"date": date, "hour": hour}).repartition("date", "hour").write.mode(mode).option("compression", "zstd").partitionBy("date", "hour").parquet(path)
+def write_partitioned(rows: DataFrame, path: str, *, mode: str = "append", salts: int = 1) -> None:
+    """Files by ``date`` and ``hour`` (UTC) of the event, ``salts`` for each quarter of an hour, compressed with zstd; Spark's commit publishes whole files only."""
+    date, hour, bucket = partition_key(F.col("timestamp_ms"))
+    keyed = rows.withColumns({"date": date, "hour": hour})
+    # A file for each rotation bucket and salt, so that no task writes a whole busy hour.
+    dealt = keyed.repartition("date", "hour", bucket, F.pmod(F.xxhash64("timestamp_ms", "market_id"), F.lit(salts)))
+    dealt.write.mode(mode).option("compression", "zstd").partitionBy("date", "hour").parquet(path)
+
 
+# The kinds of trades, and the fields of a message and of what it holds.
+TRADE_TYPES = ("trade", "liquidation", "deleverage", "market-settlement")
+TRADE_FIELDS = ("trade_id", "market_id", "price", "size", "usd_amount", "is_maker_ask", "type", "timestamp")
+STATS_PRICES = ("index_price", "mark_price", "mid_price", "best_bid_price", "best_ask_price", "open_interest", "last_trade_price", "current_funding_rate", "funding_rate")
+STATS_DAILY = ("daily_base_token_volume", "daily_quote_token_volume", "daily_price_low", "daily_price_high", "daily_price_change")
+MESSAGE_FIELDS = ("type", "channel", "timestamp", "trades", "liquidation_trades", "market_stats", "order_book")
 
-TRADE = T.StructType([T.StructField(c, T.StringType()) for c in ("trade_id", "price", "size", "usd_amount", "is_maker_ask", "type", "timestamp")])
-MESSAGE = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("channel", T.StringType()),
-    T.StructField("timestamp", T.LongType()),
-    T.StructField("trades", T.StringType()),
-    T.StructField("liquidation_trades", T.StringType()),
-    T.StructField("market_stats", T.StringType()),
-])
+_texts = lambda names: T.StructType([T.StructField(c, T.StringType()) for c in names])
+TRADE, STATS, MESSAGE = _texts(TRADE_FIELDS), _texts(("market_id", "symbol", "funding_timestamp", *STATS_PRICES, *STATS_DAILY)), _texts(MESSAGE_FIELDS)
+BOOK = T.StructType([*_texts(("nonce", "begin_nonce")), *(T.StructField(side, T.ArrayType(_texts(("price", "size")))) for side in ("bids", "asks"))])
+
+
+def _messages(messages: DataFrame, column: str) -> DataFrame:
+    """``_m``, the parsed message, and ``_market``, the number after the colon of its channel."""
+    parsed = messages.select(F.from_json(column, MESSAGE, {"mode": "PERMISSIVE"}).alias("_m"))
+    return parsed.withColumn("_market", F.split_part("_m.channel", F.lit(":"), F.lit(2)).try_cast("int"))
+
+
+def _items(text: Column) -> Column:
+    """The texts of a list's objects; one object alone is an item too, anything else none."""
+    alone = F.ltrim(text)
+    listed = F.filter(F.from_json(text, T.ArrayType(T.StringType())), lambda x: F.ltrim(x).startswith("{"))
+    return F.when(alone.startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).when(alone.startswith("{"), F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
 def feed_trades(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Trades of raw feed messages (JSON texts), from lists or single objects; what can't be read counts as ``corrupt``."""
-    parsed = messages.withColumn("_m", F.from_json(column, MESSAGE, {"mode": "PERMISSIVE"}))
-    as_list = lambda c: F.when(F.col(c).isNull(), F.array().cast(T.ArrayType(TRADE))).when(F.ltrim(F.col(c)).startswith("["), F.from_json(c, T.ArrayType(TRADE))).otherwise(F.array(F.from_json(c, TRADE)))
-    flat = parsed.select(F.element_at(F.split("_m.channel", ":"), -1).try_cast("int").alias("market_id"), (F.col("_m").isNull() | F.col("_m.type").isNull()).alias("corrupt"), F.concat(as_list("_m.trades"), as_list("_m.liquidation_trades")).alias("_t"))
-    rows = flat.withColumn("_t", F.explode_outer("_t"))
-    number = lambda c: blank_to_null_number(F.col(f"_t.{c}")).alias(c)
-    return rows.select("market_id", F.col("_t.trade_id").try_cast("long").alias("trade_id"), F.col("_t.timestamp").try_cast("long").alias("timestamp_ms"), number("price"), number("size"), number("usd_amount"), F.lower("_t.is_maker_ask").try_cast("boolean").alias("is_maker_ask"), F.coalesce("_t.type", F.lit("trade")).alias("type"), "corrupt").where(F.col("corrupt") | F.col("trade_id").isNotNull())
+    """Trades of raw feed messages (JSON texts), from lists or single objects.
+
+    ``snapshot``: those that a subscription begins with, which only tell what was seen before. The
+    market is the channel's, else the trade's own. A message or a trade that can't be read is a row
+    with ``corrupt``, without its other fields. Messages of other kinds give no rows.
+    """
+    parsed = _messages(messages, column)
+    kind = F.col("_m.type")
+    unread = F.col("_m").isNull() | (kind.isNull() & F.col("_m.channel").isNull())
+    about = parsed.where(unread | kind.isin("update/trade", "subscribed/trade"))
+    rows = about.select("_market", (kind == "subscribed/trade").alias("snapshot"), unread.alias("_unread"), F.explode_outer(F.concat(_items(F.col("_m.trades")), _items(F.col("_m.liquidation_trades")))).alias("_text"))
+    rows = rows.where("_unread OR _text IS NOT NULL").withColumn("_t", F.from_json("_text", TRADE))
+    number = lambda c: blank_to_null_number(F.col(f"_t.{c}"))
+    kind_of = F.coalesce(F.nullif(F.col("_t.type"), F.lit("")), F.lit("trade"))
+    usd = F.coalesce(F.nullif(F.col("_t.usd_amount"), F.lit("")), F.lit("0")).try_cast("double")
+    fields = {
+        "market_id": F.coalesce("_market", F.col("_t.market_id").try_cast("int")),
+        "trade_id": F.col("_t.trade_id").try_cast("long"),
+        "timestamp_ms": F.col("_t.timestamp").try_cast("long"),
+        "price": number("price"),
+        "size": number("size"),
+        "usd_amount": usd,
+        "is_maker_ask": F.lower("_t.is_maker_ask").try_cast("boolean"),
+        "type": F.when(kind_of.isin(*TRADE_TYPES), kind_of),
+    }
+    whole = ~F.col("_unread") & F.col("_t.market_id").try_cast("int").isNotNull()
+    for c in fields.values():
+        whole = whole & c.isNotNull()
+    return rows.select(*(F.when(whole, c).alias(n) for n, c in fields.items()), F.coalesce("snapshot", F.lit(False)).alias("snapshot"), (~whole).alias("corrupt"))
+
+
+def feed_stats(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Market statistics of raw feed messages: from an object, a map of objects or a list. Blank numbers are null; what has no market or symbol is left out."""
+    parsed = _messages(messages, column).where(F.col("_m.type").isin("update/market_stats", "subscribed/market_stats"))
+    text = F.col("_m.market_stats")
+    one = F.from_json(text, STATS)
+    by_key = F.map_values(F.coalesce(F.from_json(text, T.MapType(T.StringType(), T.StringType())), F.create_map().cast("map<string,string>")))
+    items = F.when(F.ltrim(text).startswith("{") & one["market_id"].isNull(), by_key).otherwise(_items(text))
+    rows = parsed.select(F.explode(items).alias("_text"), F.col("_m.timestamp").try_cast("long").alias("updated_at_ms")).withColumn("_s", F.from_json("_text", STATS))
+    numbers = [blank_to_null_number(F.col(f"_s.{c}")).alias(c) for c in (*STATS_PRICES, *STATS_DAILY)]
+    out = rows.select(F.col("_s.market_id").try_cast("int").alias("market_id"), F.col("_s.symbol").alias("symbol"), *numbers, F.col("_s.funding_timestamp").try_cast("long").alias("funding_timestamp"), "updated_at_ms")
+    return out.where(F.col("market_id").isNotNull() & F.col("symbol").isNotNull())
+
+
+def feed_book_updates(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Level updates of raw feed messages, as ``operators.rebuild`` takes them: a row for each level, one without a price for an empty message. Messages without a market are left out."""
+    kind = F.col("_m.type")
+    parsed = _messages(messages, column).where(kind.isin("update/order_book", "subscribed/order_book") & F.col("_market").isNotNull()).withColumn("_b", F.from_json("_m.order_book", BOOK))
+    side = lambda name, given: F.transform(F.coalesce(F.col(f"_b.{given}"), F.array().cast(BOOK[given].dataType)), lambda x: F.struct(F.lit(name).alias("side"), x["price"].try_cast("double").alias("price"), x["size"].try_cast("double").alias("size")))
+    rows = parsed.select(F.col("_market").alias("market_id"), F.col("_m.timestamp").try_cast("long").alias("timestamp_ms"), F.col("_b.nonce").try_cast("long").alias("nonce"), F.col("_b.begin_nonce").try_cast("long").alias("begin_nonce"), F.when(kind == "subscribed/order_book", "snapshot").otherwise("delta").alias("kind"), F.explode_outer(F.concat(side("bid", "bids"), side("ask", "asks"))).alias("_l"))
+    return rows.select("market_id", "timestamp_ms", "nonce", "begin_nonce", "kind", "_l.side", "_l.price", "_l.size")
 
 
 def market_dimension(markets: DataFrame, *, active_only: bool = True) -> DataFrame:
@@ -112,10 +215,21 @@ def market_dimension(markets: DataFrame, *, active_only: bool = True) -> DataFra
     return markets.where(keep & (F.col("status") == "active") if active_only else keep).select("market_id", "symbol", "market_type", "status")
 
 
-def publish_generation(tables: dict[str, DataFrame], root: str, generation: str) -> DataFrame:
-    """Write the tables below ``generations/<id>`` and, after all of them, a pointer row; returns the pointer as read back."""
+def publish_generation(tables: dict[str, DataFrame], root: str, generation: str, *, by: dict[str, str] | None = None) -> DataFrame:
+    """Write the tables below ``generations/<id>`` and, after all of them, a pointer row; returns the pointer as read back.
+
+    ``by``: tables with a document for each value of a column, in a folder of that name.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{root}/generations/{generation}/{name}")
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by[name]) if by and name in by else writer).json(f"{root}/generations/{generation}/{name}")
     spark.range(1).select(F.lit(generation).alias("generation"), F.array(*map(F.lit, tables)).alias("tables")).coalesce(1).write.mode("overwrite").json(f"{root}/current")
     return spark.read.schema("generation string, tables array<string>").json(f"{root}/current")
+
+
+def export_csv(rows: DataFrame, path: str) -> None:
+    """``rows`` as CSV with a header below ``path``; one row ``no data`` where there are none."""
+    some = rows.limit(1).count()
+    out = rows if some else rows.sparkSession.range(1).select(F.lit("no data").alias("message"))
+    out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

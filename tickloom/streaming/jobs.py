@@ -18,8 +18,10 @@ _local: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; a temporary one where that is unset."""
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names. Where that is unset: a temporary one if Spark runs in this process only, else an error, as executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tickloom-"))
     return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
