@@ -203,7 +203,7 @@ def test_files_that_cannot_be_read(spark, tmp_path):
     spark.range(2_000).coalesce(1).write.parquet(str(root / "hour=00"))
     whole = next((root / "hour=00").glob("*.parquet")).read_bytes()
     garbled, cut = bytearray(whole), whole[: len(whole) // 2]
-    garbled[-40:-20] = b"\xff" * 20
+    garbled[-200:-8] = b"\xff" * 192
     broken = bytearray(whole)
     broken[4:60] = b"\xff" * 56
     for name, content in (("empty", b""), ("garbled", bytes(garbled)), ("cut", cut), ("text", b"PAR1 text PAR1"), ("rows", bytes(broken))):

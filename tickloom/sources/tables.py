@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as fs
@@ -71,31 +69,47 @@ HEALTH = "path string, length long, valid boolean, reason string"
 def file_health(spark: SparkSession, root: str, *, probe: bool = True) -> DataFrame:
     """Each Parquet file below ``root``: ``valid`` and, where it isn't, the ``reason``.
 
-    The listing reads no content. Footers are opened in tasks, which read the ends of the files, and
-    with ``probe`` the first row group of each.
+    The driver lists the first level of folders only. Tasks list what is below them, open the
+    footers, which are the ends of the files, and with ``probe`` read the first row group of each.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "length")
+    system, base = fs.FileSystem.from_uri(root)
+    first = [(e.path, e.type == fs.FileType.Directory) for e in system.get_file_info(fs.FileSelector(base, allow_not_found=True))]
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+                found = system.get_file_info(fs.FileSelector(path, recursive=True)) if folder else [system.get_file_info(path)]
+                files = [e for e in found if e.type == fs.FileType.File and e.path.endswith(".parquet") and not e.base_name.startswith(("_", "."))]
+                yield pa.RecordBatch.from_arrays([pa.array([e.path for e in files], pa.string()), pa.array([e.size for e in files], pa.int64())], ["path", "length"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
-            reasons = [_fault(path, n, probe) for path, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            reasons = [_fault(system, path, n, probe) for path, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], ["path", "length", "valid", "reason"])
 
-    return files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(checked, HEALTH)
+    files = spark.createDataFrame(first, "path string, folder boolean").repartition(spread).mapInArrow(listed, "path string, length long")
+    return files.repartition(spread).mapInArrow(checked, HEALTH)
 
 
-def _fault(path: str, length: int, probe: bool) -> str | None:
+def _fault(system: fs.FileSystem, path: str, length: int, probe: bool) -> str | None:
     """Why a file can't be read, or none."""
     if not length:
         return "empty"
     try:
-        system, name = fs.FileSystem.from_uri(unquote(path) if path.startswith("file:///") else re.sub("^file:/+", "file:///", unquote(path)))
-        with system.open_input_file(name) as source:
+        with system.open_input_file(path) as source:
+            pq.ParquetFile(source)
+    except (pa.ArrowException, OSError, ValueError):
+        return "unreadable footer"
+    try:
+        with system.open_input_file(path) as source:
             file = pq.ParquetFile(source)
             if probe and file.metadata.num_row_groups:
                 file.read_row_group(0)
-    except (pa.ArrowException, OSError, ValueError) as e:
-        return "unreadable footer" if "footer" in str(e).lower() or "magic" in str(e).lower() or "metadata" in str(e).lower() else "unreadable row group" if probe else "unreadable"
+    except (pa.ArrowException, OSError, ValueError):
+        return "unreadable row group"
     return None
 
 
