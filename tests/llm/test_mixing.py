@@ -1,37 +1,61 @@
-from collections import Counter, defaultdict
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import empty_docs, odd_docs
-from tickloom.llm.mixing import mix_sources, tempered_weights
+from tickloom.llm.mixing import block_schedule, in_mixed_order, mix_sources, tempered_weights
 
 
-def test_less_than_one_block_off(spark):
-    sizes = {"a": 500, "b": 130, "c": 41, None: 7}
+def targets(n, w):
+    """Each source's blocks after each slot by its weight; a source that has ended leaves its share to the others."""
+    ends = sorted(n[k] / w[k] for k in n)
+    x = np.interp(np.arange(sum(n.values()) + 1), [0, *(sum(min(n[k], w[k] * e) for k in n) for e in ends)], [0, *ends])
+    return {k: np.minimum(n[k], w[k] * x) for k in n}
+
+
+CASES = [
+    ({"a": 50, "b": 30, "c": 20}, {"a": 0.5, "b": 0.3, "c": 0.2}, 16),
+    ({f"s{k}": 300 for k in range(7)}, {f"s{k}": 1 / 7 for k in range(7)}, 64),
+    ({"a": 20_000, "b": 8}, {"a": 0.9996, "b": 0.0004}, 256),
+    ({"a": 400, "b": 50, "c": 400, "d": 5, "e": 5, "f": 1}, {"a": 0.61, "b": 0.3, "c": 0.07, "d": 1e-4, "e": 0.9, "f": 3.0}, 4),
+    ({f"s{k:02}": 1 + k * k % 90 for k in range(40)}, {f"s{k:02}": 1 / (k + 1) for k in range(40)}, 7),
+]
+
+
+@pytest.mark.parametrize(("n", "w", "segment"), CASES)
+def test_less_than_one_block_off_after_every_slot(spark, n, w, segment):
+    blocks = spark.createDataFrame([("1" + k, v) for k, v in n.items()], "_src string, _n long")
+    got = sorted((r._slot, r._src[1:], r._block) for r in block_schedule(blocks, spark.createDataFrame(list(w.items()), "source string, weight double"), segment=segment).collect())
+    assert [t for t, _, _ in got] == list(range(sum(n.values())))
+    names = np.array([s for _, s, _ in got])
+    for k, target in targets(n, w).items():
+        assert [b for _, s, b in got if s == k] == list(range(n[k]))
+        assert np.abs(np.concatenate([[0], np.cumsum(names == k)]) - target).max() < 1 + 1e-6
+
+
+def test_rows_lie_in_their_blocks_and_sources_without_weight_come_last(spark):
+    sizes = {"a": 500, "b": 130, "c": 41, None: 7, "zero": 30}
     rows = [(k * 1000 + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
-    given = {"a": 0.5, "b": 0.3, "c": 0.15, None: 0.05}
-    weights = spark.createDataFrame(list(given.items()), "source string, weight double")
-    got = mix_sources(docs, weights, block_rows=10, resolution=100).collect()
-    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
-    slot = {(r.source, r.mix_block): r.mix_slot for r in got}
-    assert len(set(slot.values())) == len(slot)
-    assert max(Counter((r.mix_slot) for r in got).values()) <= 10
-    assert len({(r.mix_slot, r.mix_offset) for r in got}) == len(got)
-    for r in got:
-        assert r.mix_release <= r.mix_slot < r.mix_deadline
-    by_source = defaultdict(set)
-    for (s, _), t in slot.items():
-        by_source[s].add(t)
-    for s, taken in by_source.items():
-        for t in range(max(taken) + 1):  # as long as the source has blocks
-            assert abs(sum(x < t for x in taken) - given[s] * t) < 1
+    weights = spark.createDataFrame([("a", 0.25), ("a", 0.25), ("b", 0.3), ("c", 0.15), (None, 0.05), ("zero", 0.0), ("nowhere", 9.0)], "source string, weight double")
+    got = mix_sources(docs, weights, block_rows=10, segment=16).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    of_slot = {r.mix_slot: (r.source, r.mix_block) for r in got}
+    assert {(r.source, r.mix_block) for r in got} == set(of_slot.values()) and len({(r.mix_slot, r.mix_offset) for r in got}) == len(got)
+    assert sorted(of_slot) == list(range(50 + 13 + 5 + 1 + 3)) and {of_slot[t][0] for t in range(69, 72)} == {"zero"}
+    for s, n in sizes.items():
+        assert Counter(r.mix_block for r in got if r.source == s) == Counter(i // 10 for i in range(n))
+    order = [(r.mix_slot, r.mix_offset) for r in in_mixed_order(mix_sources(docs, weights), 3).join(spark.createDataFrame([(r.doc_id, r.mix_slot, r.mix_offset) for r in got], "doc_id long, mix_slot long, mix_offset int"), "doc_id").collect()]
+    assert len(order) == len(rows)
 
 
 def test_odd_rows(spark):
-    docs = odd_docs(spark).withColumn("mix_slot", F.lit("clash"))
+    docs = odd_docs(spark).withColumns({"mix_slot": F.lit("clash"), "_src": F.lit("own"), "_range": F.lit(1), "_block": F.lit(2), "_before": F.lit(3), "a.b": F.lit(4)})
     got = mix_sources(docs, spark.createDataFrame([("src0", float("nan")), ("nowhere", 3.0)], "source string, weight double"), block_rows=2)
     assert got.count() == docs.count()
-    assert set(got.columns) == set(docs.columns) | {"mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset"}
-    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert set(got.columns) == set(docs.columns) | {"mix_block", "mix_slot", "mix_offset"}
+    pick = lambda r: (r.doc_id, r.text, r._src, r._range, r._block, r._before, r["a.b"])
+    assert Counter(map(pick, got.collect())) == Counter(map(pick, docs.collect()))
     assert mix_sources(empty_docs(spark), tempered_weights(empty_docs(spark))).collect() == []

@@ -1,13 +1,20 @@
 """Operator 1, mixing sources to target weights by Pfair scheduling.
 
-DataFrame functions only. Block ``i`` (from 0) of a source of weight ``w`` is released at slot
-``floor(i / w)`` and due before slot ``ceil((i + 1) / w)``. Each slot takes the released block with
-the earliest deadline, so after any number of slots each source has had its weight's share of them
-to within less than one block, as long as it has blocks left.
-
-Weights are whole units of a period: they sum to the period, the schedule repeats with it, and so
-one period, which is as long as ``resolution`` says and not longer with more data, is scheduled by
-a fold and joined to all blocks.
+DataFrame functions only. A source's target after ``t`` slots is the number of blocks that its
+weight's share of them makes; once a source has had all its blocks, its share goes to the others in
+proportion to their weights, so the targets of all sources sum to ``t`` at each ``t`` and every slot
+has a block. Block ``i`` (from 0) of a source is released at the slot in which its target passes
+``i`` and due before the slot at whose begin it is ``i + 1``. Each slot takes the released block
+with the earliest deadline: any source is less than one block from its target after any slot.
+
+A fold over all slots would be one task. Slots are therefore cut in segments, which are scheduled
+in parallel, in two passes. The first starts each segment but the first from the state that has
+those pending blocks done whose deadlines are earliest: from there all later deadlines can be met,
+and what the pass has done at the segment's end needs nothing before the segment's begin. The ends
+that it finds are the begins of the second pass, in which a segment may do no more than its own
+end. By Hall's theorem on the intervals of a segment both can be met: an interval that begins with
+the segment has room because every deadline after its begin can be met, one that ends with it
+because the first pass did the same blocks, and any other because the targets sum to the slots.
 """
 
 from __future__ import annotations
@@ -17,20 +24,24 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the row's MD5 that number rows within a source in parallel: 16**3 ranges for each source.
 RANGE_DIGITS = 3
-
-
-#: Each slot takes the released block with the earliest deadline; ``had``: blocks that each source has had so far.
-FOLD = """
+#: Slots of a segment.
+SEGMENT = 256
+#: Sources whose list is broadcast at most (40 bytes each); longer lists are joined by the tier.
+BROADCAST_SOURCES = 100_000
+#: Targets so close to a whole number count as it: doubles of 10**8 blocks are wrong by 10**-8.
+CLOSE = 1e-6
+
+#: One pass over a segment: from ``_had`` blocks of each source on, each slot takes the released one of the earliest deadline of a source that has had less than ``_most``. ``_x[t + 1]``: the time at the end of slot ``t``.
+FOLD = f"""
 aggregate(
-  sequence(0L, _period - 1),
-  named_struct('had', transform(_s, x -> 0L), 'picked', cast(array() as array<int>)),
+  sequence(0, size(_x) - 2),
+  named_struct('had', _had, 'picked', cast(array() as array<struct<j:int,i:bigint>>)),
   (a, t) -> transform(
-    array(array_min(transform(_s, (x, j) ->
-      if(a.had[j] < x.units and (a.had[j] * _period) div x.units <= t,
-         named_struct('due', ((a.had[j] + 1) * _period + x.units - 1) div x.units, 'j', j),
+    array(array_min(transform(_s, (s, j) ->
+      if(a.had[j] < _most[j],
+         named_struct('early', if(s.w * _x[t + 1] > a.had[j] + {CLOSE}, 0, 1), 'due', (a.had[j] + 1) / s.w, 'j', j),
          null)))),
-    p -> named_struct('had', transform(a.had, (h, j) -> if(j = p.j, h + 1, h)), 'picked', array_append(a.picked, p.j)))[0],
-  a -> a.picked)
+    p -> named_struct('had', transform(a.had, (h, j) -> if(j = p.j, h + 1, h)), 'picked', array_append(a.picked, named_struct('j', p.j, 'i', a.had[p.j]))))[0])
 """
 
 
@@ -41,70 +52,97 @@ def _key(source):
 
 def tempered_weights(docs: DataFrame, *, source_column: str = "source", exponent: float = 0.5) -> DataFrame:
     """``source`` and ``weight``: each source's number of rows to the power ``exponent``."""
-    return docs.groupBy(F.col(source_column).alias("source")).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(exponent)).alias("weight"))
-
-
-def one_period(docs: DataFrame, weights: DataFrame, *, source_column: str = "source", resolution: int = 1000) -> DataFrame:
-    """The schedule of one period: ``_src``, its ``_units`` of the ``_period`` slots, and the slot ``_slot`` of its ``_k``-th block (from 0)."""
-    sources = docs.select(_key(F.col(source_column)).alias("_src")).distinct()
-    given = weights.groupBy(_key(F.col("source")).alias("_src")).agg(F.sum(F.when((F.col("weight") > 0) & ~F.isnan("weight"), F.col("weight"))).alias("_w"))
-    known = sources.join(given, "_src", "left").select("_src", F.coalesce("_w", F.lit(0.0)).alias("_w"))
-    # Here as many rows as there are sources meet in one.
-    listed = known.groupBy().agg(F.sort_array(F.collect_list(F.struct("_src", "_w"))).alias("_s")).where(F.size("_s") > 0)
-    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["_w"])
-    share = lambda x: F.coalesce(F.try_divide(x["_w"], total), F.lit(0.0))
-    units = listed.select(F.transform("_s", lambda x: F.struct(x["_src"].alias("src"), F.greatest(F.lit(1), F.round(share(x) * resolution)).cast("long").alias("units"))).alias("_s"))
-    folded = units.withColumn("_period", F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x["units"])).withColumn("_picked", F.expr(FOLD))
-    slots = folded.select("_s", "_period", F.posexplode("_picked").alias("_slot", "_j")).withColumn("_of", F.expr("_s[_j]"))
-    one = slots.select(F.col("_of.src").alias("_src"), F.col("_of.units").alias("_units"), "_period", F.col("_slot").cast("long").alias("_slot"))
-    return one.withColumn("_k", F.row_number().over(Window.partitionBy("_src").orderBy("_slot")).cast("long") - 1)
-
-
-def mix_sources(docs: DataFrame, weights: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", block_rows: int = 64, resolution: int = 1000) -> DataFrame:
-    """``docs`` with ``mix_block``, ``mix_release``, ``mix_deadline``, ``mix_slot`` and ``mix_offset`` added; the mixed order is by slot, then offset.
-
-    ``weights``: rows of ``source`` and ``weight``, rounded to ``1 / resolution`` of their sum. A
-    source without a positive weight gets the least one, so every row has a place and none is
-    repeated. A source that has run out leaves its later slots empty; the others keep their order
-    and shares among themselves. ``mix_block`` numbers a source's blocks of ``block_rows`` rows from
-    0, in the order of the MD5 of the id (equal ids: of the row's other columns); its last block may
-    be shorter.
+    rows = F.count(F.lit(1)).cast("double")
+    return docs.groupBy(F.col(source_column).alias("source")).agg((F.sqrt(rows) if exponent == 0.5 else F.pow(rows, F.lit(exponent))).alias("weight"))
+
+
+def block_schedule(blocks: DataFrame, weights: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
+    """``_src``, ``_block`` (from 0) and ``_slot`` of every block.
+
+    ``blocks``: ``_src`` and its number of blocks ``_n``; ``weights``: ``source`` and ``weight``.
+    Sources without a positive weight come after all others, in equal shares.
+    """
+    given = weights.groupBy(_key(F.col("source")).alias("_src")).agg(F.sum(F.when((F.col("weight") > 0) & ~F.isnan("weight") & (F.col("weight") < float("inf")), F.col("weight"))).alias("_w"))
+    known = blocks.join(given, "_src", "left").select("_src", "_n", F.when(F.col("_w").isNull(), 1).otherwise(0).alias("_tier"), F.coalesce("_w", F.lit(1.0)).alias("w"))
+    # One row for each source. Times are such that a source of weight w has had w * x blocks at x: it ends at n / w.
+    by_end = Window.partitionBy("_tier").orderBy(F.col("_n") / F.col("w"), "_src")
+    later = F.sum("w").over(by_end.rowsBetween(0, Window.unboundedFollowing))
+    ended = F.coalesce(F.sum("_n").over(by_end.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy("_tier"))
+    last = F.lead("_src").over(by_end).isNull()
+    phases = known.select("_tier", "_src", "_n", "w", (F.col("_n") / F.col("w")).alias("_x1"), later.alias("_rate"), ended.alias("_ended"), total.alias("_total"), last.alias("_last"))
+    phases = phases.withColumn("_t1", F.when(F.col("_last"), F.col("_total").cast("double")).otherwise(F.col("_ended") + F.col("_x1") * F.col("_rate")))
+    phases = phases.withColumns({"_x0": F.coalesce(F.lag("_x1").over(by_end), F.lit(0.0)), "_t0": F.coalesce(F.lag("_t1").over(by_end), F.lit(0.0))})
+
+    # Slots' ends in each phase, by segment; a segment has its begin too.
+    lo, hi = F.when(F.col("_t0") <= 0, 0).otherwise(F.floor("_t0") + 1).cast("long"), F.floor("_t1").cast("long")
+    spans = phases.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select("_tier", "_lo", "_hi", "_x0", "_x1", "_t0", "_rate", F.explode(F.expr(f"sequence(greatest(_lo - 1, 0L) div {segment}, _hi div {segment})")).alias("_p"))
+    begin, end = F.greatest(F.col("_lo"), F.col("_p") * segment), F.least(F.col("_hi"), (F.col("_p") + 1) * segment)
+    times = F.transform(F.sequence(begin, end), lambda u: F.greatest(F.col("_x0"), F.least(F.col("_x1"), F.col("_x0") + (u - F.col("_t0")) / F.col("_rate"))))
+    pieces = spans.where(begin <= end).select("_tier", "_p", begin.alias("_b"), times.alias("_x"))
+    segments = pieces.groupBy("_tier", "_p").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_x"))), lambda s: s["_x"])).alias("_x")).where(F.size("_x") > 1)
+
+    # As many structs as there are sources meet in one row, which each segment's fold needs.
+    listed = known.groupBy("_tier").agg(F.sort_array(F.collect_list(F.struct("_src", F.col("_n").alias("n"), "w"))).alias("_s"))
+    listed = F.broadcast(listed) if known.count() <= BROADCAST_SOURCES else listed
+    todo = segments.join(listed, "_tier").withColumn("_target", F.expr("transform(_s, s -> least(cast(s.n as double), s.w * _x[0]))"))
+    todo = todo.withColumn("_whole", F.expr(f"transform(_target, c -> cast(floor(c + {CLOSE}) as bigint))"))
+    # Pending blocks with the earliest deadlines, as many as slots before the segment are left.
+    pending = F.expr(f"""slice(array_sort(filter(transform(_s, (s, j) -> named_struct('none', if(_target[j] - _whole[j] > {CLOSE}, 0, 1), 'due', (_whole[j] + 1) / s.w, 'j', j)), q -> _whole[q.j] < _s[q.j].n)),
+      1, cast(greatest(0L, _p * {segment} - aggregate(_whole, 0L, (a, c) -> a + c)) as int))""")
+    begun = todo.withColumn("_done", F.transform(pending, lambda q: q["j"])).withColumn("_had", F.expr("transform(_whole, (c, j) -> if(array_contains(_done, j), c + 1, c))"))
+    ends = begun.withColumn("_most", F.expr("transform(_s, s -> s.n)")).select("_tier", "_p", "_s", "_x", F.expr(f"{FOLD}.had").alias("_most"))
+    # The second pass: from the end of the segment before to the own end.
+    before = ends.select("_tier", (F.col("_p") + 1).alias("_p"), F.col("_most").alias("_had"))
+    second = ends.join(before, ["_tier", "_p"], "left").withColumn("_had", F.coalesce("_had", F.expr("transform(_s, s -> 0L)"))).withColumn("_picked", F.expr(f"{FOLD}.picked"))
+    # Tiers follow one another.
+    tiers = known.groupBy().agg(F.coalesce(F.sum(F.when(F.col("_tier") == 0, F.col("_n"))), F.lit(0)).alias("_first"))
+    taken = second.select("_tier", "_p", "_x", "_s", F.posexplode("_picked").alias("_k", "_of")).select("_tier", (F.col("_p") * segment + F.col("_k")).alias("_slot"), F.expr("_s[_of.j]._src").alias("_src"), F.col("_of.i").alias("_block"))
+    # One row.
+    return taken.join(F.broadcast(tiers), F.lit(True)).select("_src", "_block", (F.col("_slot") + F.when(F.col("_tier") == 1, F.col("_first")).otherwise(0)).alias("_slot"))
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", block_rows: int = 64, segment: int = SEGMENT) -> DataFrame:
+    """``docs`` with ``mix_block``, ``mix_slot`` and ``mix_offset`` added; the mixed order is by slot, then offset.
+
+    ``weights``: rows of ``source`` and ``weight``, of any sum; those of one source are added up. A
+    source without a positive, finite weight comes after all others. Every row has one place and
+    every slot one block. ``mix_block`` numbers a source's blocks of ``block_rows`` rows from 0, in
+    the order of the MD5 of the id (equal ids: of the row's other columns); its last block may be
+    shorter.
 
     Rows are numbered within ranges of the MD5, so a source that holds a third of all rows is spread
     over as many tasks as there are ranges. A null source is a source of its own; a null id sorts
     first; repeated rows each have a place; an empty table gives no rows. Columns of ``docs`` named
-    like the added ones are replaced.
+    like the added ones are replaced; others may have any names.
     """
-    added = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_offset"]
+    added = ["mix_block", "mix_slot", "mix_offset"]
     own = [c for c in docs.columns if c not in added]
+    quoted = [F.col(f"`{c}`") for c in own]
     digest = F.coalesce(F.md5(F.col(id_column).cast("string").cast("binary")), F.lit(""))
-    rows = docs.select(*own).withColumns({"_src": _key(F.col(source_column)), "_md5": digest}).withColumn("_range", F.substring("_md5", 1, RANGE_DIGITS))
-
-    sizes = docs.select(_key(F.col(source_column)).alias("_src"), F.substring(digest, 1, RANGE_DIGITS).alias("_range")).groupBy("_src", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_src", "_range", before.alias("_before"))
-
-    within = Window.partitionBy("_src", "_range").orderBy("_md5", F.col(id_column), F.xxhash64(*own))
-    numbered = rows.withColumn("_rank", F.row_number().over(within).cast("long") - 1).join(starts, ["_src", "_range"])
-    numbered = numbered.withColumn("_number", F.col("_before") + F.col("_rank")).withColumn("mix_block", F.expr(f"_number div {block_rows}"))
-
-    # At most ``resolution`` rows, and one for each source that rounds up.
-    period = F.broadcast(one_period(docs, weights, source_column=source_column, resolution=resolution))
-    ends = F.broadcast(period.select("_src", "_units").distinct())
-    with_units = numbered.join(ends, "_src").withColumn("_k", F.expr("mix_block % _units"))
-    placed = with_units.join(period.drop("_units"), ["_src", "_k"])
-    return placed.select(
-        *own,
-        "mix_block",
-        F.expr("mix_block * _period div _units").alias("mix_release"),
-        F.expr("((mix_block + 1) * _period + _units - 1) div _units").alias("mix_deadline"),
-        F.expr("(mix_block div _units) * _period + _slot").alias("mix_slot"),
-        F.expr(f"cast(_number % {block_rows} as int)").alias("mix_offset"),
-    )
+    placed = [_key(F.col(source_column)).alias("_src"), F.substring(digest, 1, RANGE_DIGITS).alias("_range")]
+
+    sizes = docs.select(*placed).groupBy("_src", "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    line = Window.partitionBy("_src").orderBy("_range")
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = sizes.groupBy("_src").agg(F.expr(f"(sum(_rows) + {block_rows - 1}) div {block_rows}").alias("_n"))
+    schedule = block_schedule(blocks, weights, segment=segment)
+
+    # The slots of the blocks of each range, in order: what a row needs lies under the keys by which rows are numbered, so that rows are shuffled once.
+    wanted = starts.withColumn("_block", F.explode(F.expr(f"sequence(_before div {block_rows}, (_before + _rows - 1) div {block_rows})")))
+    slots = wanted.join(schedule, ["_src", "_block"]).groupBy("_src", "_range").agg(F.first("_before").alias("_before"), F.transform(F.sort_array(F.collect_list(F.struct("_block", "_slot"))), lambda b: b["_slot"]).alias("_slots"))
+
+    rows = docs.select(F.struct(*quoted).alias("_row"), *placed, digest.alias("_md5"), F.col(id_column).alias("_id"), F.xxhash64(*quoted).alias("_tie"))
+    within = Window.partitionBy("_src", "_range").orderBy("_md5", "_id", "_tie")
+    numbered = rows.withColumn("_rank", F.row_number().over(within).cast("long") - 1).select("_src", "_range", "_row", "_rank").join(slots, ["_src", "_range"])
+    number = F.col("_before") + F.col("_rank")
+    block = F.expr(f"(_before + _rank) div {block_rows}")
+    slot = F.get("_slots", (block - F.expr(f"_before div {block_rows}")).cast("int"))
+    return numbered.select("_row.*", block.alias("mix_block"), slot.alias("mix_slot"), (number % block_rows).cast("int").alias("mix_offset"))
 
 
 def in_mixed_order(mixed: DataFrame, partitions: int) -> DataFrame:
     """The rows of ``mix_sources`` range-partitioned and sorted by their place, without the added columns."""
     order = ["mix_slot", "mix_offset"]
     dealt = mixed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    return dealt.drop("mix_block", "mix_release", "mix_deadline", *order)
+    return dealt.drop("mix_block", *order)

@@ -32,34 +32,27 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-WITH RECURSIVE src AS (
-  SELECT source, pow(count(*)::DOUBLE, {MIX_EXPONENT}) AS w FROM documents GROUP BY source),
-listed AS (
-  SELECT list(source ORDER BY source) AS names,
-    list(greatest(1, round(w / total * 1000))::BIGINT ORDER BY source) AS units
-  FROM src, (SELECT sum(w) AS total FROM src)),
-base AS (SELECT names, units, list_sum(units)::BIGINT AS period FROM listed),
+WITH RECURSIVE src AS (SELECT source, (count(*) + {MIX_BLOCK - 1}) // {MIX_BLOCK} AS n, pow(count(*)::DOUBLE, {MIX_EXPONENT}) AS w FROM documents GROUP BY source),
+ended AS (
+  SELECT *, n / w AS x1, sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate,
+    coalesce(sum(n) OVER (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / w * sum(w) OVER (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1
+  FROM src),
+phases AS (SELECT *, coalesce(lag(x1) OVER (ORDER BY x1, source), 0e0) AS x0, coalesce(lag(t1) OVER (ORDER BY x1, source), 0e0) AS t0, lead(source) OVER (ORDER BY x1, source) IS NULL AS is_last FROM ended),
+times AS (SELECT t, least(x1, x0 + (t + 1 - t0) / rate) AS x FROM (SELECT unnest(range((SELECT sum(n) FROM src)::BIGINT)) AS t) JOIN phases ON t + 1 > t0 AND (t + 1 <= t1 OR is_last)),
+base AS (SELECT list(source ORDER BY source NULLS FIRST) AS names, list(n ORDER BY source NULLS FIRST) AS ns, list(w ORDER BY source NULLS FIRST) AS ws FROM src),
 sched(t, had, j) AS (
-  SELECT -1::BIGINT, list_transform(units, lambda u: 0::BIGINT), 0::BIGINT FROM base
+  SELECT -1::BIGINT, list_transform(ns, lambda u: 0::BIGINT), 0::BIGINT FROM base
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(had) + 1), lambda i: had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END)::BIGINT[], pick
+  SELECT t, list_transform(range(1, len(had) + 1), lambda i: had[i] + CASE WHEN i = pick THEN 1 ELSE 0 END)::BIGINT[], pick
   FROM (
-    SELECT t, had, list_min(list_filter(list_transform(range(1, len(had) + 1), lambda i:
-        CASE WHEN had[i] < units[i] AND (had[i] * period) // units[i] <= t + 1
-        THEN (((had[i] + 1) * period + units[i] - 1) // units[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS pick
-    FROM sched, base WHERE t + 1 < period) x),
-slots AS (
-  SELECT names[j] AS source, units[j] AS units, period, t AS slot,
-    row_number() OVER (PARTITION BY j ORDER BY t) - 1 AS k
-  FROM sched, base WHERE t >= 0),
+    SELECT times.t, had, list_sort(list_filter(list_transform(range(1, len(had) + 1), lambda i:
+        CASE WHEN had[i] < ns[i] THEN {{'late': ws[i] * x <= had[i] + 1e-6, 'due': (had[i] + 1) / ws[i], 'i': i}} END), lambda q: q IS NOT NULL))[1].i AS pick
+    FROM sched JOIN times ON times.t = sched.t + 1, base) q),
+slots AS (SELECT names[j] AS source, t AS slot, row_number() OVER (PARTITION BY j ORDER BY t) - 1 AS k FROM sched, base WHERE t >= 0),
 numbered AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM documents)
-SELECT doc_id, source, n // {MIX_BLOCK} AS mix_block,
-  (n // {MIX_BLOCK}) * period // units AS mix_release,
-  ((n // {MIX_BLOCK} + 1) * period + units - 1) // units AS mix_deadline,
-  (n // {MIX_BLOCK}) // units * period + slot AS mix_slot,
-  (n % {MIX_BLOCK})::INT AS mix_offset
-FROM numbered JOIN slots USING (source) WHERE k = (n // {MIX_BLOCK}) % units
+SELECT doc_id, numbered.source, n // {MIX_BLOCK} AS mix_block, slot AS mix_slot, (n % {MIX_BLOCK})::INT AS mix_offset
+FROM numbered JOIN slots ON slots.source IS NOT DISTINCT FROM numbered.source AND k = n // {MIX_BLOCK}
 """
 
 
