@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tickloom.llm import url_filter
 from tickloom.llm.queries import RULES
 from tickloom.llm.url_filter import judge_urls
 
@@ -39,7 +40,8 @@ def test_equals_brute_force(spark):
     assert judge_urls(pages.limit(0), pages.select("url"), RULES).collect() == []
 
 
-def test_filter_holds_every_listed_url(spark):
+def test_filter_holds_every_listed_url(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_LISTED", 10)
     listed = spark.range(3_000).select(F.concat(F.lit("http://h.net/"), F.col("id")).alias("url"))
     pages = listed.withColumn("page_id", F.monotonically_increasing_id())
     assert judge_urls(pages, listed, {}).where("verdict = 'allow'").count() == 0

@@ -16,6 +16,8 @@ KEYS_PER_BLOCK = 16
 #: Bytes of a block's row, and of filters that are broadcast at most.
 BLOCK_BYTES = 64
 BROADCAST_BYTES = 64 << 20
+#: Listed URLs that are broadcast at most (about 100 bytes each), and keys of rows that look for nothing.
+BROADCAST_LISTED, OTHER_KEYS = 200_000, 4096
 
 
 def url_host(url: Column) -> Column:
@@ -73,9 +75,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: dict[str, str], *, id
     rows, and repeated rows are judged each. Other columns are dropped, whatever their names.
     """
     canon = listed.select(canonical_url(F.col("url")).alias("url")).where(F.col("url").isNotNull()).distinct()
-    blocks = max(1, -(-canon.count() // KEYS_PER_BLOCK))
+    n_listed = canon.count()
+    blocks = max(1, -(-n_listed // KEYS_PER_BLOCK))
     url = F.col(url_column)
-    parts = pages.select(F.col(id_column), url_host(url).alias("host"), url_path(url).alias("path"), canonical_url(url).alias("_url"))
+    parts = pages.select(F.col(id_column).alias("_id"), url_host(url).alias("host"), url_path(url).alias("path"), canonical_url(url).alias("_url"))
     ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules.items():
@@ -83,14 +86,16 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: dict[str, str], *, id
 
     bloom = bloom_filter(canon, blocks)
     bloom = F.broadcast(bloom) if blocks * BLOCK_BYTES <= broadcast_bytes else bloom
-    asked = ruled.where(F.col("rule").isNull() & F.col("_url").isNotNull()).withColumn("_block", _block(F.col("_url"), blocks))
+    asked = F.when(F.col("rule").isNull(), F.col("_url"))
     hit = F.lit(True)
-    for k, b in enumerate(_bits(F.col("_url"))):
+    for k, b in enumerate(_bits(F.col("_asked"))):
         hit = hit & (F.col(f"_w{k}").bitwiseAND(b) == b)
-    probed = asked.join(bloom, "_block", "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
-
-    out = lambda df, verdict, is_listed: df.select(id_column, "host", "path", "rule", verdict.alias("verdict"), is_listed.alias("listed"))
-    settled = out(ruled.where(F.col("rule").isNotNull() | F.col("_url").isNull()), F.coalesce(by_rule, F.lit("allow")), F.lit(None).cast("boolean"))
-    passed = out(probed.where(~F.col("_hit")), F.lit("allow"), F.lit(False))
-    found = probed.where("_hit").join(canon.select(F.col("url").alias("_url"), F.lit(True).alias("_in")), "_url", "left")
-    return settled.unionAll(passed).unionAll(out(found, F.when(F.col("_in"), "block").otherwise("allow"), F.coalesce("_in", F.lit(False))))
+    # Pages with a rule or without a host aren't looked for in the filter, nor those that it holds back in the list: their keys are ones that neither has (no canonical URL holds a ``#``), many, so that no task gets them all.
+    other = F.pmod(F.xxhash64("_id", "host", "path"), F.lit(OTHER_KEYS)).cast("long")
+    asking = ruled.withColumn("_asked", asked).withColumn("_block", F.when(F.col("_asked").isNotNull(), _block(F.col("_asked"), blocks)).otherwise(-1 - other))
+    probed = asking.join(bloom, "_block", "left").withColumn("_possible", F.when(hit, F.col("_asked")).otherwise(F.concat(F.lit("#"), other.cast("string"))))
+    known = canon.select(F.col("url").alias("_possible"), F.lit(True).alias("_in"))
+    found = probed.join(known.hint("shuffle_hash") if n_listed > BROADCAST_LISTED else F.broadcast(known), "_possible", "left")
+    is_listed = F.when(F.col("_asked").isNotNull(), F.coalesce("_in", F.lit(False)))
+    verdict = F.coalesce(by_rule, F.when(is_listed, F.lit("block")), F.lit("allow"))
+    return found.select(F.col("_id").alias(id_column), "host", "path", "rule", verdict.alias("verdict"), is_listed.alias("listed"))
