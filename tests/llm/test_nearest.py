@@ -38,6 +38,13 @@ def test_recall_on_clusters(spark):
         assert [(s, v) for _, s, v in own] == sorted((s, v) for _, s, v in own)
 
 
+def test_queries_in_parts_find_the_same(spark):
+    rng = np.random.default_rng(12)
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist(), 0) for i in range(600)], SCHEMA)
+    whole, parts = (nearest_neighbours(vectors, F.col("vec_id") % 5 == 0, part_queries=n).collect() for n in (1 << 16, 7))
+    assert sorted(whole) == sorted(parts) and len(whole) == 1200
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [0.0, 0.0], 0), (2, None, 0), (3, [float("nan"), 1.0], 0), (4, [1.0, None], 0), (5, [1.0], 0), (6, [float("inf"), 0.0], 0), (7, [1.0, 1.0], 0), (None, [1.0, 0.5], 0), (8, [1.0, 1.0], 0), (8, [1.0, 0.0], 0)]
     got = nearest_neighbours(spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash")), F.col("vec_id") == 0).collect()

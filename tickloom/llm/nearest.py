@@ -30,6 +30,8 @@ BLOCK_ROWS = 4096
 MEASURED, RECALL = 128, 0.95
 #: Query rows compared with a block at a time.
 STEP = 256
+#: Queries of a window that one task holds, about; more are dealt in parts, each of which meets the block in a task of its own.
+PART_QUERIES = 1 << 16
 #: Pairs whose distance is computed exactly at a time.
 PAIRS = 1 << 16
 
@@ -109,7 +111,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", curves: int = CURVES, dimensions: int = DIMENSIONS, recall: float = RECALL, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", curves: int = CURVES, dimensions: int = DIMENSIONS, recall: float = RECALL, block_rows: int = BLOCK_ROWS, part_queries: int = PART_QUERIES, seed: int = 7) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (Euclidean distance in double precision) of each query's ``k`` nearest found.
 
     ``is_query``: condition on ``vec_id`` for the rows that are queries. Candidates are all rows but
@@ -128,7 +130,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column:
     rows = rows.where(F.size("vec") == size)
     turns, shifts = _projections(size, curves, min(dimensions, size), seed)
     # Scale of the grid: the spread of all vectors' components.
-    spread = float(rows.select(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))).alias("x")).agg(F.max("x")).first()[0]) * np.sqrt(size) / 2
+    scale = float(rows.select(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))).alias("x")).agg(F.max("x")).first()[0]) * np.sqrt(size) / 2
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +138,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column:
                 continue
             x, at = _arrays(batch, "vec"), pa.array(np.arange(batch.num_rows))
             for c, (turn, shift) in enumerate(zip(turns, shifts, strict=True)):
-                place = (x @ turn / spread + 1) / 2 + shift / 2  # within 0 to 1.5 for all but outliers
+                place = (x @ turn / scale + 1) / 2 + shift / 2  # within 0 to 1.5 for all but outliers
                 cells = np.clip(place / 1.5 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert_keys(cells, BITS)), batch.column("vec_id").take(at), batch.column("vec").take(at)], ["curve", "key", "vec_id", "vec"])
 
@@ -161,7 +163,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 10, id_column:
         return pa.Table.from_arrays(_found(parts), ["query_id", "vec_id", "score"])
 
     routed = queries.withColumn("block", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)))
-    windows = routed.groupBy("curve", "block").cogroup(index.groupBy("curve", "block")).applyInArrow(compared, "query_id long, vec_id long, score double")
+    most = routed.groupBy("curve", "block").count().agg(F.max("count")).first()[0] or 0
+    parts_of = max(1, -(-most // part_queries))
+    dealt = routed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(parts_of)).cast("int"))
+    spread = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1))))
+    windows = dealt.groupBy("curve", "block", "part").cogroup(spread.groupBy("curve", "block", "part")).applyInArrow(compared, "query_id long, vec_id long, score double")
     return _top(windows, k).select("query_id", "rank", "vec_id", "score")
 
 
