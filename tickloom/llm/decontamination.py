@@ -5,7 +5,8 @@ shares at least ``ceil(t * q)`` shingles with a document that contains it to the
 any ``q - ceil(t * q) + 1`` of its shingles the document has one. The search therefore takes as
 MinHash sketch of an item that many of its smallest hashes: each size has the sketch length that
 loses no document, however long, where a document's own MinHash values would almost never be an
-item's. Every document's shingle hashes are probed against the sketches, and each candidate pair is
+item's. Shingles that fewer items hold come first, so that a phrase common to many items doesn't
+pair each of them with every document that has it. Every document's shingle hashes are probed against the sketches, and each candidate pair is
 verified on the shingles themselves.
 """
 
@@ -58,8 +59,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, words: int = 5,
     texts = _spelled(items, words, "_item")
     sizes = texts.groupBy("_item").agg(F.count(F.lit(1)).alias("_q")).withColumn("_need", F.ceil(F.col("_q") * F.lit(containment) - 1e-9))
 
-    smallest = Window.partitionBy("_item").orderBy("_h")
-    sketch = _hashed(items, words, "_item").distinct().withColumn("_place", F.row_number().over(smallest)).join(sizes, "_item")
+    held_by = _hashed(items, words, "_item").distinct()
+    items_of = held_by.groupBy("_h").agg(F.count(F.lit(1)).alias("_items"))
+    rarest = Window.partitionBy("_item").orderBy("_items", "_h")
+    sketch = held_by.join(items_of, "_h").withColumn("_place", F.row_number().over(rarest)).join(sizes, "_item")
     sketch = sketch.where(F.col("_place") <= F.col("_q") - F.col("_need") + 1).select("_item", "_h")
     probe = F.broadcast(sketch) if sketch.count() <= broadcast_rows else sketch
 
