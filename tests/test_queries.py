@@ -14,6 +14,7 @@ CHOSEN = [
     "future_mid_asof", "assemble_book_row", "spread_persistence", "spread_episodes", "volatility_horizons", "trades_per_minute", "markout_stats", "fill_rates", "minute_bars", "screening_score",
     "market_lifecycle", "score_markets", "book_sample_grid", "fifo_realized_pnl", "round_trips", "pnl_summary", "snapshot_compare", "freshness_label", "stream_dedup_trades", "live_metrics_stream",
     "book_rebuild", "stream_book_rebuild", "dq_counters", "feed_market_stats", "feed_books", "discover_layout", "file_health_scan", "publish_generation", "narratives", "redact_text",
+    "snapshot_score_deltas", "analysis_runs", "connection_warnings", "market_detail", "output_quality_checks",
 ]
 
 

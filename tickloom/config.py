@@ -59,6 +59,7 @@ class Candidates:
     markout_30s_bps: float = -15.0
     activity_rank: float = 20.0
     peers: int = 10
+    trades_per_minute_median: float | None = None
 
 
 @dataclass(frozen=True)

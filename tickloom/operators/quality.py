@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.rebuild import messages
@@ -22,21 +22,53 @@ def output_quality_checks(rows: DataFrame, required: tuple[str, ...] = ("market_
     return tall.select("check_name", F.when(F.col("found") > 0, F.col("_level")).otherwise("PASS").alias("level"), "found", F.col("n").alias("checked"))
 
 
-def snapshot_compare(before: DataFrame, after: DataFrame, columns: tuple[str, ...], *, exact: tuple[str, ...] = (), abs_tol: float = 1e-6, rel_tol: float = 1e-6) -> DataFrame:
-    """One row for each market and column: both values, their difference, and whether they match; a market missing on one side matches nowhere."""
+# The metrics that two results are compared by, and those that are counts.
+COMPARED = (
+    "median_spread_bps", "median_two_sided_depth_10bps_usd", "trades_per_minute_mean", "trades_per_minute_median", "pct_time_spread_ge_5bps", "data_coverage_pct", "observation_coverage_pct", "maker_markout_5s_median_bps",
+    "maker_markout_30s_median_bps", "markout_5s_count", "markout_30s_count", "estimated_maker_fill_rate_5s_conservative", "estimated_maker_fill_rate_30s_conservative", "estimated_maker_fill_rate_5s_optimistic",
+    "estimated_maker_fill_rate_30s_optimistic", "estimated_maker_fill_samples",
+)
+COUNTS = ("markout_5s_count", "markout_30s_count", "estimated_maker_fill_samples")
+
+
+def snapshot_compare(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = COMPARED, *, exact: tuple[str, ...] = COUNTS, abs_tol: float = 1e-9, rel_tol: float = 1e-6) -> DataFrame:
+    """One row for each market and column: both values, their difference, whether they match, and the ``side`` that has the market (``both``, ``before`` or ``after``); one missing on a side matches nowhere."""
     tall = lambda df, name: df.select("market_id", F.stack(F.lit(len(columns)), *(x for c in columns for x in (F.lit(c), F.col(c).cast("double")))).alias("metric", name))
     both = tall(before, "before").withColumn("_l", F.lit(True)).join(tall(after, "after").withColumn("_r", F.lit(True)), ["market_id", "metric"], "full_outer")
     a, b = F.col("before"), F.col("after")
-    tolerance = F.when(F.col("metric").isin(*exact), 0.0).otherwise(F.greatest(F.lit(abs_tol), rel_tol * F.greatest(F.abs(a), F.abs(b)))) if exact else F.greatest(F.lit(abs_tol), rel_tol * F.greatest(F.abs(a), F.abs(b)))
-    same = F.when(F.col("_l").isNull() | F.col("_r").isNull(), False).when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.abs(a - b) <= tolerance)
-    return both.select("market_id", "metric", "before", "after", F.abs(a - b).alias("difference"), same.alias("matches"))
+    close = F.greatest(F.lit(abs_tol), rel_tol * F.greatest(F.abs(a), F.abs(b)))
+    tolerance = F.when(F.col("metric").isin(*exact), 0.0).otherwise(close) if exact else close
+    side = F.when(F.col("_l").isNull(), "after").when(F.col("_r").isNull(), "before").otherwise("both")
+    same = F.when(F.col("side") != "both", False).when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.abs(a - b) <= tolerance)
+    return both.withColumn("side", side).select("market_id", "metric", "before", "after", F.abs(a - b).alias("difference"), same.alias("matches"), "side")
+
+
+def score_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Of each market with a ``score`` on both sides: the differences of score and of rank by score, after less before."""
+    # One row for each market.
+    ranked = lambda df, name: df.select("market_id", F.col("score").alias(f"score_{name}"), F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "market_id")).alias(f"rank_{name}"))
+    both = ranked(before, "before").join(ranked(after, "after"), "market_id").where(F.col("score_before").isNotNull() & F.col("score_after").isNotNull())
+    return both.select("market_id", "score_before", "score_after", (F.col("score_after") - F.col("score_before")).alias("score_delta"), (F.col("rank_after") - F.col("rank_before")).alias("rank_delta"))
+
 
+def comparison_verdict(compared: DataFrame, deltas: DataFrame, counts: DataFrame, *, large_delta: float = 5.0) -> DataFrame:
+    """One row: mismatches of the markets of the later result, score and rank differences, whether the row ``counts`` (``before`` and ``after`` of each table) agree, and the verdict.
 
-def comparison_verdict(compared: DataFrame) -> DataFrame:
-    """One row: mismatches, difference percentiles and the verdict."""
+    Mismatches, row counts that differ or are zero, and nothing to compare fail; large score
+    differences warn.
+    """
+    ours = F.col("side") != "before"
+    bad = F.count_if(ours & ~F.col("matches"))
     d = F.percentile("difference", F.array(F.lit(0.5), F.lit(0.95)))
-    bad = F.count_if(~F.col("matches"))
-    return compared.agg(F.count(F.lit(1)).alias("compared"), bad.alias("mismatches"), d.alias("_d"), F.max("difference").alias("max_difference")).select("compared", "mismatches", F.col("_d")[0].alias("p50_difference"), F.col("_d")[1].alias("p95_difference"), "max_difference", F.when(F.col("mismatches") == 0, "PASS").when(F.col("mismatches") < 0.01 * F.col("compared"), "PASS_WITH_WARNINGS").otherwise("FAIL").alias("verdict"))
+    one = compared.agg(F.count_if(ours).alias("compared"), bad.alias("mismatches"), d.alias("_d"), F.max("difference").alias("max_difference"))
+    score, rank = F.abs("score_delta"), F.abs("rank_delta")
+    two = deltas.agg(F.percentile(score, 0.5).alias("median_score_delta"), F.percentile(score, 0.95).alias("p95_score_delta"), F.max(score).alias("max_score_delta"), F.percentile(rank, 0.5).alias("median_rank_delta"), F.max(rank).alias("max_rank_delta"))
+    three = counts.agg(F.coalesce(F.every((F.col("before") == F.col("after")) & (F.col("before") > 0)), F.lit(False)).alias("row_counts_match"))
+    # One row each.
+    rows = one.join(F.broadcast(two), F.lit(True)).join(F.broadcast(three), F.lit(True))
+    failed = (F.col("mismatches") > 0) | ~F.col("row_counts_match") | (F.col("compared") == 0)
+    verdict = F.when(failed, "FAIL").when(F.col("p95_score_delta") > large_delta, "PASS_WITH_WARNINGS").otherwise("PASS")
+    return rows.select("compared", "mismatches", F.col("_d")[0].alias("p50_difference"), F.col("_d")[1].alias("p95_difference"), "max_difference", *two.columns, "row_counts_match", verdict.alias("verdict"))
 
 
 def event_watermark(tables: dict[str, DataFrame], time: str = "timestamp_ms") -> DataFrame:
@@ -88,6 +120,24 @@ def status_rollup(rows: DataFrame, *, error: str | None = None, corrupt_files: i
     return rows.agg(n.alias("markets"), F.count_if("candidate").alias("candidates"), F.when(bad, "ERROR").when((n == 0) | F.lit(corrupt_files > 0), "DEGRADED").otherwise("OK").alias("status"))
 
 
+def run_states(runs: DataFrame, now_ms: int, stale_minutes: float = 45.0) -> DataFrame:
+    """``runs`` (``status``, ``heartbeat_ms``, ``started_ms``, ``generated_ms``, ``last_success_ms``) with the minutes since a run was last heard of, whether it is running but silent too long, and whether it counts as a success."""
+    heard = F.coalesce("heartbeat_ms", "started_ms", "generated_ms")
+    age, running = (F.lit(now_ms) - heard) / 60_000.0, F.col("status") == "RUNNING"
+    done = F.col("status").isin("OK", "DEGRADED") & F.col("last_success_ms").isNotNull()
+    return runs.withColumns({"heard_minutes_ago": age, "stale_running": F.coalesce(running & F.coalesce(age > stale_minutes, F.lit(True)), F.lit(False)), "success": F.coalesce(done, F.lit(False))})
+
+
+def connection_warnings(shards: DataFrame) -> DataFrame:
+    """One row: shards (``connected``, ``planned`` and ``acked`` channels) in numbers, and what is wrong with them."""
+    sums = shards.agg(F.count(F.lit(1)).alias("shards"), F.count_if("connected").alias("connected"), F.coalesce(F.sum("planned"), F.lit(0)).alias("planned"), F.coalesce(F.sum("acked"), F.lit(0)).alias("acked"))
+    said = [
+        F.when(F.col("shards") == 0, "No WebSocket shards planned.").when(F.col("connected") < F.col("shards"), F.format_string("WebSocket degraded: %d/%d shards connected.", "connected", "shards")),
+        F.when(F.col("planned") == 0, "No WebSocket subscriptions planned.").when(F.col("acked") < F.col("planned"), F.format_string("Subscription ACK incomplete: %d/%d channels acked.", "acked", "planned")),
+    ]
+    return sums.withColumn("warnings", F.array_compact(F.array(*said)))
+
+
 def feed_health_warnings(books: DataFrame, now_ms: int, interval_ms: int = 5_000) -> DataFrame:
     """Of each market, warnings where its usable samples are missing or old."""
     limit = max(3 * interval_ms, 30_000)

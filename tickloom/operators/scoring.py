@@ -120,6 +120,8 @@ def candidate_gate(scored: DataFrame, limits: Candidates = Candidates(), peer_co
         _zero("markout_30s_count") >= limits.markouts_30s,
         _zero("estimated_maker_fill_samples") >= limits.fill_samples,
     ]
+    if limits.trades_per_minute_median is not None:
+        met.append(_zero("trades_per_minute_median") >= limits.trades_per_minute_median)
     peers = F.count(F.lit(1)).over(Window.partitionBy()) if peer_count is None else peer_count
     ok = ~((peers >= limits.peers) & (_zero("rank_trade_activity") < limits.activity_rank))
     for m in met:

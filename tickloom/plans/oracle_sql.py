@@ -106,7 +106,7 @@ PARTS: dict[str, str] = VIEWS | {
         coalesce(market_observation_seconds / 3600e0, 0e0) AS observation_hours, median_spread_bps, mean_spread_bps, pct_time_spread_ge_5bps, median_two_sided_depth_5bps_usd, median_two_sided_depth_10bps_usd, current_funding_rate,
         p95_abs_mid_move_5s_bps, coalesce(total_trade_count, 0) AS total_trade_count, coalesce(total_quote_volume, 0e0) AS total_quote_volume, coalesce(trades_per_minute_mean, 0e0) AS trades_per_minute_mean, coalesce(trades_per_minute_median, 0e0) AS trades_per_minute_median,
         coalesce(markout_5s_count, 0) AS markout_5s_count, coalesce(markout_30s_count, 0) AS markout_30s_count, maker_markout_5s_median_bps, maker_markout_30s_median_bps,
-        coalesce(estimated_maker_fill_samples, 0) AS estimated_maker_fill_samples, estimated_maker_fill_rate_5s_conservative, estimated_maker_fill_rate_30s_conservative,
+        coalesce(estimated_maker_fill_samples, 0) AS estimated_maker_fill_samples, estimated_maker_fill_rate_5s_conservative, estimated_maker_fill_rate_30s_conservative, estimated_maker_fill_rate_5s_optimistic, estimated_maker_fill_rate_30s_optimistic,
         estimated_maker_fill_rate_5s_conservative * maker_markout_5s_median_bps AS estimated_maker_edge_5s_bps, estimated_maker_fill_rate_30s_conservative * maker_markout_30s_median_bps AS estimated_maker_edge_30s_bps
         FROM covp FULL JOIN sprd USING (market_id) FULL JOIN dep USING (market_id) FULL JOIN lat USING (market_id) FULL JOIN pers USING (market_id) FULL JOIN volh USING (market_id) FULL JOIN tot USING (market_id) FULL JOIN tpm USING (market_id) FULL JOIN mk USING (market_id) FULL JOIN fst USING (market_id)""",
     "pv": " UNION ALL ".join(f"SELECT '{c}' AS name, {x} AS v FROM mr" for c, x in _RANKED.items()),

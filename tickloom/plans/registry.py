@@ -379,22 +379,36 @@ ORACLES["market_set_diff"] = oracle("SELECT * FROM (SELECT DISTINCT market_id::B
 
 
 def _two_results(m: Market) -> tuple[DataFrame, DataFrame]:
-    rows = market_rows(inputs(m)).select("market_id", "median_spread_bps", "total_trade_count", "trades_per_minute_mean")
-    after = rows.where("market_id <> 8").withColumn("median_spread_bps", F.col("median_spread_bps") + F.when(F.col("market_id") == 3, 0.5).otherwise(0.0))
+    """A result, and one that lacks market 8, has a market 77, another spread in market 3, no markout in market 4, one more sample in market 5 and other scores."""
+    path = jobs.scratch(m.spark, "result")
+    ranked_markets(inputs(m)).select("market_id", "score", *quality.COMPARED).write.parquet(path)
+    rows = m.spark.read.parquet(path)
+    at = lambda k, c, x: F.when(F.col("market_id") == k, x).otherwise(F.col(c)).alias(c)
+    changed = {"median_spread_bps": at(3, "median_spread_bps", F.col("median_spread_bps") + 0.5), "maker_markout_5s_median_bps": at(4, "maker_markout_5s_median_bps", None), "estimated_maker_fill_samples": at(5, "estimated_maker_fill_samples", F.col("estimated_maker_fill_samples") + 1), "trades_per_minute_mean": F.col("trades_per_minute_mean") * (1 + 1e-7)}
+    after = rows.where("market_id <> 8").select(at(2, "market_id", F.lit(77)).cast("int").alias("market_id"), (F.col("score") + F.col("market_id") % 4).alias("score"), *(changed.get(c, F.col(c)).alias(c) for c in quality.COMPARED))
     return rows, after
 
 
-_COMPARED = ("median_spread_bps", "total_trade_count", "trades_per_minute_mean")
-_COMPARE_SQL = """SELECT market_id, metric, v AS before, CASE WHEN market_id = 8 THEN NULL WHEN market_id = 3 AND metric = 'median_spread_bps' THEN v + 0.5e0 ELSE v END AS after,
-  CASE WHEN market_id = 8 THEN NULL WHEN market_id = 3 AND metric = 'median_spread_bps' THEN 0.5e0 ELSE abs(v - v) END AS difference,
-  CASE WHEN market_id = 8 THEN false WHEN market_id = 3 AND metric = 'median_spread_bps' THEN v IS NULL ELSE true END AS matches
-  FROM (SELECT market_id, 'median_spread_bps' AS metric, median_spread_bps AS v FROM mr UNION ALL SELECT market_id, 'total_trade_count', total_trade_count::DOUBLE FROM mr UNION ALL SELECT market_id, 'trades_per_minute_mean', trades_per_minute_mean FROM mr)"""
+_TALL_METRICS = ", ".join(f"{{'metric': '{c}', 'v': {c}::DOUBLE}}" for c in quality.COMPARED)
+_COMPARE_SQL = f"""SELECT market_id, metric, before, after, abs(after - before) AS difference, side,
+  CASE WHEN side <> 'both' THEN false WHEN before IS NULL OR after IS NULL THEN before IS NULL AND after IS NULL WHEN metric IN ('markout_5s_count', 'markout_30s_count', 'estimated_maker_fill_samples') THEN before = after ELSE abs(after - before) <= greatest(1e-9, 1e-6 * greatest(abs(before), abs(after))) END AS matches
+  FROM (SELECT coalesce(a.market_id, b.market_id) AS market_id, coalesce(a.metric, b.metric) AS metric, a.v AS before, b.v AS after, CASE WHEN a.metric IS NULL THEN 'after' WHEN b.metric IS NULL THEN 'before' ELSE 'both' END AS side
+    FROM (SELECT market_id, x.metric, x.v FROM (SELECT market_id, unnest([{_TALL_METRICS}]) AS x FROM rnk)) a
+    FULL JOIN (SELECT CASE WHEN market_id = 2 THEN 77 ELSE market_id END AS market_id, x.metric,
+        CASE WHEN market_id = 3 AND x.metric = 'median_spread_bps' THEN x.v + 0.5e0 WHEN market_id = 4 AND x.metric = 'maker_markout_5s_median_bps' THEN NULL WHEN market_id = 5 AND x.metric = 'estimated_maker_fill_samples' THEN x.v + 1 WHEN x.metric = 'trades_per_minute_mean' THEN x.v * (1 + 1e-7) ELSE x.v END AS v
+      FROM (SELECT market_id, unnest([{_TALL_METRICS}]) AS x FROM rnk WHERE market_id <> 8)) b ON a.market_id = b.market_id AND a.metric = b.metric)"""
+_DELTA_SQL = """SELECT market_id, a.score AS score_before, b.score AS score_after, b.score - a.score AS score_delta, b.r - a.r AS rank_delta FROM (SELECT market_id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, market_id) AS r FROM rnk) a
+  JOIN (SELECT market_id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, market_id) AS r FROM (SELECT CASE WHEN market_id = 2 THEN 77 ELSE market_id END AS market_id, score + market_id % 4 AS score FROM rnk WHERE market_id <> 8)) b USING (market_id)"""
 
 
 @query(_COMPARE_SQL, "before after difference")
 def snapshot_compare_join(m):
-    before, after = _two_results(m)
-    return quality.snapshot_compare(before, after, _COMPARED, exact=("total_trade_count",))
+    return quality.snapshot_compare(*_two_results(m))
+
+
+@query(_DELTA_SQL, "score_before score_after score_delta")
+def snapshot_score_deltas(m):
+    return quality.score_deltas(*_two_results(m))
 
 
 # Aggregations
@@ -936,15 +950,47 @@ def ledger_attach(m):
 # Quality
 
 
-@query("""SELECT * FROM (SELECT unnest(['coverage.schema.market_id', 'coverage.schema.symbol', 'coverage.schema.score', 'coverage.data_coverage_pct', 'coverage.observation_coverage_pct', 'coverage.usable_quote_coverage_pct', 'coverage.spread_coverage_pct', 'coverage.obs_vs_data']) AS check_name, 'PASS' AS level, 0 AS found, (SELECT count(*) FROM mr) AS checked)""")
+@query("""SELECT c.check_name AS check_name, CASE WHEN c.found = 0 THEN 'PASS' WHEN c.check_name = 'coverage.obs_vs_data' THEN 'WARN' ELSE 'FAIL' END AS level, c.found AS found, checked FROM (SELECT unnest([
+    {'check_name': 'coverage.schema.market_id', 'found': 0}, {'check_name': 'coverage.schema.symbol', 'found': count(*) FILTER (market_id = 1)}, {'check_name': 'coverage.schema.score', 'found': 0}, {'check_name': 'coverage.data_coverage_pct', 'found': count(*) FILTER (market_id = 2)},
+    {'check_name': 'coverage.observation_coverage_pct', 'found': count(*) FILTER (market_id IN (3, 4))}, {'check_name': 'coverage.usable_quote_coverage_pct', 'found': 0}, {'check_name': 'coverage.spread_coverage_pct', 'found': 0},
+    {'check_name': 'coverage.obs_vs_data', 'found': count(*) FILTER (market_id = 3 OR (market_id = 2 AND abs(observation_coverage_pct - 100.5) > 2) OR market_id = 4)}]) AS c, count(*) AS checked FROM mr)""")
 def output_quality_checks(m):
-    return quality.output_quality_checks(ranked_markets(inputs(m)))
+    k, rows = F.col("market_id"), ranked_markets(inputs(m))
+    bad = {"symbol": F.when(k != 1, F.col("symbol")), "data_coverage_pct": F.when(k == 2, 100.5).otherwise(F.col("data_coverage_pct")), "observation_coverage_pct": F.when(k == 3, -1.0).when(k == 4, float("nan")).otherwise(F.col("observation_coverage_pct"))}
+    return quality.output_quality_checks(rows.withColumns(bad))
 
 
-@query(f"SELECT count(*) AS compared, count(*) FILTER (NOT matches) AS mismatches, quantile_cont(difference, 0.5) AS p50_difference, quantile_cont(difference, 0.95) AS p95_difference, max(difference) AS max_difference, CASE WHEN count(*) FILTER (NOT matches) = 0 THEN 'PASS' WHEN count(*) FILTER (NOT matches) < 0.01 * count(*) THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL' END AS verdict FROM ({_COMPARE_SQL})", "p50_difference p95_difference max_difference")
+@query(f"""SELECT compared, mismatches, p50_difference, p95_difference, max_difference, d.*, true AS row_counts_match, CASE WHEN mismatches > 0 THEN 'FAIL' WHEN p95_score_delta > 5 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict
+  FROM (SELECT count(*) FILTER (side <> 'before') AS compared, count(*) FILTER (side <> 'before' AND NOT matches) AS mismatches, quantile_cont(difference, 0.5) AS p50_difference, quantile_cont(difference, 0.95) AS p95_difference, max(difference) AS max_difference FROM ({_COMPARE_SQL}))
+  CROSS JOIN (SELECT quantile_cont(abs(score_delta), 0.5) AS median_score_delta, quantile_cont(abs(score_delta), 0.95) AS p95_score_delta, max(abs(score_delta)) AS max_score_delta, quantile_cont(abs(rank_delta)::DOUBLE, 0.5) AS median_rank_delta, max(abs(rank_delta)) AS max_rank_delta FROM ({_DELTA_SQL})) d""", "p50_difference p95_difference max_difference median_score_delta p95_score_delta max_score_delta median_rank_delta")
 def snapshot_compare(m):
     before, after = _two_results(m)
-    return quality.comparison_verdict(quality.snapshot_compare(before, after, _COMPARED, exact=("total_trade_count",)))
+    counts = m.books.agg(F.count(F.lit(1)).alias("before")).unionByName(m.trades.agg(F.count(F.lit(1)).alias("before"))).withColumn("after", F.col("before"))
+    return quality.comparison_verdict(quality.snapshot_compare(before, after), quality.score_deltas(before, after), counts)
+
+
+@query("""SELECT market_id, round((e - heard) / 60000e0, 6) AS heard_minutes_ago, status = 'RUNNING' AND coalesce((e - heard) / 60000e0 > 3, true) AS stale_running, status IN ('OK', 'DEGRADED') AND market_id % 5 <> 3 AS success FROM (
+  SELECT market_id, CASE market_id % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'OK' WHEN 2 THEN 'DEGRADED' ELSE 'ERROR' END AS status, CASE WHEN market_id = 4 THEN NULL WHEN market_id % 3 = 0 THEN max(timestamp_ms) - 200000 * market_id ELSE min(timestamp_ms) END AS heard FROM fx_trades GROUP BY market_id) CROSS JOIN win""", "heard_minutes_ago")
+def analysis_runs(m):
+    k = F.col("market_id")
+    runs = m.trades.groupBy("market_id").agg(F.max("timestamp_ms").alias("_last"), F.min("timestamp_ms").alias("_first"))
+    status = F.when(k % 4 == 0, "RUNNING").when(k % 4 == 1, "OK").when(k % 4 == 2, "DEGRADED").otherwise("ERROR")
+    runs = runs.select(k, status.alias("status"), F.when((k % 3 == 0) & (k != 4), F.col("_last") - 200_000 * k).alias("heartbeat_ms"), F.when(k != 4, F.col("_first")).alias("started_ms"), F.lit(None).cast("long").alias("generated_ms"), F.when(k % 5 != 3, F.col("_last")).alias("last_success_ms"))
+    return quality.run_states(runs, m.end_ms, 3.0).select("market_id", "heard_minutes_ago", "stale_running", "success")
+
+
+@query("""SELECT shards, connected, planned, acked, list_filter([CASE WHEN connected < shards THEN printf('WebSocket degraded: %d/%d shards connected.', connected, shards) END, CASE WHEN acked < planned THEN printf('Subscription ACK incomplete: %d/%d channels acked.', acked, planned) END], lambda x: x IS NOT NULL) AS warnings FROM (
+  SELECT count(*) AS shards, count(*) FILTER (shard <> 1) AS connected, sum(planned)::BIGINT AS planned, sum(acked)::BIGINT AS acked FROM (SELECT market_id % 3 AS shard, count(DISTINCT market_id) AS planned, count(DISTINCT CASE WHEN market_id <> 2 THEN market_id END) AS acked FROM fx_trades GROUP BY 1))""")
+def connection_warnings(m):
+    shards = m.trades.groupBy((F.col("market_id") % 3).alias("shard")).agg(F.countDistinct("market_id").alias("planned"), F.countDistinct(F.when(F.col("market_id") != 2, F.col("market_id"))).alias("acked"))
+    return quality.connection_warnings(shards.withColumn("connected", F.col("shard") != 1))
+
+
+@query("SELECT market_id, symbol, rank, round(score, 4) AS score, round(rank_spread, 2) AS pct_spread, mean_spread_bps, median_two_sided_depth_5bps_usd AS depth_5bps, total_quote_volume, markout_30s_count, estimated_maker_edge_30s_bps, spread_coverage_pct, cons, penalties, confidence_reasons FROM nar", "score pct_spread mean_spread_bps depth_5bps total_quote_volume estimated_maker_edge_30s_bps spread_coverage_pct")
+def market_detail(m):
+    x = report.market_detail(ranked_markets(inputs(m)))
+    picked = {"pct_spread": "rank_components.spread", "mean_spread_bps": "spread.mean_spread_bps", "depth_5bps": "depth.median_two_sided_depth_5bps_usd", "total_quote_volume": "activity.total_quote_volume", "markout_30s_count": "markouts.markout_30s_count", "estimated_maker_edge_30s_bps": "fill.estimated_maker_edge_30s_bps", "spread_coverage_pct": "coverage.spread_coverage_pct"}
+    return x.select("market_id", "symbol", "rank", "score", *(F.col(c).alias(n) for n, c in picked.items()), "cons", "penalties", "confidence_reasons")
 
 
 def _sources(m: Market) -> DataFrame:
