@@ -26,7 +26,7 @@ BANDS, BAND_ROWS = 24, 6
 #: Shingles hashed for all bands at a time.
 STEP = 2048
 #: Bytes of text of a block of a coarse component, about.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 
 _rng = np.random.default_rng(11)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)

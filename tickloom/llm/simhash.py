@@ -32,8 +32,8 @@ SAMPLE = 4096
 KEY_COST, COMPARE_COST = 1000.0, 5.0
 #: Fingerprints that one task compares under one key; larger buckets are cut in blocks and all pairs of blocks compared.
 BLOCK = 2048
-#: Shingles hashed at a time.
-SLICE = 1 << 16
+#: Shingles hashed at a time, and hashes whose bits are counted at a time (a byte each).
+SLICE, UNPACKED = 1 << 16, 1 << 12
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -73,7 +73,7 @@ def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
 def fingerprint_of(hashes: Iterable[np.ndarray], bits: int) -> bytes:
     """The fingerprint of slices of shingle hashes."""
     ones, n = np.zeros(bits, np.int64), 0
-    for h in hashes:
+    for h in (part for some in hashes for part in np.split(some, range(UNPACKED, len(some), UNPACKED))):
         wide = np.ascontiguousarray(_spread(h, bits // 64).astype(">u8")).view(np.uint8).reshape(len(h), -1)
         ones += np.unpackbits(wide, axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
