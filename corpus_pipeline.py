@@ -21,30 +21,30 @@ NEAR_WIDTH, SURE_BITS, NEAR_BITS = 256, 20, 72
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is 0.5 or more go."""
+    """Documents whose score is 0.5 or more go. Null texts are empty and judged like texts without a known term; rows without an id and repeated rows are judged each; other columns pass as they are, whatever their names."""
     return reject_toxic(docs, fit(docs, table(spark, sf_dir, "labels"), ~held_out()))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; one without an id stays. Rows that share an id stay or go together."""
+    """Of each group of near duplicates the document with the smallest id stays. Null and empty texts are alike, one of them stays; a row without an id stays; rows that share an id stay or go together. Other columns pass as they are."""
     classes = near_texts(docs, words=NEAR_WORDS, bits=NEAR_WIDTH, bits_apart=SURE_BITS, link_bits=NEAR_BITS, similarity=SIMILARITY)
     gone = stash(classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 0.8 or more of a benchmark item's five-word shingles go."""
+    """Documents that hold 0.8 or more of a benchmark item's five-word shingles go. Null and empty texts hold none; a row without an id stays; rows that share an id count as one document. Other columns pass as they are."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), words=5, containment=CONTAINMENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the mixed order: through the files by number, and within a file by row."""
+    """All documents, in the mixed order: through the files by number, and within a file by row. Null sources are one source; nulls elsewhere and repeated rows each have a place. Other columns pass as they are."""
     mixed = mix_sources(docs, tempered_weights(docs, exponent=MIX_EXPONENT), block_rows=MIX_BLOCK)
     return in_mixed_order(mixed, partitions(spark))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the order of the files of ``docs``; what is read back from them, by document."""
+    """Token files in the order of the files of ``docs``; what is read back from them, by document. A null text is empty: the end id alone. Null ids stay null, repeated rows are written each, other columns are left out."""
     name = F.col("_metadata.file_name")
     placed = docs.select("doc_id", "text", F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long").alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
     path = new_path(spark, "tokens")
