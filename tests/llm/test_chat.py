@@ -4,6 +4,7 @@ import random
 import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tickloom.llm.chat import conversation_digests, escape, escape_role, format_conversations, parse, unescape, unescape_role
 
@@ -33,10 +34,13 @@ def test_windows_hold_every_turn_once(spark):
     data = rows()
     windows = format_conversations(spark.createDataFrame(data, SCHEMA), BYTE, budget=200, history=60)
     kept = windows.collect()
+    whole_tokens = Tokenizer.from_file(BYTE)
     assert any(w.repeated_chars for w in kept)
     for w in kept:
         turns = list(parse(w.text))
+        assert w.n_tokens == len(whole_tokens.encode(w.text, add_special_tokens=False).ids)
         assert w.n_tokens <= 200 or w.n_turns == 1
+        assert len(whole_tokens.encode(w.text[: w.repeated_chars], add_special_tokens=False).ids) <= 60 or w.conv_id is not None and w.conv_id % 2
         for span in w.loss:
             assert span.start >= w.repeated_chars
             assert any((role, a, b) == ("assistant", span.start, span.end) for role, _, a, b in turns)

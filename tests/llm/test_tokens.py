@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,13 +22,16 @@ PARTS = ["a", "É", "é", "́", " ", "  ", "\n", "\t", "\xa0", "\x85", " ", "
 
 @pytest.mark.parametrize(("path", "cut"), [(BYTE, WITH_SPACE), (WORD, WORDS)])
 def test_pieces_equal_the_library_on_whole_texts(path, cut):
-    whole, pieces = Tokenizer.from_file(path), Pieces(open(path, encoding="utf-8").read(), cut, counts=False)
+    whole, pieces = Tokenizer.from_file(path), Pieces(open(path, encoding="utf-8").read(), cut, kept_bytes=2000)
 
     @settings(max_examples=400, deadline=None)
     @given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
     def same(text):
-        found = np.frombuffer(b"".join(next(pieces.of([text]))), "<u4").tolist()
-        assert found == whole.encode(text, add_special_tokens=False).ids
+        texts = ["one word", text, "", text]
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        found, sizes = pieces.ids(pa.array(texts))
+        assert found.tolist() == [k for ids in want for k in ids]
+        assert sizes.tolist() == pieces.lengths(pa.array(texts)).tolist() == [len(ids) for ids in want]
 
     same()
 

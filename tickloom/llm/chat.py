@@ -24,8 +24,6 @@ from tickloom.llm.pieces import WITH_SPACE, worker_pieces
 from tickloom.llm.shared import partitions
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of the control strings and line feeds of a turn.
-FRAME = 4
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 WINDOW_SQL = "conv_id long, window int, first_turn long, n_turns int, n_tokens long, repeated_chars long, text string, loss array<struct<start:long,end:long>>"
 WINDOW = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("first_turn", pa.int64()), ("n_turns", pa.int32()), ("n_tokens", pa.int64()), ("repeated_chars", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -120,7 +118,9 @@ def format_conversations(turns: DataFrame, tokenizer: str, *, budget: int = 1024
     (then role and text) and streamed, so one of any length needs the memory of a window. A window
     has at most ``budget`` tokens, of the byte-level ``tokenizers`` file, unless one turn alone has
     more: a turn is never cut. ``history``: tokens of earlier turns that a window repeats at most. A
-    first turn with role ``system`` is repeated in every window.
+    first turn with role ``system`` is repeated in every window, which therefore has more than
+    ``budget`` where that turn and one other have. A turn ends with one line feed after a sign, where
+    the tokenizer cuts, so a window's tokens are those of its turns, control strings included.
 
     Null roles and texts are empty. Rows without a conversation id are one conversation with a null
     id; null turns come first. Repeated rows are turns of their own. An empty table gives no rows.
@@ -129,18 +129,18 @@ def format_conversations(turns: DataFrame, tokenizer: str, *, budget: int = 1024
     content = Path(tokenizer).read_text(encoding="utf-8")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, now = worker_pieces(content, WITH_SPACE, counts=True), None
+        pieces, now = worker_pieces(content, WITH_SPACE), None
         for batch in batches:
             out: list[dict] = []
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             heads = [f"{START}{escape_role(r)}\n" for r in roles]
-            bodies = [escape(t) for t in texts]
-            for conv, role, head, body, sizes in zip(batch.column("conv_id").to_pylist(), roles, heads, bodies, pieces.of([f"{r}\n{b}" for r, b in zip(roles, bodies, strict=True)]), strict=True):
+            turns = [f"{head}{escape(t)}{END}\n" for head, t in zip(heads, texts, strict=True)]
+            for conv, role, head, turn, size in zip(batch.column("conv_id").to_pylist(), roles, heads, turns, pieces.lengths(pa.array(turns, pa.string())).tolist(), strict=True):
                 if now is None or now.conv != conv:
                     if now:
                         out.append(now.close())
                     now = _Conversation(conv, budget, history)
-                out += now.add(role, f"{head}{body}{END}\n", len(head), sum(sizes) + FRAME)
+                out += now.add(role, turn, len(head), size)
             yield pa.RecordBatch.from_pylist(out, WINDOW)
         if now:
             yield pa.RecordBatch.from_pylist([now.close()], WINDOW)

@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,97 +27,179 @@ UNSAFE = re.compile("[\x1c-\x1f\u180e]")
 
 #: Texts with other characters than these (up to U+024F, without controls and the dotted capital I) or a special token's first two aren't lower-cased ahead of the tokenizer.
 ODD = re.compile(r"[^\t\n\r -~\xa1-\u012f\u0131-\u024f]|<\|")
-#: A full stop or comma that ends a word is a piece of its own for word-level tokenizers.
-STOP = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=\s|$)")
+#: The same in Arrow's syntax.
+ODD_ARROW = r"[^\t\n\r -~\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
 
-#: Entries of each half of a worker's cache. A full half takes the place of the older one, whose entries come back as they are met.
-CACHE = 250_000
+#: Bytes of pieces and ids that a worker keeps between batches, about; beyond it the half used least lately is forgotten.
+KEPT_BYTES = 3 << 25
+#: What a kept piece costs besides its own bytes, about.
+ENTRY_BYTES = 150
 #: The end of the pattern of a tokenizer that takes letters by runs, digits one by one and other signs by runs.
 LETTERS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces in one call's text, with a special token between each two.
-JOINED = 64
+#: Signs after a letter, at the end of a piece, which such a tokenizer takes as one (an apostrophe may begin an ending).
+SIGNS_ARROW = r"([a-z\x{df}-\x{f6}\x{f8}-\x{24f}])([!-&(-/:-@\[-`{-~]+)(\s|$)"
+#: Pieces in one call's text, with a special token between each two, and words that are given to the model one by one before their tokens are made ids.
+JOINED, ALONE = 64, 1024
 
 
 class Pieces:
-    """The ids of each distinct piece, as bytes (little-endian, unsigned 32-bit), or how many they are."""
+    """Token ids of texts, from the ids of their distinct pieces."""
 
-    def __init__(self, tokenizer_json: str, cut: re.Pattern, counts: bool):
+    def __init__(self, tokenizer_json: str, cut: re.Pattern, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.counts, self.cache, self.older = cut, counts, {}, {}
+        self.cut, self.kept_bytes = cut, kept_bytes
         self.letters = self._for_letters(tokenizer_json)
         plain = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark = plain[0] if plain else None
-
-    def _for_letters(self, tokenizer_json: str):
-        """If texts are lower-cased and cut at everything but letters: the same tokenizer for pieces that are lower-case letters already."""
-        from tokenizers import Tokenizer
+        self.number: dict[str, int] = {}
+        #: By number: where a piece's ids begin in the pool, how many they are, and the last batch that had the piece.
+        self.starts, self.sizes, self.used, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.held = self.batch = 0
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used > np.median(self.used))
+        names, ids = list(self.number), self._gathered(keep)
+        self.sizes, self.used, self.pool = self.sizes[keep], self.used[keep], ids
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        self.number = {names[k]: n for n, k in enumerate(keep.tolist())}
+        self.held = self._bytes(self.number, ids)
+
+    @staticmethod
+    def _bytes(names, ids: np.ndarray) -> int:
+        return sum(map(len, names)) + ENTRY_BYTES * len(names) + 4 * len(ids)
+
+    def _gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these pieces one after another."""
+        sizes = self.sizes[numbers]
+        upto = np.cumsum(sizes, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        return self.pool[np.repeat((self.starts[numbers] - upto + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)]
+
+    def _for_letters(self, tokenizer_json: str) -> dict[int, str] | None:
+        """If texts are lower-cased and cut at everything but letters: how the letters that aren't odd are written for the model, whose tokens of a lower-case word are then the tokenizer's."""
+        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.loads(tokenizer_json)
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        whole = len(cuts) == 2 and cuts[0].get("pattern", {}).get("Regex", "").endswith(LETTERS) and cuts[0]["invert"] and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"]
+        whole = len(cuts) == 2 and cuts[0].get("pattern", {}).get("Regex", "").endswith(LETTERS) and cuts[0]["invert"] and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
         if self.cut is not WORDS or steps != ["NFC", "Replace", "Lowercase"] or not whole:
             return None
-        found = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": cuts[1]}))
-        found.no_truncation()
-        found.no_padding()
-        return found
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.letters is not None and not ODD.search(text):
-            return STOP.sub(r" \1", text.lower()).split()
+        written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        return {k: written(chr(k))[0][0] for k in range(0x80, 0x250) if chr(k).isalpha()}
+
+    def _cut(self, text: str) -> list[str]:
         return [text] if UNSAFE.search(text) else self.cut.findall(text)
 
-    def of(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its pieces."""
-        if len(self.cache) > CACHE:
-            self.cache, self.older = {}, self.cache
-        cut = [self._pieces(t) for t in texts]
-        known = [list(map(self.cache.get, pieces)) for pieces in cut]
-        missing = {p for pieces, values in zip(cut, known, strict=True) if None in values for p, v in zip(pieces, values, strict=True) if v is None}
-        back = {p: self.older[p] for p in missing if p in self.older}
-        self.cache.update(back)
-        self.cache.update(self._encoded([p for p in missing if p not in back]))
-        for pieces, values in zip(cut, known, strict=True):
-            yield list(map(self.cache.__getitem__, pieces)) if None in values else values
-
-    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, int | bytes]]:
-        simple = [p for p in pieces if p.isalpha() and p == p.lower() and not ODD.search(p)] if self.letters is not None else []
-        if simple:
-            yield from self._joined(self.letters, simple)
-            pieces = list(set(pieces).difference(simple))
-        yield from self._joined(self.tokenizer, pieces)
-
-    def _joined(self, tokenizer, pieces: list[str]) -> Iterator[tuple[str, int | bytes]]:
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts one after another, and where each text's begin and end."""
+        plain = pc.invert(pc.match_substring_regex(texts, ODD_ARROW)) if self.letters is not None else pa.array(np.zeros(len(texts), bool))
+        easy, hard = texts.filter(plain), [self._cut(t) for t in texts.filter(pc.invert(plain)).to_pylist()]
+        flat = pa.array([p for pieces in hard for p in pieces], pa.string())
+        sizes = np.fromiter(map(len, hard), np.int64, len(hard))
+        if not len(easy):
+            return flat, np.concatenate([[0], np.cumsum(sizes)])
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(easy), SIGNS_ARROW, r"\1 \2\3"))
+        if not hard:
+            return split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        both = pa.concat_arrays([split, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)])
+        here = plain.to_numpy(zero_copy_only=False)
+        order = np.where(here, np.cumsum(here) - 1, len(easy) + np.cumsum(~here) - 1)
+        both = both.take(pa.array(order))
+        return both.flatten(), both.offsets.to_numpy() - both.offsets[0].as_py()
+
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece of the texts, and where each text's begin and end."""
+        if self.held > self.kept_bytes:
+            self._forget()
+        flat, edges = self._pieces(texts)
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int32, len(distinct))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            missing = [distinct[k] for k in new.tolist()]
+            self._add(missing)
+            numbers[new] = np.fromiter(map(self.number.__getitem__, missing), np.int32, len(missing))
+        self.batch += 1
+        self.used[numbers] = self.batch
+        return numbers[coded.indices.to_numpy()], edges
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text (strings without nulls)."""
+        numbers, edges = self._numbered(texts)
+        upto = np.concatenate([[0], np.cumsum(self.sizes[numbers], dtype=np.int64)])
+        return upto[edges[1:]] - upto[edges[:-1]]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the number of each text's."""
+        numbers, edges = self._numbered(texts)
+        upto = np.concatenate([[0], np.cumsum(self.sizes[numbers], dtype=np.int64)])
+        return self._gathered(numbers), upto[edges[1:]] - upto[edges[:-1]]
+
+    def _add(self, pieces: list[str]) -> None:
+        if self.letters is None:
+            self._keep(self._joined(pieces))
+            return
+        words, others = [], []
+        for p in pieces:
+            easy = p.isalpha() and (p.isascii() and p.islower() or p == p.lower() and not ODD.search(p))
+            (words if easy else others).append(p)
+        self._keep(self._words(words[k : k + ALONE]) for k in range(0, len(words), ALONE))
+        self._keep(self._joined(others))
+
+    def _keep(self, found: Iterable[tuple[list[str], np.ndarray, np.ndarray]]) -> None:
+        """Number groups of pieces, given with their sizes and ids."""
+        found = list(found)
+        if not found:
+            return
+        names = [p for group, _, _ in found for p in group]
+        sizes, ids = np.concatenate([n for _, n, _ in found]).astype(np.int32), np.concatenate([x for _, _, x in found])
+        if len(self.pool) + len(ids) >= 1 << 31:
+            raise ValueError("a batch has over 2**31 ids of distinct pieces")
+        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, np.int32(len(self.pool)) + np.cumsum(sizes, dtype=np.int32) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.full(len(names), self.batch + 1, np.int32)])
+        self.pool = np.concatenate([self.pool, ids])
+        self.held += self._bytes(names, ids)
+
+    def _words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Lower-case words of letters that aren't odd, by the model alone."""
+        model = self.tokenizer.model
+        found = [model.tokenize(w if w.isascii() else w.translate(self.letters)) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return words, sizes, np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.uint32, sizes.sum())
+
+    def _joined(self, pieces: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """The library takes a text apart at special tokens before all else, so pieces joined by one are encoded as if alone."""
         alone = [p for p in pieces if self.mark is None or self.mark[1][0] in p]
         others = [p for p in pieces if self.mark is not None and self.mark[1][0] not in p]
         groups = [[p] for p in alone] + [others[k : k + JOINED] for k in range(0, len(others), JOINED)]
         texts = [g[0] if len(g) == 1 else self.mark[1].join(g) for g in groups]
-        for group, found in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            marks = np.flatnonzero(ids == self.mark[0]) if len(group) > 1 else ids[:0]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark[0]) if len(group) > 1 else np.zeros(0, np.int64)
             if len(marks) + 1 != len(group):
                 raise ValueError("a piece holds the special token that stands between pieces")
-            starts, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
-            raw = ids.tobytes()
-            for piece, s, e in zip(group, starts, ends, strict=True):
-                yield piece, e - s if self.counts else raw[4 * s : 4 * e]
+            sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+            yield group, sizes, np.delete(ids, marks)
 
 
 _of_worker: dict[tuple, Pieces] = {}
 
 
-def worker_pieces(tokenizer_json: str, cut: re.Pattern, *, counts: bool) -> Pieces:
+def worker_pieces(tokenizer_json: str, cut: re.Pattern) -> Pieces:
     """The pieces of this Python worker, which tasks that run in it one after another share."""
-    key = (hash(tokenizer_json), cut.pattern, counts)
+    key = (hash(tokenizer_json), cut.pattern)
     if key not in _of_worker:
-        _of_worker[key] = Pieces(tokenizer_json, cut, counts)
+        _of_worker[key] = Pieces(tokenizer_json, cut)
     return _of_worker[key]
 
 

@@ -29,10 +29,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_column
     content = Path(tokenizer).read_text(encoding="utf-8")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_pieces(content, WITH_SPACE, counts=True)
+        pieces = worker_pieces(content, WITH_SPACE)
         for batch in balanced(batches, "text", batch_bytes):
-            n = [sum(x) for x in pieces.of(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_bytes"), pa.array(n, pa.int64())], [id_column, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("n_bytes"), pa.array(pieces.lengths(batch.column("text")))], [id_column, "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

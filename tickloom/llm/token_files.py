@@ -51,7 +51,7 @@ def from_planes(planes: list[bytes], n_ids: int, block_ids: int) -> np.ndarray:
     return ids
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order_by: tuple[str, ...] = ("doc_id",), end_id: int = 1, block_ids: int = 1 << 16, chunk_ids: int = 1 << 19, batch_bytes: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order_by: tuple[str, ...] = ("doc_id",), end_id: int = 1, block_ids: int = 1 << 16, chunk_ids: int = 1 << 19, batch_bytes: int = 1 << 23) -> None:
     """Encode every text with the word-level ``tokenizers`` file, end each document with ``end_id`` and write the dataset to ``path``.
 
     Documents are range-partitioned by ``order_by`` (then by a hash of the text), so shards follow
@@ -60,29 +60,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order_by: tuple[
     writes an empty dataset. Other columns are ignored. A document is never cut between chunks.
     """
     content, spark = Path(tokenizer).read_text(encoding="utf-8"), docs.sparkSession
-    end = np.array([end_id], "<u4").tobytes()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_pieces(content, WORDS, counts=False)
+        pieces = worker_pieces(content, WORDS)
         shard, number, before = TaskContext.get().partitionId(), 0, 0
-        held, ids, lengths, n = [], [], [], 0
+        held, docs_in, lengths, n = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            array = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_pylist([{"shard": shard, "chunk": number, "start_in_shard": before, "n_ids": n, "doc_ids": ids, "doc_lengths": lengths, "block_ids": block_ids, "planes": to_planes(array, block_ids)}], CHUNK)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "chunk": number, "start_in_shard": before, "n_ids": n, "doc_ids": docs_in, "doc_lengths": lengths, "block_ids": block_ids, "planes": to_planes(np.concatenate(held), block_ids)}], CHUNK)
 
         for batch in balanced(batches, "text", batch_bytes):
-            for doc, found in zip(batch.column("doc_id").to_pylist(), pieces.of(batch.column("text").to_pylist()), strict=True):
-                held += [*found, end]
-                size = sum(map(len, found)) // 4 + 1
-                ids.append(doc)
+            ids, sizes = pieces.ids(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
+            at = 0
+            for doc, size in zip(batch.column("doc_id").to_pylist(), (sizes + 1).tolist(), strict=True):
+                docs_in.append(doc)
                 lengths.append(size)
-                n += size
+                held.append(ids[at : at + size])
+                at, n = at + size, n + size
                 if n >= chunk_ids:
                     yield row()
                     number, before = number + 1, before + n
-                    held, ids, lengths, n = [], [], [], 0
-        if ids:
+                    held, docs_in, lengths, n = [], [], [], 0
+        if docs_in:
             yield row()
 
     text = F.coalesce(F.col("text"), F.lit(""))
