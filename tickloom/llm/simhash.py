@@ -107,14 +107,16 @@ def _grouped(sample: np.ndarray, m: int) -> list[list[int]]:
     scale = np.sqrt((centred**2).sum(axis=0))
     near = np.abs(centred.T @ centred) / np.maximum(np.outer(scale, scale), 1e-9)
     np.fill_diagonal(near, 0)
-    free, groups = list(range(n)), []
+    free, groups = np.ones(n, bool), []
     for k in range(m):
-        size = n // m + (k < n % m)
-        group = [max(free, key=lambda b: (near[b, free].max(initial=0), -b))]
-        free.remove(group[0])
-        while len(group) < size:
-            group.append(max(free, key=lambda b: (near[b, group].sum(), -b)))
-            free.remove(group[-1])
+        left = np.flatnonzero(free)
+        group = [int(left[near[np.ix_(left, left)].max(axis=1).argmax()])]
+        free[group[0]] = False
+        with_group = near[group[0]].copy()
+        while len(group) < n // m + (k < n % m):
+            group.append(int(np.where(free, with_group, -1.0).argmax()))
+            free[group[-1]] = False
+            with_group += near[group[-1]]
         groups.append(sorted(group))
     return groups
 
@@ -130,9 +132,9 @@ def _distances(sample: np.ndarray, group: list[int], most: int) -> np.ndarray:
     half = len(sample) // 2
     if not half:
         return alone
-    seen = np.zeros(most + 1)
+    seen, part = np.zeros(most + 1), sample[:, group]
     for shift in range(1, min(half, 64) + 1):
-        d = (sample != np.roll(sample, shift, axis=0))[:, group].sum(axis=1)
+        d = (part != np.roll(part, shift, axis=0)).sum(axis=1)
         seen += np.bincount(np.minimum(d, most + 1), minlength=most + 2)[: most + 1]
     return np.maximum(alone, seen / (len(sample) * min(half, 64)))
 
