@@ -204,7 +204,7 @@ def market_metrics(books: DataFrame, windows: DataFrame, horizons_s: tuple[int,
     reach = max(longest, max(horizons_s) * 1000 + sampling.move_tolerance_ms)
     keys, bin_ms = ["market_id"], max(BIN_MS, reach)
     rows = books.withColumns({"_spread": F.when(observed(), effective_spread()), "_mid": F.when(observed() & (F.col("mid") > 0), F.col("mid"))})
-    binned = in_bins(rows, "timestamp_ms", back_ms=reach, bin_ms=bin_ms).join(last_before_bin(rows, keys, "timestamp_ms", F.col("_mid"), "_earlier", bin_ms), [*keys, "_bin"])
+    binned = in_bins(rows, "timestamp_ms", back_ms=reach, bin_ms=bin_ms).join(last_before_bin(rows, keys, "timestamp_ms", F.col("_mid"), "_earlier", bin_ms), [*keys, "_bin"], "left")
     before = Window.partitionBy(*keys, "_bin").orderBy("timestamp_ms").rowsBetween(Window.unboundedPreceding, -1)
     at = {f"mid_{h}s": _horizon(h, F.col("_mid"), sampling) for h in horizons_s}
     after = first_within(F.when(F.col("_spread").isNotNull(), F.col("timestamp_ms")), [*keys, "_bin"], "timestamp_ms", 1, longest)

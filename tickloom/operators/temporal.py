@@ -15,10 +15,10 @@ def bin_of(time: Column, bin_ms: int = BIN_MS) -> Column:
 
 
 def in_bins(rows: DataFrame, time: str, *, back_ms: int = 0, on_ms: int = 0, bin_ms: int = BIN_MS) -> DataFrame:
-    """``rows`` with ``_bin`` and ``_own``: each in its own bin, and a copy (not ``_own``) in every other bin that holds a time up to ``back_ms`` before or ``on_ms`` after its own."""
+    """``rows`` with ``_bin`` and ``_own``: each in its own bin, and a copy (not ``_own``) in every other bin that holds a time up to ``back_ms`` before or ``on_ms`` after its own. Rows without a time have a null bin."""
     t = F.col(time)
     bins = F.sequence(bin_of(t - back_ms, bin_ms), bin_of(t + on_ms, bin_ms))
-    return rows.withColumn("_bin", F.explode(bins)).withColumn("_own", F.col("_bin") == bin_of(t, bin_ms))
+    return rows.withColumn("_bin", F.explode_outer(bins)).withColumn("_own", F.coalesce(F.col("_bin") == bin_of(t, bin_ms), F.lit(True)))
 
 
 def last_before_bin(rows: DataFrame, keys: list[str], time: str, value: Column, out: str, bin_ms: int = BIN_MS) -> DataFrame:
@@ -78,7 +78,7 @@ def previous(rows: DataFrame, keys: list[str], order: tuple[str, ...], value: st
     before = last.select(*keys, "_bin", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_before"))
     within = F.lag(value).over(Window.partitionBy(*keys, "_bin").orderBy(*order))
     first = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order)) == 1
-    placed = binned.withColumns({"_within": within, "_first": first}).join(before, [*keys, "_bin"])
+    placed = binned.withColumns({"_within": within, "_first": first}).join(before, [*keys, "_bin"], "left")
     return placed.select(*rows.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_within")).alias(out))
 
 

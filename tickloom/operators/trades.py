@@ -70,7 +70,7 @@ def minute_bars(trades: DataFrame) -> DataFrame:
     # The regular trade before: in the bin, else the last of an earlier one.
     before = last_before_bin(rows, ["market_id"], "timestamp_ms", F.when(regular, F.col("timestamp_ms")), "_earlier")
     line = Window.partitionBy("market_id", "_bin").orderBy("timestamp_ms", "trade_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_bin", bin_of(F.col("timestamp_ms"))).join(before, ["market_id", "_bin"])
+    seen = rows.withColumn("_bin", bin_of(F.col("timestamp_ms"))).join(before, ["market_id", "_bin"], "left")
     seen = seen.withColumn("gap", F.when(regular, F.col("timestamp_ms") - F.coalesce(F.last(F.when(regular, F.col("timestamp_ms")), ignorenulls=True).over(line), "_earlier")))
     return seen.groupBy("market_id", (F.floor(F.col("timestamp_ms") / F.lit(MINUTE_MS)).cast("long") * MINUTE_MS).alias("minute_ms")).agg(
         F.count_if(regular).alias("trade_count"),

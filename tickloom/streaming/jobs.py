@@ -32,7 +32,7 @@ def as_stream(rows: DataFrame, name: str, *, batches: int = 4, order: str = "tim
     spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
     bounds = rows.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n")).first()
     step = (bounds.b - bounds.a) // batches + 1 if bounds.a is not None else 1
-    ranged = rows.withColumn("_range", F.floor((F.col(order) - F.lit(bounds.a or 0)) / F.lit(step)).cast("int"))
+    ranged = rows.withColumn("_range", F.coalesce(F.floor((F.col(order) - F.lit(bounds.a or 0)) / F.lit(step)).cast("int"), F.lit(0)))
     files = max(1, -(-bounds.n // (batches * file_rows)))
     none = spark.createDataFrame([], rows.schema).coalesce(1)
     for k in range(batches):  # the file source takes files in the order in which they were written
