@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import empty_docs, odd_docs
 from tickloom.llm.queries import held_out
-from tickloom.llm.toxicity import NEAREST, _numbers, fit, reject_toxic, score_toxicity
+from tickloom.llm.toxicity import BLOCK, NEAREST, _numbers, fit, reject_toxic, score_toxicity
 
 
 def corpus(spark, n=900):
@@ -30,7 +30,11 @@ def test_held_out_accuracy_and_exact_neighbours(spark):
     out = [r for r in rows if r.out]
     assert np.mean([r.predicted == truth[r.doc_id] for r in out]) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
-    flat = index.weights.transpose(0, 2, 1).reshape(-1, index.weights.shape[1])
+    # The cosines with all examples, from the postings as a whole matrix.
+    flat = np.zeros((len(index.ids), len(index.number)))
+    term = np.repeat(np.repeat(np.arange(len(index.number)), np.diff(index.of_term)), np.diff(index.of_entry))
+    flat[index.place, term] = index.weight
+    assert (index.most == [flat[b * BLOCK : (b + 1) * BLOCK, t].max() for t in range(len(index.number)) for b in index.block[index.of_term[t] : index.of_term[t + 1]]]).all()
     for r in docs.limit(60).collect():
         found, others = _numbers(r.text, index.number)
         if found:
@@ -48,7 +52,14 @@ def test_held_out_labels_are_not_used(spark):
     docs, labels, _ = corpus(spark, 300)
     flipped = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (fit(docs, x, ~held_out()) for x in (labels, flipped))
-    assert a.number == b.number and (a.weights == b.weights).all() and (a.slope, a.offset) == (b.slope, b.offset)
+    assert a.number == b.number and (a.weight == b.weight).all() and (a.place == b.place).all() and (a.slope, a.offset) == (b.slope, b.offset)
+
+
+def test_repeated_ids_come_once(spark):
+    docs, labels, _ = corpus(spark, 200)
+    again = docs.union(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    a, b = fit(docs, labels, ~held_out()), fit(again, labels, ~held_out())
+    assert len(set(b.ids.tolist())) == len(b.ids) and set(a.ids.tolist()) == set(b.ids.tolist())
 
 
 def test_odd_rows(spark):

@@ -1,14 +1,16 @@
 """Operator 8, toxicity: nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Terms are words and the first four to seven letters of longer words. A bounded sample of labelled rows gives
-the vocabulary (the terms whose presence tells the labels apart most, by the log-likelihood ratio),
-the examples and the rows for calibration; document frequencies are counted over all documents. The
-nearest examples vote with the square of their cosine, and a logistic curve fitted on sampled rows
-that are no examples turns the vote into a probability.
-
-The index holds a term's weights by block of examples, and of each block the term's largest. A text's
-terms and those maxima bound its cosine with all examples of a block; blocks are opened from the
-largest bound down until no other can hold one of the nearest, so the nearest are exact.
+Terms are words and the first four to seven letters of longer words. A bounded sample of labelled rows
+(``SAMPLE_ROWS``) gives the vocabulary (all terms whose presence tells the labels apart, by the
+log-likelihood ratio), at most ``EXAMPLES`` examples of either label and the rows for calibration;
+document frequencies are counted over all documents. The nearest examples vote with the square of
+their cosine, and a logistic curve fitted on sampled rows that are no examples turns the vote into a
+probability.
+
+The index is inverted: of each term it has the blocks of examples that hold it, with the term's
+largest weight there, and of each such block the postings, examples and weights. A text's terms and
+those maxima bound its cosine with all examples of a block; blocks are opened from the largest bound
+down until no other can hold one of the nearest, so the nearest are exact.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
 #: Labelled rows that the vocabulary, the examples and the calibration are taken from; those with the smallest hashes of the id.
 SAMPLE_ROWS = 8192
-#: Terms of the vocabulary at most, and the least log-likelihood ratio and rows of a term.
-TERMS, LEAST_RATIO, LEAST_ROWS = 1024, 16.0, 3
+#: The least log-likelihood ratio and rows of a term of the vocabulary.
+LEAST_RATIO, LEAST_ROWS = 16.0, 3
 #: Examples of either label at most, examples of a block, and how many vote.
 EXAMPLES, BLOCK, NEAREST = 512, 64, 16
+#: Blocks that are opened before the bounds are looked at again.
+TOGETHER = 4
 #: Added to the votes' weights: a text like no example has vote 0.
 DOUBT = 0.5
 #: Squared weight of each word outside the vocabulary: such words match nothing and count in a text's norm, so one term in a long text is less than one in a short text.
@@ -51,19 +55,44 @@ def _numbers(text: str | None, number: dict[str, int]) -> tuple[list[int], int]:
     return known + [k for k in map(number.get, stems) if k is not None], len(words) - len(known)
 
 
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` numbers from each of ``starts`` on."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 @dataclass
 class Index:
-    """Examples, ordered so that similar ones share blocks; ``weights[b, t]``: of term ``t`` in block ``b``."""
+    """Term ``t`` has the entries ``of_term[t]`` to ``of_term[t + 1]``, one for each block that holds it; entry ``e`` the postings ``of_entry[e]`` to ``of_entry[e + 1]``. Examples are ordered so that similar ones share blocks."""
 
     number: dict[str, int]
     idf: np.ndarray
-    weights: np.ndarray
+    of_term: np.ndarray
+    block: np.ndarray
     most: np.ndarray
+    of_entry: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
     toxic: np.ndarray
     ids: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
 
+    @classmethod
+    def of(cls, number: dict[str, int], idf: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray, int]], toxic: list[int], ids: list[int]) -> Index:
+        """``examples``: numbers and occurrences of the terms of each, and its other words."""
+        none = np.zeros(0, np.int64)
+        index = cls(number, idf, none, none, np.zeros(0), none, none, np.zeros(0), np.array(toxic, float), np.array(ids, np.int64))
+        term = np.concatenate([none, *(at for at, _, _ in examples)])
+        place = np.repeat(np.arange(len(examples)), [len(at) for at, _, _ in examples])
+        weight = np.concatenate([np.zeros(0), *(index.weigh(at, n, others) for at, n, others in examples)])
+        order = np.lexsort((place, term))
+        term, index.place, index.weight = term[order], place[order], weight[order]
+        begins = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(index.place // BLOCK, prepend=-1))
+        index.block, index.of_entry = index.place[begins] // BLOCK, np.concatenate([begins, [len(term)]])
+        index.most = np.maximum.reduceat(index.weight, begins) if len(begins) else np.zeros(0)
+        index.of_term = np.searchsorted(term[begins], np.arange(len(number) + 1))
+        return index
+
     def weigh(self, at: np.ndarray, n: np.ndarray, others: int) -> np.ndarray:
         """Weights of terms that occur ``n`` times, in a vector of length 1."""
         w = (1 + np.log(n)) * self.idf[at]
@@ -71,15 +100,26 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest examples, nearest first, ties by id; none with cosine 0."""
-        bound = w @ self.most[:, at].T
+        many = self.of_term[at + 1] - self.of_term[at]
+        entries, w = _ragged(self.of_term[at], many), np.repeat(w, many)
+        block = self.block[entries]
+        bound = np.bincount(block, w * self.most[entries], minlength=1)
         places, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(scores) == k and bound[b] < least - 1e-9):
+        best = np.argsort(-bound, kind="stable")
+        best = best[bound[best] > 0]
+        for k0 in range(0, len(best), TOGETHER):
+            if len(scores) == k and bound[best[k0]] < least - 1e-9:
                 break
-            places = np.concatenate([places, np.arange(b * BLOCK, (b + 1) * BLOCK)])
-            scores = np.concatenate([scores, w @ self.weights[b, at]])
+            opened = np.zeros(len(bound), bool)
+            opened[best[k0 : k0 + TOGETHER]] = True
+            mine = opened[block]
+            here = entries[mine]
+            sizes = self.of_entry[here + 1] - self.of_entry[here]
+            posts = _ragged(self.of_entry[here], sizes)
+            found = np.bincount(self.place[posts], np.repeat(w[mine], sizes) * self.weight[posts])
+            known = np.flatnonzero(found > 0)
+            places, scores = np.concatenate([places, known]), np.concatenate([scores, found[known]])
             order = np.lexsort((self.ids[places], -scores))[:k]
-            order = order[scores[order] > 0]
             places, scores = places[order], scores[order]
             least = scores[-1] if len(scores) else 0.0
         return places, scores
@@ -119,12 +159,13 @@ def _sampled(labels: DataFrame, is_training, id_column: str, label_column: str,
 def fit(docs: DataFrame, labels: DataFrame, is_training, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Index:
     """The index. ``is_training``: condition on ``id_column`` for the labels that may be used.
 
-    To the driver come the vocabulary and, of at most ``sample_rows`` labelled rows, the numbers of
-    the terms they hold: sizes that don't grow with the input.
+    To the driver come the vocabulary and, of at most ``sample_rows`` labelled ids, the numbers of
+    the terms they hold: sizes that don't grow with the input. Of documents that share a sampled id
+    the one with the smallest text counts.
     """
     # At most sample_rows rows of three small columns.
     sample = F.broadcast(_sampled(labels, is_training, id_column, label_column, sample_rows))
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(sample, "_id")
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(sample, "_id").groupBy("_id", "_toxic", "_role").agg(F.min("text").alias("text"))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in balanced(batches, "text", 1 << 22):
@@ -142,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training, *, id_column: str = "do
     part = lambda seen, expected: F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
     share = (c + t) / max(n0 + n1, 1)
     ratio = 2 * (part(c, share * n0) + part(t, share * n1) + part(n0 - c, (1 - share) * n0) + part(n1 - t, (1 - share) * n1))
-    vocabulary = [r.term for r in counts.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (c + t >= LEAST_ROWS)).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
+    vocabulary = [r.term for r in counts.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (c + t >= LEAST_ROWS)).select("term").orderBy("term").collect()]
     number = {w: k for k, w in enumerate(vocabulary)}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training, *, id_column: str = "do
     chosen = [r for y in (1, 0) for r in [x for x in sampled if x._role > 1 and x._toxic == y and x.at][:EXAMPLES]]
     # Examples whose rarest terms are alike come together, which keeps blocks' bounds low.
     chosen.sort(key=lambda r: (-r._toxic, max(r.at, key=lambda k: (idf[k], -k)), r._id))
-    blocks = max(1, -(-len(chosen) // BLOCK))
-    weights = np.zeros((blocks, max(1, len(number)), BLOCK))
-    toxic, ids = np.zeros(blocks * BLOCK), np.full(blocks * BLOCK, np.iinfo(np.int64).max)
-    index = Index(number, idf, weights, weights[:, :, 0], toxic, ids)
-    for k, r in enumerate(chosen):
-        weights[k // BLOCK, r.at, k % BLOCK] = index.weigh(np.array(r.at), np.array(r.n), r.others)
-        toxic[k], ids[k] = r._toxic, r._id
-    index.most = weights.max(axis=2)
+    index = Index.of(number, idf, [(np.array(r.at), np.array(r.n), r.others) for r in chosen], [r._toxic for r in chosen], [r._id for r in chosen])
     votes, truth = [], []
     for r in sampled:
         if r._role <= 1:
