@@ -31,7 +31,7 @@ ODD = re.compile(r"[^\t\n\r -~\xa1-\u012f\u0131-\u024f]|<\|")
 ODD_ARROW = r"[^\t\n\r -~\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
 
 #: Bytes of pieces and ids that a worker keeps between batches, about; beyond it the half used least lately is forgotten.
-KEPT_BYTES = 3 << 25
+KEPT_BYTES = 1 << 25
 #: What a kept piece costs besides its own bytes, about.
 ENTRY_BYTES = 150
 #: The end of the pattern of a tokenizer that takes letters by runs, digits one by one and other signs by runs.

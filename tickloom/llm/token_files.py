@@ -51,7 +51,7 @@ def from_planes(planes: list[bytes], n_ids: int, block_ids: int) -> np.ndarray:
     return ids
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order_by: tuple[str, ...] = ("doc_id",), end_id: int = 1, block_ids: int = 1 << 16, chunk_ids: int = 1 << 19, batch_bytes: int = 1 << 23) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order_by: tuple[str, ...] = ("doc_id",), end_id: int = 1, block_ids: int = 1 << 16, chunk_ids: int = 1 << 19, batch_bytes: int = 1 << 22) -> None:
     """Encode every text with the word-level ``tokenizers`` file, end each document with ``end_id`` and write the dataset to ``path``.
 
     Documents are range-partitioned by ``order_by`` (then by a hash of the text), so shards follow
