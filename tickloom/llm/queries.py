@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.chat import conversation_digests, format_conversations
+from tickloom.llm.clustering import cluster_vectors
 from tickloom.llm.decontamination import find_contamination
 from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import mix_sources, tempered_weights
 from tickloom.llm.nearest import nearest_neighbours
+from tickloom.llm.repair import damage, repair_conversations
+from tickloom.llm.secrets import find_secrets
 from tickloom.llm.shared import new_path, stash, table
 from tickloom.llm.simhash import near_duplicates
 from tickloom.llm.token_counts import count_tokens
@@ -149,6 +152,50 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
-_ALL = (op1_mix_sources, op2_token_counts, op3_simhash_dedup, op4_decontamination, op5_nearest, op6_url_filter, op7_token_files, op8_toxicity, op9_chat_format, op10_line_dedup)
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s.kind.isin(*kinds))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "entropy")]
+    return found.select("doc_id", *counts, F.sha2(told(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), present="present")
+
+
+#: Components, whole numbers to one, centroids and rounds of the clustering.
+SIZE, SCALE, CLUSTERS, ROUNDS = 64, 64, 16, 3
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), size=SIZE, scale=float(SCALE), clusters=CLUSTERS, rounds=ROUNDS).drop("scanned")
+
+
+def _op13_sql() -> str:
+    away = "list_sum(list_transform(range(1, {n} + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))".replace("{n}", str(SIZE))
+    floored = "list_transform(range(1, {n} + 1), lambda i: (s[i] - ((s[i] % n) + n) % n) // n)".replace("{n}", str(SIZE))
+    sums = ", ".join(f"sum(v[{i}])::BIGINT" for i in range(1, SIZE + 1))
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"a{r} AS (SELECT row, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT row, k, {away} AS d FROM whole, c{r}) GROUP BY row)")
+        if r < ROUNDS:
+            steps.append(f"m{r} AS (SELECT k, count(*) AS n, [{sums}] AS s FROM a{r} JOIN whole USING (row) GROUP BY k)")
+            steps.append(f"c{r + 1} AS (SELECT c{r}.k, coalesce({floored}, c) AS c FROM c{r} LEFT JOIN m{r} USING (k))")
+    return f"""
+WITH sound AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {SIZE}),
+whole AS MATERIALIZED (SELECT * FROM sound),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM whole ORDER BY h NULLS LAST, v LIMIT {CLUSTERS})),
+{", ".join(steps)}
+SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN whole USING (row) JOIN c{ROUNDS} USING (k)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
+_ALL = (op1_mix_sources, op2_token_counts, op3_simhash_dedup, op4_decontamination, op5_nearest, op6_url_filter, op7_token_files, op8_toxicity, op9_chat_format, op10_line_dedup, op11_secret_scan, op12_conversation_repair, op13_centroid_clusters)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_url_filter": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_url_filter": OP6_SQL, "op13_centroid_clusters": OP13_SQL}
