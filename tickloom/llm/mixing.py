@@ -7,14 +7,16 @@ has a block. Block ``i`` (from 0) of a source is released at the slot in which i
 ``i`` and due before the slot at whose begin it is ``i + 1``. Each slot takes the released block
 with the earliest deadline: any source is less than one block from its target after any slot.
 
-A fold over all slots would be one task. Slots are therefore cut in segments, which are scheduled
-in parallel, in two passes. The first starts each segment but the first from the state that has
-those pending blocks done whose deadlines are earliest: from there all later deadlines can be met,
-and what the pass has done at the segment's end needs nothing before the segment's begin. The ends
-that it finds are the begins of the second pass, in which a segment may do no more than its own
-end. By Hall's theorem on the intervals of a segment both can be met: an interval that begins with
-the segment has room because every deadline after its begin can be met, one that ends with it
-because the first pass did the same blocks, and any other because the targets sum to the slots.
+A slot takes what is left by all blocks of earlier deadlines, so the schedule is also this: in order
+of deadline, each block takes the first free slot from its release on. Slots are cut in segments,
+each a fold over the blocks that may come in it, with the list of its free slots: what a block costs
+doesn't depend on how many sources there are.
+
+Segments are folded in parallel, from guessed begins: at a segment's begin those pending blocks are
+done whose deadlines are earliest. Then each segment whose begin isn't the end of the one before it
+is folded again from there, until none is left. What one segment did early or late is made up for
+within a few others, so a few rounds are enough, and then the whole is the schedule that one fold
+over all slots would give, whatever the guesses were.
 """
 
 from __future__ import annotations
@@ -22,26 +24,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.shared import discard, stash
+
 #: Hex digits of the row's MD5 that number rows within a source in parallel: 16**3 ranges for each source.
 RANGE_DIGITS = 3
-#: Slots of a segment.
-SEGMENT = 256
-#: Sources whose list is broadcast at most (40 bytes each); longer lists are joined by the tier.
-BROADCAST_SOURCES = 100_000
-#: Targets so close to a whole number count as it: doubles of 10**8 blocks are wrong by 10**-8.
+#: Slots of a segment; at least a quarter of the number of sources.
+SEGMENT = 1024
+#: Targets so close to a whole number count as it: doubles of 10**8 blocks are wrong by 10**-8. All sources together stay below a hundredth of a block, so that each slot has a released one.
 CLOSE = 1e-6
 
-#: One pass over a segment: from ``_had`` blocks of each source on, each slot takes the released one of the earliest deadline of a source that has had less than ``_most``. ``_x[t + 1]``: the time at the end of slot ``t``.
-FOLD = f"""
-aggregate(
-  sequence(0, size(_x) - 2),
-  named_struct('had', _had, 'picked', cast(array() as array<struct<j:int,i:bigint>>)),
-  (a, t) -> transform(
-    array(array_min(transform(_s, (s, j) ->
-      if(a.had[j] < _most[j],
-         named_struct('early', if(s.w * _x[t + 1] > a.had[j] + {CLOSE}, 0, 1), 'due', (a.had[j] + 1) / s.w, 'j', j),
-         null)))),
-    p -> named_struct('had', transform(a.had, (h, j) -> if(j = p.j, h + 1, h)), 'picked', array_append(a.picked, named_struct('j', p.j, 'i', a.had[p.j]))))[0])
+#: One segment: blocks ``_c`` in order of deadline each take the first free slot that isn't before their release ``r``. ``_x``: the times at its begin and at its slots' ends.
+FOLD = """
+aggregate(_c, named_struct('free', sequence(0, size(_x) - 2), 'picked', cast(array() as array<struct<src:string,block:bigint,slot:int>>)),
+  (a, c) -> if(size(a.free) = 0, a, transform(array(get(filter(a.free, f -> f >= c.r), 0)), f ->
+    if(f is null, a, named_struct('free', array_remove(a.free, f), 'picked', array_append(a.picked, named_struct('src', c.src, 'block', c.block, 'slot', f)))))[0])).picked
 """
 
 
@@ -63,9 +59,23 @@ def block_schedule(blocks: DataFrame, weights: DataFrame, *, segment: int = SEGM
     Sources without a positive weight come after all others, in equal shares.
     """
     given = weights.groupBy(_key(F.col("source")).alias("_src")).agg(F.sum(F.when((F.col("weight") > 0) & ~F.isnan("weight") & (F.col("weight") < float("inf")), F.col("weight"))).alias("_w"))
-    known = blocks.join(given, "_src", "left").select("_src", "_n", F.when(F.col("_w").isNull(), 1).otherwise(0).alias("_tier"), F.coalesce("_w", F.lit(1.0)).alias("w"))
-    # One row for each source. Times are such that a source of weight w has had w * x blocks at x: it ends at n / w.
-    by_end = Window.partitionBy("_tier").orderBy(F.col("_n") / F.col("w"), "_src")
+    known = stash(blocks.join(given, "_src", "left").select("_src", "_n", F.when(F.col("_w").isNull(), 1).otherwise(0).alias("_tier"), F.coalesce("_w", F.lit(1.0)).alias("w")), "sources")
+    tiers = {r._tier: r for r in known.groupBy("_tier").agg(F.count(F.lit(1)).alias("sources"), F.sum("_n").alias("blocks")).collect()}  # two rows at most
+    sources = sum(r.sources for r in tiers.values())
+    segment, close = max(segment, -(-sources // 4)), min(CLOSE, 0.01 / max(sources, 1))
+    segments = _times(known, segment)
+    begins = known.withColumns({"_p": F.lit(0).cast("long"), "_had": F.lit(0).cast("long")})
+    if any(r.blocks > segment for r in tiers.values()):
+        segments = stash(segments, "segments")
+        begins = _begins(known, segments, begins, segment, close)
+    taken = _picked(begins, segments, close).select("_tier", (F.col("_p") * segment + F.col("_of.slot")).alias("_slot"), F.col("_of.src").alias("_src"), F.col("_of.block").alias("_block"))
+    first = tiers[0].blocks if 0 in tiers else 0  # tiers follow one another
+    return taken.select("_src", "_block", F.when(F.col("_tier") == 1, F.col("_slot") + first).otherwise(F.col("_slot")).alias("_slot"))
+
+
+def _times(known: DataFrame, segment: int) -> DataFrame:
+    """``_tier``, ``_p`` and ``_x``: a time for the begin of each segment and the end of each of its slots. Times are such that a source of weight w has had w * x blocks at x: it ends at n / w."""
+    by_end = Window.partitionBy("_tier").orderBy(F.col("_n") / F.col("w"), "_src")  # one row for each source
     later = F.sum("w").over(by_end.rowsBetween(0, Window.unboundedFollowing))
     ended = F.coalesce(F.sum("_n").over(by_end.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_n").over(Window.partitionBy("_tier"))
@@ -73,33 +83,54 @@ def block_schedule(blocks: DataFrame, weights: DataFrame, *, segment: int = SEGM
     phases = known.select("_tier", "_src", "_n", "w", (F.col("_n") / F.col("w")).alias("_x1"), later.alias("_rate"), ended.alias("_ended"), total.alias("_total"), last.alias("_last"))
     phases = phases.withColumn("_t1", F.when(F.col("_last"), F.col("_total").cast("double")).otherwise(F.col("_ended") + F.col("_x1") * F.col("_rate")))
     phases = phases.withColumns({"_x0": F.coalesce(F.lag("_x1").over(by_end), F.lit(0.0)), "_t0": F.coalesce(F.lag("_t1").over(by_end), F.lit(0.0))})
-
     # Slots' ends in each phase, by segment; a segment has its begin too.
     lo, hi = F.when(F.col("_t0") <= 0, 0).otherwise(F.floor("_t0") + 1).cast("long"), F.floor("_t1").cast("long")
     spans = phases.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select("_tier", "_lo", "_hi", "_x0", "_x1", "_t0", "_rate", F.explode(F.expr(f"sequence(greatest(_lo - 1, 0L) div {segment}, _hi div {segment})")).alias("_p"))
     begin, end = F.greatest(F.col("_lo"), F.col("_p") * segment), F.least(F.col("_hi"), (F.col("_p") + 1) * segment)
     times = F.transform(F.sequence(begin, end), lambda u: F.greatest(F.col("_x0"), F.least(F.col("_x1"), F.col("_x0") + (u - F.col("_t0")) / F.col("_rate"))))
     pieces = spans.where(begin <= end).select("_tier", "_p", begin.alias("_b"), times.alias("_x"))
-    segments = pieces.groupBy("_tier", "_p").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_x"))), lambda s: s["_x"])).alias("_x")).where(F.size("_x") > 1)
-
-    # As many structs as there are sources meet in one row, which each segment's fold needs.
-    listed = known.groupBy("_tier").agg(F.sort_array(F.collect_list(F.struct("_src", F.col("_n").alias("n"), "w"))).alias("_s"))
-    listed = F.broadcast(listed) if known.count() <= BROADCAST_SOURCES else listed
-    todo = segments.join(listed, "_tier").withColumn("_target", F.expr("transform(_s, s -> least(cast(s.n as double), s.w * _x[0]))"))
-    todo = todo.withColumn("_whole", F.expr(f"transform(_target, c -> cast(floor(c + {CLOSE}) as bigint))"))
-    # Pending blocks with the earliest deadlines, as many as slots before the segment are left.
-    pending = F.expr(f"""slice(array_sort(filter(transform(_s, (s, j) -> named_struct('none', if(_target[j] - _whole[j] > {CLOSE}, 0, 1), 'due', (_whole[j] + 1) / s.w, 'j', j)), q -> _whole[q.j] < _s[q.j].n)),
-      1, cast(greatest(0L, _p * {segment} - aggregate(_whole, 0L, (a, c) -> a + c)) as int))""")
-    begun = todo.withColumn("_done", F.transform(pending, lambda q: q["j"])).withColumn("_had", F.expr("transform(_whole, (c, j) -> if(array_contains(_done, j), c + 1, c))"))
-    ends = begun.withColumn("_most", F.expr("transform(_s, s -> s.n)")).select("_tier", "_p", "_s", "_x", F.expr(f"{FOLD}.had").alias("_most"))
-    # The second pass: from the end of the segment before to the own end.
-    before = ends.select("_tier", (F.col("_p") + 1).alias("_p"), F.col("_most").alias("_had"))
-    second = ends.join(before, ["_tier", "_p"], "left").withColumn("_had", F.coalesce("_had", F.expr("transform(_s, s -> 0L)"))).withColumn("_picked", F.expr(f"{FOLD}.picked"))
-    # Tiers follow one another.
-    tiers = known.groupBy().agg(F.coalesce(F.sum(F.when(F.col("_tier") == 0, F.col("_n"))), F.lit(0)).alias("_first"))
-    taken = second.select("_tier", "_p", "_x", "_s", F.posexplode("_picked").alias("_k", "_of")).select("_tier", (F.col("_p") * segment + F.col("_k")).alias("_slot"), F.expr("_s[_of.j]._src").alias("_src"), F.col("_of.i").alias("_block"))
-    # One row.
-    return taken.join(F.broadcast(tiers), F.lit(True)).select("_src", "_block", (F.col("_slot") + F.when(F.col("_tier") == 1, F.col("_first")).otherwise(0)).alias("_slot"))
+    return pieces.groupBy("_tier", "_p").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_x"))), lambda s: s["_x"])).alias("_x")).where(F.size("_x") > 1)
+
+
+def _picked(begins: DataFrame, segments: DataFrame, close: float) -> DataFrame:
+    """``_tier``, ``_p`` and ``_of``: the blocks that come in each segment of ``begins`` (``_had``: each source's blocks before it), and their slots."""
+    ends = segments.select("_tier", "_p", F.element_at("_x", -1).alias("_end"))
+    released = F.least(F.col("_n"), F.ceil(F.col("w") * F.col("_end") - close))
+    blocks = begins.join(ends, ["_tier", "_p"]).where(released > F.col("_had")).withColumn("_block", F.explode(F.sequence(F.col("_had"), released - 1)))
+    listed = blocks.groupBy("_tier", "_p").agg(F.sort_array(F.collect_list(F.struct(((F.col("_block") + 1) / F.col("w")).alias("due"), F.col("_src").alias("src"), F.col("_block").alias("block"), "w"))).alias("_c"))
+    release = f"if(c.w * _x[1] > c.block + {close}, 0, size(filter(_x, x -> c.w * x <= c.block + {close})) - 1)"
+    todo = listed.join(segments, ["_tier", "_p"]).withColumn("_c", F.expr(f"transform(_c, c -> named_struct('src', c.src, 'block', c.block, 'r', {release}))"))
+    return todo.select("_tier", "_p", F.explode(F.expr(FOLD)).alias("_of"))
+
+
+def _begins(known: DataFrame, segments: DataFrame, zero: DataFrame, segment: int, close: float) -> DataFrame:
+    """``known`` with ``_p`` and ``_had``, each source's blocks before each segment: a row for each source and segment, which is at most four for each block."""
+    at = ["_tier", "_p"]
+    starts = segments.select(*at, F.col("_x")[0].alias("_x0"))
+    reached = known.join(F.broadcast(segments.groupBy("_tier").agg(F.max("_p").alias("_last"))), "_tier").withColumn("_p", F.explode(F.expr("sequence(0L, _last)"))).join(starts, at)  # two rows at most
+    target = F.least(F.col("_n").cast("double"), F.col("w") * F.col("_x0"))
+    rows = reached.withColumns({"_target": target, "_whole": F.floor(target + close)})
+    pending = (F.col("_target") - F.col("_whole") > close) & (F.col("_whole") < F.col("_n"))
+    within = Window.partitionBy(*at)
+    rank = F.row_number().over(within.orderBy(F.when(pending, 0).otherwise(1), (F.col("_whole") + 1) / F.col("w"), "_src"))
+    left = F.col("_p") * segment - F.sum("_whole").over(within)
+    guess = rows.withColumns({"_rank": rank, "_left": left}).select(*known.columns, "_p", (F.col("_whole") + F.when(pending & (F.col("_rank") <= F.col("_left")), 1).otherwise(0)).alias("_had"))
+
+    begins, ends, todo = stash(guess, "begins"), None, None
+    while True:
+        given = begins if todo is None else begins.join(todo, at, "left_semi")
+        done = _picked(given, segments, close).groupBy(*at, F.col("_of.src").alias("_src")).agg(F.count(F.lit(1)).alias("_more"))
+        new = given.join(done, [*at, "_src"], "left").select(*begins.columns[:-1], (F.col("_had") + F.coalesce("_more", F.lit(0))).alias("_had"))
+        before, ends = ends, stash(new if ends is None else new.unionByName(ends.join(todo, at, "left_anti")), "ends")
+        follow = ends.withColumn("_p", F.col("_p") + 1).join(starts.select(*at), at, "left_semi").unionByName(zero.select(*begins.columns))
+        other = begins.select(*at, "_src", F.col("_had").alias("_was"))
+        todo, last = stash(follow.join(other, [*at, "_src"]).where("_had <> _was").select(*at).distinct(), "todo"), todo
+        for unused in (before, last):
+            if unused is not None:
+                discard(unused)
+        if todo.isEmpty():
+            return follow
+        begins = follow
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", block_rows: int = 64, segment: int = SEGMENT) -> DataFrame:
