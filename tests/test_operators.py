@@ -142,7 +142,7 @@ def _books(rows):
 def test_books_of_many_levels_equal_a_loop(spark):
     from tickloom.config import Sampling
     from tickloom.operators.rebuild import book_sample_grid
-    from tickloom.streaming import jobs
+    from tickloom.streaming import jobs, stateful
 
     for seed in range(3):
         rows = _random_updates(seed)
@@ -159,7 +159,7 @@ def test_books_of_many_levels_equal_a_loop(spark):
             assert r.book_update_age_ms == (None if heard is None else at - heard) and r.is_inactive == (heard is None or at - heard > 4_000)
             near = sum(p * book[p] for p in bids if p >= mid - mid * 0.015) if mid else 0.0
             assert abs(r.bid_depth_150bps_usd - near) < 1e-9
-        streamed = {r.nonce: r for r in jobs.run_to_end(jobs.book_stream(jobs.as_stream(df, "t", order="nonce", file_rows=40)), "t").collect()}
+        streamed = {r.nonce: r for r in jobs.run_to_end(stateful.book_stream(jobs.as_stream(df, "t", order="nonce", file_rows=40)), "t").collect()}
         for at, nonce, book, _ in truth:
             bids, asks, r = [p for p in book or () if p < 100], [p for p in book or () if p >= 100], streamed[nonce]
             assert (r.timestamp_ms, r.best_bid, r.best_ask, r.in_step) == (at, max(bids, default=None), min(asks, default=None), book is not None)

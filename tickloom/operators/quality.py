@@ -80,6 +80,15 @@ def event_watermark(tables: dict[str, DataFrame], time: str = "timestamp_ms") ->
     return union.select("dataset", "latest_ms").union(union.agg(F.max("latest_ms")).select(F.lit("all"), "max(latest_ms)"))
 
 
+def footer_watermarks(files: dict[str, DataFrame]) -> DataFrame:
+    """Latest event of each data set and of all (``all``), from ``sources.tables.footer_watermark`` of each; ``from_footers``: no column had to be read."""
+    each = [df.agg(F.max("latest_ms").alias("latest_ms"), F.every("from_statistics").alias("from_footers")).select(F.lit(name).alias("dataset"), "latest_ms", "from_footers") for name, df in files.items()]
+    union = each[0]
+    for x in each[1:]:
+        union = union.unionByName(x)
+    return union.union(union.agg(F.max("latest_ms").alias("latest_ms"), F.every("from_footers").alias("from_footers")).select(F.lit("all"), "latest_ms", "from_footers"))
+
+
 def advance_watermark(stored: DataFrame, uploaded: DataFrame, keys: tuple[str, ...] = ("market_id",), column: str = "durable_ms") -> DataFrame:
     """The stored marks with those of an upload merged in; a mark never goes back, and a key of either side has one."""
     both = stored.select(*keys, column).unionByName(uploaded.select(*keys, column))

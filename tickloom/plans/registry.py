@@ -14,7 +14,7 @@ from tickloom.plans.analysis import Inputs, market_rows, ranked_markets
 from tickloom.plans.oracle_sql import WEIGHTS, T, oracle
 from tickloom.sources import tables
 from tickloom.sources.fixtures import START_MS, Market
-from tickloom.streaming import jobs
+from tickloom.streaming import feed, jobs, stateful
 
 FLAGSHIP = "score_markets"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,9 +98,17 @@ def file_health_scan(m):
     return tables.file_health_summary(health).join(F.broadcast(reasons), F.lit(True))  # one row each
 
 
-@query("SELECT 'books' AS dataset, max(timestamp_ms) AS latest_ms FROM fx_books UNION ALL SELECT 'trades', max(timestamp_ms) FROM fx_trades UNION ALL SELECT 'markouts', max(timestamp_ms) FROM fx_markouts UNION ALL SELECT 'all', greatest((SELECT max(timestamp_ms) FROM fx_books), (SELECT max(timestamp_ms) FROM fx_trades), (SELECT max(timestamp_ms) FROM fx_markouts))")
+@query("""SELECT 'books' AS dataset, max(timestamp_ms) AS latest_ms, true AS from_footers FROM fx_books UNION ALL SELECT 'trades', max(timestamp_ms), false FROM fx_trades UNION ALL SELECT 'markouts', max(timestamp_ms), false FROM fx_markouts
+  UNION ALL SELECT 'all', greatest((SELECT max(timestamp_ms) FROM fx_books), (SELECT max(timestamp_ms) FROM fx_trades), (SELECT max(timestamp_ms) FROM fx_markouts)), false""")
 def dataset_event_watermark(m):
-    return quality.event_watermark({"books": m.books, "trades": m.trades, "markouts": m.markouts})
+    """From files: those of the books have statistics, those of the trades have none, those of the markouts are of both kinds."""
+    root, split = jobs.scratch(m.spark, "footers"), START_MS + 600_000
+    write = lambda rows, name, known: rows.write.mode("append").option("parquet.column.statistics.enabled", str(known).lower()).parquet(f"{root}/{name}")
+    write(m.books, "books", True)
+    write(m.trades, "trades", False)
+    write(m.markouts.where(F.col("timestamp_ms") < split), "markouts", True)
+    write(m.markouts.where(F.col("timestamp_ms") >= split), "markouts", False)
+    return quality.footer_watermarks({name: tables.footer_watermark(m.spark, f"{root}/{name}") for name in ("books", "trades", "markouts")})
 
 
 @query("SELECT market_id, max(timestamp_ms) AS durable_ms FROM fx_books GROUP BY market_id")
@@ -120,30 +128,69 @@ def partitioned_sink(m):
     return m.spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("day"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("market_id").alias("markets"))
 
 
+@query("SELECT strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') AS day, strftime(make_timestamp(timestamp_ms * 1000), '%H') AS hour, count(*) AS rows, count(DISTINCT market_id) AS markets FROM fx_books GROUP BY 1, 2")
+def stream_partitioned_sink(m):
+    """A stream appended batch by batch, one of them twice."""
+    path, source = jobs.scratch(m.spark, "stream-sink"), jobs.as_stream(m.books, "sink-in")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        for _ in range(1 + number % 2):
+            feed.append_once(batch, path, number)
+
+    jobs.finish(m.spark, source.writeStream.option("checkpointLocation", jobs.scratch(m.spark, "sink-log")).foreachBatch(twice).trigger(availableNow=True))
+    return m.spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("day"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("hour")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("market_id").alias("markets"))
+
+
 _FED = "CASE WHEN event_id % 23 = 0 THEN user_id % 7 ELSE user_id % 5 END::INT AS market_id, event_id AS trade_id, 1704067200000 + event_id AS timestamp_ms, 100.5e0 + event_id % 9 AS price, 2e0 AS size, CASE WHEN event_id % 4 = 0 THEN 0e0 ELSE 7.25e0 END AS usd_amount, event_id % 2 = 0 AS is_maker_ask, CASE WHEN event_id % 5 = 0 THEN 'liquidation' ELSE 'trade' END AS type, event_id % 19 = 0 AS snapshot, false AS corrupt"
 _UNFED = "NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, event_id % 19 = 0, true"
 
 
-@query(f"""SELECT {_FED} FROM events, (SELECT unnest([1, 2, 3]) AS copy) WHERE event_id % 3 = 0 AND NOT (copy = 3 AND event_id % 6 = 0) UNION ALL SELECT {_FED} FROM events WHERE event_id % 3 = 1 AND event_id % 29 <> 0
-  UNION ALL SELECT {_UNFED} FROM events WHERE event_id % 6 = 0 OR (event_id % 3 = 1 AND event_id % 29 = 0) UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, true FROM region""", "price size usd_amount")
+_FEED_SQL = f"""SELECT {_FED} FROM events, (SELECT unnest([1, 2, 3]) AS copy) WHERE event_id % 3 = 0 AND NOT (copy = 3 AND event_id % 6 = 0) UNION ALL SELECT {_FED} FROM events WHERE event_id % 3 = 1 AND event_id % 29 <> 0
+  UNION ALL SELECT {_UNFED} FROM events WHERE event_id % 6 = 0 OR (event_id % 3 = 1 AND event_id % 29 = 0) UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, true FROM region"""
+
+
+@query(_FEED_SQL, "price size usd_amount")
 def feed_ingest(m):
     bad = m.table("region").select(F.lit("{not json").alias("value"))
     others = m.messages.select(F.col("stats_message").alias("value"))
     return tables.feed_trades(m.messages.select(F.col("trade_message").alias("value")).union(bad).union(others))
 
 
-@query("SELECT user_id % 5 AS market_id, 'M' || user_id % 5 AS symbol, 100.25e0 + event_id % 9 AS mark_price, NULL::DOUBLE AS index_price, -1.5e0 AS daily_price_change, 1704067200000 + event_id AS updated_at_ms FROM events", "mark_price daily_price_change")
+_STATS_SQL = "SELECT user_id % 5 AS market_id, 'M' || user_id % 5 AS symbol, 100.25e0 + event_id % 9 AS mark_price, NULL::DOUBLE AS index_price, -1.5e0 AS daily_price_change, 1704067200000 + event_id AS updated_at_ms FROM events"
+
+
+@query(_STATS_SQL, "mark_price daily_price_change")
 def feed_market_stats(m):
     return tables.feed_stats(m.messages.select(F.col("stats_message").alias("value"))).select("market_id", "symbol", "mark_price", "index_price", "daily_price_change", "updated_at_ms")
 
 
-@query("""SELECT user_id % 5 AS market_id, 1704067200000 + event_id AS timestamp_ms, event_id AS nonce, CASE WHEN event_id % 7 <> 0 THEN event_id - 1 END AS begin_nonce, CASE WHEN event_id % 11 = 0 THEN 'snapshot' ELSE 'delta' END AS kind, l.side, l.price,
+_LEVELS_SQL = """SELECT user_id % 5 AS market_id, 1704067200000 + event_id AS timestamp_ms, event_id AS nonce, CASE WHEN event_id % 7 <> 0 THEN event_id - 1 END AS begin_nonce, CASE WHEN event_id % 11 = 0 THEN 'snapshot' ELSE 'delta' END AS kind, l.side, l.price,
   CASE WHEN l.price = 99.5e0 THEN event_id % 4 WHEN l.price = 100.5e0 THEN 2e0 WHEN l.price = 101e0 THEN 0e0 END::DOUBLE AS size
-  FROM (SELECT *, unnest(CASE WHEN event_id % 5 = 0 THEN [NULL] ELSE [{'side': 'bid', 'price': 99.5e0}, {'side': 'ask', 'price': 100.5e0}, {'side': 'ask', 'price': 101e0}] END) AS l FROM events)""", "price size")
+  FROM (SELECT *, unnest(CASE WHEN event_id % 5 = 0 THEN [NULL] ELSE [{'side': 'bid', 'price': 99.5e0}, {'side': 'ask', 'price': 100.5e0}, {'side': 'ask', 'price': 101e0}] END) AS l FROM events)"""
+
+
+@query(_LEVELS_SQL, "price size")
 def feed_books(m):
     return tables.feed_book_updates(m.messages.select(F.col("book_message").alias("value")))
 
 
+@query(f"""SELECT 'trades' AS name, count(*) AS rows, sum(price)::DOUBLE AS total, count(*) AS counted FROM ({_FEED_SQL}) WHERE NOT corrupt UNION ALL SELECT 'bad_rows', count(*), NULL, count(*) FROM ({_FEED_SQL}) WHERE corrupt
+  UNION ALL SELECT 'market_stats', count(*), sum(mark_price), count(*) FROM ({_STATS_SQL}) UNION ALL SELECT 'book_updates', count(*), sum(price), count(*) FROM ({_LEVELS_SQL})""", "total")
+def stream_feed_tables(m):
+    """All messages in one stream, to a table of each kind below date and hour; the run is cut in two by a restart, and a batch is written twice."""
+    root, log = jobs.scratch(m.spark, "feed"), jobs.scratch(m.spark, "feed-log")
+    bad = m.table("region").select(F.lit(0).cast("long").alias("event_id"), F.lit("{not json").alias("value"))
+    every = m.messages.select("event_id", F.explode(F.array("trade_message", "stats_message", "book_message")).alias("value")).union(bad)
+    source = jobs.as_stream(every, "feed-in", order="event_id")
+    feed.feed_to_tables(source.select("value"), root, log)
+    feed.write_feed_batch(jobs.batch_of(source, 1).select("value"), 1, root)  # as after a failure
+    feed.feed_to_tables(source.select("value"), root, log)
+    told = lambda name, value: m.spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("rows"), F.sum(value).cast("double").alias("total")).withColumn("name", F.lit(name))
+    found = told("trades", F.col("price")).union(told("bad_rows", F.lit(None))).union(told("market_stats", F.col("mark_price"))).union(told("book_updates", F.col("price")))
+    counted = m.spark.read.parquet(f"{root}/counts").groupBy("name").agg(F.sum("rows").alias("counted"))
+    return found.join(counted, "name").select("name", "rows", "total", "counted")
+
+
 @query("SELECT n_nationkey AS market_id, n_name AS symbol, 'perp' AS market_type, 'active' AS status FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 0")
 def market_dimension(m):
     raw = m.table("nation").select(F.col("n_nationkey").alias("market_id"), F.col("n_name").alias("symbol"), F.when(F.col("n_nationkey") % 3 == 0, "spot").otherwise("perp").alias("market_type"), F.when(F.col("n_nationkey") % 4 == 0, "frozen").otherwise("active").alias("status"))
@@ -278,9 +325,13 @@ def dedup_markouts(m):
     return markouts.dedup_markouts(m.markouts).select("market_id", "trade_id", "horizon_s", "timestamp_ms", "maker_markout_bps")
 
 
-@query("SELECT market_id, trade_id FROM td")
+@query("SELECT market_id, trade_id, price FROM td WHERE trade_id % 11 <> 0", "price")
 def stream_dedup_trades(m):
-    return jobs.run_to_end(jobs.dedup_trades_stream(jobs.as_stream(m.trades, "dedup")), "dedup").select("market_id", "trade_id")
+    """Of every eleventh trade a snapshot comes five seconds before it, of every seventh one comes three seconds after it."""
+    at = lambda rows, ms, snapshot: rows.withColumns({"arrival_ms": F.col("timestamp_ms") + ms, "snapshot": F.lit(snapshot)})
+    live = m.trades.where(C.regular_trade())
+    told = at(live, 0, False).unionByName(at(live.where("trade_id % 11 = 0"), -5_000, True)).unionByName(at(live.where("trade_id % 7 = 0"), 3_000, True))
+    return jobs.run_to_end(feed.dedup_with_warmup(jobs.as_stream(told, "dedup", order="arrival_ms")), "dedup").select("market_id", "trade_id", "price")
 
 
 # Joins
@@ -555,13 +606,21 @@ def minute_bars(m):
     return trades.minute_bars(m.trades)
 
 
-@query("""SELECT coalesce(b.market_id, u.market_id) AS market_id, coalesce(actual_samples, 0) AS actual_samples, coalesce(stale_count, 0) AS stale_count, coalesce(resync_count, 0) AS resync_count, coalesce(nonce_gap_count, 0) AS nonce_gap_count FROM
+_DQ_SQL = """SELECT coalesce(b.market_id, u.market_id) AS market_id, coalesce(actual_samples, 0) AS actual_samples, coalesce(stale_count, 0) AS stale_count, coalesce(resync_count, 0) AS resync_count, coalesce(nonce_gap_count, 0) AS nonce_gap_count FROM
   (SELECT market_id, count(*) AS actual_samples, count(*) FILTER (is_stale) AS stale_count FROM bk GROUP BY market_id) b FULL JOIN
-  (SELECT market_id, greatest(max(episode) - 1, 0) AS resync_count, count(DISTINCT CASE WHEN episode > 0 AND kind = 'delta' AND begin_nonce IS DISTINCT FROM before THEN episode END) AS nonce_gap_count FROM msg GROUP BY market_id) u ON u.market_id = b.market_id""")
+  (SELECT market_id, greatest(max(episode) - 1, 0) AS resync_count, count(DISTINCT CASE WHEN episode > 0 AND kind = 'delta' AND begin_nonce IS DISTINCT FROM before THEN episode END) AS nonce_gap_count FROM msg GROUP BY market_id) u ON u.market_id = b.market_id"""
+
+
+@query(_DQ_SQL)
 def dq_counters(m):
     return quality.dq_counters(deduped(m), m.updates)
 
 
+@query(_DQ_SQL)
+def stream_dq_counters(m):
+    return feed.dq_counters_stream(jobs.as_stream(m.books, "dq-books"), jobs.as_stream(m.updates, "dq-updates", order="nonce"), "dq")
+
+
 @query("SELECT count(median_spread_bps) AS n, " + ", ".join(f"quantile_cont(median_spread_bps, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90, 95)) + " FROM mr", "p10 p25 p50 p75 p90 p95")
 def cross_section_stats(m):
     return scoring.cross_section_stats(market_rows(inputs(m)), "median_spread_bps")
@@ -844,10 +903,17 @@ def rolling_tpm(m):
     return trades.rolling_tpm(regular(m))
 
 
-@query("SELECT market_id, trade_id, horizon_s, timestamp_ms, future_mid FROM futm WHERE future_mid IS NOT NULL", "future_mid")
+_NEAR = "(SELECT count(*) FROM mids m WHERE m.market_id = f.market_id AND m.timestamp_ms BETWEEN f.timestamp_ms + horizon_s * 1000 AND f.timestamp_ms + horizon_s * 1000 + 2500)"
+
+
+@query(f"""SELECT market_id, trade_id, horizon_s, timestamp_ms, reference_mid, future_mid, CASE WHEN future_mid IS NULL THEN 'expired' WHEN {_NEAR} > 0 THEN 'forward' ELSE 'backward' END AS outcome,
+  CASE WHEN is_maker_ask THEN price - future_mid ELSE future_mid - price END / reference_mid * 10000e0 AS maker_markout_bps FROM futm f
+  WHERE timestamp_ms + horizon_s * 1000 + 2500 < greatest((SELECT max(timestamp_ms) FROM td), (SELECT max(timestamp_ms) FROM mids)) - 20000""", "reference_mid future_mid maker_markout_bps")
 def stream_markouts(m):
-    near = jobs.run_to_end(jobs.markouts_stream(jobs.as_stream(regular(m), "marks-trades"), jobs.as_stream(mids(m), "marks-mids")), "marks")
-    return jobs.nearest_markouts(near).drop("move_bps")
+    """Every seventh mid comes eight seconds late. What the watermark hasn't passed at the end still waits."""
+    late = mids(m).withColumn("arrival_ms", F.col("timestamp_ms") + F.when(F.floor(F.col("timestamp_ms") / 1000) % 7 == 0, 8000).otherwise(0))
+    found = stateful.markouts_stream(jobs.as_stream(regular(m), "marks-trades"), jobs.as_stream(late, "marks-mids", order="arrival_ms"))
+    return jobs.run_to_end(found, "marks").select("market_id", "trade_id", "horizon_s", "timestamp_ms", "reference_mid", "future_mid", "outcome", "maker_markout_bps")
 
 
 @query("SELECT market_id, episode, side, price, size, from_ms, to_ms FROM lvl", "price size")
@@ -859,7 +925,7 @@ def book_rebuild(m):
   FROM msg m LEFT JOIN app a ON a.market_id = m.market_id AND a.nonce = m.nonce
   LEFT JOIN lvn l ON l.market_id = m.market_id AND size > 0 AND from_nonce <= m.nonce AND (changed_nonce IS NULL OR changed_nonce > m.nonce) AND (closed_nonce IS NULL OR closed_nonce > m.nonce) GROUP BY ALL""", "best_bid best_ask")
 def stream_book_rebuild(m):
-    return jobs.run_to_end(jobs.book_stream(jobs.as_stream(m.updates, "book", order="nonce")), "book")
+    return jobs.run_to_end(stateful.book_stream(jobs.as_stream(m.updates, "book", order="nonce")), "book").drop("kind", "out_of_step")
 
 
 _GRID_SQL = """SELECT market_id, grid_ms, best_bid, best_ask, mid, (best_ask - best_bid) / mid * 10000e0 AS spread_bps, bid_size AS best_bid_size_base, coalesce(bid_depth, 0e0) AS bid_depth_25bps_usd, coalesce(ask_depth, 0e0) AS ask_depth_25bps_usd,
@@ -892,7 +958,7 @@ def recent_markout_mean(m):
 
 @query("SELECT market_id, max(timestamp_ms) AS timestamp_ms, arg_max_null(spread_bps, timestamp_ms) AS spread_bps, arg_max(two_sided_depth_10bps_usd, timestamp_ms) AS two_sided_depth_10bps_usd FROM bk GROUP BY market_id", "spread_bps two_sided_depth_10bps_usd")
 def live_metrics_stream(m):
-    return jobs.latest_by_market(jobs.as_stream(m.books, "live"), ["spread_bps", "two_sided_depth_10bps_usd"], "live")
+    return feed.latest_by_market(jobs.as_stream(m.books, "live"), ["spread_bps", "two_sided_depth_10bps_usd"], "live")
 
 
 # Ledgers

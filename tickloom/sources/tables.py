@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as fs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,6 @@ from pyspark.sql import types as T
 
 from tickloom.functions.columns import blank_to_null_number, partition_key
 
-UNFINISHED = (".tmp", ".partial", ".incomplete")
-
 
 def scan_market_table(rows: DataFrame, start_ms: int, end_ms: int, *, columns: list[str] | None = None, market_ids: tuple[int, ...] | None = None) -> DataFrame:
     """Rows of the closed window and the set of markets, with the columns asked for.
@@ -72,6 +71,18 @@ def file_health(spark: SparkSession, root: str, *, probe: bool = True) -> DataFr
     The driver lists the first level of folders only. Tasks list what is below them, open the
     footers, which are the ends of the files, and with ``probe`` read the first row group of each.
     """
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            reasons = [_fault(system, path, n, probe) for path, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], ["path", "length", "valid", "reason"])
+
+    return _files(spark, root).mapInArrow(checked, HEALTH)
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` and ``length`` of the Parquet files below ``root``, dealt over the tasks. The driver lists the first level of folders, tasks what is below it."""
     system, base = fs.FileSystem.from_uri(root)
     first = [(e.path, e.type == fs.FileType.Directory) for e in system.get_file_info(fs.FileSelector(base, allow_not_found=True))]
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -84,32 +95,22 @@ def file_health(spark: SparkSession, root: str, *, probe: bool = True) -> DataFr
                 files = [e for e in found if e.type == fs.FileType.File and e.path.endswith(".parquet") and not e.base_name.startswith(("_", "."))]
                 yield pa.RecordBatch.from_arrays([pa.array([e.path for e in files], pa.string()), pa.array([e.size for e in files], pa.int64())], ["path", "length"])
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            reasons = [_fault(system, path, n, probe) for path, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], ["path", "length", "valid", "reason"])
-
-    files = spark.createDataFrame(first, "path string, folder boolean").repartition(spread).mapInArrow(listed, "path string, length long")
-    return files.repartition(spread).mapInArrow(checked, HEALTH)
+    return spark.createDataFrame(first, "path string, folder boolean").repartition(spread).mapInArrow(listed, "path string, length long").repartition(spread)
 
 
 def _fault(system: fs.FileSystem, path: str, length: int, probe: bool) -> str | None:
     """Why a file can't be read, or none."""
     if not length:
         return "empty"
-    try:
-        with system.open_input_file(path) as source:
-            pq.ParquetFile(source)
-    except (pa.ArrowException, OSError, ValueError):
-        return "unreadable footer"
+    step = "unreadable footer"
     try:
         with system.open_input_file(path) as source:
             file = pq.ParquetFile(source)
+            step = "unreadable row group"
             if probe and file.metadata.num_row_groups:
                 file.read_row_group(0)
     except (pa.ArrowException, OSError, ValueError):
-        return "unreadable row group"
+        return step
     return None
 
 
@@ -125,6 +126,55 @@ def rename_files(spark: SparkSession, path: str, to: str, ending: str, new_endin
             system.rename(x.getPath(), Path(f"{to}/{name[: -len(ending)]}{new_ending}"))
 
 
+def folders(spark: SparkSession, root: str, marked: str = "") -> list[str]:
+    """Folders directly below ``root``; with ``marked``, those that hold a file of this name."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(Path(root)):
+        return []
+    found = [x.getPath().toString() for x in system.listStatus(Path(root)) if x.isDirectory()]
+    return [f for f in found if not marked or system.exists(Path(f"{f}/{marked}"))]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(Path(path), True)
+
+
+def footer_watermark(spark: SparkSession, root: str, column: str = "timestamp_ms") -> DataFrame:
+    """``path``, ``latest_ms`` and ``from_statistics`` of each Parquet file below ``root``: the largest value of the column, by the footer's statistics of each row group, and by reading the column where a row group has none. A file that can't be read, or without the column, has none."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            found = [_latest(system, p, column) for p in paths]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.bool_())], ["path", "latest_ms", "from_statistics"])
+
+    return _files(spark, root).mapInArrow(marks, "path string, latest_ms long, from_statistics boolean")
+
+
+def _latest(system: fs.FileSystem, path: str, column: str) -> tuple[int | None, bool]:
+    latest, footer_alone = [], True
+    try:
+        with system.open_input_file(path) as source:
+            file = pq.ParquetFile(source)
+            names = file.schema.names
+            if column not in names:
+                return None, True
+            for k in range(file.metadata.num_row_groups):
+                known = file.metadata.row_group(k).column(names.index(column)).statistics
+                if known is not None and known.has_min_max:
+                    latest.append(int(known.max))
+                elif file.metadata.row_group(k).num_rows and (known is None or known.num_values):
+                    footer_alone = False
+                    top = pc.max(file.read_row_group(k, columns=[column]).column(column)).as_py()
+                    latest += [] if top is None else [int(top)]
+    except (pa.ArrowException, OSError, ValueError):
+        return None, footer_alone
+    return max(latest, default=None), footer_alone
+
+
 def quarantine_list(health: DataFrame) -> DataFrame:
     """The files to leave out, with reasons: what ``scan_market_table`` shouldn't be given."""
     return health.where(~F.col("valid")).select("path", "length", "reason")

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.config import Markouts
-from tickloom.functions.columns import markout_bps, regular_trade
+from tickloom.functions.columns import regular_trade
+from tickloom.streaming.stateful import STATE_STORE
 
 _local: dict[str, str] = {}
 
@@ -40,17 +37,41 @@ def as_stream(rows: DataFrame, name: str, *, batches: int = 4, order: str = "tim
         # Partitions without rows have no files; empty ones keep the ranges to their batches.
         for _ in range((k + 1) * files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
             none.write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream._replayed = (path, files)
+    return stream
+
+
+def batch_of(stream: DataFrame, number: int) -> DataFrame:
+    """The rows of one batch of a stream that ``as_stream`` made."""
+    path, files = stream._replayed
+    jvm, conf = stream.sparkSession.sparkContext._jvm, stream.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    listed = [(x.getModificationTime(), x.getPath().toString()) for x in at.getFileSystem(conf).listStatus(at) if x.getPath().getName().startswith("part-")]
+    return stream.sparkSession.read.schema(stream.schema).parquet(*[p for _, p in sorted(listed)[number * files : (number + 1) * files]])
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All output of a stream over what is there now, through an exactly-once file sink."""
     spark, path = stream.sparkSession, scratch(stream.sparkSession, f"{name}-out")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-log")).format("parquet").option("path", path).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-log")).format("parquet").option("path", path).trigger(availableNow=True)
+    finish(spark, writer)
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def finish(spark: SparkSession, writer) -> None:
+    """Start a stream with the state store that ``streaming.stateful`` needs, and wait for its end."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        query = writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    query.awaitTermination()
+
+
 def with_event_time(rows: DataFrame, delay: str, time: str = "timestamp_ms", out: str = "event_time") -> DataFrame:
     return rows.withColumn(out, F.timestamp_millis(F.col(time))).withWatermark(out, delay)
 
@@ -65,74 +86,3 @@ def minute_bars_stream(trades: DataFrame, delay: str = "10 seconds") -> DataFram
     timed = with_event_time(trades.where(regular_trade()), delay)
     bars = timed.groupBy("market_id", F.window("event_time", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("trade_count"), F.sum("usd_amount").alias("trade_quote_volume_usd"))
     return bars.select("market_id", F.unix_millis("w.start").alias("minute_ms"), "trade_count", "trade_quote_volume_usd")
-
-
-def markouts_stream(trades: DataFrame, mids: DataFrame, config: Markouts = Markouts(), delay: str = "2 minutes") -> DataFrame:
-    """Every mid within the tolerance of a trade's horizon, as a stream-stream join whose state both watermarks bound; the batch form of ``nearest_markouts`` picks from them."""
-    aimed = trades.where(regular_trade()).withColumn("horizon_s", F.explode(F.array(*map(F.lit, config.horizons_s)))).withColumn("target_ms", F.col("timestamp_ms") + F.col("horizon_s") * 1000)
-    left = with_event_time(aimed, delay, "target_ms", "target_time")
-    right = with_event_time(mids.select(F.col("market_id").alias("m_market_id"), F.col("timestamp_ms").alias("m_ms"), "mid"), delay, "m_ms", "m_time")
-    near = F.expr(f"m_market_id = market_id AND m_time >= target_time - INTERVAL {config.tolerance_ms} MILLISECONDS AND m_time <= target_time + INTERVAL {config.tolerance_ms} MILLISECONDS")
-    return left.join(right, near).select("market_id", "trade_id", "horizon_s", "timestamp_ms", "target_ms", "m_ms", "mid", "price", "is_maker_ask")
-
-
-def nearest_markouts(near: DataFrame) -> DataFrame:
-    """The first mid from the target on, else the last before it."""
-    behind = F.col("m_ms") < F.col("target_ms")
-    order = F.struct(behind.cast("int"), F.abs(F.col("m_ms") - F.col("target_ms")))
-    keys = ["market_id", "trade_id", "horizon_s", "timestamp_ms"]
-    return near.groupBy(*keys, "price", "is_maker_ask").agg(F.min_by("mid", order).alias("future_mid")).select(*keys, "future_mid", markout_bps(F.col("price"), F.col("future_mid"), F.col("future_mid"), F.col("is_maker_ask")).alias("move_bps"))
-
-
-BOOK = "market_id int, timestamp_ms long, nonce long, best_bid double, best_ask double, in_step boolean"
-_STATE = "nonce long, in_step boolean, prices array<double>, sizes array<double>"
-
-
-def book_stream(updates: DataFrame) -> DataFrame:
-    """Best bid and ask after each message, from a book kept as state: its levels (bids as negative prices), the last applied nonce and whether it is in step.
-
-    Messages of a batch are taken in order of nonce; the levels of one are applied together. The
-    state is one book for each market, as large as the book is.
-    """
-
-    def follow(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nonce, in_step, prices, sizes = state.get if state.exists else (None, False, [], [])
-        book, out = dict(zip(prices, sizes, strict=True)), []
-        for number, levels in pd.concat(list(frames)).groupby("nonce", sort=True):
-            head = levels.iloc[0]
-            if head.kind == "snapshot":
-                book, in_step = {}, True
-            elif not in_step or pd.isna(head.begin_nonce) or int(head.begin_nonce) != nonce:
-                book, in_step = {}, False
-            best_bid = best_ask = None
-            if in_step:
-                nonce, told = int(number), levels[levels["price"].notna()]
-                for price, size in zip(told["price"].where(told["side"] == "ask", -told["price"]), told["size"], strict=True):
-                    if size > 0:
-                        book[price] = size
-                    else:
-                        book.pop(price, None)
-                bids, asks = [p for p in book if p < 0], [p for p in book if p > 0]
-                best_bid, best_ask = -min(bids) if bids else None, min(asks, default=None)
-            out.append((key[0], int(head.timestamp_ms), int(number), best_bid, best_ask, in_step))
-        state.update((nonce, bool(in_step), [float(p) for p in book], [float(s) for s in book.values()]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in BOOK.split(", ")]).astype({"best_bid": float, "best_ask": float})
-
-    return updates.groupBy("market_id").applyInPandasWithState(follow, BOOK, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def latest_by_market(stream: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The last row of each market: an aggregation in update mode, merged into a table by each micro-batch."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
-    latest = stream.groupBy("market_id").agg(F.max_by(F.struct("timestamp_ms", *columns), "timestamp_ms").alias("r")).select("market_id", "r.*")
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
-
-    query = latest.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, f"{name}-log")).foreachBatch(upsert).trigger(availableNow=True).start()
-    query.awaitTermination()
-    every = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in latest.schema)}").parquet(path)
-    return every.groupBy("market_id").agg(F.max_by(F.struct("timestamp_ms", *columns), "timestamp_ms").alias("r")).select("market_id", "r.*")
-
-
-
