@@ -36,6 +36,19 @@ def test_pieces_equal_the_library_on_whole_texts(path, cut):
     same()
 
 
+def test_pieces_under_one_hash_and_of_real_texts(spark, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for path, cut in ((BYTE, WITH_SPACE), (WORD, WORDS)):
+        want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+        for one_hash in (False, True):
+            if one_hash:
+                monkeypatch.setattr("tickloom.llm.pieces.hashes", lambda pieces: np.zeros(len(pieces), np.uint64))
+            pieces = Pieces(open(path, encoding="utf-8").read(), cut, kept_bytes=200_000)
+            for k in range(0, len(texts), 40):
+                assert pieces.lengths(pa.array(texts[k : k + 40])).tolist() == want[k : k + 40]
+            monkeypatch.undo()
+
+
 def test_counts_equal_the_library(spark):
     whole = Tokenizer.from_file(BYTE)
     docs = odd_docs(spark).withColumn("n_tokens", F.lit("clash")).withColumn("n_bytes", F.lit("clash"))

@@ -67,17 +67,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, order_by: tuple[
         held, docs_in, lengths, n = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"shard": shard, "chunk": number, "start_in_shard": before, "n_ids": n, "doc_ids": docs_in, "doc_lengths": lengths, "block_ids": block_ids, "planes": to_planes(np.concatenate(held), block_ids)}], CHUNK)
+            planes = pa.array([to_planes(np.concatenate(held), block_ids)], CHUNK.field("planes").type)
+            one = lambda name, values: pa.ListArray.from_arrays([0, len(values)], values).cast(CHUNK.field(name).type)
+            numbers = [pa.array([v], CHUNK.field(c).type) for c, v in (("shard", shard), ("chunk", number), ("start_in_shard", before), ("n_ids", n))]
+            return pa.RecordBatch.from_arrays([*numbers, one("doc_ids", pa.concat_arrays(docs_in)), one("doc_lengths", pa.array(np.concatenate(lengths))), pa.array([block_ids], pa.int32()), planes], schema=CHUNK)
 
         for batch in balanced(batches, "text", batch_bytes):
             ids, sizes = pieces.ids(batch.column("text"))
-            ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
-            at = 0
-            for doc, size in zip(batch.column("doc_id").to_pylist(), (sizes + 1).tolist(), strict=True):
-                docs_in.append(doc)
-                lengths.append(size)
-                held.append(ids[at : at + size])
-                at, n = at + size, n + size
+            upto = np.cumsum(sizes)
+            ids = np.insert(ids, upto, np.uint32(end_id))
+            ends, first, start = upto + np.arange(1, len(sizes) + 1), 0, 0
+            while first < len(sizes):
+                # Up to the document that fills the chunk, else all.
+                last = min(int(np.searchsorted(ends, start + chunk_ids - n)) + 1, len(sizes))
+                end = int(ends[last - 1])
+                held.append(ids[start:end])
+                docs_in.append(batch.column("doc_id").slice(first, last - first))
+                lengths.append(sizes[first:last] + 1)
+                n, first, start = n + end - start, last, end
                 if n >= chunk_ids:
                     yield row()
                     number, before = number + 1, before + n
