@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_dedup", "decontamination", "mixing", "token_output"]
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_whole_run(spark):
@@ -43,7 +43,7 @@ def test_mixed_order_reaches_the_token_files(spark, tmp_path):
 
 
 def test_every_stage_on_odd_and_empty_tables(spark, tmp_path):
-    clash = {"score": F.lit("own"), "component_id": F.lit(7), "_src": F.lit("own"), "_bin": F.lit(None).cast("int"), "mix_place": F.lit(1.5), "_doc": F.lit("own"), "_t": F.lit("own"), "shard": F.lit("own"), "id": F.lit(-1)}
+    clash = {"score": F.lit("own"), "component_id": F.lit(7), "_src": F.lit("own"), "_bin": F.lit(None).cast("int"), "mix_place": F.lit(1.5), "_doc": F.lit("own"), "_t": F.lit("own"), "shard": F.lit("own"), "id": F.lit(-1), "a.b": F.lit("dot"), "c`d": F.lit("tick"), "_metadata": F.lit("own"), "mix_slot": F.lit(2.5), "mix_block": F.lit("own"), "mix_offset": F.lit(None).cast("int"), "c0": F.lit("own"), "c1": F.lit(8)}
     for name, first in (("odd", odd_docs(spark).withColumns(clash)), ("empty", empty_docs(spark).withColumns(clash))):
         docs = first
         for number, (stage, f) in enumerate(corpus_pipeline.STAGES):

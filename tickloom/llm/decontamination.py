@@ -1,13 +1,15 @@
 """Operator 4, benchmark decontamination: size-partitioned MinHash containment search, then exact shingles.
 
-DataFrame functions only. Items are partitioned by their number ``q`` of distinct shingles. An item
-shares at least ``ceil(t * q)`` shingles with a document that contains it to the share ``t``, so of
-any ``q - ceil(t * q) + 1`` of its shingles the document has one. The search therefore takes as
-MinHash sketch of an item that many of its smallest hashes: each size has the sketch length that
-loses no document, however long, where a document's own MinHash values would almost never be an
-item's. Shingles that fewer items hold come first, so that a phrase common to many items doesn't
-pair each of them with every document that has it. Every document's shingle hashes are probed against the sketches, and each candidate pair is
-verified on the shingles themselves.
+DataFrame functions only. A document's own MinHash values would almost never be those of a short item
+inside it, so the search is for containment: an item's sketch is the ``L`` smallest of its ``q``
+shingle hashes, a random sample of them, and the share of the sketch that a document holds estimates
+how much of the item it holds. A document that contains the item to the share ``t`` misses at most
+``m = q - ceil(t * q)`` shingles, and so holds at least ``L - m`` of the sketch.
+
+Items are partitioned by size, in classes of a power of two. Each class has its own ``L - m``
+(``SKETCH_SHARE`` of the class's smallest size, one at least), and with it sketches that are long
+enough for its sizes: candidates of a class are the pairs whose estimate is that high, which loses
+no document, however long. The candidates are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.shared import columns
+
+#: Shingles of a sketch that a document must hold, as a share of the size at which the item's class begins.
+SKETCH_SHARE = 0.25
 #: Rows of the sketch table that are broadcast at most (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 
@@ -59,16 +65,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, words: int = 5,
     texts = _spelled(items, words, "_item")
     sizes = texts.groupBy("_item").agg(F.count(F.lit(1)).alias("_q")).withColumn("_need", F.ceil(F.col("_q") * F.lit(containment) - 1e-9))
 
-    held_by = _hashed(items, words, "_item").distinct()
-    items_of = held_by.groupBy("_h").agg(F.count(F.lit(1)).alias("_items"))
-    rarest = Window.partitionBy("_item").orderBy("_items", "_h")
-    sketch = held_by.join(items_of, "_h").withColumn("_place", F.row_number().over(rarest)).join(sizes, "_item")
-    sketch = sketch.where(F.col("_place") <= F.col("_q") - F.col("_need") + 1).select("_item", "_h")
+    # The size class, what its documents must hold of a sketch, and the sketches' length.
+    classes = sizes.withColumn("_class", F.floor(F.log2("_q")).cast("int")).withColumn("_hits", F.least(F.greatest(F.floor(F.pow(F.lit(2.0), "_class") * SKETCH_SHARE), F.lit(1)), "_need").cast("long"))
+    smallest = Window.partitionBy("_class", "_item").orderBy("_h")
+    sketch = _hashed(items, words, "_item").distinct().join(classes, "_item").withColumn("_place", F.row_number().over(smallest))
+    sketch = sketch.where(F.col("_place") <= F.col("_q") - F.col("_need") + F.col("_hits")).select("_class", "_item", "_hits", "_h")
     probe = F.broadcast(sketch) if sketch.count() <= broadcast_rows else sketch
 
     known = docs.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("_text")).where(F.col("_doc").isNotNull())
     split = lambda df: df.select("_doc", words_of(F.col("_text")).alias("_words"))
-    candidates = _hashed(split(known), words, "_doc").join(probe, "_h").select("_doc", "_item").distinct()
+    met = _hashed(split(known), words, "_doc").join(probe, "_h").select("_doc", "_class", "_item", "_hits", "_h").distinct()
+    candidates = met.groupBy("_doc", "_class", "_item", "_hits").agg(F.count(F.lit(1)).alias("_n")).where("_n >= _hits").select("_doc", "_item")
 
     # What is left is read once more: candidates alone. Whole texts are joined, which are smaller than their lists of words.
     held = _spelled(split(known.join(candidates.select("_doc").distinct(), "_doc", "left_semi")), words, "_doc")
@@ -81,4 +88,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, words: int = 5,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``benchmark``; options as for ``find_contamination``."""
     key = options.get("id_column", "doc_id")
-    return docs.join(find_contamination(docs, benchmark, **options).select(key).distinct(), key, "left_anti").select(docs.columns)
+    return docs.join(find_contamination(docs, benchmark, **options).select(key).distinct(), key, "left_anti").select(columns(docs))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -50,6 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, in order, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with plain names for its columns, and the plain name of each."""
+    plain = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*plain.values()), plain
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for exchanges that need a number."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.pieces import balanced
+from tickloom.llm.shared import numbered
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
@@ -257,7 +258,9 @@ def score_toxicity(docs: DataFrame, index: Index, *, id_column: str = "doc_id",
 
 
 def reject_toxic(docs: DataFrame, index: Index, *, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, whole, whose score is below ``threshold``. Nulls, repeated rows and empty tables: as for ``score_toxicity``."""
+    """The rows of ``docs``, whole, whose score is below ``threshold``. Nulls, repeated rows and empty tables: as for ``score_toxicity``. Columns may have any names."""
+    rows, plain = numbered(docs)
+    text_column = plain[text_column]
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = index.probability(0.0)
@@ -273,4 +276,4 @@ def reject_toxic(docs: DataFrame, index: Index, *, text_column: str = "text", th
                 keep.append(score < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return rows.mapInArrow(kept, rows.schema).toDF(*docs.columns)
