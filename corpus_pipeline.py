@@ -10,7 +10,7 @@ from tickloom.llm.decontamination import decontaminate
 from tickloom.llm.mixing import in_mixed_order, mix_sources, tempered_weights
 from tickloom.llm.queries import CONTAINMENT, MIX_BLOCK, MIX_EXPONENT, held_out
 from tickloom.llm.near_texts import near_texts
-from tickloom.llm.shared import new_path, partitions, stash, table
+from tickloom.llm.shared import columns, new_path, numbered, partitions, stash, table
 from tickloom.llm.token_files import token_digests, write_tokens
 from tickloom.llm.toxicity import fit, reject_toxic
 
@@ -29,7 +29,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near duplicates the document with the smallest id stays. Null and empty texts are alike, one of them stays; a row without an id stays; rows that share an id stay or go together. Other columns pass as they are."""
     classes = near_texts(docs, words=NEAR_WORDS, bits=NEAR_WIDTH, bits_apart=SURE_BITS, link_bits=NEAR_BITS, similarity=SIMILARITY)
     gone = stash(classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +39,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the mixed order: through the files by number, and within a file by row. Null sources are one source; nulls elsewhere and repeated rows each have a place. Other columns pass as they are."""
-    mixed = mix_sources(docs, tempered_weights(docs, exponent=MIX_EXPONENT), block_rows=MIX_BLOCK)
-    return in_mixed_order(mixed, partitions(spark))
+    rows, plain = numbered(docs)
+    mixed = mix_sources(rows, tempered_weights(rows, source_column=plain["source"], exponent=MIX_EXPONENT), id_column=plain["doc_id"], source_column=plain["source"], block_rows=MIX_BLOCK)
+    return in_mixed_order(mixed, partitions(spark)).toDF(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the files of ``docs``; what is read back from them, by document. A null text is empty: the end id alone. Null ids stay null, repeated rows are written each, other columns are left out."""
-    name = F.col("_metadata.file_name")
-    placed = docs.select("doc_id", "text", F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long").alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    file = docs.metadataColumn("_metadata")  # also where a column has that name
+    name = file["file_name"]
+    placed = docs.select("doc_id", "text", F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long").alias("_part"), name.alias("_file"), file["row_index"].alias("_row"))
     path = new_path(spark, "tokens")
     write_tokens(placed, path, public_tokenizers.path("word_bpe_49k.json"), order_by=("_part", "_file", "_row"))
     return token_digests(spark, path)
