@@ -185,6 +185,57 @@ def test_time_bins_change_no_result(spark):
             assert r.x == (min(ahead) if ahead else max(back, default=None))
 
 
+def test_running_values_equal_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2, None]), t, k, rng.choice([None, float(rng.randint(-5, 5))])) for k, t in enumerate(rng.choices([None, *range(0, 900, 7)], k=300))]
+    df = spark.createDataFrame(rows, "k int, t long, n int, x double")
+    line = Window.partitionBy("k").orderBy("t", "n")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("n", F.coalesce(F.sum("x").over(upto), F.lit(0.0)).alias("s"), F.max("x").over(upto).alias("h"), F.lag("x").over(line).alias("b"), F.lead("x").over(line).alias("a"))
+    for bin_ms in (5, 50, 10_000):
+        got = temporal.running(df, ["k"], ("t", "n"), sums={"s": F.col("x")}, highs={"h": F.col("x")}, before={"b": "x"}, after={"a": "x"}, bin=temporal.bin_of(F.col("t"), bin_ms))
+        assert sorted(got.select("n", "s", "h", "b", "a").collect()) == sorted(want.collect()) or {tuple(r) for r in got.select("n", "s", "h", "b", "a").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_fractions_pair_first_in_first_out(spark):
+    import random
+    from fractions import Fraction
+
+    from tickloom.operators import ledger
+
+    schema = "market_id int, fill_id long, timestamp_ms long, side string, qty_base double, price double"
+    told = [(1, 1, 1, "bid", 0.1, 10.0), (1, 2, 2, "bid", 0.2, 11.0), (1, 3, 3, "ask", 0.3, 12.0), (1, 4, 4, "bid", 0.1, 9.0), (1, 5, 5, "ask", 0.1, 13.0)]
+    pairs = sorted((r.buy_id, r.sell_id, r.qty) for r in ledger.fifo_matches(spark.createDataFrame(told, schema)).collect())
+    assert pairs == [(1, 3, 0.1), (2, 3, 0.2), (4, 5, 0.1)]
+
+    rng = random.Random(4)
+    fills = [(rng.choice([1, 1, 1, 2]), k, k * 10, rng.choice(["bid", "ask"]), rng.randint(1, 40) / 10, float(rng.randint(90, 110))) for k in range(400)]
+    lots, want = {}, {}
+    for market, fill, _, side, qty, _ in fills:
+        left = Fraction(str(qty))
+        queue = lots.setdefault((market, "ask" if side == "bid" else "bid"), [])
+        while left and queue:
+            part = min(left, queue[0][1])
+            key = (market, fill, queue[0][0]) if side == "bid" else (market, queue[0][0], fill)
+            want[key] = want.get(key, 0) + part
+            queue[0][1] -= part
+            left -= part
+            if not queue[0][1]:
+                queue.pop(0)
+        if left:
+            lots.setdefault((market, side), []).append([fill, left])
+    df = spark.createDataFrame(fills, schema)
+    for bin_fills in (3, 50, 10_000):
+        got = {(r.market_id, r.buy_id, r.sell_id): Fraction(str(r.qty)) for r in ledger.fifo_matches(df, bin_fills=bin_fills).collect()}
+        assert got == want
+    hot = plan(ledger.fifo_matches(df))
+    assert all("_bin" in part.split(")")[0] or "side" in part.split(")")[0] for part in hot.split("Window")[1:] if "fill_id" in part.split(")")[0])
+
+
 def test_a_hot_market_is_many_tasks(spark):
     """One market with nine tenths of the rows: windows are partitioned by its bins too."""
     rows = spark.range(20_000).select((F.when(F.col("id") % 10 > 0, 1).otherwise(2)).cast("int").alias("market_id"), (F.col("id") * 1_000).alias("timestamp_ms"), (100 + F.rand(1)).alias("mid"))

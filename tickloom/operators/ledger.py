@@ -6,31 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import markout_bps
-from tickloom.operators.temporal import asof_backward, nearest_forward_then_backward
+from tickloom.operators.temporal import asof_backward, nearest_forward_then_backward, running
 
 FLAT = 1e-9
 
 
+#: Quantities are added up as decimals: sums of doubles are neither exact nor the same in any order.
+QUANTITY = "decimal(28,12)"
+#: Fills of a market that meet in one bin of quantity, about.
+BIN_FILLS = 2048
+_ORDER = ("timestamp_ms", "fill_id")
+
+
+def _quantity(c: str = "qty_base"):
+    return F.col(c).cast(QUANTITY)
+
+
 def _counted(fills: DataFrame) -> DataFrame:
-    """``upto``: quantity of the market's side up to and with the fill."""
-    line = Window.partitionBy("market_id", "side").orderBy("timestamp_ms", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
-    return fills.withColumn("upto", F.sum("qty_base").over(line))
+    """``upto``: quantity of the market's side up to and with the fill; ``qty_base`` is a decimal."""
+    exact = fills.withColumn("qty_base", _quantity())
+    return running(exact, ["market_id", "side"], _ORDER, sums={"upto": F.col("qty_base")})
 
 
-def fifo_matches(fills: DataFrame) -> DataFrame:
+def fifo_matches(fills: DataFrame, *, bin_fills: int = BIN_FILLS) -> DataFrame:
     """Quantities closed against each other first in, first out, with ``pnl`` dated by the later fill.
 
     Lots are of one side at a time, so the k-th unit bought always meets the k-th unit sold. The ends
     of both sides' fills, in order of quantity, cut the units into pieces of one purchase and one
-    sale each.
+    sale each. A market's units are dealt in bins of quantity, so that one with most of the fills is
+    many tasks; a fill that reaches over bins has a part in each, and the parts of a pair are added.
     """
-    ends = _counted(fills).select("market_id", F.col("upto").alias("end"), F.when(F.col("side") == "bid", F.struct("timestamp_ms", "price", "fill_id")).alias("buy"), F.when(F.col("side") == "ask", F.struct("timestamp_ms", "price", "fill_id")).alias("sell"))
-    cuts = ends.groupBy("market_id", "end").agg(F.max("buy").alias("buy"), F.max("sell").alias("sell"))
-    line = Window.partitionBy("market_id").orderBy("end")
+    counted = _counted(fills)
+    totals = counted.groupBy("market_id").agg(F.max("upto").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    width = F.greatest((F.col("_all") / F.ceil(F.col("_n") / bin_fills)).cast("decimal(38,12)"), F.lit("0.000000000001").cast("decimal(38,12)"))
+    known = counted.join(totals.select("market_id", width.alias("_w")), "market_id").withColumn("_from", F.col("upto") - F.col("qty_base"))
+    # One more at either end, as quotients are rounded; parts without a quantity go.
+    bins = F.sequence(F.floor(F.col("_from") / F.col("_w")).cast("long") - 1, F.ceil(F.col("upto") / F.col("_w")).cast("long"))
+    parts = known.where("qty_base > 0").withColumn("_bin", F.explode(bins)).withColumns({"end": F.least(F.col("upto"), ((F.col("_bin") + 1) * F.col("_w")).cast("decimal(38,12)")), "_begin": F.greatest(F.col("_from"), (F.col("_bin") * F.col("_w")).cast("decimal(38,12)"))}).where("end > _begin")
+    fill = F.struct("timestamp_ms", "price", "fill_id")
+    ends = parts.select("market_id", "_bin", "_begin", "end", F.when(F.col("side") == "bid", fill).alias("buy"), F.when(F.col("side") == "ask", fill).alias("sell"))
+    cuts = ends.groupBy("market_id", "_bin", "end").agg(F.max("buy").alias("buy"), F.max("sell").alias("sell"), F.min("_begin").alias("_begin"))
+    line = Window.partitionBy("market_id", "_bin").orderBy("end")
     onward = line.rowsBetween(0, Window.unboundedFollowing)
-    pieces = cuts.select("market_id", (F.col("end") - F.coalesce(F.lag("end").over(line), F.lit(0.0))).alias("qty"), F.first("buy", ignorenulls=True).over(onward).alias("b"), F.first("sell", ignorenulls=True).over(onward).alias("s"))
-    both = pieces.where(F.col("b").isNotNull() & F.col("s").isNotNull())
-    return both.select("market_id", "qty", F.col("b.fill_id").alias("buy_id"), F.col("s.fill_id").alias("sell_id"), F.col("b.price").alias("buy_price"), F.col("s.price").alias("sell_price"), ((F.col("s.price") - F.col("b.price")) * F.col("qty")).alias("pnl"), F.greatest("b.timestamp_ms", "s.timestamp_ms").alias("closed_ms"))
+    lowest = F.min("_begin").over(Window.partitionBy("market_id", "_bin"))
+    pieces = cuts.select("market_id", (F.col("end") - F.coalesce(F.lag("end").over(line), lowest)).alias("qty"), F.first("buy", ignorenulls=True).over(onward).alias("b"), F.first("sell", ignorenulls=True).over(onward).alias("s"))
+    pairs = pieces.where(F.col("b").isNotNull() & F.col("s").isNotNull()).groupBy("market_id", F.col("b.fill_id").alias("buy_id"), F.col("s.fill_id").alias("sell_id")).agg(F.sum("qty").cast("double").alias("qty"), F.max("b").alias("b"), F.max("s").alias("s"))
+    return pairs.select("market_id", "qty", "buy_id", "sell_id", F.col("b.price").alias("buy_price"), F.col("s.price").alias("sell_price"), ((F.col("s.price") - F.col("b.price")) * F.col("qty")).alias("pnl"), F.greatest("b.timestamp_ms", "s.timestamp_ms").alias("closed_ms"))
 
 
 def realized_pnl(fills: DataFrame) -> DataFrame:
@@ -40,38 +61,35 @@ def realized_pnl(fills: DataFrame) -> DataFrame:
 def unrealized_pnl(fills: DataFrame, mids: DataFrame) -> DataFrame:
     """Open lots at the market's last mid."""
     counted = _counted(fills)
-    totals = counted.groupBy("market_id").agg(F.sum(F.when(F.col("side") == "bid", F.col("qty_base")).otherwise(0.0)).alias("_bought"), F.sum(F.when(F.col("side") == "ask", F.col("qty_base")).otherwise(0.0)).alias("_sold"))
+    none = F.lit(0).cast("decimal(38,12)")
+    side = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, _quantity())), none)
+    totals = fills.groupBy("market_id").agg(side("bid").alias("_bought"), side("ask").alias("_sold"))
     last = mids.groupBy("market_id").agg(F.max_by("mid", "timestamp_ms").alias("last_mid"))
     rows = counted.join(totals, "market_id").join(last, "market_id")
     closed = F.least("_bought", "_sold")
-    still = F.greatest(F.lit(0.0), F.col("upto") - F.greatest(F.col("upto") - F.col("qty_base"), closed))
+    still = F.greatest(none, F.col("upto") - F.greatest(F.col("upto") - F.col("qty_base"), closed)).cast("double")
     signed = F.when(F.col("side") == "bid", still).otherwise(-still)
     return rows.groupBy("market_id").agg(F.sum(signed).alias("open_qty"), F.sum(signed * (F.col("last_mid") - F.col("price"))).alias("unrealized_pnl_usd"), F.max("last_mid").alias("last_mid"))
 
 
 def positions(fills: DataFrame) -> DataFrame:
-    """``position``: signed quantity after each fill."""
-    signed = F.when(F.col("side") == "bid", F.col("qty_base")).otherwise(-F.col("qty_base"))
-    line = Window.partitionBy("market_id").orderBy("timestamp_ms", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
-    return fills.withColumn("position", F.sum(signed).over(line))
+    """``position``: signed quantity after each fill, added up exactly."""
+    signed = F.when(F.col("side") == "bid", _quantity()).otherwise(-_quantity())
+    return running(fills, ["market_id"], _ORDER, sums={"position": signed}).withColumn("position", F.col("position").cast("double"))
 
 
 def round_trips(fills: DataFrame) -> DataFrame:
     """From flat to flat again: how many, and their median, p90 (nearest rank) and longest seconds."""
-    line = Window.partitionBy("market_id").orderBy("timestamp_ms", "fill_id")
-    flat = F.abs("position") < FLAT
-    trips = positions(fills).withColumn("_flat", flat.cast("int")).withColumn("_trip", F.coalesce(F.sum("_flat").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    flat = (F.abs("position") < FLAT).cast("int")
+    trips = running(positions(fills).withColumn("_flat", flat), ["market_id"], _ORDER, sums={"_upto": F.col("_flat")}).withColumn("_trip", F.col("_upto") - F.col("_flat"))
     held = trips.groupBy("market_id", "_trip").agg(F.min("timestamp_ms").alias("_from"), F.max(F.when(F.col("_flat") == 1, F.col("timestamp_ms"))).alias("_to")).where(F.col("_to").isNotNull()).withColumn("seconds", (F.col("_to") - F.col("_from")) / 1000.0)
-    order = Window.partitionBy("market_id").orderBy("seconds")
-    nth = held.withColumns({"_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy("market_id"))})
-    return nth.groupBy("market_id").agg(F.count(F.lit(1)).alias("round_trips"), F.percentile("seconds", 0.5).alias("median_holding_seconds"), F.max(F.when(F.col("_k") == F.least(F.col("_n"), F.ceil(F.col("_n") * 0.9)), F.col("seconds"))).alias("p90_holding_seconds"), F.max("seconds").alias("max_holding_seconds"))
+    return held.groupBy("market_id").agg(F.count(F.lit(1)).alias("round_trips"), F.percentile("seconds", 0.5).alias("median_holding_seconds"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY seconds)").alias("p90_holding_seconds"), F.max("seconds").alias("max_holding_seconds"))
 
 
 def inventory_exposure(fills: DataFrame, mids: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Share of the window with a position, its largest value and the last one."""
-    line = Window.partitionBy("market_id").orderBy("timestamp_ms", "fill_id")
-    priced = asof_backward(positions(fills), mids, ["market_id"], ["mid"])
-    step = (F.coalesce(F.lead("timestamp_ms").over(line), F.lit(end_ms)) - F.col("timestamp_ms")) / 1000.0
+    priced = running(asof_backward(positions(fills), mids, ["market_id"], ["mid"]), ["market_id"], _ORDER, after={"_next": "timestamp_ms"})
+    step = (F.coalesce("_next", F.lit(end_ms)) - F.col("timestamp_ms")) / 1000.0
     rows = priced.withColumns({"_s": F.greatest(step, F.lit(0.0)), "_usd": F.abs(F.col("position")) * F.coalesce("mid", "price")})
     window_s = max((end_ms - start_ms) / 1000.0, 1.0)
     held = F.sum(F.when(F.abs("position") >= FLAT, F.col("_s")).otherwise(0.0))

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from tickloom.config import Sampling
 from tickloom.functions.columns import safe_mid
+from tickloom.operators.temporal import running
+
+#: Messages are put in order in stretches of so many nonces.
+BIN_NONCES = 4096
+#: A book is written out at the begin of each bin of so many grid points, and its changes within.
+BIN_POINTS = 24
 
 
 def messages(updates: DataFrame) -> DataFrame:
@@ -18,16 +24,14 @@ def messages(updates: DataFrame) -> DataFrame:
 
     A snapshot begins an episode with an empty book. A delta must begin at the nonce before it; the
     first that doesn't ends the book, and no more is applied until the next snapshot. Deltas before
-    the first snapshot (episode 0) aren't applied either.
+    the first snapshot (episode 0) aren't applied either. A message without a nonce can't be put in
+    order and is left out.
     """
-    each = updates.groupBy("market_id", "nonce").agg(F.min("timestamp_ms").alias("timestamp_ms"), F.max("begin_nonce").alias("begin_nonce"), F.max("kind").alias("kind"))
-    line = Window.partitionBy("market_id").orderBy("nonce")
-    upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    snapshot = F.col("kind") == "snapshot"
-    rows = each.withColumns({"episode": F.sum(F.when(snapshot, 1).otherwise(0)).over(upto), "_before": F.lag("nonce").over(line)})
-    within = Window.partitionBy("market_id", "episode").orderBy("nonce").rowsBetween(Window.unboundedPreceding, 0)
+    each = updates.where(F.col("nonce").isNotNull()).groupBy("market_id", "nonce").agg(F.min("timestamp_ms").alias("timestamp_ms"), F.max("begin_nonce").alias("begin_nonce"), F.max("kind").alias("kind"))
+    snapshot, stretch = F.col("kind") == "snapshot", F.floor(F.col("nonce") / BIN_NONCES)
+    rows = running(each, ["market_id"], ("nonce",), sums={"episode": F.when(snapshot, 1).otherwise(0)}, before={"_before": "nonce"}, bin=stretch)
     gap = (F.col("episode") > 0) & ~snapshot & F.coalesce(F.col("begin_nonce") != F.col("_before"), F.lit(True))
-    rows = rows.withColumn("_gaps", F.sum(F.when(gap, 1).otherwise(0)).over(within))
+    rows = running(rows, ["market_id", "episode"], ("nonce",), sums={"_gaps": F.when(gap, 1).otherwise(0)}, bin=stretch)
     return rows.select("market_id", "nonce", "timestamp_ms", "kind", "episode", ((F.col("episode") > 0) & (F.col("_gaps") == 0)).alias("applied"), (gap & (F.col("_gaps") == 1)).alias("out_of_step"))
 
 
@@ -46,11 +50,16 @@ def _intervals(updates: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("market_id", "episode", "side", "price", "size", F.col("timestamp_ms").alias("from_ms"), "to_ms")
 
 
-def _grid(rows: DataFrame, step: int, end_ms: int) -> DataFrame:
-    """A row for each multiple of ``step`` in ``from_ms`` (included) to ``to_ms`` (not included; null: to ``end_ms``, included), as ``grid_ms``."""
+def _points(rows: DataFrame, step: int, end_ms: int) -> DataFrame:
+    """The first and the last multiple of ``step`` in ``from_ms`` (included) to ``to_ms`` (not included; null: to ``end_ms``, included), of rows that have one."""
     first = F.ceil(F.col("from_ms") / F.lit(step)).cast("long") * step
     last = F.ceil(F.least(F.coalesce("to_ms", F.lit(end_ms + 1)), F.lit(end_ms + 1)) / F.lit(step)).cast("long") * step - step
-    return rows.where(last >= first).withColumn("grid_ms", F.explode(F.sequence(first, last, F.lit(step).cast("long"))))
+    return rows.withColumns({"_first": first, "_last": last}).where("_last >= _first")
+
+
+def _grid(rows: DataFrame, step: int, end_ms: int) -> DataFrame:
+    """A row for each of those multiples, as ``grid_ms``."""
+    return _points(rows, step, end_ms).withColumn("grid_ms", F.explode(F.sequence("_first", "_last", F.lit(step).cast("long"))))
 
 
 def _heard(known: DataFrame) -> DataFrame:
@@ -62,24 +71,30 @@ def _heard(known: DataFrame) -> DataFrame:
     return since.unionByName(first.withColumn("heard_ms", F.lit(None).cast("long")))
 
 
-def book_sample_grid(updates: DataFrame, end_ms: int, sampling: Sampling = Sampling()) -> DataFrame:
+def book_sample_grid(updates: DataFrame, end_ms: int, sampling: Sampling = Sampling(), *, bin_points: int = BIN_POINTS) -> DataFrame:
     """Each market's book at every multiple of ``interval_ms`` from its first message on: touch, mid, spread, depth by distance, flags and the age of the last applied message.
 
     A book that is empty, one-sided, crossed or out of step has a row too: not usable, with depth 0.
+    Time is cut in bins. A bin has a row for each level that stands at its begin and for each change
+    within; they meet in a list, from which each of the bin's grid points takes its levels.
     """
     step, known = sampling.interval_ms, messages(updates)
     spine = _grid(_heard(known), step, end_ms).select("market_id", "grid_ms", "heard_ms")
-    at = _grid(_intervals(updates, known), step, end_ms)
-    group = Window.partitionBy("market_id", "grid_ms")
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    touch = at.withColumns({"best_bid": F.max(F.when(bid, F.col("price"))).over(group), "best_ask": F.min(F.when(ask, F.col("price"))).over(group)})
-    touch = touch.withColumn("mid", safe_mid(F.col("best_bid"), F.col("best_ask")))
-    usd = F.col("price") * F.col("size")
-    near = lambda side, b: F.sum(F.when((F.col("side") == side) & (F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * b / 10000.0 + 1e-12), usd))
-    names = [(f"{side}_depth_{b}bps_usd", near(side, b)) for b in sampling.depth_bps for side in ("bid", "ask")]
-    size_at = lambda side, best: F.max(F.when((F.col("side") == side) & (F.col("price") == F.col(best)), F.col("size")))
-    books = touch.groupBy("market_id", "grid_ms").agg(F.max("best_bid").alias("best_bid"), F.max("best_ask").alias("best_ask"), F.max("mid").alias("mid"), size_at("bid", "best_bid").alias("best_bid_size_base"), size_at("ask", "best_ask").alias("best_ask_size_base"), *(c.alias(n) for n, c in names))
-    out = spine.join(books, ["market_id", "grid_ms"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n, _ in names})
+    level = _points(_intervals(updates, known), step, end_ms)
+    of_bin = lambda c: F.floor(F.col(c) / F.lit(step * bin_points)).cast("long")
+    placed = level.withColumn("_bin", F.explode(F.sequence(of_bin("_first"), of_bin("_last"))))
+    books = placed.groupBy("market_id", "_bin").agg(F.collect_list(F.struct("_first", "_last", (F.col("side") == "bid").alias("bid"), "price", "size")).alias("_levels"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    begin, width = F.col("_bin") * (step * bin_points), step * bin_points - step
+    at = F.sequence(F.greatest(F.col("_first"), F.ceil(begin / F.lit(step)).cast("long") * step), F.least(F.col("_last"), F.floor((begin + width) / F.lit(step)).cast("long") * step), F.lit(step).cast("long"))
+    open_at = F.transform(at, lambda g: F.struct(g.alias("grid_ms"), F.filter("_levels", lambda x: (x["_first"] <= g) & (x["_last"] >= g)).alias("open")))
+    rows = books.select("market_id", F.explode(open_at).alias("_g")).select("market_id", "_g.grid_ms", F.filter("_g.open", lambda x: x["bid"]).alias("bid"), F.filter("_g.open", lambda x: ~x["bid"]).alias("ask"))
+    prices = lambda side: F.transform(side, lambda x: x["price"])
+    touch = rows.withColumns({"best_bid": F.array_max(prices("bid")), "best_ask": F.array_min(prices("ask"))}).withColumn("mid", safe_mid(F.col("best_bid"), F.col("best_ask")))
+    near = lambda side, b: F.aggregate(F.filter(side, lambda x: F.abs(x["price"] - F.col("mid")) <= F.col("mid") * b / 10000.0 + 1e-12), F.lit(0.0), lambda a, x: a + x["price"] * x["size"])
+    names = {f"{side}_depth_{b}bps_usd": F.when(F.col("mid").isNotNull(), near(side, b)) for b in sampling.depth_bps for side in ("bid", "ask")}
+    size_at = lambda side: F.array_max(F.transform(F.filter(side, lambda x: x["price"] == F.col(f"best_{side}")), lambda x: x["size"]))
+    found = touch.select("market_id", "grid_ms", "best_bid", "best_ask", "mid", size_at("bid").alias("best_bid_size_base"), size_at("ask").alias("best_ask_size_base"), *(c.alias(n) for n, c in names.items()))
+    out = spine.join(found, ["market_id", "grid_ms"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
     age = F.col("grid_ms") - F.col("heard_ms")
     two = {f"two_sided_depth_{b}bps_usd": F.least(f"bid_depth_{b}bps_usd", f"ask_depth_{b}bps_usd") for b in sampling.depth_bps}
     usd_at = {f"best_{s}_size_usd": F.col(f"best_{s}") * F.col(f"best_{s}_size_base") for s in ("bid", "ask")}

@@ -71,15 +71,42 @@ def nearest_forward_then_backward(rows: DataFrame, states: DataFrame, keys: list
     return line.withColumn(out, F.coalesce(forward, backward)).where(F.col("_row").isNotNull()).select("_row.*", out)
 
 
+def running(rows: DataFrame, keys: list[str], order: tuple[str, ...], *, sums: dict[str, Column] | None = None, highs: dict[str, Column] | None = None, before: dict[str, str] | None = None, after: dict[str, str] | None = None, bin: Column | None = None) -> DataFrame:
+    """``rows`` with running values along a line of rows, as a window over ``keys`` in ``order`` would give them; but no task holds the whole line.
+
+    ``sums`` and ``highs``: the sum and the largest value of an expression up to and with the row;
+    ``before`` and ``after``: a column's value in the row before and after it. The line is cut in
+    bins (of time: the first column of ``order``; else ``bin``, which must not fall along the line).
+    Each bin is summed up by an aggregation, those rows, one for each bin, go through the window over
+    the keys, and what comes before a bin is added to the windows within it. ``order`` should tell
+    all rows apart. Null keys and times are keys and a bin like others.
+    """
+    sums, highs, before, after = sums or {}, highs or {}, before or {}, after or {}
+    binned = rows.withColumn("_bin", bin if bin is not None else bin_of(F.col(order[0])))
+    at = F.struct(*order)
+    parts = {f"_v{k}": F.sum(c) for k, c in enumerate(sums.values())} | {f"_h{k}": F.max(c) for k, c in enumerate(highs.values())}
+    parts |= {f"_b{k}": F.max_by(F.struct(c), at) for k, c in enumerate(before.values())} | {f"_a{k}": F.min_by(F.struct(c), at) for k, c in enumerate(after.values())}
+    line = Window.partitionBy(*keys).orderBy("_bin")
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(f"_v{k}").over(earlier).alias(f"_v{k}") for k in range(len(sums))] + [F.max(f"_h{k}").over(earlier).alias(f"_h{k}") for k in range(len(highs))]
+    carried += [F.lag(f"_b{k}").over(line).alias(f"_b{k}") for k in range(len(before))] + [F.lead(f"_a{k}").over(line).alias(f"_a{k}") for k in range(len(after))]
+    on = [*keys, "_bin"]
+    carry = binned.groupBy(*on).agg(*(c.alias(n) for n, c in parts.items())).select(*(F.col(k).alias(f"_on{n}") for n, k in enumerate(on)), *carried)
+    same = F.lit(True)
+    for n, k in enumerate(on):
+        same = same & F.col(k).eqNullSafe(F.col(f"_on{n}"))
+    within = Window.partitionBy(*on).orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    out = {n: F.coalesce(F.col(f"_v{k}") + F.coalesce(F.sum(c).over(upto), F.lit(0)), F.sum(c).over(upto), F.lit(0)) for k, (n, c) in enumerate(sums.items())}
+    out |= {n: F.greatest(F.col(f"_h{k}"), F.max(c).over(upto)) for k, (n, c) in enumerate(highs.items())}
+    out |= {n: F.coalesce(F.lag(F.struct(c)).over(within), F.col(f"_b{k}"))[c] for k, (n, c) in enumerate(before.items())}
+    out |= {n: F.coalesce(F.lead(F.struct(c)).over(within), F.col(f"_a{k}"))[c] for k, (n, c) in enumerate(after.items())}
+    return binned.join(carry, same).withColumns(out).select(*rows.columns, *out)
+
+
 def previous(rows: DataFrame, keys: list[str], order: tuple[str, ...], value: str, out: str, bin_ms: int = BIN_MS) -> DataFrame:
     """``rows`` with the ``value`` of the row before, by ``order`` (a time, then what tells equal times apart)."""
-    binned = rows.withColumn("_bin", bin_of(F.col(order[0]), bin_ms))
-    last = binned.groupBy(*keys, "_bin").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    before = last.select(*keys, "_bin", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bin")).alias("_before"))
-    within = F.lag(value).over(Window.partitionBy(*keys, "_bin").orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(*order)) == 1
-    placed = binned.withColumns({"_within": within, "_first": first}).join(before, [*keys, "_bin"], "left")
-    return placed.select(*rows.columns, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_within")).alias(out))
+    return running(rows, keys, order, before={out: value}, bin=bin_of(F.col(order[0]), bin_ms))
 
 
 def interval_join(starts: DataFrame, points: DataFrame, keys: list[str], horizon_ms: int, *, time: str = "timestamp_ms") -> DataFrame:
@@ -101,8 +128,6 @@ def slot_spine(bounds: DataFrame, first: str, last: str, out: str) -> DataFrame:
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, inside: Column, out: str = "island") -> DataFrame:
-    """Rows where ``inside`` holds, numbered by unbroken run."""
-    line = Window.partitionBy(*keys).orderBy(order)
+    """Rows where ``inside`` holds, with the time of the last row before them where it doesn't (null: none): the same for all rows of an unbroken run, and for no other."""
     marked = rows.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    begun = (F.col("_in") & ~F.coalesce(F.lag("_in").over(line), F.lit(False))).cast("int")
-    return marked.withColumn("_begun", begun).withColumn(out, F.sum("_begun").over(line.rowsBetween(Window.unboundedPreceding, 0))).where("_in").drop("_in", "_begun")
+    return running(marked, keys, (order,), highs={out: F.when(~F.col("_in"), F.col(order))}).where("_in").drop("_in")

@@ -159,15 +159,15 @@ PARTS: dict[str, str] = VIEWS | {
           (SELECT arg_min(m.mid, m.timestamp_ms) FROM mids m WHERE m.market_id = t.market_id AND m.timestamp_ms BETWEEN t.timestamp_ms + h * 1000 AND t.timestamp_ms + h * 1000 + 2500),
           (SELECT arg_max(m.mid, m.timestamp_ms) FROM mids m WHERE m.market_id = t.market_id AND m.timestamp_ms BETWEEN t.timestamp_ms + h * 1000 - 2500 AND t.timestamp_ms + h * 1000)) AS future_mid
         FROM refm t CROSS JOIN (SELECT unnest([1, 5, 30, 60]) AS h)""",
-    "cum": "SELECT *, sum(qty_base) OVER (PARTITION BY market_id, side ORDER BY timestamp_ms, fill_id ROWS UNBOUNDED PRECEDING) AS upto FROM fx_fills",
-    "fifo": """SELECT b.market_id, least(b.upto, s.upto) - greatest(b.upto - b.qty_base, s.upto - s.qty_base) AS qty, b.fill_id AS buy_id, s.fill_id AS sell_id, b.price AS buy_price, s.price AS sell_price,
-        (s.price - b.price) * (least(b.upto, s.upto) - greatest(b.upto - b.qty_base, s.upto - s.qty_base)) AS pnl, greatest(b.timestamp_ms, s.timestamp_ms) AS closed_ms
+    "cum": "SELECT *, sum(qty_base) OVER (PARTITION BY market_id, side ORDER BY timestamp_ms, fill_id ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT * REPLACE (qty_base::DECIMAL(28,12) AS qty_base) FROM fx_fills)",
+    "fifo": """SELECT b.market_id, (least(b.upto, s.upto) - greatest(b.upto - b.qty_base, s.upto - s.qty_base))::DOUBLE AS qty, b.fill_id AS buy_id, s.fill_id AS sell_id, b.price AS buy_price, s.price AS sell_price,
+        (s.price - b.price) * (least(b.upto, s.upto) - greatest(b.upto - b.qty_base, s.upto - s.qty_base))::DOUBLE AS pnl, greatest(b.timestamp_ms, s.timestamp_ms) AS closed_ms
         FROM cum b JOIN cum s ON s.market_id = b.market_id AND b.side = 'bid' AND s.side = 'ask' AND b.upto > s.upto - s.qty_base AND s.upto > b.upto - b.qty_base""",
     "lastmid": "SELECT market_id, arg_max(mid, timestamp_ms) AS last_mid FROM mids GROUP BY market_id",
     "opn": """SELECT market_id, sum(sg * still) AS open_qty, sum(sg * still * (last_mid - price)) AS unrealized_pnl_usd, max(last_mid) AS last_mid FROM (
-        SELECT c.*, last_mid, CASE WHEN side = 'bid' THEN 1e0 ELSE -1e0 END AS sg, greatest(0e0, upto - greatest(upto - qty_base, least(bought, sold))) AS still FROM cum c
-        JOIN (SELECT market_id, sum(qty_base) FILTER (side = 'bid') AS bought, sum(qty_base) FILTER (side = 'ask') AS sold FROM fx_fills GROUP BY market_id) USING (market_id) JOIN lastmid USING (market_id)) GROUP BY market_id""",
-    "pos": "SELECT *, sum(CASE WHEN side = 'bid' THEN qty_base ELSE -qty_base END) OVER (PARTITION BY market_id ORDER BY timestamp_ms, fill_id ROWS UNBOUNDED PRECEDING) AS position FROM fx_fills",
+        SELECT c.*, last_mid, CASE WHEN side = 'bid' THEN 1e0 ELSE -1e0 END AS sg, greatest(0::DECIMAL(38,12), upto - greatest(upto - qty_base, least(bought, sold)))::DOUBLE AS still FROM cum c
+        JOIN (SELECT market_id, coalesce(sum(qty_base) FILTER (side = 'bid'), 0) AS bought, coalesce(sum(qty_base) FILTER (side = 'ask'), 0) AS sold FROM cum GROUP BY market_id) USING (market_id) JOIN lastmid USING (market_id)) GROUP BY market_id""",
+    "pos": "SELECT *, (sum(CASE WHEN side = 'bid' THEN qty_base::DECIMAL(28,12) ELSE -qty_base::DECIMAL(28,12) END) OVER (PARTITION BY market_id ORDER BY timestamp_ms, fill_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS position FROM fx_fills",
     "ledg": """SELECT market_id, bid_fills, ask_fills, filled_notional_usd, realized_pnl_usd, coalesce(unrealized_pnl_usd, 0e0) AS unrealized_pnl_usd, filled_notional_usd * 1e0 / 10000e0 AS fees_usd, realized_pnl_usd + coalesce(unrealized_pnl_usd, 0e0) AS gross_pnl_usd,
         realized_pnl_usd + coalesce(unrealized_pnl_usd, 0e0) - filled_notional_usd / 10000e0 AS total_pnl_usd FROM (
         SELECT market_id, count(*) FILTER (side = 'bid') AS bid_fills, count(*) FILTER (side = 'ask') AS ask_fills, sum(qty_base * price) AS filled_notional_usd FROM fx_fills GROUP BY market_id)

@@ -93,7 +93,7 @@ FROM (SELECT *, concat('{"trade_id":', CAST(event_id AS VARCHAR(20)), ',"market_
     "fx_fills": """
 SELECT event_id AS fill_id, 1704067200000 + event_id*1000 + 500 AS timestamp_ms, CAST(user_id % 5 AS INT) AS market_id,
   CASE WHEN (event_id*7) % 13 < 6 THEN 'ask' ELSE 'bid' END AS side,
-  CAST(1 + event_id % 3 AS DOUBLE) AS qty_base, 100e0 + (event_id % 240)/240e0 + value/200e0 AS price
+  CAST(1 + event_id % 3 AS DOUBLE) / 10e0 AS qty_base, 100e0 + (event_id % 240)/240e0 + value/200e0 AS price
 FROM events WHERE event_type = 'purchase'
 """,
 }
