@@ -201,6 +201,24 @@ def test_running_values_equal_windows(spark):
         assert sorted(got.select("n", "s", "h", "b", "a").collect()) == sorted(want.collect()) or {tuple(r) for r in got.select("n", "s", "h", "b", "a").collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_selected_percentiles_equal_spark_s(spark):
+    import random
+
+    from tickloom.operators.selection import exact_percentiles
+
+    rng = random.Random(6)
+    rows = [(k, x, y) for k, x, y in [(rng.choice([1, 1, 1, 1, 2, None]), rng.choice([None, rng.gauss(0, 1), 7.0, rng.lognormvariate(0, 20), -1e300]), float(rng.randint(0, 3))) for _ in range(800)]]
+    rows += [(3, 1.0, 2.0), (4, None, None)] + [(5, 4.5, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, x double, y double").coalesce(2)
+    wanted = {"x0": ("x", 0.0), "x3": ("x", 0.3), "x5": ("x", 0.5), "x95": ("x", 0.95), "x1": ("x", 1.0), "y5": ("y", 0.5), "y9": ("y", 0.9)}
+    want = {r.k: tuple(r[n] for n in wanted) for r in df.groupBy("k").agg(*(F.percentile(c, p).alias(n) for n, (c, p) in wanted.items())).collect() if r.k != 4}
+    for accuracy, margin in ((10_000, 0.0005), (10, 0.01)):  # the second: bounds that miss, and are widened
+        got = {r.k: tuple(r[n] for n in wanted) for r in exact_percentiles(df, ["k"], {n: (F.col(c), p) for n, (c, p) in wanted.items()}, accuracy=accuracy, margin=margin).collect()}
+        assert got.keys() == want.keys()
+        for k, values in want.items():
+            assert all(a == b or abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[k], values, strict=True)), (k, got[k], values)
+
+
 def test_fractions_pair_first_in_first_out(spark):
     import random
     from fractions import Fraction

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import Sampling
 from tickloom.functions.columns import effective_spread, metrics_good, observed
+from tickloom.operators.selection import exact_percentiles
 from tickloom.operators.temporal import BIN_MS, first_within, in_bins, islands, last_before_bin, previous
 
 PERCENTILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95}
@@ -49,9 +50,13 @@ def coverage_counts(books: DataFrame) -> DataFrame:
     )
 
 
-def spread_distribution(books: DataFrame) -> DataFrame:
-    """Mean and exact percentiles of the effective spread over observed rows."""
+def spread_distribution(books: DataFrame, *, by_selection: bool = False) -> DataFrame:
+    """Mean and exact percentiles of the effective spread over observed rows. ``by_selection``: for markets whose distinct spreads are too many for one task; the same values in two passes."""
     spread = F.col("effective_spread_bps")
+    if by_selection:
+        known = observed_books(books).where(spread.isNotNull())
+        ranks = exact_percentiles(known, ["market_id"], {f"{name}_spread_bps": (spread, p) for name, p in PERCENTILES.items()})
+        return known.groupBy("market_id").agg(F.avg(spread).alias("mean_spread_bps")).join(ranks, "market_id")
     levels = observed_books(books).where(spread.isNotNull()).groupBy("market_id").agg(F.avg(spread).alias("mean_spread_bps"), F.percentile(spread, F.array(*map(F.lit, PERCENTILES.values()))).alias("_p"))
     return levels.select("market_id", "mean_spread_bps", *(F.col("_p")[k].alias(f"{name}_spread_bps") for k, name in enumerate(PERCENTILES)))
 
@@ -62,7 +67,11 @@ def _depth(condition) -> list:
     return [at(bbo).alias("median_bbo_depth_usd"), *(at(F.col(f"two_sided_depth_{b}bps_usd")).alias(f"median_two_sided_depth_{b}bps_usd") for b in (5, 10, 25))]
 
 
-def depth_medians(books: DataFrame) -> DataFrame:
+def depth_medians(books: DataFrame, *, by_selection: bool = False) -> DataFrame:
+    """Median depths of rows fit for metrics. ``by_selection``: as for ``spread_distribution``."""
+    if by_selection:
+        depths = {"median_bbo_depth_usd": F.least("best_bid_size_usd", "best_ask_size_usd")} | {f"median_two_sided_depth_{b}bps_usd": F.col(f"two_sided_depth_{b}bps_usd") for b in (5, 10, 25)}
+        return exact_percentiles(books.where(metrics_good()), ["market_id"], {n: (c, 0.5) for n, c in depths.items()})
     return books.where(metrics_good()).groupBy("market_id").agg(*_depth(F.lit(True)))
 
 
@@ -194,7 +203,12 @@ def _horizon_moves(horizons_s: tuple[int, ...], mid) -> list:
     return [c for h in horizons_s for c in (F.count(move(h)).alias(f"mid_move_{h}s_count"), *_moves(f"{h}s", move(h)))]
 
 
-def volatility_horizons(mids: DataFrame, horizons_s: tuple[int, ...] = (5, 30, 60), sampling: Sampling = Sampling()) -> DataFrame:
+def volatility_horizons(mids: DataFrame, horizons_s: tuple[int, ...] = (5, 30, 60), sampling: Sampling = Sampling(), *, by_selection: bool = False) -> DataFrame:
+    """Absolute log moves to each horizon. ``by_selection``: as for ``spread_distribution``."""
+    if by_selection:
+        pairs, move = forward_horizon_pairs(mids, horizons_s, sampling), lambda h: _move(F.col(f"mid_{h}s"), F.col("mid"))
+        ranks = exact_percentiles(pairs, ["market_id"], {f"{name}_abs_mid_move_{h}s_bps": (move(h), p) for h in horizons_s for name, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))})
+        return pairs.groupBy("market_id").agg(*(F.count(move(h)).alias(f"mid_move_{h}s_count") for h in horizons_s)).join(ranks, "market_id", "left")
     return forward_horizon_pairs(mids, horizons_s, sampling).groupBy("market_id").agg(*_horizon_moves(horizons_s, F.col("mid")))
 
 

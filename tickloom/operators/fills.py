@@ -14,7 +14,7 @@ MODES = ("optimistic", "conservative")
 
 
 def downsample_snapshots(books: DataFrame, policy: FillPolicy = FillPolicy()) -> DataFrame:
-    """The first observed row with a whole touch in each bucket; ``books``: deduplicated."""
+    """The first observed row with a whole touch in each bucket; ``books`` may hold repeated rows, which an aggregation before the shuffle takes away."""
     whole = observed()
     for c in TOUCH:
         whole = whole & F.col(c).isNotNull()

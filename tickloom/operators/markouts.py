@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import Markouts
 from tickloom.functions.columns import markout_bps, sample_quality
+from tickloom.operators.selection import exact_percentiles
 from tickloom.operators.temporal import asof_backward, nearest_forward_then_backward
 from tickloom.operators.trades import earliest
 
@@ -15,15 +16,24 @@ def dedup_markouts(markouts: DataFrame) -> DataFrame:
     return earliest(markouts, ["market_id", "trade_id", "horizon_s"])
 
 
-def markout_stats(markouts: DataFrame, horizons_s: tuple[int, ...] = (1, 5, 30, 60)) -> DataFrame:
-    """Count, mean, median and (5 and 30 s) share above 0, by horizon in columns; ``markouts``: deduplicated."""
+def markout_stats(markouts: DataFrame, horizons_s: tuple[int, ...] = (1, 5, 30, 60), *, by_selection: bool = False) -> DataFrame:
+    """Count, mean, median and (5 and 30 s) share above 0, by horizon in columns; ``markouts``: deduplicated. ``by_selection``: medians in two passes, for markets whose distinct markouts are too many for one task."""
+    if by_selection:
+        medians = exact_percentiles(markouts, ["market_id"], {f"maker_markout_{h}s_median_bps": (F.when(F.col("horizon_s") == h, F.col("maker_markout_bps")), 0.5) for h in horizons_s})
+        counted = markouts.groupBy("market_id").agg(*_markout_columns(horizons_s, lambda x: None))
+        return counted.join(medians, "market_id", "left")
+    return markouts.groupBy("market_id").agg(*_markout_columns(horizons_s, lambda x: F.percentile(x, 0.5)))
+
+
+def _markout_columns(horizons_s: tuple[int, ...], median) -> list:
     out = []
     for h in horizons_s:
         x = F.when((F.col("horizon_s") == h), F.col("maker_markout_bps"))
-        out += [F.count(x).alias(f"markout_{h}s_count"), F.avg(x).alias(f"maker_markout_{h}s_mean_bps"), F.percentile(x, 0.5).alias(f"maker_markout_{h}s_median_bps")]
+        out += [F.count(x).alias(f"markout_{h}s_count"), F.avg(x).alias(f"maker_markout_{h}s_mean_bps")]
+        out += [] if median(x) is None else [median(x).alias(f"maker_markout_{h}s_median_bps")]
         if h in (5, 30):
             out.append(F.avg((x > 0).cast("double")).alias(f"maker_markout_{h}s_positive_ratio"))
-    return markouts.groupBy("market_id").agg(*out)
+    return out
 
 
 def reference_mids(trades: DataFrame, mids: DataFrame, config: Markouts = Markouts()) -> DataFrame:

@@ -16,7 +16,24 @@ from tickloom.operators.temporal import running
 #: Messages are put in order in stretches of so many nonces.
 BIN_NONCES = 4096
 #: A book is written out at the begin of each bin of so many grid points, and its changes within.
-BIN_POINTS = 24
+BIN_POINTS = 12
+
+
+def _told(updates: DataFrame) -> DataFrame:
+    """One row for each message, with its ``levels``, its ``episode``, whether it is ``applied`` and ``out_of_step``; ``closed_ms``: when the episode's book ends; ``heard_to_ms``: the next applied message."""
+    level = F.when(F.col("price").isNotNull(), F.struct("side", "price", "size"))
+    each = updates.where(F.col("nonce").isNotNull()).groupBy("market_id", "nonce").agg(F.min("timestamp_ms").alias("timestamp_ms"), F.max("begin_nonce").alias("begin_nonce"), F.max("kind").alias("kind"), F.collect_list(level).alias("levels"))
+    snapshot = F.col("kind") == "snapshot"
+    line = running(each, ["market_id"], ("nonce",), sums={"episode": F.when(snapshot, 1).otherwise(0)}, before={"_before": "nonce"}, after={"_after": "nonce", "_after_ms": "timestamp_ms"}, bin=F.floor(F.col("nonce") / BIN_NONCES))
+    line = line.withColumn("_gap", (F.col("episode") > 0) & ~snapshot & F.coalesce(F.col("begin_nonce") != F.col("_before"), F.lit(True)))
+    at = lambda c: F.min(F.when(F.col("_gap"), F.struct("nonce", "timestamp_ms")))[c]
+    episodes = line.groupBy("market_id", "episode").agg(at("nonce").alias("_gap_nonce"), at("timestamp_ms").alias("_gap_ms"), F.min("timestamp_ms").alias("_starts"))
+    # A row for each snapshot.
+    episodes = episodes.withColumn("_next", F.lead("_starts").over(Window.partitionBy("market_id").orderBy("episode")))
+    rows = line.join(episodes, ["market_id", "episode"])
+    applied = (F.col("episode") > 0) & F.coalesce(F.col("nonce") < F.col("_gap_nonce"), F.lit(True))
+    heard_to = F.when(F.col("_after") == F.col("_gap_nonce"), F.col("_next")).otherwise(F.col("_after_ms"))
+    return rows.select("market_id", "nonce", "timestamp_ms", "kind", "episode", "levels", applied.alias("applied"), (F.col("_gap") & (F.col("nonce") == F.col("_gap_nonce"))).alias("out_of_step"), F.least("_gap_ms", "_next").alias("closed_ms"), heard_to.alias("heard_to_ms"))
 
 
 def messages(updates: DataFrame) -> DataFrame:
@@ -27,26 +44,18 @@ def messages(updates: DataFrame) -> DataFrame:
     the first snapshot (episode 0) aren't applied either. A message without a nonce can't be put in
     order and is left out.
     """
-    each = updates.where(F.col("nonce").isNotNull()).groupBy("market_id", "nonce").agg(F.min("timestamp_ms").alias("timestamp_ms"), F.max("begin_nonce").alias("begin_nonce"), F.max("kind").alias("kind"))
-    snapshot, stretch = F.col("kind") == "snapshot", F.floor(F.col("nonce") / BIN_NONCES)
-    rows = running(each, ["market_id"], ("nonce",), sums={"episode": F.when(snapshot, 1).otherwise(0)}, before={"_before": "nonce"}, bin=stretch)
-    gap = (F.col("episode") > 0) & ~snapshot & F.coalesce(F.col("begin_nonce") != F.col("_before"), F.lit(True))
-    rows = running(rows, ["market_id", "episode"], ("nonce",), sums={"_gaps": F.when(gap, 1).otherwise(0)}, bin=stretch)
-    return rows.select("market_id", "nonce", "timestamp_ms", "kind", "episode", ((F.col("episode") > 0) & (F.col("_gaps") == 0)).alias("applied"), (gap & (F.col("_gaps") == 1)).alias("out_of_step"))
+    return _told(updates).select("market_id", "nonce", "timestamp_ms", "kind", "episode", "applied", "out_of_step")
 
 
 def level_intervals(updates: DataFrame) -> DataFrame:
     """From when to when each level had which size (``to_ms`` null: to the end). Size 0 ends a level, as do a message out of step and the next snapshot."""
-    return _intervals(updates, messages(updates))
+    return _intervals(_told(updates))
 
 
-def _intervals(updates: DataFrame, known: DataFrame) -> DataFrame:
-    ends = known.where("episode > 0").groupBy("market_id", "episode").agg(F.min(F.when(F.col("out_of_step"), F.col("timestamp_ms"))).alias("_gap_ms"), F.min("timestamp_ms").alias("_starts"))
-    ends = ends.withColumn("_next", F.lead("_starts").over(Window.partitionBy("market_id").orderBy("episode"))).select("market_id", "episode", F.least("_gap_ms", "_next").alias("_closed"))
-    applied = known.where("applied").select("market_id", "nonce", "episode").join(ends, ["market_id", "episode"])
+def _intervals(told: DataFrame) -> DataFrame:
     level = Window.partitionBy("market_id", "episode", "side", "price").orderBy("nonce")
-    rows = updates.where(F.col("price").isNotNull()).join(applied, ["market_id", "nonce"]).withColumn("_changed", F.lead("timestamp_ms").over(level))
-    out = rows.withColumn("to_ms", F.least("_changed", "_closed")).where((F.col("size") > 0) & (F.col("to_ms").isNull() | (F.col("to_ms") > F.col("timestamp_ms"))))
+    rows = told.where("applied").select("market_id", "episode", "nonce", "timestamp_ms", "closed_ms", F.explode("levels").alias("_l")).select("*", "_l.side", "_l.price", "_l.size").withColumn("_changed", F.lead("timestamp_ms").over(level))
+    out = rows.withColumn("to_ms", F.least("_changed", "closed_ms")).where((F.col("size") > 0) & (F.col("to_ms").isNull() | (F.col("to_ms") > F.col("timestamp_ms"))))
     return out.select("market_id", "episode", "side", "price", "size", F.col("timestamp_ms").alias("from_ms"), "to_ms")
 
 
@@ -62,12 +71,10 @@ def _grid(rows: DataFrame, step: int, end_ms: int) -> DataFrame:
     return _points(rows, step, end_ms).withColumn("grid_ms", F.explode(F.sequence("_first", "_last", F.lit(step).cast("long"))))
 
 
-def _heard(known: DataFrame) -> DataFrame:
+def _heard(told: DataFrame) -> DataFrame:
     """Times between a market's messages: ``heard_ms``, the last applied message (null before the first)."""
-    line = Window.partitionBy("market_id").orderBy("nonce")
-    applied = known.where("applied")
-    since = applied.select("market_id", F.col("timestamp_ms").alias("from_ms"), F.lead("timestamp_ms").over(line).alias("to_ms"), F.col("timestamp_ms").alias("heard_ms"))
-    first = known.groupBy("market_id").agg(F.min("timestamp_ms").alias("from_ms"), F.min(F.when(F.col("applied"), F.col("timestamp_ms"))).alias("to_ms"))
+    since = told.where("applied").select("market_id", F.col("timestamp_ms").alias("from_ms"), F.col("heard_to_ms").alias("to_ms"), F.col("timestamp_ms").alias("heard_ms"))
+    first = told.groupBy("market_id").agg(F.min("timestamp_ms").alias("from_ms"), F.min(F.when(F.col("applied"), F.col("timestamp_ms"))).alias("to_ms"))
     return since.unionByName(first.withColumn("heard_ms", F.lit(None).cast("long")))
 
 
@@ -78,9 +85,9 @@ def book_sample_grid(updates: DataFrame, end_ms: int, sampling: Sampling = Sampl
     Time is cut in bins. A bin has a row for each level that stands at its begin and for each change
     within; they meet in a list, from which each of the bin's grid points takes its levels.
     """
-    step, known = sampling.interval_ms, messages(updates)
-    spine = _grid(_heard(known), step, end_ms).select("market_id", "grid_ms", "heard_ms")
-    level = _points(_intervals(updates, known), step, end_ms)
+    step, told = sampling.interval_ms, _told(updates)
+    spine = _grid(_heard(told), step, end_ms).select("market_id", "grid_ms", "heard_ms")
+    level = _points(_intervals(told), step, end_ms)
     of_bin = lambda c: F.floor(F.col(c) / F.lit(step * bin_points)).cast("long")
     placed = level.withColumn("_bin", F.explode(F.sequence(of_bin("_first"), of_bin("_last"))))
     books = placed.groupBy("market_id", "_bin").agg(F.collect_list(F.struct("_first", "_last", (F.col("side") == "bid").alias("bid"), "price", "size")).alias("_levels"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))

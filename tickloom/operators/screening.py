@@ -16,7 +16,7 @@ from tickloom.operators.trades import dedup_trades, trades_per_minute
 def stage1(books: DataFrame, trades: DataFrame, markouts: DataFrame, start_ms: int, end_ms: int, lifecycle: DataFrame | None = None, sampling: Sampling = Sampling()) -> DataFrame:
     """A few metrics of each market. Coverage is of the whole number of expected samples, unlike the full analysis."""
     deduped = dedup_books(books)
-    windows = market_windows(deduped, start_ms, end_ms, lifecycle)
+    windows = market_windows(books, start_ms, end_ms, lifecycle)  # the same with repeated rows
     spread = F.when(observed(), effective_spread())
     light = deduped.groupBy("market_id").agg(
         F.count(F.lit(1)).alias("book_observation_count"),

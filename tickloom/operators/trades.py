@@ -22,31 +22,44 @@ def dedup_trades(trades: DataFrame) -> DataFrame:
     return earliest(trades.where(regular_trade()), ["market_id", "trade_id"])
 
 
+def _totals() -> list:
+    return [F.count(F.lit(1)).alias("total_trade_count"), F.sum("usd_amount").alias("total_quote_volume"), F.percentile("usd_amount", 0.5).alias("median_trade_size_usd")]
+
+
 def trade_totals(trades: DataFrame) -> DataFrame:
     """``trades``: deduplicated."""
-    return trades.groupBy("market_id").agg(F.count(F.lit(1)).alias("total_trade_count"), F.sum("usd_amount").alias("total_quote_volume"), F.percentile("usd_amount", 0.5).alias("median_trade_size_usd"))
+    return trades.groupBy("market_id").agg(*_totals())
+
+
+def _with_gaps(trades: DataFrame) -> DataFrame:
+    """``gap``: time since the trade before, null where that isn't known."""
+    rows = previous(trades, ["market_id"], ("timestamp_ms", "trade_id"), "timestamp_ms", "_before")
+    gap = F.col("timestamp_ms") - F.col("_before")
+    return rows.withColumn("gap", F.when(gap >= 0, gap))
 
 
 def intertrade_gap(trades: DataFrame) -> DataFrame:
     """Median time between trades that follow one another."""
-    gap = F.col("timestamp_ms") - F.col("_before")
-    rows = previous(trades.select("market_id", "timestamp_ms", "trade_id"), ["market_id"], ("timestamp_ms", "trade_id"), "timestamp_ms", "_before")
-    return rows.withColumn("gap", gap).where(F.col("gap") >= 0).groupBy("market_id").agg(F.percentile("gap", 0.5).alias("median_intertrade_ms"))
+    rows = _with_gaps(trades.select("market_id", "timestamp_ms", "trade_id"))
+    return rows.where(F.col("gap").isNotNull()).groupBy("market_id").agg(F.percentile("gap", 0.5).alias("median_intertrade_ms"))
 
 
 def minute_slots(trades: DataFrame, windows: DataFrame) -> DataFrame:
     """Trades in each wall-clock minute of a market's window, 0 where there were none; both end minutes count."""
     minute = lambda c: F.floor(F.col(c) / F.lit(MINUTE_MS)).cast("long")
     bounds = windows.select("market_id", minute("effective_start_ms").alias("_first"), minute("effective_end_ms").alias("_last"))
-    counts = trades.groupBy("market_id", minute("timestamp_ms").alias("minute_idx")).agg(F.count(F.lit(1)).alias("_n"))
     spine = slot_spine(bounds, "_first", "_last", "minute_idx").select("market_id", "minute_idx")
-    return spine.join(counts, ["market_id", "minute_idx"], "left").select("market_id", "minute_idx", F.coalesce("_n", F.lit(0)).cast("long").alias("trade_count"))
+    return spine.join(_by_minute(trades), ["market_id", "minute_idx"], "left").select("market_id", "minute_idx", F.coalesce("_n", F.lit(0)).cast("long").alias("trade_count"))
+
+
+def _by_minute(trades: DataFrame) -> DataFrame:
+    return trades.groupBy("market_id", F.floor(F.col("timestamp_ms") / F.lit(MINUTE_MS)).cast("long").alias("minute_idx")).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def trades_per_minute(trades: DataFrame, windows: DataFrame) -> DataFrame:
     """Mean over the window's minutes, median and p90 over its minute slots."""
     slots = minute_slots(trades, windows).groupBy("market_id").agg(F.percentile("trade_count", 0.5).alias("trades_per_minute_median"), F.percentile("trade_count", 0.9).alias("trades_per_minute_p90"))
-    n = trades.groupBy("market_id").agg(F.count(F.lit(1)).alias("_n"))
+    n = _by_minute(trades).groupBy("market_id").agg(F.sum("_n").alias("_n"))
     minutes = F.greatest(F.col("market_observation_seconds") / 60.0, F.lit(1.0 / 60.0))
     out = windows.select("market_id", "market_observation_seconds").join(slots, "market_id").join(n, "market_id", "left")
     return out.select("market_id", (F.coalesce("_n", F.lit(0)) / minutes).alias("trades_per_minute_mean"), "trades_per_minute_median", "trades_per_minute_p90")
@@ -54,7 +67,8 @@ def trades_per_minute(trades: DataFrame, windows: DataFrame) -> DataFrame:
 
 def trade_metrics(trades: DataFrame, windows: DataFrame) -> DataFrame:
     """All trade metrics of each market with a window or trades; without a window, no activity by minute is known and it is 0."""
-    totals = trade_totals(trades).join(intertrade_gap(trades), "market_id", "left")
+    rows = _with_gaps(trades.select("market_id", "timestamp_ms", "trade_id", "usd_amount"))
+    totals = rows.groupBy("market_id").agg(*_totals(), F.percentile("gap", 0.5).alias("median_intertrade_ms"))
     joined = totals.join(trades_per_minute(trades, windows), "market_id", "full_outer")
     zero = ["total_trade_count", "total_quote_volume", "trades_per_minute_mean", "trades_per_minute_median", "trades_per_minute_p90"]
     return joined.withColumns({c: F.coalesce(c, F.lit(0).cast(joined.schema[c].dataType)) for c in zero})

@@ -13,8 +13,9 @@ from tickloom.operators import books, fills, markouts, scoring, trades
 
 @dataclass
 class Inputs:
-    """Deduplicated inputs that the metric families share."""
+    """Inputs that the metric families share, all but ``book_rows`` deduplicated."""
 
+    book_rows: DataFrame
     books: DataFrame
     trades: DataFrame
     markouts: DataFrame
@@ -22,14 +23,14 @@ class Inputs:
 
     @classmethod
     def of(cls, book_rows: DataFrame, trade_rows: DataFrame, markout_rows: DataFrame, start_ms: int, end_ms: int, lifecycle: DataFrame | None = None) -> Inputs:
-        deduped = books.dedup_books(book_rows)
-        return cls(deduped, trades.dedup_trades(trade_rows), markouts.dedup_markouts(markout_rows), books.market_windows(deduped, start_ms, end_ms, lifecycle))
+        # First and last times and the first row of a bucket are the same with repeated rows: no shuffle of rows for them.
+        return cls(book_rows, books.dedup_books(book_rows), trades.dedup_trades(trade_rows), markouts.dedup_markouts(markout_rows), books.market_windows(book_rows, start_ms, end_ms, lifecycle))
 
 
 def market_rows(x: Inputs, sampling: Sampling = Sampling(), policy: FillPolicy = FillPolicy()) -> DataFrame:
     """One wide row for each market that any table knows; what a family doesn't know of a market has its default."""
     book = books.market_metrics(x.books, x.windows, sampling=sampling).withColumn("observation_hours", F.col("market_observation_seconds") / 3600.0)
-    fill = fills.fill_stats(fills.fill_rates(fills.touch_flow_eligible(fills.downsample_snapshots(x.books, policy), x.trades, policy), policy), policy)
+    fill = fills.fill_stats(fills.fill_rates(fills.touch_flow_eligible(fills.downsample_snapshots(x.book_rows, policy), x.trades, policy), policy), policy)
     rows = book
     for family in (trades.trade_metrics(x.trades, x.windows), markouts.markout_stats(x.markouts), fill):
         rows = rows.join(family, "market_id", "full_outer")

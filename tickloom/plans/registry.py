@@ -475,11 +475,22 @@ def spread_distribution(m):
     return books.spread_distribution(deduped(m))
 
 
+@query("SELECT * FROM sprd", "mean_spread_bps p10_spread_bps p25_spread_bps median_spread_bps p75_spread_bps p90_spread_bps p95_spread_bps")
+def spread_percentiles_selected(m):
+    """By selection of ranks, which no market is too large for; so are the three queries named alike."""
+    return books.spread_distribution(deduped(m), by_selection=True)
+
+
 @query("SELECT * FROM dep", "median_bbo_depth_usd median_two_sided_depth_5bps_usd median_two_sided_depth_10bps_usd median_two_sided_depth_25bps_usd")
 def depth_medians(m):
     return books.depth_medians(deduped(m))
 
 
+@query("SELECT * FROM dep", "median_bbo_depth_usd median_two_sided_depth_5bps_usd median_two_sided_depth_10bps_usd median_two_sided_depth_25bps_usd")
+def depth_medians_selected(m):
+    return books.depth_medians(deduped(m), by_selection=True)
+
+
 @query("SELECT * FROM lat", "current_funding_rate funding_rate open_interest daily_quote_volume_usd")
 def latest_values(m):
     return books.latest_values(deduped(m))
@@ -523,6 +534,11 @@ def volatility_horizons(m):
     return books.volatility_horizons(mids(m))
 
 
+@query("SELECT * FROM volh", " ".join(f"p{p}_abs_mid_move_{h}s_bps" for p in (50, 90, 95) for h in (5, 30, 60)))
+def volatility_selected(m):
+    return books.volatility_horizons(mids(m), by_selection=True)
+
+
 @query("SELECT * FROM tot", "total_quote_volume median_trade_size_usd")
 def trade_totals(m):
     return trades.trade_totals(regular(m))
@@ -546,6 +562,11 @@ def markout_stats(m):
     return markouts.markout_stats(markouts.dedup_markouts(m.markouts))
 
 
+@query("SELECT * FROM mk", _MK_D)
+def markout_medians_selected(m):
+    return markouts.markout_stats(markouts.dedup_markouts(m.markouts), by_selection=True)
+
+
 @query("SELECT * FROM snap", "best_bid best_ask best_bid_size_usd best_ask_size_usd", 9)
 def downsample_snapshots(m):
     return snapshots(m)

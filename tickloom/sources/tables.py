@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +17,26 @@ from pyspark.sql import types as T
 from tickloom.functions.columns import blank_to_null_number, partition_key
 
 
+_local: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names. Where that is unset: a temporary one if Spark runs in this process only, else an error, as executors share no local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not root:
+        root = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tickloom-"))
+    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to a fresh path and read again, which cuts their lineage."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def scan_market_table(rows: DataFrame, start_ms: int, end_ms: int, *, columns: list[str] | None = None, market_ids: tuple[int, ...] | None = None) -> DataFrame:
     """Rows of the closed window and the set of markets, with the columns asked for.
 

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import regular_trade
+from tickloom.sources.tables import scratch
 from tickloom.streaming.stateful import STATE_STORE
 
-_local: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names. Where that is unset: a temporary one if Spark runs in this process only, else an error, as executors share no local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not root:
-        root = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tickloom-"))
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-
 
 def as_stream(rows: DataFrame, name: str, *, batches: int = 4, order: str = "timestamp_ms", file_rows: int = 1_000_000) -> DataFrame:
     """``rows`` cut in ``batches`` ranges of time, each written as equally many files, range after range, and read as a stream of one range a batch."""
