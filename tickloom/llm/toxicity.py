@@ -150,11 +150,11 @@ def _calibrated(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def _sampled(labels: DataFrame, is_training, id_column: str, label_column: str, rows: int) -> DataFrame:
-    """Labelled training rows of the smallest hashes: ``_id``, ``_toxic`` and ``_role`` (0 to 9; 0 and 1 are for calibration)."""
+    """Labelled training rows of the smallest hashes: ``_id``, ``_toxic``, ``_hash`` and ``_role`` (0 to 9; 0 and 1 are for calibration)."""
     known = labels.where(is_training & F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1))
     one = known.groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_toxic"))
     digest = F.xxhash64("_id", F.lit("sample"))
-    return one.orderBy(digest, "_id").limit(rows).withColumn("_role", F.pmod(F.xxhash64("_id", F.lit("role")), F.lit(10)).cast("int"))
+    return one.withColumn("_hash", digest).orderBy("_hash", "_id").limit(rows).withColumn("_role", F.pmod(F.xxhash64("_id", F.lit("role")), F.lit(10)).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, is_training, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Index:
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training, *, id_column: str = "do
     """
     # At most sample_rows rows of three small columns.
     sample = F.broadcast(_sampled(labels, is_training, id_column, label_column, sample_rows))
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(sample, "_id").groupBy("_id", "_toxic", "_role").agg(F.min("text").alias("text"))
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(sample, "_id").groupBy("_id", "_toxic", "_hash", "_role").agg(F.min("text").alias("text"))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in balanced(batches, "text", 1 << 22):
@@ -206,11 +206,12 @@ def fit(docs: DataFrame, labels: DataFrame, is_training, *, id_column: str = "do
             found = [_numbers(x, number) for x in batch.column("text").to_pylist()]
             pairs = [np.unique(np.array(f, np.int64), return_counts=True) for f, _ in found]
             columns = [pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_toxic", "_role")), *columns], ["_id", "_toxic", "_role", "at", "n", "others"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_toxic", "_hash", "_role")), *columns], ["_id", "_toxic", "_hash", "_role", "at", "n", "others"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    labelled = rows.select("_id", "_toxic", "_role", "text").mapInArrow(numbered, f"_id {kind}, _toxic int, _role int, at array<long>, n array<long>, others long")
-    sampled = sorted(labelled.collect(), key=lambda r: (r._id, r._toxic, r.at, r.n, r.others))
+    labelled = rows.select("_id", "_toxic", "_hash", "_role", "text").mapInArrow(numbered, f"_id {kind}, _toxic int, _hash long, _role int, at array<long>, n array<long>, others long")
+    # By hash, so that examples are of all ids alike, however ids follow time or source.
+    sampled = sorted(labelled.collect(), key=lambda r: (r._hash, r._id, r._toxic, r.at, r.n, r.others))
 
     chosen = [r for y in (1, 0) for r in [x for x in sampled if x._role > 1 and x._toxic == y and x.at][:EXAMPLES]]
     # Examples whose rarest terms are alike come together, which keeps blocks' bounds low.
