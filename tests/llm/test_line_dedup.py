@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import DOCS, empty_docs, odd_docs
 from tickloom.llm.line_dedup import chunk_lines, dedup_lines, passage_windows, several
+from tickloom.llm.queries import QUERIES
 
 
 def slow(rows, apart=4):
@@ -92,3 +94,42 @@ def test_no_line_is_lost_altogether(spark):
     rows = [(i, "\n".join(long[(i + j) % 3] for j in range(7))) for i in range(6)]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=50).collect()
     assert Counter(x for r in got for x in r.text.split("\n") if x) == Counter(long)
+
+
+def plain_dedup(docs, words=50):
+    """The registered form by its definition: runs of lines compared as texts, windows by trying every end."""
+    spans, first = {}, {}
+    for doc, text in sorted(docs.items()):
+        lines = text.split("\n")
+        counts = [len(x.split()) for x in lines]
+        own = {(a, b) for a, b in chunk_lines(lines) if sum(1 for x in lines[a:b] if x.strip()) > 1}
+        filled = [i for i, n in enumerate(counts) if n]
+        for i in filled:
+            ahead = [j + 1 for j in filled if j >= i and sum(counts[i : j + 1]) > words]
+            behind = [j for j in filled if j <= i and sum(counts[j : i + 1]) > words]
+            own |= {(i, ahead[0])} if ahead else set()
+            own |= {(behind[-1], i + 1)} if behind else set()
+        spans[doc] = {(a, b): "\n".join(lines[a:b]) for a, b in own}
+        for (a, b), run in spans[doc].items():
+            first[run] = min(first.get(run, (doc, a, b)), (doc, a, b))
+    out = {}
+    for doc, text in docs.items():
+        lines = text.split("\n")
+        lost = {i for (a, b), run in spans[doc].items() if first[run] != (doc, a, b) for i in range(a, b)}
+        filled = [i for i, x in enumerate(lines) if x.strip()]
+        for a, b in zip(filled, filled[1:], strict=False):
+            if a in lost and b in lost:
+                lost |= set(range(a, b)) if lost else set()
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in lost)
+        chunks = list(chunk_lines(lines))
+        out[doc] = (len(lines), len(chunks), sum(all(i in lost for i in range(a, b)) for a, b in chunks), len(lost), len(kept), hashlib.md5(kept.encode()).hexdigest())
+    return out
+
+
+def test_op10_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.n_lines, r.n_chunks, r.removed_chunks, r.removed_lines, r.kept_chars, r.kept_md5) for r in QUERIES["op10_line_dedup"](spark, sf).collect()}
+    want = plain_dedup(docs)
+    assert got == want
+    assert sum(w[3] for w in want.values()) > 20
