@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents"
 CHOSEN = [
     "scan_market_table", "conform_schema", "partitioned_sink", "feed_ingest", "effective_spread", "dedup_books", "dedup_trades", "forward_horizon_pairs", "touch_flow_join", "reference_mid_asof",
     "future_mid_asof", "assemble_book_row", "spread_persistence", "spread_episodes", "volatility_horizons", "trades_per_minute", "markout_stats", "fill_rates", "minute_bars", "screening_score",
-    "market_lifecycle", "score_markets", "book_sample_grid", "fifo_realized_pnl", "round_trips", "pnl_summary", "snapshot_compare", "freshness_label", "stream_dedup_trades", "live_metrics_stream",
+    "market_lifecycle", "score_markets", "book_sample_grid", "fifo_realized_pnl", "round_trips", "pnl_summary", "snapshot_compare", "freshness_label", "stream_dedup_trades", "live_metrics_stream", "stream_markouts", "stream_rolling_tpm", "stream_feed_tables", "stream_dq_counters", "stream_partitioned_sink", "dataset_event_watermark", "market_card", "spread_percentiles_selected",
     "book_rebuild", "stream_book_rebuild", "dq_counters", "feed_market_stats", "feed_books", "discover_layout", "file_health_scan", "publish_generation", "narratives", "redact_text",
     "snapshot_score_deltas", "analysis_runs", "connection_warnings", "market_detail", "output_quality_checks",
 ]

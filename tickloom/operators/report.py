@@ -25,6 +25,12 @@ def market_row_projection(scored: DataFrame) -> DataFrame:
     return scored.select("market_id", "symbol", "rank", F.round("score", 2).alias("score"), F.round("effective_score", 2).alias("effective_score"), F.round("confidence", 4).alias("confidence"), "confidence_label", "letter_rank", "candidate", F.slice("pros", 1, 6).alias("pros"), F.slice("cons", 1, 6).alias("cons"), F.array_compact(F.concat("warnings", F.array(odd))).alias("warnings"))
 
 
+def market_card(scored: DataFrame) -> DataFrame:
+    """What a list of candidates shows of a market: score and grade, three figures, and how far the score is to be trusted and why."""
+    rounded = {"score": 2, "effective_score": 2, "confidence": 4}
+    return scored.select("market_id", "symbol", "letter_rank", *(F.round(c, n).alias(c) for c, n in rounded.items()), "confidence_label", "confidence_reasons", "confidence_breakdown", "median_spread_bps", "maker_markout_5s_median_bps", "maker_markout_30s_median_bps")
+
+
 def market_table_query(scored: DataFrame, *, candidates_only: bool = False, symbol: str = "", sort: str = "effective") -> DataFrame:
     """Filtered and sorted as a market table is shown; nulls sort as each key's default."""
     low = float("-inf")

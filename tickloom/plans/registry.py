@@ -302,6 +302,11 @@ def market_row_projection(m):
     return report.market_row_projection(ranked_markets(inputs(m)))
 
 
+@query("SELECT market_id, symbol, letter_rank, round(score, 2) AS score, round(effective_score, 2) AS effective_score, round(confidence, 4) AS confidence, confidence_label, confidence_reasons, median_spread_bps, maker_markout_5s_median_bps, maker_markout_30s_median_bps FROM nar WHERE candidate", "score effective_score confidence median_spread_bps maker_markout_5s_median_bps maker_markout_30s_median_bps")
+def market_card(m):
+    return report.market_card(ranked_markets(inputs(m)).where("candidate")).drop("confidence_breakdown")
+
+
 @query("SELECT market_id, symbol, median_spread_bps FROM rnk WHERE contains(lower(symbol), 'm') AND market_id <> 99", "median_spread_bps")
 def market_table_query(m):
     return report.market_table_query(ranked_markets(inputs(m)), symbol=" M ", sort="spread").select("market_id", "symbol", "median_spread_bps")
@@ -924,6 +929,13 @@ def rolling_tpm(m):
     return trades.rolling_tpm(regular(m))
 
 
+@query("SELECT * FROM (SELECT market_id, trade_id, timestamp_ms, count(*) OVER (PARTITION BY market_id ORDER BY timestamp_ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)::DOUBLE AS tpm FROM td) WHERE timestamp_ms < (SELECT max(timestamp_ms) FROM td) - 20000", "tpm")
+def stream_rolling_tpm(m):
+    """Every fifth trade comes eight seconds late. What the watermark hasn't passed at the end still waits."""
+    late = regular(m).withColumn("arrival_ms", F.col("timestamp_ms") + F.when(F.col("trade_id") % 5 == 0, 8000).otherwise(0))
+    return jobs.run_to_end(stateful.rolling_tpm_stream(jobs.as_stream(late, "tpm", order="arrival_ms")), "tpm")
+
+
 _NEAR = "(SELECT count(*) FROM mids m WHERE m.market_id = f.market_id AND m.timestamp_ms BETWEEN f.timestamp_ms + horizon_s * 1000 AND f.timestamp_ms + horizon_s * 1000 + 2500)"
 
 

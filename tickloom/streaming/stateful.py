@@ -134,6 +134,66 @@ def markouts_stream(trades: DataFrame, mids: DataFrame, config: Markouts = Marko
     return plain.withColumn("maker_markout_bps", markout_bps(F.col("price"), F.col("future_mid"), F.col("reference_mid"), F.col("is_maker_ask")))
 
 
+ROLLED = "market_id int, trade_id long, timestamp_ms long, tpm double"
+
+
+class RollingProcessor(StatefulProcessor):
+    """Trades of a market wait for the watermark; then those of the window before each are counted. State: times and ids by stretches of time, none older than the window and the watermark's delay need."""
+
+    def __init__(self, window_ms: int):
+        self.window_ms = window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.trades = handle.getMapState("trades", "stretch long", "times array<long>, ids array<long>")
+        self.told = handle.getValueState("told", "upto long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        times, ids = frame["timestamp_ms"].to_numpy(np.int64), frame["trade_id"].to_numpy(np.int64)
+        for stretch in np.unique(times // STRETCH_MS):
+            some, at = times // STRETCH_MS == stretch, (int(stretch),)
+            old = self.trades.getValue(at)
+            self.trades.updateValue(at, tuple((list(o) if old else []) + c[some].tolist() for o, c in zip(old or (times, ids), (times, ids), strict=True)))
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        """Trades before the watermark and not before what was told already."""
+        told = self.told.get()[0] if self.told.exists() else -1
+        stretches = sorted(k for (k,) in self.trades.keys())
+        # What the windows of untold trades reach back to.
+        first = [s for s in stretches if (s + 1) * STRETCH_MS > told - self.window_ms]
+        held = [self.trades.getValue((s,)) for s in first]
+        times = np.concatenate([np.array(h[0], np.int64) for h in held] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([np.array(h[1], np.int64) for h in held] or [np.zeros(0, np.int64)])
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        due = np.flatnonzero((times > told) & (times < watermark))
+        if len(due):
+            upto, since = np.searchsorted(times, times[due], "right"), np.searchsorted(times, times[due] - self.window_ms + 1, "left")
+            yield _rows({"market_id": np.full(len(due), key[0]), "trade_id": ids[due], "timestamp_ms": times[due], "tpm": (upto - since) * (60_000.0 / self.window_ms)}, ROLLED)
+        if watermark - 1 > told:
+            self.told.update((watermark - 1,))
+        waiting = times[times >= watermark]
+        if len(waiting):
+            self.handle.registerTimer(int(waiting[0]))
+        for s in stretches:
+            if (s + 1) * STRETCH_MS <= watermark - self.window_ms:
+                self.trades.removeKey((s,))
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_tpm_stream(trades: DataFrame, window_ms: int = 60_000, delay: str = "20 seconds") -> DataFrame:
+    """``operators.trades.rolling_tpm`` of regular trades, each told once the watermark has passed it, so that late ones within ``delay`` count."""
+    rows = trades.where(regular_trade()).select("market_id", "trade_id", "timestamp_ms").withColumn("event_time", F.timestamp_millis("timestamp_ms")).withWatermark("event_time", delay)
+    return rows.groupBy("market_id").transformWithStateInPandas(RollingProcessor(window_ms), ROLLED, "append", "EventTime")
+
+
 BOOK = "market_id int, timestamp_ms long, nonce long, kind string, best_bid double, best_ask double, in_step boolean, out_of_step boolean"
 
 
