@@ -29,7 +29,7 @@ ODD = re.compile(r"[^\t\n\r -~\xa1-\u012f\u0131-\u024f]|<\|")
 ODD_ARROW = r"[^\t\n\r -~\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
 
 #: Bytes of pieces and ids that a worker keeps between batches, about; beyond it the half used least lately is forgotten.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 40 << 20
 #: What a kept piece costs besides its own bytes and its ids: its place in the text and in the pool, its hash and the last batch that had it.
 ENTRY_BYTES = 32
 #: The end of the pattern of a tokenizer that takes letters by runs, digits one by one and other signs by runs.
@@ -264,3 +264,4 @@ def balanced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
             held += n
         if len(lengths) > start:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker waits for other tasks, beside the executor's own memory
