@@ -19,7 +19,8 @@ def downsample_snapshots(books: DataFrame, policy: FillPolicy = FillPolicy()) ->
     for c in TOUCH:
         whole = whole & F.col(c).isNotNull()
     rows = books.where(whole).groupBy("market_id", snapshot_bucket(F.col("timestamp_ms"), policy.bucket_ms).alias("_bucket"))
-    return rows.agg(F.min_by(F.struct("symbol", "timestamp_ms", *TOUCH), "timestamp_ms").alias("_r")).select("market_id", "_r.*")
+    first = [F.min_by(c, "timestamp_ms").alias(c) for c in ("symbol", *TOUCH)]  # column by column: those that nobody reads aren't kept
+    return rows.agg(F.min("timestamp_ms").alias("timestamp_ms"), *first).select("market_id", "symbol", "timestamp_ms", *TOUCH)
 
 
 def touch_flow(snapshots: DataFrame, trades: DataFrame, policy: FillPolicy = FillPolicy()) -> DataFrame:

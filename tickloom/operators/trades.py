@@ -12,9 +12,10 @@ MINUTE_MS = 60_000
 
 
 def earliest(rows: DataFrame, keys: list[str], time: str = "timestamp_ms") -> DataFrame:
-    """The earliest row of each key. Aggregated before the shuffle, so repeats aren't moved."""
-    others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(time, *[c for c in others if c != time])).alias("_r")).select(*keys, "_r.*").select(rows.columns)
+    """The earliest row of each key (no time: earliest of all); of several at one time any one, whole. Aggregated before the shuffle, so repeats aren't moved; column by column, so that columns nobody reads aren't kept and what is kept fits a hash aggregation."""
+    at = F.coalesce(F.col(time), F.lit(-(2**63)))
+    first = [F.min_by(c, at).alias(c) for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*first).select(rows.columns)
 
 
 def dedup_trades(trades: DataFrame) -> DataFrame:
@@ -76,11 +77,11 @@ def trade_metrics(trades: DataFrame, windows: DataFrame) -> DataFrame:
 
 def minute_bars(trades: DataFrame) -> DataFrame:
     """Bars of one minute: counts, volumes, sides, sizes, gaps, and other trade types apart."""
-    regular = regular_trade()
+    regular = F.col("_regular")
     on = lambda condition, c: F.when(condition, F.col(c))
     usd, buy = F.when(regular, F.col("usd_amount")), regular & F.col("is_maker_ask")
     sell = regular & ~F.col("is_maker_ask")
-    rows = earliest(trades, ["market_id", "trade_id"])
+    rows = earliest(trades.select("market_id", "trade_id", "timestamp_ms", "price", "usd_amount", "is_maker_ask", regular_trade().alias("_regular")), ["market_id", "trade_id"])
     # The regular trade before: in the bin, else the last of an earlier one.
     before = last_before_bin(rows, ["market_id"], "timestamp_ms", F.when(regular, F.col("timestamp_ms")), "_earlier")
     line = Window.partitionBy("market_id", "_bin").orderBy("timestamp_ms", "trade_id").rowsBetween(Window.unboundedPreceding, -1)
