@@ -83,9 +83,10 @@ def running(rows: DataFrame, keys: list[str], order: tuple[str, ...], *, sums: d
     """
     sums, highs, before, after = sums or {}, highs or {}, before or {}, after or {}
     binned = rows.withColumn("_bin", bin if bin is not None else bin_of(F.col(order[0])))
-    at = F.struct(*order)
+    # A number where it will do: aggregations by structs have to sort.
+    at = F.struct(*order) if len(order) > 1 else F.coalesce(F.col(order[0]), F.lit(-(2**63)))
     parts = {f"_v{k}": F.sum(c) for k, c in enumerate(sums.values())} | {f"_h{k}": F.max(c) for k, c in enumerate(highs.values())}
-    parts |= {f"_b{k}": F.max_by(F.struct(c), at) for k, c in enumerate(before.values())} | {f"_a{k}": F.min_by(F.struct(c), at) for k, c in enumerate(after.values())}
+    parts |= {f"_b{k}": F.max_by(c, at) for k, c in enumerate(before.values())} | {f"_a{k}": F.min_by(c, at) for k, c in enumerate(after.values())}
     line = Window.partitionBy(*keys).orderBy("_bin")
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum(f"_v{k}").over(earlier).alias(f"_v{k}") for k in range(len(sums))] + [F.max(f"_h{k}").over(earlier).alias(f"_h{k}") for k in range(len(highs))]
@@ -99,8 +100,9 @@ def running(rows: DataFrame, keys: list[str], order: tuple[str, ...], *, sums: d
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     out = {n: F.coalesce(F.col(f"_v{k}") + F.coalesce(F.sum(c).over(upto), F.lit(0)), F.sum(c).over(upto), F.lit(0)) for k, (n, c) in enumerate(sums.items())}
     out |= {n: F.greatest(F.col(f"_h{k}"), F.max(c).over(upto)) for k, (n, c) in enumerate(highs.items())}
-    out |= {n: F.coalesce(F.lag(F.struct(c)).over(within), F.col(f"_b{k}"))[c] for k, (n, c) in enumerate(before.items())}
-    out |= {n: F.coalesce(F.lead(F.struct(c)).over(within), F.col(f"_a{k}"))[c] for k, (n, c) in enumerate(after.items())}
+    near = lambda beside, other, c: F.when(beside.isNotNull(), beside[c]).otherwise(F.col(other))
+    out |= {n: near(F.lag(F.struct(c)).over(within), f"_b{k}", c) for k, (n, c) in enumerate(before.items())}
+    out |= {n: near(F.lead(F.struct(c)).over(within), f"_a{k}", c) for k, (n, c) in enumerate(after.items())}
     return binned.join(carry, same).withColumns(out).select(*rows.columns, *out)
 
 
