@@ -46,6 +46,14 @@ def test_streamed_markouts_equal_the_batch_form_after_a_restart(spark):
     assert {k: v for k, v in got.items() if v[1] is not None} == {k: v for k, v in batch.items() if k in passed}
 
 
+def test_a_watermark_that_stands_on_a_trade(spark):
+    """The watermark after the first batch is the very time of the trade that waits."""
+    rows = spark.createDataFrame([(1, 1, 30_000, 30_000, "trade"), (1, 2, 35_000, 35_000, "trade"), (1, 3, 30_000, 36_000, "trade"), (2, 4, 99_000, 99_000, "trade")], "market_id int, trade_id long, timestamp_ms long, arrival_ms long, type string")
+    for delay in ("5 seconds", "10 seconds"):
+        found = jobs.run_to_end(stateful.rolling_tpm_stream(jobs.as_stream(rows, "w", batches=3, order="arrival_ms"), delay=delay), "w")
+        assert sorted((r.trade_id, r.tpm) for r in found.collect()) == [(1, 2.0), (2, 3.0), (3, 2.0)]
+
+
 class _Map:
     """A map state that counts what is written to it."""
 

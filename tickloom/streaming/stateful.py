@@ -93,7 +93,8 @@ class MarkoutProcessor(StatefulProcessor):
                 self.waiting.updateValue((stretch,), tuple(c[~due].tolist() for c in (targets, horizons, times, ids, prices, maker_asks)))
                 break
         if stretches:
-            self.handle.registerTimer(int(min(self.waiting.getValue((stretches[0],))[0])) + wait)
+            # A timer goes off at its own time and is then deleted, also one set anew: it must stand past the target.
+            self.handle.registerTimer(int(min(self.waiting.getValue((stretches[0],))[0])) + wait + 1)
         oldest = watermark - max(self.config.horizons_s) * 1000 - wait - self.config.reference_age_ms
         for (stretch,) in list(self.mids.keys()):
             if (stretch + 1) * STRETCH_MS <= oldest:
@@ -179,7 +180,7 @@ class RollingProcessor(StatefulProcessor):
             self.told.update((watermark - 1,))
         waiting = times[times >= watermark]
         if len(waiting):
-            self.handle.registerTimer(int(waiting[0]))
+            self.handle.registerTimer(int(waiting[0]) + 1)  # when the watermark has passed it
         for s in stretches:
             if (s + 1) * STRETCH_MS <= watermark - self.window_ms:
                 self.trades.removeKey((s,))
