@@ -412,8 +412,10 @@ def peer_enrichment(m):
 
 @query("SELECT market_id, CASE WHEN market_id < 4 THEN 'full' WHEN market_id < 6 THEN 'selected_incomplete' ELSE 'screened' END AS analysis_stage, st1.median_spread_bps FROM st1", "median_spread_bps")
 def merge_stages(m):
-    first = stage1(m)
-    full = ranked_markets(inputs(m)).where("market_id < 4")
+    # One row for each market. Written, as the plan of all stages in one is too large for a small driver.
+    first = tables.written(stage1(m), "screened")
+    measured = tables.written(market_rows(inputs(m)), "measured")
+    full = tables.written(scoring.score_markets(measured), "ranked").where("market_id < 4")
     return screening.merge_stages(first, first.where("market_id < 6"), full).select("market_id", "analysis_stage", "median_spread_bps")
 
 
