@@ -1,9 +1,12 @@
 """Plans and states that must stay small."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 from tests.test_queries import SF, TABLES, plain
 from tickloom.plans.registry import ORACLES, QUERIES
+from tickloom.streaming import feed, jobs
 
 
 def leaves(df) -> int:
@@ -25,3 +28,69 @@ def test_stages_are_merged_from_written_rows(spark):
     df = QUERIES["merge_stages"](spark, SF)
     assert leaves(df) <= 4
     assert equals_its_sql(df, "merge_stages")
+
+
+class Value:
+    """A value state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.held, self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.held = None
+
+
+class Handle:
+    """Of a processor: its states by name, and its timers."""
+
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Value())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def calls(self):
+        return sum(s.calls for s in self.states.values()) + len(self.timers)
+
+
+class Clock:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_batch_of_many_minutes_remembers_ids_at_once():
+    handle, processor = Handle(), feed.DedupProcessor(["trade_id"], "arrival_ms")
+    processor.init(handle)
+    minutes = np.arange(5_000)
+    rows = pd.DataFrame({"trade_id": minutes, "timestamp_ms": minutes * 60_000, "arrival_ms": minutes, "snapshot": False})
+    (out,) = processor.handleInputRows((1, 0), iter([rows]), Clock(0))
+    assert len(out) == 5_000 and handle.calls() <= 3
+    again = pd.DataFrame({"trade_id": [4_990, 4_999, 5_000], "timestamp_ms": [4_999 * 60_000] * 3, "arrival_ms": [1, 2, 3], "snapshot": [False, False, True]})
+    (out,) = processor.handleInputRows((1, 0), iter([again]), Clock(4_995 * 60_000))
+    assert not len(out)
+    assert set(np.frombuffer(handle.states["seen"].held[0], np.int64)) == {4_990, *range(4_995, 5_001)}
+    assert not list(processor.handleExpiredTimer((1, 0), Clock(handle.timers[-1]), None)) and not handle.states["seen"].exists()
+
+
+def test_a_repeat_in_another_minute_is_a_repeat(spark):
+    schema = "market_id int, trade_id long, timestamp_ms long, snapshot boolean, arrival_ms long"
+    rows = [(1, 1, 59_000, False, 59_000), (1, 1, 61_500, False, 61_500), (1, 2, 62_000, False, 62_000)]
+    for batches in (1, 2):
+        found = jobs.run_to_end(feed.dedup_with_warmup(jobs.as_stream(spark.createDataFrame(rows, schema), "r", order="arrival_ms", batches=batches)), "r")
+        assert sorted((r.trade_id, r.timestamp_ms) for r in found.collect()) == [(1, 59_000), (2, 62_000)]

@@ -68,37 +68,44 @@ PARTS = 16
 
 
 class DedupProcessor(StatefulProcessor):
-    """Ids seen, by stretches of event time, each forgotten once the watermark has passed it."""
+    """Ids seen and the last minute of event time of each, forgotten once the watermark has passed that minute.
+
+    All of a key are one value, as packed numbers: a batch reads and writes it once, whatever time it
+    spans, and it holds no more than came since the batch before and what the watermark's delay needs.
+    """
 
     def __init__(self, columns: list[str], order: str):
         self.columns, self.order = columns, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "stretch long", "ids array<long>")
+        self.seen = handle.getValueState("seen", "ids binary, stretches binary")
+
+    def _known(self) -> tuple[np.ndarray, np.ndarray]:
+        ids, stretches = self.seen.get() if self.seen.exists() else (b"", b"")
+        return np.frombuffer(bytes(ids), np.int64), np.frombuffer(bytes(stretches), np.int64)
+
+    def _keep(self, ids: np.ndarray, stretches: np.ndarray, watermark: int) -> None:
+        held = (stretches + 1) * STRETCH_MS > watermark
+        if held.any():
+            self.seen.update((ids[held].tobytes(), stretches[held].tobytes()))
+            self.handle.registerTimer(int(stretches[held].max() + 1) * STRETCH_MS)  # for a key that nothing comes to any more
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Of rows that arrive at once the live one is first: what is told twice is better than what is lost.
         frame = pd.concat(list(rows)).sort_values([self.order, "snapshot"], kind="stable")
-        stretches = frame["timestamp_ms"].to_numpy(np.int64) // STRETCH_MS
-        fresh = np.zeros(len(frame), bool)
-        for stretch in np.unique(stretches):
-            at = (int(stretch),)
-            old = self.seen.getValue(at)
-            seen = set(old[0]) if old else set()
-            if not old:
-                self.handle.registerTimer((at[0] + 1) * STRETCH_MS)
-            for k in np.flatnonzero(stretches == stretch):
-                number = int(frame["trade_id"].iat[k])
-                fresh[k] = number not in seen
-                seen.add(number)
-            self.seen.updateValue(at, (list(seen),))
+        ids, stretches = self._known()
+        told = pd.DataFrame({"id": np.append(ids, frame["trade_id"].to_numpy(np.int64)), "stretch": np.append(stretches, frame["timestamp_ms"].to_numpy(np.int64) // STRETCH_MS)})
+        fresh = ~told["id"].duplicated().to_numpy()[len(ids) :]
         yield frame[fresh & ~frame["snapshot"].to_numpy(bool)][self.columns]
+        last = told.groupby("id", sort=False)["stretch"].max()
+        self._keep(last.index.to_numpy(np.int64), last.to_numpy(np.int64), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for (stretch,) in list(self.seen.keys()):
-            if (stretch + 1) * STRETCH_MS <= timerValues.getCurrentWatermarkInMs():
-                self.seen.removeKey((stretch,))
+        if self.seen.exists():
+            self._keep(*self._known(), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def close(self) -> None:

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import regular_trade
-from tickloom.sources.tables import scratch
+from tickloom.sources.tables import scratch, written
 from tickloom.streaming.stateful import STATE_STORE
 
 
 def as_stream(rows: DataFrame, name: str, *, batches: int = 4, order: str = "timestamp_ms", file_rows: int = 1_000_000) -> DataFrame:
     """``rows`` cut in ``batches`` ranges of time, each written as equally many files, range after range, and read as a stream of one range a batch."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
+    rows = written(rows, f"{name}-all")  # computed once, not for each range
     bounds = rows.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n")).first()
     step = (bounds.b - bounds.a) // batches + 1 if bounds.a is not None else 1
-    ranged = rows.withColumn("_range", F.coalesce(F.floor((F.col(order) - F.lit(bounds.a or 0)) / F.lit(step)).cast("int"), F.lit(0)))
+    first = bounds.a or 0
     files = max(1, -(-bounds.n // (batches * file_rows)))
     none = spark.createDataFrame([], rows.schema).coalesce(1)
     for k in range(batches):  # the file source takes files in the order in which they were written
-        ranged.where(F.col("_range") == k).drop("_range").repartition(files).write.mode("append").parquet(path)
+        # Bounds of the column itself, by which files skip what is outside; rows without a value are in the first range.
+        within = (F.col(order) >= first + k * step) & (F.col(order) < first + (k + 1) * step)
+        rows.where(within if k else within | F.col(order).isNull()).repartition(files).write.mode("append").parquet(path)
         # Partitions without rows have no files; empty ones keep the ranges to their batches.
         for _ in range((k + 1) * files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
             none.write.mode("append").parquet(path)
