@@ -3,10 +3,13 @@
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tests.test_queries import SF, TABLES, plain
+from tickloom.config import Markouts
+from tickloom.operators import markouts
 from tickloom.plans.registry import ORACLES, QUERIES
-from tickloom.streaming import feed, jobs
+from tickloom.streaming import feed, jobs, stateful
 
 
 def leaves(df) -> int:
@@ -94,3 +97,32 @@ def test_a_repeat_in_another_minute_is_a_repeat(spark):
     for batches in (1, 2):
         found = jobs.run_to_end(feed.dedup_with_warmup(jobs.as_stream(spark.createDataFrame(rows, schema), "r", order="arrival_ms", batches=batches)), "r")
         assert sorted((r.trade_id, r.timestamp_ms) for r in found.collect()) == [(1, 59_000), (2, 62_000)]
+
+
+def test_markouts_hold_one_value_whatever_time_a_batch_spans():
+    handle, processor = Handle(), stateful.MarkoutProcessor(Markouts(horizons_s=(1, 5)))
+    processor.init(handle)
+    at = np.arange(2_000) * 60_000
+    line = pd.DataFrame({"timestamp_ms": at, "mid": 100.0, "trade_id": np.nan, "price": np.nan, "is_maker_ask": None})
+    trades = pd.DataFrame({"timestamp_ms": at, "mid": np.nan, "trade_id": np.arange(2_000.0), "price": 101.0, "is_maker_ask": True})
+    list(processor.handleInputRows((1, 0), iter([pd.concat([line, trades])]), Clock(0)))
+    (out,) = processor.handleExpiredTimer((1, 0), Clock(int(at[-1]) + 60_000), None)
+    assert len(out) == 4_000 and handle.calls() <= 12
+    list(processor.handleExpiredTimer((1, 0), Clock(handle.timers[-1]), None))
+    assert not any(s.exists() for s in handle.states.values())
+
+
+def test_streams_by_bins_see_beyond_their_edges(spark):
+    edge = 3 * stateful.BIN_MS
+    trades = spark.range(200).select(F.lit(1).alias("market_id"), F.col("id").alias("trade_id"), (edge - 100_000 + F.col("id") * 1_000).alias("timestamp_ms"), F.lit(100.0).alias("price"), (F.col("id") % 2 == 0).alias("is_maker_ask"), F.lit("trade").alias("type"))
+    mids = spark.range(90).select(F.lit(1).alias("market_id"), (edge - 110_300 + F.col("id") * 3_700).alias("timestamp_ms"), (F.col("id") + 100.0).alias("mid"))
+    end = mids.agg(F.max("timestamp_ms")).first()[0] - 15_000
+    found = jobs.run_to_end(stateful.markouts_stream(jobs.as_stream(trades, "t"), jobs.as_stream(mids, "m"), delay="15 seconds"), "x")
+    got = {(r.trade_id, r.horizon_s): (r.reference_mid, r.future_mid) for r in found.collect()}
+    batch = markouts.future_mids(markouts.reference_mids(trades, mids), mids)
+    want = {(r.trade_id, r.horizon_s): (r.reference_mid, r.future_mid) for r in batch.where(F.col("timestamp_ms") + F.col("horizon_s") * 1000 + 2_500 < end).collect()}
+    assert found.count() == len(got) and len(want) > 700
+    assert {k: v for k, v in got.items() if None not in v} == {k: v for k, v in want.items() if None not in v}
+    rolled = jobs.run_to_end(stateful.rolling_tpm_stream(jobs.as_stream(trades, "w"), delay="15 seconds"), "w")
+    last = edge + 99_000 - 15_000
+    assert sorted((r.trade_id, r.tpm) for r in rolled.collect()) == [(k, min(k + 1.0, 60.0)) for k in range(200) if edge - 100_000 + k * 1_000 < last]

@@ -24,85 +24,89 @@ STATE_STORE = {
 }
 
 RESOLVED = "market_id int, trade_id long, horizon_s int, timestamp_ms long, price double, is_maker_ask boolean, reference_mid double, future_mid double, outcome string"
-#: State is kept by so long stretches of time: a batch touches the stretches that it tells of.
+#: Ids are forgotten by so long stretches of time.
 STRETCH_MS = 60_000
+#: A market's time is cut in bins of this length, each a key of its own: what a key holds doesn't grow with the time that a batch spans, and one market is many tasks.
+BIN_MS = 21_600_000
 
 
 def _rows(columns: dict, schema: str) -> pd.DataFrame:
     return pd.DataFrame({c.split()[0]: columns[c.split()[0]] for c in schema.split(", ")})
 
 
+def _packed(columns: list[np.ndarray]) -> tuple[bytes, ...]:
+    return tuple(c.tobytes() for c in columns)
+
+
+def _unpacked(state, types: tuple) -> list[np.ndarray]:
+    """The columns of a value state that holds them as packed numbers; none if there is no value."""
+    held = state.get() if state.exists() else [b""] * len(types)
+    return [np.frombuffer(bytes(h), t) for h, t in zip(held, types, strict=True)]
+
+
+def in_bins(rows: DataFrame, before_ms: int = 0, after_ms: int = 0) -> DataFrame:
+    """Each row in its bin of time (``_bin``), and once more in each other bin that begins within ``before_ms`` after it or ends within ``after_ms`` before it."""
+    of = lambda ms: F.floor((F.col("timestamp_ms") + F.lit(ms)) / F.lit(BIN_MS)).cast("long")
+    return rows.withColumn("_bin", F.explode(F.sequence(of(-after_ms), of(before_ms))))
+
+
 class MarkoutProcessor(StatefulProcessor):
-    """Trades of a market wait, once for each horizon, until the watermark is past the time in which a mid may still count; then the first mid from the target on counts, else the last one before it.
+    """Trades of a market's bin wait, once for each horizon, until the watermark is past the time in which a mid may still count; then the first mid from the target on counts, else the last one before it.
 
-    State: mids and waiting trades by stretches of time, and no more of either than the longest
-    horizon and the watermark's delay need. One timer stands at the earliest waiting target.
+    State: mids and waiting trades, each one value of packed numbers that a batch reads and writes
+    once, and no more of either than the longest horizon and the watermark's delay need. One timer
+    stands at the earliest waiting target, or where the last mid isn't needed any more.
     """
 
+    MIDS, WAITING = (np.int64, float), (np.int64, np.int64, np.int64, np.int64, float, bool)
+
     def __init__(self, config: Markouts):
         self.config = config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.mids = handle.getMapState("mids", "stretch long", "times array<long>, mids array<double>")
-        self.waiting = handle.getMapState("waiting", "stretch long", "targets array<long>, horizons array<int>, times array<long>, ids array<long>, prices array<double>, maker_asks array<boolean>")
-
-    def _add(self, state, stretches: np.ndarray, columns: list[np.ndarray]) -> None:
-        for stretch in np.unique(stretches):
-            some, key = stretches == stretch, (int(stretch),)
-            old = state.getValue(key)
-            state.updateValue(key, tuple((list(o) if old else []) + c[some].tolist() for o, c in zip(old or columns, columns, strict=True)))
+        self.mids = handle.getValueState("mids", "times binary, mids binary")
+        self.waiting = handle.getValueState("waiting", "targets binary, horizons binary, times binary, ids binary, prices binary, maker_asks binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows))
         mids, trades = frame[frame["mid"].notna()], frame[frame["trade_id"].notna()]
-        if len(mids):
-            times = mids["timestamp_ms"].to_numpy(np.int64)
-            self._add(self.mids, times // STRETCH_MS, [times, mids["mid"].to_numpy(float)])
-        if len(trades):
-            horizons = np.array(self.config.horizons_s, np.int64)
-            times = np.repeat(trades["timestamp_ms"].to_numpy(np.int64), len(horizons))
-            every = np.tile(horizons, len(trades))
-            targets = times + every * 1000
-            each = [np.repeat(trades[c].to_numpy(t), len(horizons)) for c, t in (("trade_id", np.int64), ("price", float), ("is_maker_ask", bool))]
-            self._add(self.waiting, targets // STRETCH_MS, [targets, every, times, *each])
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+        new = [mids["timestamp_ms"].to_numpy(np.int64), mids["mid"].to_numpy(float)]
+        horizons = np.array(self.config.horizons_s, np.int64)
+        times = np.repeat(trades["timestamp_ms"].to_numpy(np.int64), len(horizons))
+        every = np.tile(horizons, len(trades))
+        each = [np.repeat(trades[c].to_numpy(t), len(horizons)) for c, t in (("trade_id", np.int64), ("price", float), ("is_maker_ask", bool))]
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs(), new, [times + every * 1000, every, times, *each])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
-
-    def _known(self, first_ms: int, last_ms: int) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.mids.getValue((s,)) for s in range(first_ms // STRETCH_MS, last_ms // STRETCH_MS + 1)]
-        times = np.concatenate([np.array(f[0], np.int64) for f in found if f] or [np.zeros(0, np.int64)])
-        mids = np.concatenate([np.array(f[1], float) for f in found if f] or [np.zeros(0)])
-        order = np.argsort(times, kind="stable")
-        return times[order], mids[order]
-
-    def _settle(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        wait, stretches = self.config.tolerance_ms, sorted(k for (k,) in self.waiting.keys())
-        while stretches and stretches[0] * STRETCH_MS + wait < watermark:
-            stretch = stretches[0]
-            targets, horizons, times, ids, prices, maker_asks = (np.array(c) for c in self.waiting.getValue((stretch,)))
-            due = targets + wait < watermark
-            if due.any():
-                yield self._resolved(key, targets[due], horizons[due], times[due], ids[due], prices[due], maker_asks[due])
-            if due.all():
-                self.waiting.removeKey((stretch,))
-                stretches.pop(0)
-            else:
-                self.waiting.updateValue((stretch,), tuple(c[~due].tolist() for c in (targets, horizons, times, ids, prices, maker_asks)))
-                break
-        if stretches:
-            # A timer goes off at its own time and is then deleted, also one set anew: it must stand past the target.
-            self.handle.registerTimer(int(min(self.waiting.getValue((stretches[0],))[0])) + wait + 1)
-        oldest = watermark - max(self.config.horizons_s) * 1000 - wait - self.config.reference_age_ms
-        for (stretch,) in list(self.mids.keys()):
-            if (stretch + 1) * STRETCH_MS <= oldest:
-                self.mids.removeKey((stretch,))
-
-    def _resolved(self, key, targets, horizons, times, ids, prices, maker_asks) -> pd.DataFrame:
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs(), None, None)
+
+    def _settle(self, key, watermark: int, new_mids, new_waiting) -> Iterator[pd.DataFrame]:
+        joined = lambda old, new: [np.append(o, n) for o, n in zip(old, new, strict=True)] if new else old
+        wait, age = self.config.tolerance_ms, self.config.reference_age_ms
+        at, mids = joined(_unpacked(self.mids, self.MIDS), new_mids)
+        order = np.argsort(at, kind="stable")
+        at, mids = at[order], mids[order]
+        waiting = joined(_unpacked(self.waiting, self.WAITING), new_waiting)
+        due = waiting[0] + wait < watermark
+        if due.any():
+            yield self._resolved(key, at, mids, *(c[due] for c in waiting))
+        rest = [c[~due] for c in waiting]
+        needed = max(self.config.horizons_s) * 1000 + wait + age
+        kept = at >= watermark - needed
+        for state, columns in ((self.mids, [at[kept], mids[kept]]), (self.waiting, rest)):
+            if len(columns[0]):
+                state.update(_packed(columns))
+            elif state.exists():
+                state.clear()
+        # A timer goes off at its own time and is then deleted, also one set anew: it must stand past the target.
+        if len(rest[0]):
+            self.handle.registerTimer(int(rest[0].min()) + wait + 1)
+        elif kept.any():
+            self.handle.registerTimer(int(at[-1]) + needed + 1)
+
+    def _resolved(self, key, at, mids, targets, horizons, times, ids, prices, maker_asks) -> pd.DataFrame:
         wait, age = self.config.tolerance_ms, self.config.reference_age_ms
-        at, mids = self._known(int(times.min()) - age, int(targets.max()) + wait)
         mids = np.append(mids, np.nan)
         at = np.append(at, np.iinfo(np.int64).max)
         after = np.searchsorted(at, targets, "left")
@@ -128,8 +132,10 @@ def markouts_stream(trades: DataFrame, mids: DataFrame, config: Markouts = Marko
     nothing = {"trade_id": "long", "price": "double", "is_maker_ask": "boolean"}
     left = trades.where(regular_trade()).select("market_id", "timestamp_ms", F.lit(None).cast("double").alias("mid"), *(F.col(c).cast(t).alias(c) for c, t in nothing.items()))
     right = mids.where("mid > 0").select("market_id", "timestamp_ms", F.col("mid").cast("double").alias("mid"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
-    line = left.unionByName(right).withColumn("event_time", F.timestamp_millis("timestamp_ms")).withWatermark("event_time", delay)
-    found = line.groupBy("market_id").transformWithStateInPandas(MarkoutProcessor(config), RESOLVED, "append", "EventTime")
+    # A trade needs the mids from before it to past its last target.
+    around = in_bins(right, max(config.reference_age_ms, config.tolerance_ms), max(config.horizons_s) * 1000 + config.tolerance_ms)
+    line = in_bins(left).unionByName(around).withColumn("event_time", F.timestamp_millis("timestamp_ms")).withWatermark("event_time", delay)
+    found = line.groupBy("market_id", "_bin").transformWithStateInPandas(MarkoutProcessor(config), RESOLVED, "append", "EventTime")
     known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     plain = found.select("market_id", "trade_id", "horizon_s", "timestamp_ms", "price", "is_maker_ask", known("reference_mid"), known("future_mid"), "outcome")
     return plain.withColumn("maker_markout_bps", markout_bps(F.col("price"), F.col("future_mid"), F.col("reference_mid"), F.col("is_maker_ask")))
@@ -139,51 +145,44 @@ ROLLED = "market_id int, trade_id long, timestamp_ms long, tpm double"
 
 
 class RollingProcessor(StatefulProcessor):
-    """Trades of a market wait for the watermark; then those of the window before each are counted. State: times and ids by stretches of time, none older than the window and the watermark's delay need."""
+    """Trades of a market's bin wait for the watermark; then those of the window before each are counted, of which the first may lie in the bin before. State: times and ids as one value of packed numbers, none older than the window and the watermark's delay need."""
 
     def __init__(self, window_ms: int):
         self.window_ms = window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.trades = handle.getMapState("trades", "stretch long", "times array<long>, ids array<long>")
+        self.trades = handle.getValueState("trades", "times binary, ids binary")
         self.told = handle.getValueState("told", "upto long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows))
-        times, ids = frame["timestamp_ms"].to_numpy(np.int64), frame["trade_id"].to_numpy(np.int64)
-        for stretch in np.unique(times // STRETCH_MS):
-            some, at = times // STRETCH_MS == stretch, (int(stretch),)
-            old = self.trades.getValue(at)
-            self.trades.updateValue(at, tuple((list(o) if old else []) + c[some].tolist() for o, c in zip(old or (times, ids), (times, ids), strict=True)))
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs(), [frame["timestamp_ms"].to_numpy(np.int64), frame["trade_id"].to_numpy(np.int64)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs(), [np.zeros(0, np.int64)] * 2)
 
-    def _settle(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        """Trades before the watermark and not before what was told already."""
+    def _settle(self, key, watermark: int, new: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        """The bin's trades before the watermark and not before what was told already."""
         told = self.told.get()[0] if self.told.exists() else -1
-        stretches = sorted(k for (k,) in self.trades.keys())
-        # What the windows of untold trades reach back to.
-        first = [s for s in stretches if (s + 1) * STRETCH_MS > told - self.window_ms]
-        held = [self.trades.getValue((s,)) for s in first]
-        times = np.concatenate([np.array(h[0], np.int64) for h in held] or [np.zeros(0, np.int64)])
-        ids = np.concatenate([np.array(h[1], np.int64) for h in held] or [np.zeros(0, np.int64)])
+        times, ids = (np.append(o, n) for o, n in zip(_unpacked(self.trades, (np.int64, np.int64)), new, strict=True))
         order = np.lexsort((ids, times))
         times, ids = times[order], ids[order]
-        due = np.flatnonzero((times > told) & (times < watermark))
+        own = times // BIN_MS == key[1]
+        due = np.flatnonzero(own & (times > told) & (times < watermark))
         if len(due):
             upto, since = np.searchsorted(times, times[due], "right"), np.searchsorted(times, times[due] - self.window_ms + 1, "left")
             yield _rows({"market_id": np.full(len(due), key[0]), "trade_id": ids[due], "timestamp_ms": times[due], "tpm": (upto - since) * (60_000.0 / self.window_ms)}, ROLLED)
+        kept = times > watermark - self.window_ms
+        if not kept.any():
+            self.trades.clear()
+            self.told.clear()
+            return
+        self.trades.update(_packed([times[kept], ids[kept]]))
         if watermark - 1 > told:
             self.told.update((watermark - 1,))
-        waiting = times[times >= watermark]
-        if len(waiting):
-            self.handle.registerTimer(int(waiting[0]) + 1)  # when the watermark has passed it
-        for s in stretches:
-            if (s + 1) * STRETCH_MS <= watermark - self.window_ms:
-                self.trades.removeKey((s,))
+        waiting = times[own & (times >= watermark)]
+        self.handle.registerTimer(int(waiting[0]) + 1 if len(waiting) else int(times[-1]) + self.window_ms + 1)  # when the watermark has passed it
 
     def close(self) -> None:
         pass
@@ -191,8 +190,8 @@ class RollingProcessor(StatefulProcessor):
 
 def rolling_tpm_stream(trades: DataFrame, window_ms: int = 60_000, delay: str = "20 seconds") -> DataFrame:
     """``operators.trades.rolling_tpm`` of regular trades, each told once the watermark has passed it, so that late ones within ``delay`` count."""
-    rows = trades.where(regular_trade()).select("market_id", "trade_id", "timestamp_ms").withColumn("event_time", F.timestamp_millis("timestamp_ms")).withWatermark("event_time", delay)
-    return rows.groupBy("market_id").transformWithStateInPandas(RollingProcessor(window_ms), ROLLED, "append", "EventTime")
+    rows = in_bins(trades.where(regular_trade()).select("market_id", "trade_id", "timestamp_ms"), window_ms).withColumn("event_time", F.timestamp_millis("timestamp_ms")).withWatermark("event_time", delay)
+    return rows.groupBy("market_id", "_bin").transformWithStateInPandas(RollingProcessor(window_ms), ROLLED, "append", "EventTime")
 
 
 BOOK = "market_id int, timestamp_ms long, nonce long, kind string, best_bid double, best_ask double, in_step boolean, out_of_step boolean"
