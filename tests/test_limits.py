@@ -9,6 +9,7 @@ from tests.test_queries import SF, TABLES, plain
 from tickloom.config import Markouts
 from tickloom.operators import markouts
 from tickloom.plans.registry import ORACLES, QUERIES
+from tickloom.sources import tables
 from tickloom.streaming import feed, jobs, stateful
 
 
@@ -126,3 +127,10 @@ def test_streams_by_bins_see_beyond_their_edges(spark):
     rolled = jobs.run_to_end(stateful.rolling_tpm_stream(jobs.as_stream(trades, "w"), delay="15 seconds"), "w")
     last = edge + 99_000 - 15_000
     assert sorted((r.trade_id, r.tpm) for r in rolled.collect()) == [(k, min(k + 1.0, 60.0)) for k in range(200) if edge - 100_000 + k * 1_000 < last]
+
+
+def test_what_is_published_is_computed_once(spark, monkeypatch):
+    given, write = {}, tables.publish_generation
+    monkeypatch.setattr(tables, "publish_generation", lambda some, *a, **k: given.update(some) or write(some, *a, **k))
+    QUERIES["publish_generation"](spark, SF)
+    assert len(given) == 4 and all(leaves(df) == 1 for df in given.values())

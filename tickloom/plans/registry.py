@@ -220,7 +220,8 @@ def export_ranking_csv(m):
 
 @query("SELECT 'g1' AS generation, (SELECT count(*) FROM nar) AS markets, (SELECT count(*) FROM nar WHERE candidate) AS candidates, (SELECT count(DISTINCT symbol) FROM nar) AS documents, (SELECT round(sum(round(score, 2)), 1) FROM nar) AS scores, (SELECT symbol FROM nar WHERE rank = 1) AS best", "scores")
 def publish_generation(m):
-    x, root = ranked_markets(inputs(m)), jobs.scratch(m.spark, "published")
+    # Written first: each of the tables would compute it again.
+    x, root = tables.written(ranked_markets(inputs(m)), "ranked"), jobs.scratch(m.spark, "published")
     rows = report.market_row_projection(x)
     pointer = tables.publish_generation({"overview": report.overview_rollup(x), "markets": rows, "candidates": rows.where("candidate"), "market": report.market_detail(x)}, root, "g1", by={"market": "symbol"})
     at = f"{root}/generations/g1"
