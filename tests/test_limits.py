@@ -134,3 +134,13 @@ def test_what_is_published_is_computed_once(spark, monkeypatch):
     monkeypatch.setattr(tables, "publish_generation", lambda some, *a, **k: given.update(some) or write(some, *a, **k))
     QUERIES["publish_generation"](spark, SF)
     assert len(given) == 4 and all(leaves(df) == 1 for df in given.values())
+
+
+def test_messages_are_parsed_once_for_all_sinks(spark):
+    raw = spark.createDataFrame([('{"type":"update/trade","channel":"trade:1"}',)], "value string")
+    parsed = tables.parsed_messages(raw).persist()
+    try:
+        for rows in feed.split_feed(parsed).values():
+            assert "InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString()
+    finally:
+        parsed.unpersist()

@@ -228,8 +228,15 @@ TRADE, STATS, MESSAGE = _texts(TRADE_FIELDS), _texts(("market_id", "symbol", "fu
 BOOK = T.StructType([*_texts(("nonce", "begin_nonce")), *(T.StructField(side, T.ArrayType(_texts(("price", "size")))) for side in ("bids", "asks"))])
 
 
+def parsed_messages(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Messages parsed once for all that ``feed_trades``, ``feed_stats`` and ``feed_book_updates`` take from them; these take either."""
+    return _messages(messages, column)
+
+
 def _messages(messages: DataFrame, column: str) -> DataFrame:
     """``_m``, the parsed message, and ``_market``, the number after the colon of its channel."""
+    if messages.columns == ["_m", "_market"]:
+        return messages
     parsed = messages.select(F.from_json(column, MESSAGE, {"mode": "PERMISSIVE"}).alias("_m"))
     return parsed.withColumn("_market", F.split_part("_m.channel", F.lit(":"), F.lit(2)).try_cast("int"))
 

@@ -43,18 +43,28 @@ def split_feed(messages: DataFrame, column: str = "value") -> dict[str, DataFram
 
 def write_feed_batch(messages: DataFrame, batch: int, root: str, column: str = "value") -> None:
     """One micro-batch to all tables below ``root``, and its row counts to ``counts``. Doing it again changes nothing."""
-    messages.persist()
+    parsed = tables.parsed_messages(messages, column).persist()
     try:
         timed = {"trades": "timestamp_ms", "book_updates": "timestamp_ms", "market_stats": "updated_at_ms", "bad_rows": None}
-        for name, rows in split_feed(messages, column).items():
+        counts = None
+        for name, rows in split_feed(parsed, column).items():
             append_once(rows, f"{root}/{name}", batch, time=timed[name])
-        counts = [rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name)) for name, rows in split_feed(messages, column).items()]
-        every = counts[0]
-        for c in counts[1:]:
-            every = every.unionByName(c)
-        append_once(every, f"{root}/counts", batch, time=None)
+            # Counted from the footers of what was written; a batch without rows has no folder.
+            at = f"{root}/{name}/{'date=*/hour=*/' if timed[name] else ''}batch={batch}"
+            found = batch_folders(messages.sparkSession, at)
+            n = messages.sparkSession.read.parquet(*found).agg(F.count(F.lit(1)).alias("rows")) if found else messages.sparkSession.range(1).select(F.lit(0).cast("long").alias("rows"))
+            n = n.withColumn("name", F.lit(name))
+            counts = n if counts is None else counts.unionByName(n)
+        append_once(counts, f"{root}/counts", batch, time=None)
     finally:
-        messages.unpersist()
+        parsed.unpersist()
+
+
+def batch_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that a pattern names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(pattern)
+    return [x.getPath().toString() for x in at.getFileSystem(conf).globStatus(at) or []]
 
 
 def feed_to_tables(messages: DataFrame, root: str, log: str, column: str = "value") -> None:
